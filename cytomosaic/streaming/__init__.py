@@ -1,0 +1 @@
+"""No streaming operator exists in the feature set this package covers; all tables are batch."""
