@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from cytomosaic.functions.scalar import log2_fold_change, neg_log10
+from cytomosaic.session import cut_lineage
 
 # fixed values
 SEED = 42
@@ -97,15 +98,14 @@ def resampling_tests(wide: DataFrame, draws: Resampling, alpha: float = 0.05) ->
     Features are independent, so this is one pass without a shuffle. What travels to the tasks is the draws:
     (permutations + bootstraps) x samples integers, set by the arguments and not by the data.
     """
-    shipped = wide.sparkSession.sparkContext.broadcast(draws)
+    shipped = wide.sparkSession.sparkContext.broadcast((draws.exact, draws.splits, draws.boot_a, draws.boot_b))
     n_boot = len(draws.boot_a)
     added = [T.StructField("obs_diff", T.DoubleType()), T.StructField("perm_pval", T.DoubleType())]
     if n_boot:
         added += [T.StructField("bootstrap_ci_lo", T.DoubleType()), T.StructField("bootstrap_ci_hi", T.DoubleType())]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = shipped.value
-        n_splits = len(d.splits)
+        exact, splits, boot_a, boot_b = shipped.value
         for batch in batches:
             if batch.empty:
                 continue
@@ -113,16 +113,16 @@ def resampling_tests(wide: DataFrame, draws: Resampling, alpha: float = 0.05) ->
             both, n_a = np.hstack([a, b]), a.shape[1]
             observed = _mean_gap(a, b)
             extreme = np.zeros(len(batch), dtype=np.int64)
-            for places in d.splits:
+            for places in splits:
                 # same summing order as the observed difference, so that ties stay ties
                 gap = _mean_gap(both[:, places[:n_a]], both[:, places[n_a:]])
                 extreme += np.abs(gap) >= np.abs(observed)
-            p = np.maximum(extreme, 1) / n_splits if d.exact else (extreme + 1) / (n_splits + 1)
+            p = np.maximum(extreme, 1) / len(splits) if exact else (extreme + 1) / (len(splits) + 1)
             out = batch.assign(obs_diff=observed, perm_pval=p)
             if n_boot:
                 gaps = np.empty((len(batch), n_boot))
                 for i in range(n_boot):
-                    gaps[:, i] = _mean_gap(a[:, d.boot_a[i]], b[:, d.boot_b[i]])
+                    gaps[:, i] = _mean_gap(a[:, boot_a[i]], b[:, boot_b[i]])
                 lo, hi = np.percentile(gaps, [50 * alpha, 100 - 50 * alpha], axis=1)
                 out = out.assign(bootstrap_ci_lo=lo, bootstrap_ci_hi=hi)
             yield out
@@ -259,14 +259,16 @@ def compare_conditions(
         raise ValueError(f"no samples for {cond_a if not n_a else cond_b}")
     kept = presence_filter(wide_values(metrics, features, samples_a, samples_b, metric), n_a, n_b, min_presence)
     means = kept.withColumn("mean_a", array_mean("va")).withColumn("mean_b", array_mean("vb"))
-    tested = rank_sum_test(resampling_tests(means, draw(n_a, n_b, n_perm, n_boot), fdr_alpha), n_a, n_b)
+    tested = resampling_tests(rank_sum_test(means, n_a, n_b), draw(n_a, n_b, n_perm, n_boot), fdr_alpha)
+    # the rates below read this table several times: write it once, one row per feature
+    tested = cut_lineage(tested)
     rated = bh_fdr(bh_fdr(tested, "perm_pval", "perm_FDR"), "wilcox_pval", "wilcox_FDR")
     interval = ["bootstrap_ci_lo", "bootstrap_ci_hi"] if n_boot else []
     return rated.select(
         *features,
         F.col("mean_a").alias(f"mean_{cond_a}"),
         F.col("mean_b").alias(f"mean_{cond_b}"),
-        log2_fold_change("mean_a", "mean_b", smallest_mean_eps(means, "mean_a", "mean_b")).alias("log2FC"),
+        log2_fold_change("mean_a", "mean_b", smallest_mean_eps(tested, "mean_a", "mean_b")).alias("log2FC"),
         "obs_diff",
         "perm_pval",
         "perm_FDR",

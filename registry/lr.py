@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cytomosaic.operators import metrics as M
 from cytomosaic.operators import stats as S
+from cytomosaic.session import cut_lineage
 from registry.base import Tables, query, rounded
 
 CTRL, TREAT = ["s0", "s1", "s2"], ["s3", "s4", "s5"]
@@ -220,7 +221,7 @@ def rank_sum_p(t: Tables):
 @query(METRICS + wide_sql() + exact_p_sql() + bh_sql("perm", "perm_pval", "perm_FDR", "fdr")
        + ' SELECT lr_pair, round("perm_FDR", 9) AS "perm_FDR" FROM fdr', ("edges", "samples"))
 def bh_fdr(t: Tables):
-    tested = S.resampling_tests(kept_features(t), S.draw(3, 3, 10_000, 0))
+    tested = cut_lineage(S.resampling_tests(kept_features(t), S.draw(3, 3, 10_000, 0)))
     return rounded(S.bh_fdr(tested, "perm_pval", "perm_FDR").select("lr_pair", "perm_FDR"), "perm_FDR", digits=9)
 
 
@@ -290,7 +291,7 @@ def pooled_sql() -> str:
 @query(pooled_sql, ("edges", "samples"))
 def combined_fdr(t: Tables):
     of = F.create_map(*[F.lit(v) for c, names in THREE.items() for s in names for v in (s, c)])
-    metrics = lr_metrics(t).withColumn("condition", of[F.col("sample")])
+    metrics = cut_lineage(lr_metrics(t).withColumn("condition", of[F.col("sample")]))
     results = {
         (a, b): S.compare_conditions(metrics, a, b, THREE[a], THREE[b], n_boot=0)
         for a, b in itertools.combinations(sorted(THREE), 2)
