@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from registry import base
 
-_MODULES = ("lr",)
+_MODULES = ("lr", "tissue", "space")
 
 
 def load() -> dict[str, base.Query]:
