@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import cluster_label, log1p_per_total, log1p_value
@@ -97,8 +97,11 @@ class Moments:
         return self.gram / self.n - np.outer(self.mean, self.mean)
 
 
-def moments(vectors: DataFrame, width: int) -> Moments:
-    """Partial products per task, summed per matrix row; the driver receives (width + 1)² numbers."""
+def product_table(vectors: DataFrame, width: int) -> DataFrame:
+    """(i, j, v) with v the sum over rows of x_i * x_j; index ``width`` stands for a column of ones.
+
+    Each task adds up its own product matrix, then entries are summed by position.
+    """
     if width > MAX_GENES:
         raise ValueError(f"width {width} exceeds {MAX_GENES}")
 
@@ -116,9 +119,13 @@ def moments(vectors: DataFrame, width: int) -> Moments:
                 yield pd.DataFrame({"i": [i], "row": [row]})
 
     parts = vectors.select("features").mapInPandas(partial, "i int, row array<double>")
-    summed = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def moments(vectors: DataFrame, width: int) -> Moments:
+    """Column sums and products on the driver: (width + 1)² numbers."""
     out = np.zeros((width + 1, width + 1))
-    table = summed.toPandas()
+    table = product_table(vectors, width).toPandas()
     out[table["i"].to_numpy(), table["j"].to_numpy()] = table["v"].to_numpy()
     return Moments(round(out[-1, -1]), out[-1, :-1], out[:-1, :-1])
 

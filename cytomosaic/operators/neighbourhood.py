@@ -86,7 +86,7 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
     points = typed_points(typed)
     pairs = neighbour_pairs(points, radius, "point", ["n"])
     around = pairs.select(
-        F.inline(F.array(F.struct(F.col("a_point").alias("point"), F.col("b_n").alias("d")), F.struct(F.col("b_point"), F.col("a_n"))))
+        F.inline(F.array(F.struct(F.col("a_point").alias("point"), F.col("b_n").alias("d")), F.struct(F.col("b_point").alias("point"), F.col("a_n").alias("d"))))
     )
     degree = (
         around.groupBy("point").agg(F.sum("d").alias("d")).join(points.select("point", "n"), "point", "right")
@@ -187,7 +187,7 @@ def cell_degree(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Interactions per participating cell, and whether any of them is with itself."""
     ends = F.array(
         F.struct(F.col("from_cell").alias("cell_id"), F.lit(1).alias("d"), (F.col("from_cell") == F.col("to_cell")).alias("own")),
-        F.struct(F.col("to_cell"), F.lit(1), F.lit(False)),
+        F.struct(F.col("to_cell").alias("cell_id"), F.lit(1).alias("d"), F.lit(False).alias("own")),
     )
     return edges.select(*by, F.inline(ends)).groupBy(*by, "cell_id").agg(
         F.sum("d").alias("degree"), F.coalesce(F.max("own"), F.lit(False)).alias("autocrine")

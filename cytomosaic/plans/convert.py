@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from cytomosaic.operators import cells as C
 from cytomosaic.operators import filters as P
 from cytomosaic.operators import genes as G
-from cytomosaic.operators.spatial import assign_roi
+from cytomosaic.operators import spatial as X
+from cytomosaic.session import cut_lineage
 from cytomosaic.sources import writers as K
 
 
@@ -42,7 +43,7 @@ def to_object_tables(
     counts as whole numbers with ``merge_assays``; a cell without imputed values has zeros.
     """
     if roi is not None:
-        cells = P.roi_equals(cells if rois is None else assign_roi(cells, rois, *roi), *roi)
+        cells = P.roi_equals(cells if rois is None else X.assign_roi(cells, rois, *roi), *roi)
     has_corrected = use_corrected and not expression.filter(F.col("layer") == G.CORRECTED).isEmpty()
     panel = G.panel_genes(genes)
     chosen = expression.filter(F.col("layer") == (G.CORRECTED if has_corrected else G.RAW))
@@ -134,8 +135,6 @@ def transfer_identities(
     unmatched: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Transferred identities, their shares, and the outlines left out because they cross themselves."""
-    from cytomosaic.operators import spatial as X
-
     query, bad_query = X.split_invalid(X.rings(query_boundaries))
     reference, bad_reference = X.split_invalid(X.rings(reference_boundaries))
     identities = X.transfer_labels(query, reference, labels, tile, unmatched or X.UNMATCHED)
@@ -143,5 +142,6 @@ def transfer_identities(
     identities = identities.unionByName(
         bad_query.select(F.col("cell_id").alias("query_cell_id"), F.lit(unmatched or X.UNMATCHED).alias("transferred_identity"))
     )
+    identities = cut_lineage(identities)  # written, counted and handed on: the overlap is computed once
     invalid = bad_query.select(F.lit("query").alias("side"), "cell_id").union(bad_reference.select(F.lit("reference"), "cell_id"))
     return identities, C.value_shares(identities, "transferred_identity"), invalid

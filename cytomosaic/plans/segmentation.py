@@ -9,9 +9,9 @@ from cytomosaic.operators.cells import molecules_to_cells, molecules_to_counts
 from cytomosaic.sources import readers as R
 
 
-def load_segmentation(spark: SparkSession, folder: str, genes: DataFrame) -> dict[str, DataFrame]:
+def load_segmentation(spark: SparkSession, folder: str, genes: DataFrame, name: str = R.SEGMENTATION_FILE) -> dict[str, DataFrame]:
     """Tables ``cells``, ``expression``, ``genes`` and, if polygons were written, ``rings``."""
-    molecules = R.read_segmentation(spark, folder)
+    molecules = R.read_segmentation(spark, folder, name)
     out = {
         "cells": molecules_to_cells(molecules),
         "expression": molecules_to_counts(molecules, genes).withColumn("layer", F.lit("raw")),

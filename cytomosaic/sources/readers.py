@@ -82,30 +82,34 @@ def read_expression(spark: SparkSession, path: str, layers: Sequence[str] | None
     return df if layers is None else df.filter(F.col("layer").isin(list(layers)))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) with zero-based line numbers of one text file, counted per file split and shifted."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")
+def _line_place() -> Column:
+    """Where a text line stands: file, split, and order inside the split. Part files are named in their order."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
     )
-    inside = F.row_number().over(W.Window.partitionBy("_block").orderBy("_at"))
-    before = W.Window.orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
-    sizes = lines.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) with zero-based line numbers of a text file or folder of part files, counted per file split and shifted."""
+    lines = spark.read.text(path).select("value", _line_place().alias("_p")).select("value", "_p.file", "_p.block", "_p.at")
+    inside = F.row_number().over(W.Window.partitionBy("file", "block").orderBy("at"))
+    before = W.Window.orderBy("file", "block").rowsBetween(W.Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     # one row per file split
-    return lines.withColumn("_inside", inside).join(F.broadcast(offsets), "_block").select(
+    return lines.withColumn("_inside", inside).join(F.broadcast(offsets), ["file", "block"]).select(
         (F.col("_offset") + F.col("_inside") - 1).alias("line"), "value"
     )
 
 
-def read_matrix_market(spark: SparkSession, matrix: str, rows: str, columns: str,
+def read_matrix_market(spark: SparkSession, matrix: str | list[str], rows: str, columns: str,
                        row_name: str = "gene", column_name: str = "cell_id") -> DataFrame:
-    """Coordinate text file plus name lists; one-based positions become names. The matrix is rows x columns.
+    """Coordinate text plus name lists; one-based positions become names. The matrix is rows x columns.
 
     The first line that is no comment states the size and is passed over. Repeated entries add up.
     """
     lines = spark.read.text(matrix).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at")
-    placed = lines.select(F.split(F.trim("value"), r"\s+").alias("p"), at)
+    placed = lines.select(F.split(F.trim("value"), r"\s+").alias("p"), _line_place().alias("_at"))
     size_line = placed.agg(F.min("_at")).scalar()
     entries = placed.filter(F.col("_at") > size_line).select(
         F.col("p")[0].cast("long").alias("_i"), F.col("p")[1].cast("long").alias("_j"),
@@ -123,7 +127,7 @@ def read_names(spark: SparkSession, path: str, name: str, position: str) -> Data
 def read_clusters(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/<method>/clusters.csv`` of all methods: (cell_id, method, label)."""
     df = spark.read.schema("cell_id string, label string").csv(f"{root.rstrip('/')}/*/{CLUSTER_FILE}", header=True, enforceSchema=True)
-    method = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{CLUSTER_FILE}$", 1)
+    method = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{CLUSTER_FILE}(/|$)", 1)
     return df.select("cell_id", F.url_decode(method).alias("method"), "label")
 
 
@@ -156,7 +160,7 @@ def read_ccc_edges(spark: SparkSession, root: str, samples: Sequence[str], use_a
             raise FileNotFoundError(f"no edge file {glob}")
         paths.append(glob)
     raw = spark.read.csv(paths, header=True)  # columns by name: their order differs between versions of the format
-    sample = F.regexp_extract(F.col("_metadata.file_path"), r"/output/([^/]+)/[^/]+$", 1)
+    sample = F.regexp_extract(F.col("_metadata.file_path"), r"/output/([^/]+)/", 1)
     return raw.select(
         F.url_decode(sample).alias("sample"), "from_cell", "to_cell", "ligand", "receptor",
         F.col("attention_score").cast("double").alias("attention_score"),
@@ -171,7 +175,7 @@ def read_barcodes(spark: SparkSession, root: str, samples: Sequence[str]) -> Dat
         if not _exists(spark, path):
             raise FileNotFoundError(f"no barcode file {path}")
         paths.append(path)
-    sample = F.regexp_extract(F.col("_metadata.file_path"), r"/metadata/([^/]+)/[^/]+$", 1)
+    sample = F.regexp_extract(F.col("_metadata.file_path"), r"/metadata/([^/]+)/", 1)
     return spark.read.schema(S.BARCODES).csv(paths, header=False).select(F.url_decode(sample).alias("sample"), "barcode")
 
 
@@ -221,10 +225,10 @@ def read_labels(spark: SparkSession, path: str, column: str | None = None, stric
     return raw.select(F.col(f"`{ids}`").cast("string").alias("cell_id"), F.col(f"`{used}`").cast("string").alias("label"))
 
 
-def read_segmentation(spark: SparkSession, root: str) -> DataFrame:
+def read_segmentation(spark: SparkSession, root: str, name: str = SEGMENTATION_FILE) -> DataFrame:
     """All ``segmentation.csv`` files below a folder: (cell_id, gene, x, y), unassigned molecules left out."""
     raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", SEGMENTATION_FILE)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
         .csv(root, header=True)
     )
     if "cell" not in raw.columns:
@@ -236,13 +240,16 @@ def read_segmentation(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """Outer rings of a feature collection: (cell_id, ring). The id is ``cell``, else ``cell_id``, else the feature's own."""
+def read_geojson_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Outer rings of feature collections: (cell_id, ring). The id is ``cell``, else ``cell_id``, else the feature's own.
+
+    A file is one collection, or with ``lines`` one collection per line, which Spark can split.
+    """
     layout = (
         "features array<struct<id: string, properties: struct<cell: string, cell_id: string>, "
         "geometry: struct<type: string, coordinates: string>>>"
     )
-    feature = spark.read.schema(layout).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    feature = spark.read.schema(layout).json(path, multiLine=not lines).select(F.explode("features").alias("f"))
     # a polygon nests its rings one level deep, a multi-polygon two; its first part counts
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     single = F.get(F.from_json(text, "array<array<array<double>>>"), F.lit(0))

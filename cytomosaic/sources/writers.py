@@ -77,6 +77,22 @@ def write_triplets(expression: DataFrame, cells: DataFrame, genes: DataFrame, fo
     }
 
 
+def write_matrix_market(expression: DataFrame, cells: DataFrame, genes: DataFrame, folder: str) -> dict[str, object]:
+    """The text form of a matrix, genes as rows: a head, entries in part files, and the two name lists in order."""
+    folder = folder.rstrip("/")
+    triplets, gene_list, cell_list = indexed_triplets(expression, cells, genes)
+    parts = [F.col(c).cast("string") for c in ("row", "column", "value")]
+    sizes = [gene_list.agg(F.count(F.lit(1))).scalar(), cell_list.agg(F.count(F.lit(1))).scalar(), F.count(F.lit(1))]
+    size_line = triplets.agg(F.concat_ws(" ", *[n.cast("string") for n in sizes]).alias("value"))
+    banner = expression.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate real general",)], "value string")
+    out = {"matrix": [f"{folder}/matrix/1-head", f"{folder}/matrix/2-entries"], "genes": f"{folder}/genes", "cells": f"{folder}/cells"}
+    banner.union(size_line).coalesce(1).write.text(out["matrix"][0])  # two lines
+    triplets.select(F.concat_ws(" ", *parts).alias("value")).write.text(out["matrix"][1])
+    gene_list.orderBy("row").select("gene").write.text(out["genes"])
+    cell_list.orderBy("column").select("cell_id").write.text(out["cells"])
+    return out
+
+
 def export_geometry(cells: DataFrame, boundaries: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Centroids (0 where absent) and outline vertices of the kept cells only."""
     zero = F.lit(0.0)

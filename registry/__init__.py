@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from registry import base
 
-_MODULES = ("lr", "tissue", "space")
+_MODULES = ("lr", "tissue", "space", "learn", "files")
 
 
 def load() -> dict[str, base.Query]:

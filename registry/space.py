@@ -47,13 +47,13 @@ def roi_cells(t: Tables):
     return X.cells_in_rois(t.cells, rois(t))
 
 
-@query("""SELECT cell_id, max(x) - min(x) AS width, round(CASE kind WHEN 'ref' THEN 100.0 ELSE (max(x) - min(x)) * (max(y) - min(y)) / 2 END, 6)
-       AS area FROM boundaries WHERE kind = 'ref' GROUP BY cell_id, kind""", ("boundaries",))
+@query("""--more
+turned AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS xn, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yn
+           FROM boundaries WINDOW w AS (PARTITION BY kind, cell_id ORDER BY vertex_ord))
+SELECT kind, cell_id, round(abs(sum(x * yn - xn * y)) / 2, 6) AS area FROM turned GROUP BY kind, cell_id""", ("boundaries",))
 def polygon_areas(t: Tables):
-    ring = X.rings(t.boundaries.filter("kind = 'ref'"))
-    xs = F.transform("ring", lambda v: v.x)
-    out = ring.select("cell_id", (F.array_max(xs) - F.array_min(xs)).alias("width"), GEO.polygon_area("ring").alias("area"))
-    return rounded(out, "area")
+    ring = X.rings(t.boundaries, ["kind", "cell_id"])
+    return rounded(ring.select("kind", "cell_id", GEO.polygon_area("ring").alias("area")), "area")
 
 
 @query("""SELECT kind, cell_id, vertex_ord, x + 250 AS x, y - 40 AS y FROM boundaries""", ("boundaries",))
@@ -162,7 +162,7 @@ def neighbourhood_enrichment(t: Tables):
 typed AS (SELECT * FROM near WHERE type_1 IS NOT NULL AND type_2 IS NOT NULL),
 within AS (SELECT type_1 AS type_a, type_2 AS type_b, r AS radius, count(*) AS n FROM typed JOIN (VALUES (8.0), (14.0), (20.0)) v(r) ON distance <= r
            GROUP BY type_1, type_2, r)
-SELECT type_a, type_b, CAST(radius AS DOUBLE) AS radius, round(n / sum(n) OVER (PARTITION BY type_b, radius) / (s.n / (SELECT sum(n) FROM sizes)), 6) AS score
+SELECT type_a, type_b, CAST(radius AS DOUBLE) AS radius, round(w.n / sum(w.n) OVER (PARTITION BY type_b, radius) / (s.n / (SELECT sum(n) FROM sizes)), 6) AS score
 FROM within w JOIN sizes s ON s.cell_type = type_a""", ("cells",))
 def co_occurrence(t: Tables):
     return rounded(N.co_occurrence(t.cells, [8.0, 14.0, 20.0]), "score")
@@ -230,12 +230,12 @@ def edge_widths(t: Tables):
     return rounded(N.with_edge_width(t.edges).select("from_cell", "to_cell", "ligand", "receptor", "width"), "width")
 
 
-@query("""SELECT vec_id, round(1 - list_dot_product(list_transform(embedding, v -> v / sqrt(list_dot_product(embedding, embedding))),
-       list_transform((SELECT embedding FROM vectors WHERE vec_id = 0), v -> v / sqrt(list_dot_product((SELECT embedding FROM vectors WHERE vec_id = 0),
-       (SELECT embedding FROM vectors WHERE vec_id = 0))))), 6) AS distance FROM vectors""", ("vectors",))
+@query("""SELECT v.vec_id, round(1 - list_cosine_similarity(v.embedding, f.embedding), 6) AS distance FROM vectors v JOIN vectors f ON f.vec_id = 0""",
+       ("vectors",))
 def cosine_to_first(t: Tables):
     first = t.vectors.filter("vec_id = 0").select(C.unit_vector("embedding")).scalar()
-    return rounded(t.vectors.select("vec_id", C.cosine_distance(C.unit_vector("embedding"), first).alias("distance")), "distance")
+    paired = t.vectors.select("vec_id", C.unit_vector("embedding").alias("u")).withColumn("v", first)
+    return rounded(paired.select("vec_id", C.cosine_distance("u", "v").alias("distance")), "distance")
 
 
 # --- signalling ------------------------------------------------------------------------------------------------------
