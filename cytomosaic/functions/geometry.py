@@ -43,41 +43,26 @@ def segments(ring) -> Column:
     return F.transform(F.filter(ring_edges(ring), lambda e: e.x0 != e.x1), oriented)
 
 
-def _area_under_lower(e: Column, f: Column, base: Column) -> Column:
-    """Signed area between ``base`` and the lower one of two segments over the stretch of x that both span."""
-    left, right = F.greatest(e.x0, f.x0), F.least(e.x1, f.x1)
-
-    def height(s: Column, x: Column) -> Column:
-        return s.y0 + s.m * (x - s.x0)
-
-    def from_ends(w: Column) -> Column:
-        # w: e and f at the left end, e and f at the right end, width
-        gap0, gap1 = w.e0 - w.f0, w.e1 - w.f1
-        cross = gap0 / (gap0 - gap1)
-        meet = w.e0 + cross * (w.e1 - w.e0)
-        low0, low1 = F.least(w.e0, w.f0), F.least(w.e1, w.f1)
-        straight = (low0 + low1) / 2
-        bent = cross * (low0 + meet) / 2 + (1 - cross) * (meet + low1) / 2
-        return w.d * (F.when(gap0 * gap1 < 0, bent).otherwise(straight) - base)
-
-    ends = F.struct(
-        height(e, left).alias("e0"), height(f, left).alias("f0"),
-        height(e, right).alias("e1"), height(f, right).alias("f1"), (right - left).alias("d"),
-    )
-    # a one-element array binds the end values once for the lambda
-    inside = F.element_at(F.transform(F.array(ends), from_ends), 1)
-    return F.when(left < right, e.s * f.s * inside).otherwise(0.0)
-
-
-def overlap_area(a, b, base) -> Column:
-    """Area common to two simple polygons given as segment lists; ``base`` is any height at or below both."""
-    a, b, base = _c(a), _c(b), _c(base)
-    total = F.aggregate(
-        a,
-        F.lit(0.0),
-        lambda s, e: s + F.aggregate(b, F.lit(0.0), lambda t, f: t + _area_under_lower(e, f, base)),
-    )
-    return F.abs(total)
+def area_under_lower(e: dict[str, Column], f: dict[str, Column], base: Column) -> Column:
+    """Signed area between ``base`` and the lower one of two segments over the stretch of x that both span.
+
+    Summed over all segment pairs of two simple polygons this is their common area, up to its sign: a polygon is the
+    signed sum of the regions under its segments, and the region under two segments is the one under the lower of them.
+    Segments are dicts of the fields of ``segments``; ``base`` is any height at or below both polygons.
+    """
+    left, right = F.greatest(e["x0"], f["x0"]), F.least(e["x1"], f["x1"])
+
+    def height(s: dict[str, Column], x: Column) -> Column:
+        return s["y0"] + s["m"] * (x - s["x0"])
+
+    e0, f0, e1, f1 = height(e, left), height(f, left), height(e, right), height(f, right)
+    gap0, gap1 = e0 - f0, e1 - f1
+    straight = (F.least(e0, f0) + F.least(e1, f1)) / 2
+    at = F.try_divide(gap0, gap0 - gap1)  # where they cross, as a share of the stretch
+    meet = e0 + at * (e1 - e0)
+    bent = at * (F.least(e0, f0) + meet) / 2 + (1 - at) * (meet + F.least(e1, f1)) / 2
+    mean = F.when(gap0 * gap1 < 0, bent).otherwise(straight)
+    return e["s"] * f["s"] * (right - left) * (mean - base)
 
 
 def polygon_area(ring) -> Column:
@@ -122,12 +107,18 @@ def strictly_inside(x, y, edges) -> Column:
 
 def self_intersecting(ring) -> Column:
     """True if two edges of the ring cross at a point inside both; such rings have no simple inside."""
-    edges = ring_edges(ring)
 
     def side(e: Column, px: Column, py: Column) -> Column:
-        return F.signum((e.x1 - e.x0) * (py - e.y0) - (e.y1 - e.y0) * (px - e.x0))
+        return (e.x1 - e.x0) * (py - e.y0) - (e.y1 - e.y0) * (px - e.x0)
+
+    def apart(a: Column, b: Column) -> Column:
+        return ((a > 0) & (b < 0)) | ((a < 0) & (b > 0))
 
     def cross(e: Column, f: Column) -> Column:
-        return (side(e, f.x0, f.y0) * side(e, f.x1, f.y1) < 0) & (side(f, e.x0, e.y0) * side(f, e.x1, e.y1) < 0)
+        return apart(side(e, f.x0, f.y0), side(e, f.x1, f.y1)) & apart(side(f, e.x0, e.y0), side(f, e.x1, e.y1))
+
+    def any_cross(edges: Column) -> Column:
+        return F.exists(edges, lambda e: F.exists(edges, lambda f: cross(e, f)))
 
-    return F.exists(edges, lambda e: F.exists(edges, lambda f: cross(e, f)))
+    # a one-element array binds the edge list once for both loops
+    return F.exists(F.array(ring_edges(ring)), any_cross)

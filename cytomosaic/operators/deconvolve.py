@@ -65,28 +65,36 @@ def doublet_fit(expression: DataFrame, profiles: DataFrame) -> DataFrame:
     pair_list = listed.agg(F.array_sort(F.collect_list(F.struct("a", "b", "gaa", "gab", "gbb")))).scalar()
     names = F.array(*[F.lit(t) for t in types])
 
-    def solve(p: Column) -> Column:
-        da, db = F.get("d", p.a), F.get("d", p.b)
-        det = p.gaa * p.gbb - p.gab * p.gab
-        both = (p.a != p.b) & (det > 1e-12 * p.gaa * p.gbb)
-        wa, wb = (da * p.gbb - db * p.gab) / det, (db * p.gaa - da * p.gab) / det
-        only_a, only_b = F.coalesce(F.try_divide(da, p.gaa), F.lit(0.0)), F.coalesce(F.try_divide(db, p.gbb), F.lit(0.0))
-        a_better = only_a * da >= only_b * db
-
-        def candidate(weight_a: Column, weight_b: Column) -> Column:
-            return F.struct(
-                F.round(F.col("xx") - weight_a * da - weight_b * db, 9).alias("residual"),
-                p.a.alias("a"), p.b.alias("b"), weight_a.alias("wa"), weight_b.alias("wb"),
-            )
-
-        zero = F.lit(0.0)
-        single = F.when(a_better | (p.a == p.b), candidate(only_a, zero)).otherwise(candidate(zero, only_b))
-        return F.when(both & (F.when(both, wa).otherwise(-1.0) > 0) & (F.when(both, wb).otherwise(-1.0) > 0), candidate(
-            F.when(both, wa).otherwise(zero), F.when(both, wb).otherwise(zero)
-        )).otherwise(single)
+    def products(p: Column) -> Column:
+        return F.struct(
+            p.a.alias("a"), p.b.alias("b"), p.gaa.alias("gaa"), p.gab.alias("gab"), p.gbb.alias("gbb"),
+            F.get("d", p.a).alias("da"), F.get("d", p.b).alias("db"), (p.gaa * p.gbb - p.gab * p.gab).alias("det"),
+        )
+
+    def weights(p: Column) -> Column:
+        solvable = (p.a != p.b) & (p.det > 1e-12 * p.gaa * p.gbb)
+        return F.struct(
+            p.a.alias("a"), p.b.alias("b"), p.da.alias("da"), p.db.alias("db"),
+            F.when(solvable, (p.da * p.gbb - p.db * p.gab) / p.det).alias("wa"),
+            F.when(solvable, (p.db * p.gaa - p.da * p.gab) / p.det).alias("wb"),
+            F.coalesce(F.try_divide(p.da, p.gaa), F.lit(0.0)).alias("only_a"),
+            F.coalesce(F.try_divide(p.db, p.gbb), F.lit(0.0)).alias("only_b"),
+        )
+
+    def candidate(p: Column) -> Column:
+        both = F.coalesce((p.wa > 0) & (p.wb > 0), F.lit(False))
+        a_alone = (p.a == p.b) | (p.only_a * p.da >= p.only_b * p.db)
+        wa = F.when(both, p.wa).when(a_alone, p.only_a).otherwise(0.0)
+        wb = F.when(both, p.wb).when(a_alone, 0.0).otherwise(p.only_b)
+        return F.struct(
+            F.round(F.col("xx") - wa * p.da - wb * p.db, 9).alias("residual"), p.a.alias("a"), p.b.alias("b"), wa.alias("wa"), wb.alias("wb")
+        )
+
+    def solve(pairs_column: str) -> Column:
+        return F.transform(F.transform(F.transform(pairs_column, products), weights), candidate)
 
     fitted = type_products(expression, table, n).withColumn("_pairs", pair_list)
-    best = fitted.select("cell_id", F.array_min(F.transform("_pairs", solve)).alias("m"))
+    best = fitted.select("cell_id", F.array_min(solve("_pairs")).alias("m"))
     first_is_a = F.col("m.wa") >= F.col("m.wb")
     heavy, light = F.greatest("m.wa", "m.wb"), F.least("m.wa", "m.wb")
     return best.select(

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import cluster_label, log1p_per_total, log1p_value
+from cytomosaic.session import cut_lineage
 
 # fixed values
 MAX_COMPONENTS = 50
@@ -166,7 +167,8 @@ def pca(vectors: DataFrame, width: int, n_components: int = MAX_COMPONENTS, cent
 
 def cluster(scores: DataFrame, k: int = N_CLUSTERS, seed: int = SEED) -> DataFrame:
     """KMeans labels 1..k as text."""
-    rows = scores.select("cell_id", array_to_vector("features").alias("features"))
+    # KMeans reads its input once per iteration
+    rows = cut_lineage(scores.select("cell_id", "features")).select("cell_id", array_to_vector("features").alias("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_cluster").fit(rows)
     return model.transform(rows).select("cell_id", cluster_label("_cluster").alias("label"))
 

@@ -6,14 +6,17 @@ bounded slices (see ``skew``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from cytomosaic.functions import geometry as G
 from cytomosaic.operators.cells import majority_label
 from cytomosaic.operators.skew import sliced_join
+from cytomosaic.session import cut_lineage
 
 # fixed values
 PATCH_WIDTH = 1200.0
@@ -75,6 +78,57 @@ def neighbour_graph(cells: DataFrame, radius: float, carry: Sequence[str] = (),
     return pairs.select(*by, F.inline(F.array(direction("a", "b"), direction("b", "a"))))
 
 
+def _within(queries: DataFrame, points: DataFrame, radius: float, rows_per_slice: int = 5_000) -> DataFrame:
+    """(query_id, ref_id, distance) of every point at most ``radius`` from a query, the query itself left out."""
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    q = queries.select(
+        F.col("cell_id").alias("query_id"), F.col("x").alias("_qx"), F.col("y").alias("_qy"), F.explode(around).alias("_s")
+    ).select(
+        "query_id", "_qx", "_qy", (_tile(F.col("_qx"), radius) + F.col("_s.dx")).alias("_tx"), (_tile(F.col("_qy"), radius) + F.col("_s.dy")).alias("_ty")
+    )
+    p = points.select(
+        F.col("cell_id").alias("ref_id"), F.col("x").alias("_px"), F.col("y").alias("_py"),
+        _tile(F.col("x"), radius).alias("_tx"), _tile(F.col("y"), radius).alias("_ty"),
+    )
+    met = sliced_join(q, p, ["_tx", "_ty"], F.col("query_id"), F.col("ref_id"), rows_per_slice)
+    return met.filter(F.col("query_id") != F.col("ref_id")).select(
+        "query_id", "ref_id", F.hypot(F.col("_qx") - F.col("_px"), F.col("_qy") - F.col("_py")).alias("distance")
+    ).filter(F.col("distance") <= radius)
+
+
+def nearest_graph(cells: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """The ``k`` nearest other cells of each cell: (cell_id, neighbour_id, distance, place), ties by id.
+
+    A cell with ``k`` others inside a radius has its nearest ones among those. The others are tried again with twice the
+    radius, so the work follows the local density and the result is exact. The number of rounds is at most the logarithm
+    of the tissue's extent over the first radius, which is guessed from the mean density.
+    """
+    points = cells.select("cell_id", "x", "y").dropna()
+    x0, x1, y0, y1, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
+    extent = math.hypot((x1 or 0) - (x0 or 0), (y1 or 0) - (y0 or 0)) or 1.0
+    if radius is None:
+        area = max(((x1 or 0) - (x0 or 0)) * ((y1 or 0) - (y0 or 0)), 1e-12)
+        radius = min(max(1.5 * math.sqrt(area * (k + 1) / (math.pi * max(n, 1))), extent * 1e-6), extent)
+    order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
+    left, done = points, []
+    while True:
+        ranked = _within(left, points, radius).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        ranked = cut_lineage(ranked)
+        complete = ranked.filter(F.col("place") == k).select("query_id")
+        if radius >= extent:  # every other cell has been seen
+            done.append(ranked)
+            break
+        done.append(ranked.join(complete, "query_id", "left_semi"))
+        left = cut_lineage(left.join(complete.withColumnRenamed("query_id", "cell_id"), "cell_id", "left_anti"))
+        if left.isEmpty():
+            break
+        radius = min(2 * radius, extent)
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out.select(F.col("query_id").alias("cell_id"), F.col("ref_id").alias("neighbour_id"), "distance", "place")
+
+
 def patch_counts(transcripts: DataFrame, region: Sequence[float] | None = None, width: float = PATCH_WIDTH,
                  min_transcripts: int = MIN_PATCH_TRANSCRIPTS) -> DataFrame:
     """Molecules per square patch of the grid that starts at the region's corner; sparse patches drop out.
@@ -113,9 +167,12 @@ def vertices(rings_df: DataFrame, keys: Sequence[str] = ("cell_id",)) -> DataFra
 
 
 def split_invalid(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Simple rings, and the self-crossing ones, which have no well-defined overlap."""
-    bad = G.self_intersecting("ring")
-    return rings_df.filter(~bad), rings_df.filter(bad)
+    """Simple rings, and the self-crossing ones, which have no well-defined overlap.
+
+    Rings and their check are written once, since an overlap join reads its sides several times.
+    """
+    checked = cut_lineage(rings_df.withColumn("_crossing", G.self_intersecting("ring")))
+    return checked.filter(~F.col("_crossing")).drop("_crossing"), checked.filter("_crossing").drop("_crossing")
 
 
 def _with_box(rings_df: DataFrame, prefix: str) -> DataFrame:
@@ -154,14 +211,16 @@ def overlap_pairs(query: DataFrame, reference: DataFrame, tile: float | None = N
     left, bottom = F.greatest("q_x0", "r_x0"), F.greatest("q_y0", "r_y0")
     touching = (left <= F.least("q_x1", "r_x1")) & (bottom <= F.least("q_y1", "r_y1"))
     here = (_tile(left, tile) == F.col("_tx")) & (_tile(bottom, tile) == F.col("_ty"))
-    return (
-        met.filter(touching & here)
-        .select(
-            F.col("q_id").alias("query_id"), F.col("r_id").alias("ref_id"),
-            G.overlap_area("q_seg", "r_seg", F.least("q_y0", "r_y0")).alias("area"),
-        )
-        .filter(F.col("area") > G.TOUCH)
+    kept = met.filter(touching & here).select(
+        F.col("q_id").alias("query_id"), F.col("r_id").alias("ref_id"), F.least("q_y0", "r_y0").alias("_base"), "q_seg", "r_seg"
     )
+    names = ("x0", "y0", "x1", "m", "s")
+    e, f = {n: F.col(f"_e.{n}") for n in names}, {n: F.col(f"_f.{n}") for n in names}
+    # segment pairs are rows of generated code inside the task; a partial sum leaves one row per polygon pair to shuffle
+    facing = kept.withColumn("_e", F.explode("q_seg")).drop("q_seg").withColumn("_f", F.explode("r_seg")).drop("r_seg")
+    facing = facing.filter(F.greatest(e["x0"], f["x0"]) < F.least(e["x1"], f["x1"]))
+    common = F.abs(F.sum(G.area_under_lower(e, f, F.col("_base"))))
+    return facing.groupBy("query_id", "ref_id").agg(common.alias("area")).filter(F.col("area") > G.TOUCH)
 
 
 def best_overlap(pairs: DataFrame) -> DataFrame:

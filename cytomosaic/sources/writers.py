@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cytomosaic.functions.scalar import clean_fov, label_text
 from cytomosaic.operators.indexing import dense_index
 from cytomosaic.operators.stats import stack_results
+from cytomosaic.session import cut_lineage
 
 
 def _mode(overwrite: bool) -> str:
@@ -60,8 +61,9 @@ def write_transferred(identities: DataFrame, path: str, overwrite: bool = False)
 
 def indexed_triplets(expression: DataFrame, cells: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One-based (row, column, value) with the gene and cell lists that give the positions; genes are rows."""
-    cell_list = dense_index(cells.select("cell_id").distinct(), "cell_id", "column", start=1)
-    gene_list = dense_index(genes.select("gene").distinct(), "gene", "row", start=1)
+    # the numbers go both into the entries and into the lists, so each list is made once
+    cell_list = cut_lineage(dense_index(cells.select("cell_id").distinct(), "cell_id", "column", start=1))
+    gene_list = cut_lineage(dense_index(genes.select("gene").distinct(), "gene", "row", start=1))
     triplets = expression.join(gene_list, "gene").join(cell_list, "cell_id").select("row", "column", "value")
     return triplets, gene_list, cell_list
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from cytomosaic.operators import deconvolve as D
 from cytomosaic.operators import genes as G
 from cytomosaic.operators import matrix as M
+from cytomosaic.operators import spatial as X
 from cytomosaic.operators.cells import majority_label
 from cytomosaic.operators.knn import knn_join
 from cytomosaic.plans import correct as correction
 from cytomosaic.plans import impute as I
+from cytomosaic.session import cut_lineage
 from registry.base import Tables, query, rounded
 
 # --- normalisation ---------------------------------------------------------------------------------------------------
@@ -99,12 +101,11 @@ tile AS (SELECT *, CAST(floor(x / 48) AS BIGINT) AS tx, CAST(floor(y / 48) AS BI
 spread AS (SELECT t.*, t.tx + dx AS ux, t.ty + dy AS uy FROM tile t, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
 d AS (SELECT a.cell_id AS query_id, b.cell_id AS ref_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 12) AS distance
       FROM tile a JOIN spread b ON a.tx = b.ux AND a.ty = b.uy AND a.cell_id <> b.cell_id)
-SELECT query_id, ref_id, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d.distance, ref_id) AS INT) AS place
-FROM d QUALIFY place <= 4""", ("cells",))
-def knn_graph(t: Tables):
-    """Four nearest cells of each cell, on the block path: nothing is broadcast but block limits."""
-    at = t.cells.select(F.col("cell_id").alias("id"), F.array("x", "y").alias("features"))
-    return rounded(knn_join(at, at, 4, "euclidean", not_self=True, broadcast_bytes=0, block_rows=512), "distance")
+SELECT query_id AS cell_id, ref_id AS neighbour_id, round(distance, 6) AS distance,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY d.distance, ref_id) AS INT) AS place FROM d QUALIFY place <= 4""", ("cells",))
+def nearest_graph(t: Tables):
+    """Four nearest cells of each cell."""
+    return rounded(X.nearest_graph(t.cells, 4), "distance")
 
 
 @query(KNN + """ SELECT query_id, CAST(label AS STRING) AS label, votes FROM (
@@ -240,7 +241,7 @@ def reference(t: Tables):
 
 
 def fitted(t: Tables):
-    profiles = D.reference_profiles(*reference(t))
+    profiles = cut_lineage(D.reference_profiles(*reference(t)))
     return t.expr.filter(f"NOT {EVEN}"), profiles
 
 
