@@ -120,16 +120,18 @@ def remove_ambient(
     Cells whose second type has less than ``min_second_share`` of the weight are singlets and change only if asked.
     Genes without a profile stay as they are.
     """
-    mixed = fit.filter(F.col("second_type").isNotNull())
+    mixed = F.col("second_type").isNotNull()
     if not purify_singlets:
-        mixed = mixed.filter(second_share() >= min_second_share)
+        mixed = mixed & (second_share() >= min_second_share)
 
     def of(which: str) -> DataFrame:
         return profiles.select(F.col("label").alias(f"{which}_type"), "gene", F.col("mu").alias(f"_{which}"))
 
-    fitted = fit.select("cell_id")
-    cell_part = mixed.select("cell_id", "first_type", "second_type", "first_weight", "second_weight")
-    rows = expression.join(fitted, "cell_id", "left_semi").join(cell_part, "cell_id", "left")
+    # an unmixed cell has no second weight left, so its share is one
+    parts = fit.select(
+        "cell_id", "first_type", "second_type", F.when(mixed, F.col("first_weight")).alias("first_weight"), F.when(mixed, F.col("second_weight")).alias("second_weight")
+    )
+    rows = expression.join(parts, "cell_id")
     rows = rows.join(of("first"), ["first_type", "gene"], "left").join(of("second"), ["second_type", "gene"], "left")
     own = F.col("first_weight") * F.coalesce("_first", F.lit(0.0))
     other = F.col("second_weight") * F.coalesce("_second", F.lit(0.0))

@@ -78,20 +78,27 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
     """
     typed = cells.dropna(subset=["cell_type", "x", "y"])
     counts = type_counts(typed)
-    contacts = contact_counts(typed, radius)
     types = counts.agg(F.array_sort(F.collect_set("cell_type")).alias("t"))  # one entry per type
     grid = types.select(F.explode("t").alias("type_a"), "t").select("type_a", F.explode("t").alias("type_b"))
     grid = grid.filter(F.col("type_a") <= F.col("type_b"))
 
     points = typed_points(typed)
-    pairs = neighbour_pairs(points, radius, "point", ["n"])
-    around = pairs.select(
-        F.inline(F.array(F.struct(F.col("a_point").alias("point"), F.col("b_n").alias("d")), F.struct(F.col("b_point").alias("point"), F.col("a_n").alias("d"))))
-    )
-    degree = (
-        around.groupBy("point").agg(F.sum("d").alias("d")).join(points.select("point", "n"), "point", "right")
-        .withColumn("d", F.coalesce("d", F.lit(0)) + F.col("n") - 1)
+    pairs = neighbour_pairs(points, radius, "point", ["n", "cell_type"])
+
+    def seen_from(own: str, other: str) -> Column:
+        return F.struct(
+            F.col(f"{own}_point").alias("point"), F.col(f"{own}_n").alias("n"), F.col(f"{other}_cell_type").alias("near"), F.col(f"{other}_n").alias("d")
+        )
+
+    # neighbours of each point by type: at most points x types rows, from which contacts and degrees both follow
+    alone = points.select("point", "n", F.col("cell_type").alias("near"), (F.col("n") - 1).alias("d"))
+    around = pairs.select(F.inline(F.array(seen_from("a", "b"), seen_from("b", "a")))).union(alone)
+    around = around.groupBy("point", "n", "near").agg(F.sum("d").alias("d"))
+    contacts = (
+        around.select(*_pair_types(F.col("point.cell_type"), F.col("near")), (F.col("n") * F.col("d")).alias("twice"))
+        .groupBy("type_a", "type_b").agg((F.sum("twice") / 2).cast("long").alias("n_contacts"))
     )
+    degree = around.groupBy("point", "n").agg(F.sum("d").alias("d"))
     # n cells at a point have the same degree; long arithmetic would overflow on the products, so doubles
     d = F.col("d").cast("double")
     sums = degree.agg((F.sum(F.col("n") * d) / 2).alias("m"), F.sum(F.col("n") * d * (d - 1)).alias("s"), F.sum("n").cast("double").alias("cells"))

@@ -185,11 +185,10 @@ def _with_box(rings_df: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def median_box_side(rings_df: DataFrame) -> float:
+def _median_side(boxed: DataFrame, p: str) -> float:
     """Approximate median of the larger box side."""
-    xs, ys = F.transform("ring", lambda v: v.x), F.transform("ring", lambda v: v.y)
-    side = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    return rings_df.agg(F.percentile_approx(side, 0.5, 1000)).first()[0] or 1.0
+    side = F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.col(f"{p}_y1") - F.col(f"{p}_y0"))
+    return boxed.agg(F.percentile_approx(side, 0.5, 1000)).first()[0] or 1.0
 
 
 def overlap_pairs(query: DataFrame, reference: DataFrame, tile: float | None = None, rows_per_slice: int = 2_000) -> DataFrame:
@@ -198,15 +197,17 @@ def overlap_pairs(query: DataFrame, reference: DataFrame, tile: float | None = N
     A pair can meet in several tiles; it is kept only in the one holding the lower left corner of the boxes'
     intersection, which needs no removal of duplicates afterwards.
     """
+    # written once: the passes that size tiles and count their rows then read the box columns alone
+    q_boxed, r_boxed = cut_lineage(_with_box(query, "q")), cut_lineage(_with_box(reference, "r"))
     if tile is None:
-        tile = max(2.0 * median_box_side(reference), 1e-6)
+        tile = max(2.0 * _median_side(r_boxed, "r"), 1e-6)
 
     def tiled(df: DataFrame, p: str) -> DataFrame:
         across = F.sequence(_tile(F.col(f"{p}_x0"), tile), _tile(F.col(f"{p}_x1"), tile))
         up = F.sequence(_tile(F.col(f"{p}_y0"), tile), _tile(F.col(f"{p}_y1"), tile))
         return df.withColumn("_tx", F.explode(across)).withColumn("_ty", F.explode(up))
 
-    q, r = tiled(_with_box(query, "q"), "q"), tiled(_with_box(reference, "r"), "r")
+    q, r = tiled(q_boxed, "q"), tiled(r_boxed, "r")
     met = sliced_join(q, r, ["_tx", "_ty"], F.col("q_id"), F.col("r_id"), rows_per_slice)
     left, bottom = F.greatest("q_x0", "r_x0"), F.greatest("q_y0", "r_y0")
     touching = (left <= F.least("q_x1", "r_x1")) & (bottom <= F.least("q_y1", "r_y1"))
