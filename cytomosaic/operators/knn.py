@@ -39,14 +39,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """Distances of prepared rows: unit vectors for cosine."""
-    dots = q @ r.T
     if metric == "cosine":
-        return np.round(1.0 - dots, DIGITS)
-    if q.shape[1] <= 4:  # coordinates: differences are exact where the expansion is not
-        gaps = q[:, None, :] - r[None, :, :]
-        return np.round(np.sqrt((gaps * gaps).sum(axis=2)), DIGITS)
-    square = (q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2 * dots
-    return np.round(np.sqrt(np.maximum(square, 0.0)), DIGITS)
+        return np.round(1.0 - q @ r.T, DIGITS)
+    # summed over differences: the form with squared lengths loses half the digits of small distances
+    square = np.zeros((len(q), len(r)))
+    for a, b in zip(q.T, r.T, strict=True):
+        gap = a[:, None] - b[None, :]
+        square += gap * gap
+    return np.round(np.sqrt(square), DIGITS)
 
 
 def _closest(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int, metric: str, not_self: bool) -> pd.DataFrame:
@@ -154,7 +154,8 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
         sizes["pivot"].to_numpy(), sizes["shell"].to_numpy(), sizes["n"].to_numpy(), sizes["lo"].to_numpy(), sizes["hi"].to_numpy(),
     )
     table_bc = sc.broadcast(table)
-    slack = 1e-9  # rounding of distances must never shut a block out
+    # two cosine distances count as tied below 1e-12, which is this much in squared length: a block of ties stays in
+    slack = 4e-12
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b_pivot, b_shell, b_n, b_lo, b_hi = table_bc.value
@@ -170,7 +171,8 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
                 bound = np.take_along_axis(most, order, axis=1)[np.arange(len(part)), stop]
                 bound = np.where(held[:, -1] < wanted, np.inf, bound)
                 least = np.maximum(np.maximum(d - b_hi, b_lo - d), 0.0)
-                row, col = np.nonzero(least <= bound[:, None] + slack)
+                bound = np.sqrt(bound * bound + slack) * (1 + 1e-9) + 1e-9
+                row, col = np.nonzero(least <= bound[:, None])
                 sent = part.iloc[row]
                 yield sent.assign(pivot=b_pivot[col].astype(np.int32), shell=b_shell[col].astype(np.int32))
 
