@@ -24,7 +24,7 @@ DIGITS = 12
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
-PIVOTS = 128
+MAX_BLOCKS = 20_000
 CHUNK_CELLS = 4_000_000
 
 
@@ -85,7 +85,7 @@ def knn_join(
     not_self: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
-    n_pivots: int = PIVOTS,
+    n_pivots: int | None = None,
 ) -> DataFrame:
     """(query_id, ref_id, distance, place) with place 1..k. ``not_self`` leaves out pairs of equal id."""
     if metric not in ("cosine", "euclidean"):
@@ -94,6 +94,9 @@ def knn_join(
     if n * (width * 8 + 64) <= broadcast_bytes:
         near = _by_broadcast(queries, references, k, metric, not_self)
     else:
+        # the list of blocks goes to every task, so its length is held while blocks grow with the data
+        block_rows = max(block_rows, -(-n // MAX_BLOCKS))
+        n_pivots = n_pivots or min(max(int(n**0.5 / 2), 16), 2_048)
         near = _by_blocks(queries, references, k, metric, not_self, block_rows, n_pivots)
     order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
@@ -149,7 +152,7 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     shelled = assigned.withColumn("shell", shell)
     sizes = shelled.groupBy("pivot", "shell").agg(
         F.count(F.lit(1)).alias("n"), F.min("to_pivot").alias("lo"), F.max("to_pivot").alias("hi")
-    ).toPandas()  # at most rows / block_rows + pivots rows
+        ).toPandas()  # at most MAX_BLOCKS + pivots rows
     table = (
         sizes["pivot"].to_numpy(), sizes["shell"].to_numpy(), sizes["n"].to_numpy(), sizes["lo"].to_numpy(), sizes["hi"].to_numpy(),
     )
@@ -183,7 +186,7 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     per_block = routed.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_q")).join(
         shelled.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_r")), ["pivot", "shell"]
     )
-    cuts = F.broadcast(
+    cuts = F.broadcast(  # one row per block
         per_block.select(
             "pivot", "shell", F.ceil(F.col("_q") / block_rows).cast("int").alias("_qn"), F.ceil(F.col("_r") / block_rows).cast("int").alias("_rn")
         )

@@ -15,6 +15,8 @@ from cytomosaic.operators.spatial import neighbour_graph, neighbour_pairs
 HOPS = 2
 TOP_PAIRS = 30
 
+MAX_TYPES = 500
+
 
 def typed_points(cells: DataFrame) -> DataFrame:
     """Positions with a type and how many cells share both; copies collapse before any join."""
@@ -52,6 +54,14 @@ def type_counts(cells: DataFrame) -> DataFrame:
     return cells.dropna(subset=["cell_type"]).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def type_names(cells: DataFrame) -> list[str]:
+    """The distinct types in name order; an error if there are more than a table of type pairs can hold."""
+    found = type_counts(cells).orderBy("cell_type").limit(MAX_TYPES + 1).collect()
+    if len(found) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} cell types")
+    return [r.cell_type for r in found]
+
+
 def _with_type_counts(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(counts.select(F.col("cell_type").alias(f"type_{side}"), F.col("n").alias(f"n_{side}")), f"type_{side}")
@@ -78,9 +88,10 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
     """
     typed = cells.dropna(subset=["cell_type", "x", "y"])
     counts = type_counts(typed)
-    types = counts.agg(F.array_sort(F.collect_set("cell_type")).alias("t"))  # one entry per type
-    grid = types.select(F.explode("t").alias("type_a"), "t").select("type_a", F.explode("t").alias("type_b"))
-    grid = grid.filter(F.col("type_a") <= F.col("type_b"))
+    names = type_names(typed)
+    grid = typed.sparkSession.createDataFrame(
+        [(a, b) for i, a in enumerate(names) for b in names[i:]], "type_a string, type_b string"
+    )
 
     points = typed_points(typed)
     pairs = neighbour_pairs(points, radius, "point", ["n", "cell_type"])

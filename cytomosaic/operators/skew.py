@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytomosaic.session import cut_lineage
 
-def slice_counts(df: DataFrame, keys: list[str], rows_per_slice: int, name: str) -> DataFrame:
-    """Keys with more than ``rows_per_slice`` rows and the number of slices each needs.
 
-    The result holds at most ``rows / rows_per_slice`` keys, which is what makes it safe to broadcast.
-    """
+BROADCAST_KEYS = 1_000_000  # rows of two numbers and the key: some tens of megabytes
+
+
+def hot_keys(df: DataFrame, keys: list[str], rows_per_slice: int, name: str) -> DataFrame:
+    """Keys with more than ``rows_per_slice`` rows and the number of slices each needs."""
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -31,11 +33,20 @@ def sliced_join(
 
     A left row goes to one left slice and to every right slice of its key, and the other way round, so each
     matching pair meets exactly once and no task handles more than ``rows_per_slice`` squared pairs of one key.
+
+    Rows per key are counted first, over the key columns alone. Without a hot key this is a plain join. The list of hot
+    keys is broadcast if its counted size allows, and joined by a shuffle otherwise.
     """
-    hot = slice_counts(left, keys, rows_per_slice, "_lcount").join(
-        slice_counts(right, keys, rows_per_slice, "_rcount"), keys, "full_outer"
+    hot = cut_lineage(
+        hot_keys(left, keys, rows_per_slice, "_lcount").join(
+            hot_keys(right, keys, rows_per_slice, "_rcount"), keys, "full_outer"
+        )
     )
-    hot = F.broadcast(hot)
+    n_hot = hot.count()
+    if n_hot == 0:
+        return left.join(right, keys)
+    if n_hot <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     one = F.lit(1)
     n_left, n_right = F.coalesce("_lcount", one), F.coalesce("_rcount", one)
 

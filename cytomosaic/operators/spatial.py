@@ -154,7 +154,11 @@ def patch_counts(transcripts: DataFrame, region: Sequence[float] | None = None,
 
 
 def rings(boundaries: DataFrame, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
-    """Vertex rows to one ring per polygon; fewer than three vertices make no polygon."""
+    """Vertex rows to one ring per polygon; fewer than three vertices make no polygon.
+
+    Vertices without a cell belong to no polygon and would pile up under one key, so they go first.
+    """
+    boundaries = boundaries.dropna(subset=list(keys))
     vertices = F.array_sort(F.collect_list(F.struct("vertex_ord", "x", "y")))
     out = boundaries.groupBy(*keys).agg(vertices.alias("_v"))
     ring = F.transform("_v", lambda v: F.struct(v.x.cast("double").alias("x"), v.y.cast("double").alias("y")))

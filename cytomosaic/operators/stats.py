@@ -166,7 +166,12 @@ def rank_sum_test(wide: DataFrame, n_a: int, n_b: int) -> DataFrame:
 
 
 def bh_fdr(df: DataFrame, p: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add the Benjamini-Hochberg rate of column ``p`` within each group of ``by`` columns.
+    """Add the Benjamini-Hochberg rate of column ``p`` within each group of ``by`` columns."""
+    return df.join(bh_rates(df, p, out, by), [*by, p], "left")
+
+
+def bh_rates(df: DataFrame, p: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """The Benjamini-Hochberg rate of every distinct value of ``p`` within each group of ``by`` columns.
 
     Ties share the largest rank, so the work is on distinct p-values with their counts. Running totals go through
     buckets of about 1 % relative width, which keeps any window small however many distinct p-values there are:
@@ -206,10 +211,9 @@ def bh_fdr(df: DataFrame, p: str, out: str, by: Sequence[str] = ()) -> DataFrame
         .withColumn("_later", F.min("_low").over(after))
         .drop("_low")
     )
-    rates = ranked.join(lowest_after, [*by, "_bucket"]).select(
+    return ranked.join(lowest_after, [*by, "_bucket"]).select(
         *by, p, F.greatest(F.least("_tail", F.coalesce("_later", F.lit(1.0)), F.lit(1.0)), F.lit(0.0)).alias(out)
     )
-    return df.join(rates, [*by, p], "left")
 
 
 # --- comparisons -----------------------------------------------------------------------------------------------------
@@ -262,7 +266,15 @@ def compare_conditions(
     tested = resampling_tests(rank_sum_test(means, n_a, n_b), draw(n_a, n_b, n_perm, n_boot), fdr_alpha)
     # the rates below read this table several times: write it once, one row per feature
     tested = cut_lineage(tested)
-    rated = bh_fdr(bh_fdr(tested, "perm_pval", "perm_FDR"), "wilcox_pval", "wilcox_FDR")
+    # both kinds of p-value are rated in one pass, each as a group of its own
+    both = tested.select(
+        *features, F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_pval").alias("p")) for kind in ("perm", "wilcox")]))
+    )
+    rates = bh_rates(both, "p", "rate", ["kind"])
+    rated = tested
+    for kind in ("perm", "wilcox"):
+        of_kind = rates.filter(F.col("kind") == kind).select(F.col("p").alias(f"{kind}_pval"), F.col("rate").alias(f"{kind}_FDR"))
+        rated = rated.join(of_kind, f"{kind}_pval", "left")
     interval = ["bootstrap_ci_lo", "bootstrap_ci_hi"] if n_boot else []
     return rated.select(
         *features,
