@@ -10,6 +10,7 @@ from pyspark.sql import window as W
 
 from cytomosaic.functions.scalar import edge_width, observed_over_expected
 from cytomosaic.operators.spatial import neighbour_graph, neighbour_pairs
+from cytomosaic.session import cut_lineage
 
 # fixed values
 HOPS = 2
@@ -34,7 +35,7 @@ def _pair_types(a: Column, b: Column) -> list[Column]:
 
 def typed_pairs(cells: DataFrame, radius: float) -> DataFrame:
     """(type_a, type_b, distance, n) with n unordered cell pairs, aggregated over copies of the same point."""
-    points = typed_points(cells)
+    points = cut_lineage(typed_points(cells))  # both sides of the join and the count of rows per tile read it
     apart = neighbour_pairs(points, radius, "point", ["cell_type", "n"]).select(
         *_pair_types(F.col("a_cell_type"), F.col("b_cell_type")), "distance", (F.col("a_n") * F.col("b_n")).alias("n")
     )
@@ -54,9 +55,9 @@ def type_counts(cells: DataFrame) -> DataFrame:
     return cells.dropna(subset=["cell_type"]).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def type_names(cells: DataFrame) -> list[str]:
-    """The distinct types in name order; an error if there are more than a table of type pairs can hold."""
-    found = type_counts(cells).orderBy("cell_type").limit(MAX_TYPES + 1).collect()
+def type_names(counts: DataFrame) -> list[str]:
+    """The types in name order; an error if there are more than a table of type pairs can hold."""
+    found = counts.orderBy("cell_type").limit(MAX_TYPES + 1).collect()
     if len(found) > MAX_TYPES:
         raise ValueError(f"more than {MAX_TYPES} cell types")
     return [r.cell_type for r in found]
@@ -87,13 +88,13 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
     are the same, share one cell, or are disjoint, and each case has a known chance of carrying the labels.
     """
     typed = cells.dropna(subset=["cell_type", "x", "y"])
-    counts = type_counts(typed)
-    names = type_names(typed)
+    counts = cut_lineage(type_counts(typed))  # one row per type
+    names = type_names(counts)
     grid = typed.sparkSession.createDataFrame(
         [(a, b) for i, a in enumerate(names) for b in names[i:]], "type_a string, type_b string"
     )
 
-    points = typed_points(typed)
+    points = cut_lineage(typed_points(typed))
     pairs = neighbour_pairs(points, radius, "point", ["n", "cell_type"])
 
     def seen_from(own: str, other: str) -> Column:
@@ -104,7 +105,7 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
     # neighbours of each point by type: at most points x types rows, from which contacts and degrees both follow
     alone = points.select("point", "n", F.col("cell_type").alias("near"), (F.col("n") - 1).alias("d"))
     around = pairs.select(F.inline(F.array(seen_from("a", "b"), seen_from("b", "a")))).union(alone)
-    around = around.groupBy("point", "n", "near").agg(F.sum("d").alias("d"))
+    around = cut_lineage(around.groupBy("point", "n", "near").agg(F.sum("d").alias("d")))
     contacts = (
         around.select(*_pair_types(F.col("point.cell_type"), F.col("near")), (F.col("n") * F.col("d")).alias("twice"))
         .groupBy("type_a", "type_b").agg((F.sum("twice") / 2).cast("long").alias("n_contacts"))

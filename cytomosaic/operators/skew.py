@@ -11,13 +11,17 @@ from cytomosaic.session import cut_lineage
 BROADCAST_KEYS = 1_000_000  # rows of two numbers and the key: some tens of megabytes
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_slice: int, name: str) -> DataFrame:
-    """Keys with more than ``rows_per_slice`` rows and the number of slices each needs."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_slice)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias(name))
+def hot_keys(left: DataFrame, right: DataFrame, keys: list[str], rows_per_slice: int) -> DataFrame:
+    """Keys with more than ``rows_per_slice`` rows on either side, and the number of slices for each side."""
+    sides = left.select(*keys, F.lit(1).alias("_l")).union(right.select(*keys, F.lit(0)))
+    counts = sides.groupBy(*keys).agg(F.sum("_l").alias("_left"), F.count(F.lit(1)).alias("_all"))
+
+    def slices(n: Column) -> Column:
+        return F.greatest(F.ceil(n / rows_per_slice), F.lit(1)).cast("int")
+
+    right_rows = F.col("_all") - F.col("_left")
+    return counts.filter(F.greatest(F.col("_left"), right_rows) > rows_per_slice).select(
+        *keys, slices(F.col("_left")).alias("_lcount"), slices(right_rows).alias("_rcount")
     )
 
 
@@ -37,11 +41,7 @@ def sliced_join(
     Rows per key are counted first, over the key columns alone. Without a hot key this is a plain join. The list of hot
     keys is broadcast if its counted size allows, and joined by a shuffle otherwise.
     """
-    hot = cut_lineage(
-        hot_keys(left, keys, rows_per_slice, "_lcount").join(
-            hot_keys(right, keys, rows_per_slice, "_rcount"), keys, "full_outer"
-        )
-    )
+    hot = cut_lineage(hot_keys(left, right, keys, rows_per_slice))
     n_hot = hot.count()
     if n_hot == 0:
         return left.join(right, keys)
