@@ -143,6 +143,45 @@ def imputed_values(t: Tables):
     return rounded(I.weighted_values(I.neighbour_weights(near(t)), targets(r)), "value")
 
 
+def zscore_sql(width: int) -> str:
+    """Both halves z-scored on their own over the first dimensions, then the nearest neighbours by cosine."""
+    return f"""--more
+long AS (SELECT vec_id, vec_id % 2 AS half, label, i, embedding[i] AS v FROM vectors, (SELECT unnest(range(1, {width} + 1)) AS i)),
+mom AS (SELECT half, i, avg(v) AS m, stddev_pop(v) AS s FROM long GROUP BY half, i),
+z AS (SELECT vec_id, any_value(l.half) AS half, any_value(label) AS label, list((v - m) / s ORDER BY l.i) AS embedding
+      FROM long l JOIN mom ON mom.half = l.half AND mom.i = l.i GROUP BY vec_id),
+q AS (SELECT * FROM z WHERE half = 1),
+r AS (SELECT * FROM z WHERE half = 0),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS ref_id, r.label, 1 - list_cosine_similarity(q.embedding, r.embedding) AS distance FROM q, r),
+near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), ref_id) AS INT) AS place FROM d QUALIFY place <= 50)"""
+
+
+WEIGHT_STEP = WEIGHTS[len(KNN):]
+
+
+@query(lambda: zscore_sql(48) + WEIGHT_STEP + """,
+target AS (SELECT vec_id AS ref_id, 'E' || CAST(i - 1 AS STRING) AS gene, embedding[i] AS value
+           FROM vectors, (SELECT unnest(range(49, 65)) AS i) WHERE vec_id % 2 = 0)
+SELECT query_id AS cell_id, gene, round(sum(weight * value), 6) AS value FROM w JOIN target ON target.ref_id = w.ref_id GROUP BY query_id, gene""",
+       ("vectors",))
+def impute_all_vectors(t: Tables):
+    """As many principal vectors as genes: they are then a rotation, which leaves cosines of z-scores as they are."""
+    q, r = halves(t)
+    shared = F.slice("features", 1, 48).alias("features")
+    return rounded(I.impute_vectors(q.select("id", shared), r.select("id", shared), 48, targets(r), n_vectors=48), "value")
+
+
+@query(lambda: zscore_sql(64) + """
+SELECT query_id AS cell_id, CAST(label AS STRING) AS label, votes FROM (
+       SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, CAST(label AS STRING)) AS p
+       FROM near GROUP BY query_id, label) WHERE p = 1""", ("vectors",))
+def label_transfer_all_components(t: Tables):
+    """All components kept, which is a rotation as well."""
+    q, r = halves(t)
+    labels = r.select(F.col("id").alias("ref_cell"), F.col("label").cast("string").alias("label"))
+    return I.vote(q.select("id", "features"), r.select("id", "features"), labels, 64, 64)
+
+
 @query()
 def impute(t: Tables):
     """Imputation through principal vectors over dimensions 0-47; error per imputed dimension."""
@@ -276,16 +315,26 @@ def ambient_removed_doublets(t: Tables):
     return rounded(D.remove_ambient(counts, D.doublet_fit(counts, profiles), profiles, purify_singlets=False), "value")
 
 
+@query(AMBIENT.replace("{keep}", "false") + " AND cell_id IN (SELECT cell_id FROM known GROUP BY cell_id HAVING sum(value) >= 2)", ("expr", "cells"))
+def corrected_layer(t: Tables):
+    """The corrected layer of the whole job, for cells with at least two counts."""
+    return rounded(corrected(t)[0].filter(F.col("layer") == G.CORRECTED).select("cell_id", "gene", "value"), "value")
+
+
 @query()
 def correction_job(t: Tables):
-    """Corrected layer and its clusters: cells per cluster and their corrected total."""
-    expression = t.expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
-    genes = t.genes.withColumn("is_imputed", F.lit(False))
-    layers, clusters = correction.correct(t.cells.filter(f"NOT {EVEN}"), expression, genes, *reference(t), min_umi=2)
+    """Clusters of the corrected counts: cells per cluster and their corrected total."""
+    layers, clusters = corrected(t)
     totals = layers.filter(F.col("layer") == G.CORRECTED).groupBy("cell_id").agg(F.sum("value").alias("total"))
     return clusters.join(totals, "cell_id", "left").groupBy("cluster_split_10").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
 
 
+def corrected(t: Tables):
+    expression = t.expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
+    genes = t.genes.withColumn("is_imputed", F.lit(False))
+    return correction.correct(t.cells.filter(f"NOT {EVEN}"), expression, genes, *reference(t), min_umi=2)
+
+
 CLASSES = {"c0": 0.1, "c1": 0.0, "c2": -0.2, "c3": 0.05}
 
 
