@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+def _place_among(value: Column, limits: list) -> Column:
+    """How many of the sorted limits are at or below the value: first among every n-th limit, then among the n after it."""
+    if not limits:
+        return F.lit(0)
+    step = max(math.isqrt(len(limits)), 1)
+    groups = [limits[i : i + step] for i in range(0, len(limits), step)]
+
+    def at_or_below(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda b: b <= value))
+
+    group = at_or_below(F.array(*[F.lit(g[0]) for g in groups])) - 1
+    inside = F.get(F.array(*[F.array(*[F.lit(v) for v in g]) for g in groups]), group)
+    return F.when(group < 0, F.lit(0)).when(value.isNull(), F.lit(0)).otherwise(group * step + at_or_below(inside))
+
+
 def dense_index(df: DataFrame, key: str, out: str = "index", start: int = 0, n_ranges: int | None = None) -> DataFrame:
     """Number rows ``start``, ``start + 1``, ... in the order of the unique column ``key``.
 
@@ -19,12 +36,7 @@ def dense_index(df: DataFrame, key: str, out: str = "index", start: int = 0, n_r
     sample = df.select(key).orderBy(F.xxhash64(key), key).limit(min(20 * n_ranges, 20_000))
     picked = sorted(r[0] for r in sample.collect() if r[0] is not None)
     limits = sorted({picked[len(picked) * i // n_ranges] for i in range(1, n_ranges)}) if picked else []
-    if limits:
-        bounds = F.array(*[F.lit(v) for v in limits])
-        place = F.coalesce(F.array_size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(0))
-    else:
-        place = F.lit(0)
-    ranged = df.withColumn("_range", place)
+    ranged = df.withColumn("_range", _place_among(F.col(key), limits))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = W.Window.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # n_ranges rows

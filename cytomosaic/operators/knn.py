@@ -96,7 +96,8 @@ def knn_join(
     else:
         # the list of blocks goes to every task, so its length is held while blocks grow with the data
         block_rows = max(block_rows, -(-n // MAX_BLOCKS))
-        n_pivots = n_pivots or min(max(int(n**0.5 / 2), 16), 2_048)
+        # about two pivots per full block: many small blocks would send each query to more places than they rule out
+        n_pivots = n_pivots or min(max(2 * n // block_rows, 8), 2_048)
         near = _by_blocks(queries, references, k, metric, not_self, block_rows, n_pivots)
     order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)

@@ -63,21 +63,30 @@ def z_scores(expression: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def gene_vectors(expression: DataFrame, genes: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
-    """One dense array per cell, in the order of ``genes``, zeros filled in; cells without counts only if ``cells`` is given."""
+    """One dense array per cell, in the order of ``genes``, zeros filled in; cells without counts only if ``cells`` is given.
+
+    Counts have one row per cell and gene, so a cell's rows are at most as many as there are genes.
+    """
     names = list(genes)
     if len(names) > MAX_GENES:
         raise ValueError(f"{len(names)} genes; dense vectors are limited to {MAX_GENES}")
     places = expression.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, _i int")
     # the gene list is one panel: MAX_GENES short rows at most
-    held = expression.join(F.broadcast(places), "gene").groupBy("cell_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_i", "value"))).alias("_held")
-    )
+    held = expression.join(F.broadcast(places), "gene").groupBy("cell_id").agg(F.collect_list(F.struct("_i", "value")).alias("_held"))
     if cells is not None:
-        held = cells.select("cell_id").join(held, "cell_id", "left")
-    value = F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0.0))
-    )
-    return held.select("cell_id", value.alias("features"))
+        held = cells.select("cell_id").join(held, "cell_id", "left").withColumn("_held", F.coalesce("_held", F.array()))
+    sparse = held.select("cell_id", F.transform("_held", lambda s: s._i).alias("at"), F.transform("_held", lambda s: s.value).alias("value"))
+    width = len(names)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                dense = np.zeros((len(batch), width))
+                row = np.repeat(np.arange(len(batch)), [len(v) for v in batch["at"]])
+                dense[row, np.concatenate(batch["at"].to_list()).astype(int)] = np.concatenate(batch["value"].to_list())
+                yield pd.DataFrame({"cell_id": batch["cell_id"], "features": list(dense)})
+
+    return sparse.mapInPandas(spread, f"cell_id {dict(sparse.dtypes)['cell_id']}, features array<double>")
 
 
 @dataclass(frozen=True)
