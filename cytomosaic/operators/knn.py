@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cytomosaic.session import cut_lineage
+
 # fixed values
 K_NEIGHBOURS = 50
 DIGITS = 12
@@ -124,6 +126,11 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     sc = queries.sparkSession.sparkContext
     unit = metric == "cosine"
     wanted = k + 1 if not_self else k
+    # of equal vectors only the first few ids can be among the nearest; the limit applies before the shuffle
+    copies = F.row_number().over(W.Window.partitionBy("features").orderBy("id"))
+    references = cut_lineage(
+        references.select("id", "features").withColumn("_copy", copies).filter(F.col("_copy") <= wanted).drop("_copy")
+    )
     chosen = references.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     pivots = np.unique(_unit(_matrix(chosen["features"])) if unit else _matrix(chosen["features"]), axis=0)
     pivot_bc = sc.broadcast(pivots)

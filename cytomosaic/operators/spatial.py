@@ -101,16 +101,24 @@ def nearest_graph(cells: DataFrame, k: int, radius: float | None = None) -> Data
 
     A cell with ``k`` others inside a radius has its nearest ones among those. The others are tried again with twice the
     radius, so the work follows the local density and the result is exact. The number of rounds is at most the logarithm
-    of the tissue's extent over the first radius, which is guessed from the mean density.
+    of the tissue's extent over the first radius, which is guessed from the densest part.
     """
-    points = cells.select("cell_id", "x", "y").dropna()
+    cells = cells.select("cell_id", "x", "y").dropna()
+    # of cells in one spot only the first ids can be chosen by any cell, so the others need not be offered
+    spot = F.row_number().over(W.Window.partitionBy("x", "y").orderBy("cell_id"))
+    points = cut_lineage(cells.withColumn("_spot", spot).filter(F.col("_spot") <= k + 1).drop("_spot"))
     x0, x1, y0, y1, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    extent = math.hypot((x1 or 0) - (x0 or 0), (y1 or 0) - (y0 or 0)) or 1.0
+    width, height = (x1 or 0) - (x0 or 0), (y1 or 0) - (y0 or 0)
+    extent = math.hypot(width, height) or 1.0
     if radius is None:
-        area = max(((x1 or 0) - (x0 or 0)) * ((y1 or 0) - (y0 or 0)), 1e-12)
+        area = max(width * height, 1e-12)
         radius = min(max(1.5 * math.sqrt(area * (k + 1) / (math.pi * max(n, 1))), extent * 1e-6), extent)
+        tiles = points.groupBy(_tile(F.col("x"), radius).alias("_tx"), _tile(F.col("y"), radius).alias("_ty"))
+        densest = tiles.agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 1
+        # start where the densest tile holds a few times what is needed; sparse places take further rounds
+        radius = max(radius * min(1.0, math.sqrt(8 * (k + 1) / densest)), extent * 1e-6)
     order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    left, done = points, []
+    left, done = cells, []
     while True:
         ranked = _within(left, points, radius).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
         ranked = cut_lineage(ranked)
