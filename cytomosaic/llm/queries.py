@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomosaic.llm import pieces, secrets
-from cytomosaic.llm.common import table
+from cytomosaic.llm import langid, nearcopies, pieces, quality, secrets, suffixes, templates, urls, warc
+from cytomosaic.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,50 @@ def model_bytes(name: str) -> bytes:
         return file.read()
 
 
+def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written, read back and assembled."""
+    ws = Workspace(spark, "warc")
+    folder = ws.folder("archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    records = ws.keep(warc.read_archives(spark, folder, payloads=False), "records")
+    return warc.payload_table(warc.assemble(records), ws)
+
+
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from documents whose remainder is not 0; a null doc_id has no remainder and counts as held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    labelled = langid.label(docs.select("doc_id", "held_out", "text"), model)
+    return labelled.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+# fixed rules of the query: (verdict, host, path)
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op5_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are documents labelled as good and not toxic, distrusted those labelled as bad; toxic ones that read well are neither."""
+    trusted = F.when(F.col("quality") == 0, False).when(F.col("toxic") == 0, True)
+    labels = table(spark, sf_dir, "labels").select("doc_id", trusted.alias("trusted"))
+    return quality.judge(table(spark, sf_dir, "documents"), labels)
+
+
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans are ``kind:start:end`` of whole matches; a repository is a document and its owner is the source."""
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"], owner="source")
@@ -46,4 +90,27 @@ def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"), "n_bytes")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_secret_ownership, op9_sentencepiece_offsets)}
+def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item found in it."""
+    found = templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.filter("doc_id IS NOT NULL").withColumnRenamed("item", "item_id")
+
+
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"), k=3, percent=85, rows=8)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_warc_captures,
+        op3_language_spans,
+        op4_suffix_dedup,
+        op5_url_equivalence,
+        op6_quality_ratio,
+        op7_secret_ownership,
+        op8_template_leaks,
+        op9_sentencepiece_offsets,
+        op10_near_copies,
+    )
+}
