@@ -36,6 +36,8 @@ BYTES_AT_ONCE = 8 << 20
 SENT_IDS = 1_000_000
 #: Bytes of a text handled at a time; longer texts are walked through with an overlap.
 STRIDE = 1 << 20
+#: Low bits that hold a place among a stride's windows.
+PLACE = np.uint64((1 << 21) - 1)
 
 PRIME = 0x100000001B3
 
@@ -73,18 +75,19 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 def contexts_of(raw: bytes, length: int, anchor: int) -> np.ndarray:
     """Rows (anchor hash, context hash, first window, number of windows) of a text; windows of one context are neighbours.
 
-    Equal windows always fall into contexts with the same anchor hash at the same distance from it. Where the least hash
-    occurs twice in a window the windows still agree, as only its value is used and the bytes are compared later.
+    A window's anchor is the first place of its least hash (in the bits above ``PLACE``), so equal windows have equal anchors
+    at the same distance, also in texts that repeat themselves.
     """
     found = []
     for begin in range(0, max(len(raw) - length + 1, 0), STRIDE):
         data = np.frombuffer(raw, np.uint8, min(len(raw) - begin, STRIDE + length - 1), begin)
         hashes = rolled(data, [anchor, length])
-        least = sliding_least(mixed(hashes[anchor]), length - anchor + 1)
-        cuts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-        counts = np.diff(np.concatenate([cuts, [len(least)]]))
+        values = mixed(hashes[anchor])
+        at = sliding_least(values & ~PLACE | np.arange(len(values), dtype=np.uint64), length - anchor + 1) & PLACE
+        cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
+        counts = np.diff(np.concatenate([cuts, [len(at)]]))
         whole = np.add.reduceat(mixed(hashes[length]), cuts)
-        anchors = least[cuts]
+        anchors = values[at[cuts].astype(np.int64)]
         # a run's windows in order: their sum, their number and the first and the last one's hash
         last = hashes[length][cuts + counts - 1]
         whole = mixed(whole + mixed(hashes[length][cuts]) * np.uint64(3) + mixed(last ^ counts.astype(np.uint64)))
