@@ -39,6 +39,18 @@ TEXT = {
                'L' || CAST(CASE WHEN l_linenumber = 1 THEN 8 + l_partkey % 400 ELSE l_partkey % 8 END AS STRING) AS ligand,
                'R' || CAST(l_suppkey % 4 AS STRING) AS receptor, l_discount * 10 AS attention_score
         FROM {lineitem}""",
+    "cohort_edges": """
+        SELECT 't' || CAST(l_orderkey % 10 AS STRING) AS sample, 'c' || CAST(l_orderkey AS STRING) AS from_cell,
+               'c' || CAST(l_orderkey + l_linenumber * 10 AS STRING) AS to_cell, 'L' || CAST(l_partkey % 8 AS STRING) AS ligand,
+               'R' || CAST(l_suppkey % 4 AS STRING) AS receptor, l_discount * 10 AS attention_score
+        FROM {lineitem}
+        UNION ALL
+        SELECT 't' || CAST(l_orderkey % 10 AS STRING), 'c' || CAST(l_orderkey + 7 AS STRING), 'c' || CAST(l_orderkey AS STRING),
+               'L' || CAST(l_partkey % 8 AS STRING), 'R' || CAST(l_suppkey % 4 AS STRING), l_tax * 10
+        FROM {lineitem} WHERE l_orderkey % 10 >= 5 AND l_partkey % 8 < 3""",
+    "cohort_samples": """
+        SELECT sample, CASE WHEN sample < 't5' THEN 'ctrl' ELSE 'treat' END AS condition, count(DISTINCT from_cell) AS n_cells
+        FROM {cohort_edges} GROUP BY sample""",
     "ppi": """
         SELECT DISTINCT 'G' || CAST(p_partkey % 64 AS STRING) AS source,
                'G' || CAST((p_partkey * 7 + p_size) % 64 AS STRING) AS target FROM {part} WHERE p_size <= 5""",
@@ -65,6 +77,8 @@ DEPENDS = {
     "expr": ["transcripts"],
     "genes": ["transcripts"],
     "edges": ["lineitem"],
+    "cohort_edges": ["lineitem"],
+    "cohort_samples": ["cohort_edges"],
     "ppi": ["part"],
     "tf_target": ["supplier"],
     "vectors": ["embeddings"],

@@ -12,7 +12,6 @@ RAW_IMPUTED_TAG = " [imp]"
 CORRECTED_IMPUTED_TAG = " [corr+imp]"
 COUNTS_PER_CELL = 10_000.0
 P_FLOOR = 1e-300
-MAX_TEXT = 200
 
 
 def _c(x: Column | str) -> Column:
@@ -115,6 +114,7 @@ def label_text(column, dtype: str) -> Column:
     return _c(column).cast("string")
 
 
-def short_text(value) -> Column:
-    """Text form of any value, at most 200 characters; NULL becomes an empty text."""
-    return F.coalesce(F.substring(_c(value).cast("string"), 1, MAX_TEXT), F.lit(""))
+def short_text(value, most: int | None = None) -> Column:
+    """Text form of any value, cut after ``most`` characters if given; NULL becomes an empty text."""
+    text = _c(value).cast("string")
+    return F.coalesce(text if most is None else F.substring(text, 1, most), F.lit(""))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from cytomosaic.functions.scalar import short_text
+
 # fixed values: column names tried in this order
 X_NAMES = ("x", "imagerow", "x_centroid", "centroid_x")
 Y_NAMES = ("y", "imagecol", "y_centroid", "centroid_y")
@@ -80,7 +82,8 @@ def match_report(ids: DataFrame, other: DataFrame, key: str) -> DataFrame:
 def align_labels(cells: DataFrame, labels: DataFrame, out: str, fill: str | None = "Unknown") -> DataFrame:
     """Labels matched by id text, or by id number if strictly more cells match that way; the rest get ``fill``.
 
-    Number matching applies only if every id on both sides is a whole number.
+    Number matching applies only if every id on both sides is a whole number. Of an id listed with several labels the last
+    in text order counts.
     """
     # texts such as 007 and 7 meet as numbers
     as_number = F.expr("try_cast(cell_id AS bigint)")
@@ -190,11 +193,12 @@ def fov_from_images(cells: DataFrame, membership: DataFrame) -> DataFrame:
     return cells.join(owner, "cell_id")
 
 
-def resolve_coordinates(meta: DataFrame, tissue: DataFrame | None = None) -> DataFrame:
-    """Add ``_x`` and ``_y``: from tissue coordinates if they cover all cells, else from the table's own columns.
+def resolve_coordinates(meta: DataFrame, tissue: DataFrame | None = None, embedding: DataFrame | None = None) -> DataFrame:
+    """Add ``_x`` and ``_y``: from tissue coordinates if they cover all cells, else from the table's own columns, else from
+    the first two columns of a spatial ``embedding`` (cell_id, then two or more numbers).
 
-    Column names are tried in a fixed order. Cells that tissue coordinates leave out keep NULL only if the table has no
-    usable pair itself.
+    Column names are tried in a fixed order. Cells that tissue coordinates leave out keep NULL only if there is no other
+    usable pair.
     """
     from_tissue = None
     if tissue is not None:
@@ -210,6 +214,10 @@ def resolve_coordinates(meta: DataFrame, tissue: DataFrame | None = None) -> Dat
     for xs, ys in META_PAIRS:
         if xs in meta.columns and ys in meta.columns:
             return meta.withColumn("_x", F.col(xs).cast("double")).withColumn("_y", F.col(ys).cast("double"))
+    axes = [] if embedding is None else [c for c in embedding.columns if c != "cell_id"][:2]
+    if len(axes) == 2:
+        at = embedding.select("cell_id", *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(axes, ("_x", "_y"), strict=True)])
+        return meta.join(at, "cell_id", "left")
     if from_tissue is not None:
         return from_tissue
     raise ValueError(f"no coordinate columns; tried {META_PAIRS}; available: {meta.columns}")
@@ -230,8 +238,11 @@ def resolve_umap(cells: DataFrame, corrected: bool) -> tuple[str, str] | None:
     return None
 
 
-def coerce_columns(df: DataFrame) -> DataFrame:
-    """Numbers as doubles; text columns as doubles if every value parses, else as text with NULL empty."""
+def coerce_columns(df: DataFrame, most_of_array: int | None = None) -> DataFrame:
+    """Numbers as doubles; text columns as doubles if every value parses, else as text with NULL empty.
+
+    The text of an array is cut after ``most_of_array`` characters if given.
+    """
     numeric = (T.NumericType,)
     texts = [f.name for f in df.schema.fields if not isinstance(f.dataType, numeric)]
     parses: dict[str, bool] = {}
@@ -248,7 +259,7 @@ def coerce_columns(df: DataFrame) -> DataFrame:
             return c.cast("double").alias(f.name)
         if parses[f.name]:
             return F.expr(f"try_cast(CAST(`{f.name}` AS string) AS double)").alias(f.name)
-        return F.coalesce(F.substring(c.cast("string"), 1, 200) if isinstance(f.dataType, T.ArrayType) else c.cast("string"), F.lit("")).alias(f.name)
+        return short_text(c, most_of_array if isinstance(f.dataType, T.ArrayType) else None).alias(f.name)
 
     return df.select(*[one(f) for f in df.schema.fields])
 

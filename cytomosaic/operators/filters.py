@@ -11,7 +11,6 @@ from cytomosaic.functions.scalar import log1p_value
 
 # fixed values
 MIN_QUALITY = 20
-BOUNDARY_LIMIT = 3_000
 MIN_TRANSCRIPTS = 10
 MIN_UMI = 10
 
@@ -28,12 +27,13 @@ def in_region(df: DataFrame, x_min: float, x_max: float, y_min: float, y_max: fl
     return df.filter(F.col("x").between(x_min, x_max) & F.col("y").between(y_min, y_max))
 
 
-def viewport_cells(cells: DataFrame, x_min: float, x_max: float, y_min: float, y_max: float, limit: int = BOUNDARY_LIMIT):
-    """Cells whose outlines are drawn in a viewport: the first ``limit`` by id, since the drawing has that limit."""
-    return in_region(cells, x_min, x_max, y_min, y_max).orderBy("cell_id").limit(limit)
+def viewport_cells(cells: DataFrame, x_min: float, x_max: float, y_min: float, y_max: float, limit: int | None = None) -> DataFrame:
+    """Cells whose outlines are drawn in a viewport: all, or the first ``limit`` by id for a drawing that asks for so many."""
+    found = in_region(cells, x_min, x_max, y_min, y_max)
+    return found if limit is None else found.orderBy("cell_id").limit(limit)
 
 
-def viewport_boundaries(cells: DataFrame, boundaries: DataFrame, *region: float, limit: int = BOUNDARY_LIMIT) -> DataFrame:
+def viewport_boundaries(cells: DataFrame, boundaries: DataFrame, *region: float, limit: int | None = None) -> DataFrame:
     return boundaries.join(viewport_cells(cells, *region, limit=limit).select("cell_id"), "cell_id", "left_semi")
 
 

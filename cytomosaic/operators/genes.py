@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import tag_gene, whole_counts
 
 # fixed values
-HVG_POOL = 2_000
 HVG_TOP = 200
 MIN_SHARED_FOR_CORRECTION = 10
 RAW, CORRECTED, IMPUTED, CORR_IMPUTED = "raw", "corrected", "imputed", "corr_imputed"
@@ -103,18 +102,32 @@ def requested_genes(requested: DataFrame, reference: DataFrame, panel: DataFrame
 def gene_variance(reference_expression: DataFrame, n_cells) -> DataFrame:
     """Sample variance per gene over ``n_cells`` cells, absent values counting as zero."""
     n = F.lit(n_cells) if isinstance(n_cells, int) else n_cells
-    sums = reference_expression.groupBy("gene").agg(
-        F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q")
-    )
-    return sums.select("gene", F.greatest((F.col("_q") - F.col("_s") * F.col("_s") / n) / (n - 1), F.lit(0.0)).alias("variance"))
+    spread = reference_expression.groupBy("gene").agg(*present_moments())
+    return spread.select("gene", F.coalesce(F.try_divide(squares_with_zeros(n), n - 1), F.lit(0.0)).alias("variance"))
+
+
+def present_moments() -> list[Column]:
+    """Number, mean and squared deviations of the present values, for ``squares_with_zeros``."""
+    n = F.count("value")
+    return [n.alias("_n"), F.avg("value").alias("_mean"), (F.var_pop("value") * n).alias("_squares")]
+
+
+def squares_with_zeros(n: Column) -> Column:
+    """Squared deviations once the absent values join as zeros, up to ``n`` values in all.
+
+    The two parts are merged by their means, which keeps the digits that a difference of large sums would lose.
+    """
+    return F.col("_squares") + F.col("_mean") * F.col("_mean") * F.col("_n") * (n - F.col("_n")) / n
 
 
 def variable_genes(
     reference_genes: DataFrame, panel: DataFrame, reference_expression: DataFrame, n_cells,
-    pool: int = HVG_POOL, top: int = HVG_TOP,
+    pool: int | None = None, top: int = HVG_TOP,
 ) -> DataFrame:
-    """The ``top`` most variable genes among the first ``pool`` non-panel genes in reference order."""
-    candidates = reference_genes.join(panel.select("gene"), "gene", "left_anti").orderBy("ord").limit(pool).select("gene", "ord")
+    """The ``top`` most variable non-panel genes; ``pool`` limits the candidates to so many in reference order."""
+    candidates = reference_genes.join(panel.select("gene"), "gene", "left_anti").select("gene", "ord")
+    if pool is not None:
+        candidates = candidates.orderBy("ord").limit(pool)
     spread = gene_variance(reference_expression.join(candidates.select("gene"), "gene", "left_semi"), n_cells)
     return (
         candidates.join(spread, "gene", "left")

@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import cluster_label, log1p_per_total, log1p_value
+from cytomosaic.operators.genes import present_moments, squares_with_zeros
 from cytomosaic.session import cut_lineage
 
 # fixed values
@@ -26,6 +27,8 @@ N_PRINCIPAL_VECTORS = 30
 MIN_COSINE = 0.3
 
 MAX_GENES = 20_000
+#: Standard deviation over mean below which values are the same but for rounding.
+SAME = 1e-9
 
 
 def log_normalise(expression: DataFrame, genes: DataFrame | None = None) -> DataFrame:
@@ -45,9 +48,8 @@ def l2_normalise(expression: DataFrame) -> DataFrame:
 def gene_moments(expression: DataFrame, n_cells) -> DataFrame:
     """Mean and population standard deviation per gene over ``n_cells`` cells, absent values counting as zero."""
     n = F.lit(n_cells) if isinstance(n_cells, int) else n_cells
-    sums = expression.groupBy("gene").agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"))
-    mean = F.col("_s") / n
-    return sums.select("gene", mean.alias("mean"), F.sqrt(F.greatest(F.col("_q") / n - mean * mean, F.lit(0.0))).alias("sd"))
+    spread = expression.groupBy("gene").agg(*present_moments())
+    return spread.select("gene", (F.col("_mean") * F.col("_n") / n).alias("mean"), F.sqrt(squares_with_zeros(n) / n).alias("sd"))
 
 
 def z_scores(expression: DataFrame, cells: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def z_scores(expression: DataFrame, cells: DataFrame) -> DataFrame:
     Genes that do not vary are dropped, since they have no score.
     """
     n = cells.agg(F.count(F.lit(1))).scalar()
-    moments = gene_moments(expression, n).filter(F.col("sd") > 1e-12)
+    moments = gene_moments(expression, n).filter(F.col("sd") > SAME * F.abs("mean"))
     return expression.join(moments, "gene").select(
         "cell_id", "gene", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("value"), (-F.col("mean") / F.col("sd")).alias("zero_score")
     )
@@ -174,12 +176,36 @@ def pca(vectors: DataFrame, width: int, n_components: int = MAX_COMPONENTS, cent
     return project(vectors, loadings, m.mean if centred else None), loadings, values
 
 
-def cluster(scores: DataFrame, k: int = N_CLUSTERS, seed: int = SEED) -> DataFrame:
-    """KMeans labels 1..k as text."""
+def fit_clusters(scores: DataFrame, k: int = N_CLUSTERS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """KMeans: (cell_id, label) with labels 1..k as text, and (label, centre)."""
     # KMeans reads its input once per iteration
     rows = cut_lineage(scores.select("cell_id", "features")).select("cell_id", array_to_vector("features").alias("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="_cluster").fit(rows)
-    return model.transform(rows).select("cell_id", cluster_label("_cluster").alias("label"))
+    centres = [(str(i + 1), [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    labels = model.transform(rows).select("cell_id", cluster_label("_cluster").alias("label"))
+    return labels, scores.sparkSession.createDataFrame(centres, "label string, centre array<double>")
+
+
+def cluster(scores: DataFrame, k: int = N_CLUSTERS, seed: int = SEED) -> DataFrame:
+    """KMeans labels 1..k as text."""
+    return fit_clusters(scores, k, seed)[0]
+
+
+def misplaced(rows: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """(n_cells, n_misplaced, few_groups): cells nearer to another centre than to their own label's, and whether every label
+    has a centre. Centres are as many as groups, whose number is an argument."""
+    listed = centres.agg(F.collect_list(F.struct("label", "centre"))).scalar()
+
+    def apart(centre) -> Column:
+        return F.aggregate(F.zip_with("features", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+
+    far = F.transform(F.col("_centres"), lambda g: F.struct(apart(g.centre).alias("d"), g.label.alias("label")))
+    own = F.get(F.filter("_far", lambda g: g.label == F.col("label")), F.lit(0)).d
+    least = F.array_min(F.transform("_far", lambda g: g.d))
+    checked = rows.select("cell_id", "features").join(labels, "cell_id").withColumn("_centres", listed).withColumn("_far", far)
+    return checked.agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_if(own > least * (1 + 1e-9) + 1e-12).alias("n_misplaced"), F.coalesce(F.every(own.isNotNull()), F.lit(True)).alias("few_groups")
+    )
 
 
 def correct_and_cluster(expression: DataFrame, genes: Sequence[str], all_cells: DataFrame, k: int = N_CLUSTERS) -> DataFrame:
@@ -216,6 +242,6 @@ def principal_vectors(source: np.ndarray, target: np.ndarray, n_vectors: int = N
 def standardised(m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Correlation matrix, means and standard deviations; columns that do not vary get weight zero."""
     sd = np.sqrt(np.maximum(np.diag(m.covariance), 0.0))
-    varies = sd > 1e-9
+    varies = sd > 1e-6 * np.sqrt(np.diag(m.gram) / max(m.n, 1))  # a difference of sums keeps about half the digits
     scale = np.where(varies, 1.0 / np.where(varies, sd, 1.0), 0.0)
     return m.covariance * np.outer(scale, scale), m.mean, scale

@@ -19,11 +19,16 @@ TOP_PAIRS = 30
 MAX_TYPES = 500
 
 
-def typed_points(cells: DataFrame) -> DataFrame:
+def _slides(cells: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The cells and the columns that tell slides apart; without any, one constant column stands for the only slide."""
+    return (cells.dropna(subset=list(by)), list(by)) if by else (cells.withColumn("_slide", F.lit(0)), ["_slide"])
+
+
+def typed_points(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Positions with a type and how many cells share both; copies collapse before any join."""
     return (
         cells.dropna(subset=["cell_type", "x", "y"])
-        .groupBy("x", "y", "cell_type")
+        .groupBy(*by, "x", "y", "cell_type")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("point", F.struct("x", "y", "cell_type"))
     )
@@ -33,26 +38,26 @@ def _pair_types(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("type_a"), F.greatest(a, b).alias("type_b")]
 
 
-def typed_pairs(cells: DataFrame, radius: float) -> DataFrame:
-    """(type_a, type_b, distance, n) with n unordered cell pairs, aggregated over copies of the same point."""
-    points = cut_lineage(typed_points(cells))  # both sides of the join and the count of rows per tile read it
-    apart = neighbour_pairs(points, radius, "point", ["cell_type", "n"]).select(
-        *_pair_types(F.col("a_cell_type"), F.col("b_cell_type")), "distance", (F.col("a_n") * F.col("b_n")).alias("n")
+def typed_pairs(cells: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by, type_a, type_b, distance, n) with n unordered cell pairs, aggregated over copies of the same point."""
+    points = cut_lineage(typed_points(cells, by))  # both sides of the join and the count of rows per tile read it
+    apart = neighbour_pairs(points, radius, "point", ["cell_type", "n"], by).select(
+        *by, *_pair_types(F.col("a_cell_type"), F.col("b_cell_type")), "distance", (F.col("a_n") * F.col("b_n")).alias("n")
     )
     same = points.filter(F.col("n") > 1).select(
-        F.col("cell_type").alias("type_a"), F.col("cell_type").alias("type_b"), F.lit(0.0).alias("distance"),
+        *by, F.col("cell_type").alias("type_a"), F.col("cell_type").alias("type_b"), F.lit(0.0).alias("distance"),
         (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"),
     )
     return apart.union(same)
 
 
-def contact_counts(cells: DataFrame, radius: float) -> DataFrame:
-    """Contacts per unordered pair of cell types: cell pairs at most ``radius`` apart."""
-    return typed_pairs(cells, radius).groupBy("type_a", "type_b").agg(F.sum("n").alias("n_contacts"))
+def contact_counts(cells: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
+    """Contacts per unordered pair of cell types: cell pairs at most ``radius`` apart, on each slide that ``by`` tells apart."""
+    return typed_pairs(cells, radius, by).groupBy(*by, "type_a", "type_b").agg(F.sum("n").alias("n_contacts"))
 
 
-def type_counts(cells: DataFrame) -> DataFrame:
-    return cells.dropna(subset=["cell_type"]).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+def type_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return cells.dropna(subset=["cell_type"]).groupBy(*by, "cell_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def type_names(counts: DataFrame) -> list[str]:
@@ -63,39 +68,42 @@ def type_names(counts: DataFrame) -> list[str]:
     return [r.cell_type for r in found]
 
 
-def _with_type_counts(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+def _with_type_counts(pairs: DataFrame, counts: DataFrame, by: Sequence[str]) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(counts.select(F.col("cell_type").alias(f"type_{side}"), F.col("n").alias(f"n_{side}")), f"type_{side}")
+        pairs = pairs.join(counts.select(*by, F.col("cell_type").alias(f"type_{side}"), F.col("n").alias(f"n_{side}")), [*by, f"type_{side}"])
     return pairs
 
 
-def normalised_contacts(contacts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Contacts over what random mixing would give: observed / (share A x share B x all contacts)."""
-    counts = type_counts(cells)
-    n_cells = counts.agg(F.sum("n")).scalar()
-    total = contacts.agg(F.sum("n_contacts")).scalar()
-    return _with_type_counts(contacts, counts).select(
-        "type_a", "type_b", "n_contacts",
-        observed_over_expected("n_contacts", F.col("n_a") / n_cells, F.col("n_b") / n_cells, total).alias("oe"),
+def normalised_contacts(contacts: DataFrame, cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Contacts over what random mixing would give: observed / (share A x share B x all contacts), on each slide."""
+    cells, slide = _slides(cells, by)
+    if not by:
+        contacts = contacts.withColumn("_slide", F.lit(0))
+    counts = type_counts(cells, slide)
+    sizes = counts.groupBy(*slide).agg(F.sum("n").alias("_cells"))
+    totals = contacts.groupBy(*slide).agg(F.sum("n_contacts").alias("_total"))
+    joined = _with_type_counts(contacts, counts, slide).join(sizes, slide).join(totals, slide)
+    share_a, share_b = F.col("n_a") / F.col("_cells"), F.col("n_b") / F.col("_cells")
+    return joined.select(
+        *by, "type_a", "type_b", "n_contacts", observed_over_expected("n_contacts", share_a, share_b, F.col("_total")).alias("oe")
     )
 
 
-def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
-    """Z-score of each type pair's contacts against shuffled labels.
+def neighbourhood_enrichment(cells: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
+    """Z-score of each type pair's contacts against shuffled labels, on each slide that ``by`` tells apart.
 
     Mean and standard deviation over all label permutations follow in closed form from the type counts, the number of
     contacts M and the number S of ordered contact pairs that share a cell, so no shuffling takes place: two contacts
     are the same, share one cell, or are disjoint, and each case has a known chance of carrying the labels.
     """
-    typed = cells.dropna(subset=["cell_type", "x", "y"])
-    counts = cut_lineage(type_counts(typed))  # one row per type
-    names = type_names(counts)
-    grid = typed.sparkSession.createDataFrame(
-        [(a, b) for i, a in enumerate(names) for b in names[i:]], "type_a string, type_b string"
-    )
+    typed, slide = _slides(cells.dropna(subset=["cell_type", "x", "y"]), by)
+    counts = cut_lineage(type_counts(typed, slide))  # one row per slide and type
+    type_names(counts.select("cell_type").distinct())
+    ends = {s: counts.select(*slide, F.col("cell_type").alias(f"type_{s}"), F.col("n").alias(f"n_{s}")) for s in ("a", "b")}
+    grid = ends["a"].join(ends["b"], slide).filter(F.col("type_a") <= F.col("type_b"))
 
-    points = cut_lineage(typed_points(typed))
-    pairs = neighbour_pairs(points, radius, "point", ["n", "cell_type"])
+    points = cut_lineage(typed_points(typed, slide))
+    pairs = neighbour_pairs(points, radius, "point", ["n", "cell_type"], slide)
 
     def seen_from(own: str, other: str) -> Column:
         return F.struct(
@@ -103,23 +111,23 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
         )
 
     # neighbours of each point by type: at most points x types rows, from which contacts and degrees both follow
-    alone = points.select("point", "n", F.col("cell_type").alias("near"), (F.col("n") - 1).alias("d"))
-    around = pairs.select(F.inline(F.array(seen_from("a", "b"), seen_from("b", "a")))).union(alone)
-    around = cut_lineage(around.groupBy("point", "n", "near").agg(F.sum("d").alias("d")))
+    alone = points.select(*slide, "point", "n", F.col("cell_type").alias("near"), (F.col("n") - 1).alias("d"))
+    around = pairs.select(*slide, F.inline(F.array(seen_from("a", "b"), seen_from("b", "a")))).union(alone)
+    around = cut_lineage(around.groupBy(*slide, "point", "n", "near").agg(F.sum("d").alias("d")))
     contacts = (
-        around.select(*_pair_types(F.col("point.cell_type"), F.col("near")), (F.col("n") * F.col("d")).alias("twice"))
-        .groupBy("type_a", "type_b").agg((F.sum("twice") / 2).cast("long").alias("n_contacts"))
+        around.select(*slide, *_pair_types(F.col("point.cell_type"), F.col("near")), (F.col("n") * F.col("d")).alias("twice"))
+        .groupBy(*slide, "type_a", "type_b").agg((F.sum("twice") / 2).cast("long").alias("n_contacts"))
     )
-    degree = around.groupBy("point", "n").agg(F.sum("d").alias("d"))
+    degree = around.groupBy(*slide, "point", "n").agg(F.sum("d").alias("d"))
     # n cells at a point have the same degree; long arithmetic would overflow on the products, so doubles
     d = F.col("d").cast("double")
-    sums = degree.agg((F.sum(F.col("n") * d) / 2).alias("m"), F.sum(F.col("n") * d * (d - 1)).alias("s"), F.sum("n").cast("double").alias("cells"))
-    graph = sums.select(F.struct("m", "s", "cells")).scalar()
-
-    full = _with_type_counts(grid, counts).join(contacts, ["type_a", "type_b"], "left").withColumn("g", graph)
+    sums = degree.groupBy(*slide).agg(
+        (F.sum(F.col("n") * d) / 2).alias("_m"), F.sum(F.col("n") * d * (d - 1)).alias("_s"), F.sum("n").cast("double").alias("_cells")
+    )
+    full = grid.join(contacts, [*slide, "type_a", "type_b"], "left").join(sums, slide)
     full = full.withColumn("observed", F.coalesce("n_contacts", F.lit(0)).cast("double"))
     a, b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    m, s, n = F.col("g.m"), F.col("g.s"), F.col("g.cells")
+    m, s, n = F.col("_m"), F.col("_s"), F.col("_cells")
 
     def falling(x: Column, k: int) -> Column:
         out = x
@@ -139,49 +147,50 @@ def neighbourhood_enrichment(cells: DataFrame, radius: float) -> DataFrame:
     )
     out = full.withColumn("mean", mean).withColumn("sd", F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))
     return out.select(
-        "type_a", "type_b", "observed", "mean", "sd", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")).alias("z")
+        *by, "type_a", "type_b", "observed", "mean", "sd", F.try_divide(F.col("observed") - F.col("mean"), F.col("sd")).alias("z")
     )
 
 
-def co_occurrence(cells: DataFrame, radii: Sequence[float]) -> DataFrame:
-    """P(type_a near type_b within d) / P(type_a) for each distance d; both orders of each pair.
+def co_occurrence(cells: DataFrame, radii: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """P(type_a near type_b within d) / P(type_a) for each distance d; both orders of each pair, on each slide.
 
     The chance is over the neighbours of cells of type_b, and the base rate is type_a's share of all cells.
     """
     radii = sorted(float(r) for r in radii)
+    cells, slide = _slides(cells, by)
     step = F.array_position(F.transform(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("distance") <= r), True)
     binned = (
-        typed_pairs(cells, radii[-1]).withColumn("step", step.cast("int"))
-        .groupBy("type_a", "type_b", "step").agg(F.sum("n").alias("n"))
+        typed_pairs(cells, radii[-1], slide).withColumn("step", step.cast("int"))
+        .groupBy(*slide, "type_a", "type_b", "step").agg(F.sum("n").alias("n"))
     )
 
     def direction(x: str, y: str) -> Column:
         return F.struct(F.col(x).alias("type_a"), F.col(y).alias("type_b"), F.col("step"), F.col("n"))
 
     # a pair within one type counts once for each of its two cells
-    both = binned.select(F.inline(F.array(direction("type_a", "type_b"), direction("type_b", "type_a"))))
-    both = both.groupBy("type_a", "type_b", "step").agg(F.sum("n").alias("n"))
-    reached = both.select("type_a", "type_b", "n", F.explode(F.sequence("step", F.lit(len(radii)))).alias("step"))
-    within = reached.groupBy("type_a", "type_b", "step").agg(F.sum("n").alias("n"))  # types x types x radii
-    around = within.groupBy("type_b", "step").agg(F.sum("n").alias("all"))
-    counts = type_counts(cells.dropna(subset=["x", "y"]))
-    n_cells = counts.agg(F.sum("n")).scalar()
-    share = counts.select(F.col("cell_type").alias("type_a"), (F.col("n") / n_cells).alias("share"))
+    both = binned.select(*slide, F.inline(F.array(direction("type_a", "type_b"), direction("type_b", "type_a"))))
+    both = both.groupBy(*slide, "type_a", "type_b", "step").agg(F.sum("n").alias("n"))
+    reached = both.select(*slide, "type_a", "type_b", "n", F.explode(F.sequence("step", F.lit(len(radii)))).alias("step"))
+    within = reached.groupBy(*slide, "type_a", "type_b", "step").agg(F.sum("n").alias("n"))  # slides x types x types x radii
+    around = within.groupBy(*slide, "type_b", "step").agg(F.sum("n").alias("all"))
+    counts = type_counts(cells.dropna(subset=["x", "y"]), slide)
+    sizes = counts.groupBy(*slide).agg(F.sum("n").alias("_cells"))
+    share = counts.join(sizes, slide).select(*slide, F.col("cell_type").alias("type_a"), (F.col("n") / F.col("_cells")).alias("share"))
     radius = F.element_at(F.array(*[F.lit(r) for r in radii]), F.col("step"))
-    return within.join(around, ["type_b", "step"]).join(share, "type_a").select(
-        "type_a", "type_b", radius.alias("radius"), F.try_divide(F.col("n") / F.col("all"), "share").alias("score")
+    return within.join(around, [*slide, "type_b", "step"]).join(share, [*slide, "type_a"]).select(
+        *by, "type_a", "type_b", radius.alias("radius"), F.try_divide(F.col("n") / F.col("all"), "share").alias("score")
     )
 
 
-def niche_features(cells: DataFrame, radius: float, types: Sequence[str]) -> DataFrame:
-    """Share of each type among a cell's typed neighbours; cells without neighbours have zeros."""
-    typed = cells.dropna(subset=["cell_type", "x", "y"])
-    graph = neighbour_graph(typed.select("cell_id", "x", "y", "cell_type"), radius, ["cell_type"])
+def niche_features(cells: DataFrame, radius: float, types: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Share of each type among a cell's typed neighbours on its slide; cells without neighbours have zeros."""
+    typed = cells.dropna(subset=["cell_type", "x", "y", *by])
+    graph = neighbour_graph(typed.select(*by, "cell_id", "x", "y", "cell_type"), radius, ["cell_type"], by)
     sums = [F.count_if(F.col("neighbour_cell_type") == t).alias(f"_{i}") for i, t in enumerate(types)]
-    counts = graph.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_neighbours"), *sums)
+    counts = graph.groupBy(*by, "cell_id").agg(F.count(F.lit(1)).alias("n_neighbours"), *sums)
     vector = F.array(*[F.coalesce(F.col(f"_{i}") / F.col("n_neighbours"), F.lit(0.0)) for i in range(len(types))])
-    return typed.select("cell_id").join(counts, "cell_id", "left").select(
-        "cell_id", F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"), vector.alias("features")
+    return typed.select(*by, "cell_id").join(counts, [*by, "cell_id"], "left").select(
+        *by, "cell_id", F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"), vector.alias("features")
     )
 
 

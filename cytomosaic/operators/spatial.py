@@ -78,34 +78,37 @@ def neighbour_graph(cells: DataFrame, radius: float, carry: Sequence[str] = (),
     return pairs.select(*by, F.inline(F.array(direction("a", "b"), direction("b", "a"))))
 
 
-def _within(queries: DataFrame, points: DataFrame, radius: float, rows_per_slice: int = 5_000) -> DataFrame:
-    """(query_id, ref_id, distance) of every point at most ``radius`` from a query, the query itself left out."""
+def _within(queries: DataFrame, points: DataFrame, radius: float, by: Sequence[str] = (), rows_per_slice: int = 5_000) -> DataFrame:
+    """(by, query_id, ref_id, distance) of every point at most ``radius`` from a query, the query itself left out."""
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     q = queries.select(
-        F.col("cell_id").alias("query_id"), F.col("x").alias("_qx"), F.col("y").alias("_qy"), F.explode(around).alias("_s")
+        *by, F.col("cell_id").alias("query_id"), F.col("x").alias("_qx"), F.col("y").alias("_qy"), F.explode(around).alias("_s")
     ).select(
-        "query_id", "_qx", "_qy", (_tile(F.col("_qx"), radius) + F.col("_s.dx")).alias("_tx"), (_tile(F.col("_qy"), radius) + F.col("_s.dy")).alias("_ty")
+        *by, "query_id", "_qx", "_qy", (_tile(F.col("_qx"), radius) + F.col("_s.dx")).alias("_tx"), (_tile(F.col("_qy"), radius) + F.col("_s.dy")).alias("_ty")
     )
     p = points.select(
-        F.col("cell_id").alias("ref_id"), F.col("x").alias("_px"), F.col("y").alias("_py"),
+        *by, F.col("cell_id").alias("ref_id"), F.col("x").alias("_px"), F.col("y").alias("_py"),
         _tile(F.col("x"), radius).alias("_tx"), _tile(F.col("y"), radius).alias("_ty"),
     )
-    met = sliced_join(q, p, ["_tx", "_ty"], F.col("query_id"), F.col("ref_id"), rows_per_slice)
+    met = sliced_join(q, p, [*by, "_tx", "_ty"], F.col("query_id"), F.col("ref_id"), rows_per_slice)
     return met.filter(F.col("query_id") != F.col("ref_id")).select(
-        "query_id", "ref_id", F.hypot(F.col("_qx") - F.col("_px"), F.col("_qy") - F.col("_py")).alias("distance")
+        *by, "query_id", "ref_id", F.hypot(F.col("_qx") - F.col("_px"), F.col("_qy") - F.col("_py")).alias("distance")
     ).filter(F.col("distance") <= radius)
 
 
-def nearest_graph(cells: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """The ``k`` nearest other cells of each cell: (cell_id, neighbour_id, distance, place), ties by id.
+def nearest_graph(cells: DataFrame, k: int, radius: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` nearest other cells of each cell: (by, cell_id, neighbour_id, distance, place), ties by id.
+
+    Columns in ``by`` (the slide, say) must be equal on both sides.
 
     A cell with ``k`` others inside a radius has its nearest ones among those. The others are tried again with twice the
     radius, so the work follows the local density and the result is exact. The number of rounds is at most the logarithm
     of the tissue's extent over the first radius, which is guessed from the densest part.
     """
-    cells = cells.select("cell_id", "x", "y").dropna()
+    by = list(by)
+    cells = cells.select(*by, "cell_id", "x", "y").dropna()
     # of cells in one spot only the first ids can be chosen by any cell, so the others need not be offered
-    spot = F.row_number().over(W.Window.partitionBy("x", "y").orderBy("cell_id"))
+    spot = F.row_number().over(W.Window.partitionBy(*by, "x", "y").orderBy("cell_id"))
     points = cut_lineage(cells.withColumn("_spot", spot).filter(F.col("_spot") <= k + 1).drop("_spot"))
     x0, x1, y0, y1, n = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
     width, height = (x1 or 0) - (x0 or 0), (y1 or 0) - (y0 or 0)
@@ -113,28 +116,28 @@ def nearest_graph(cells: DataFrame, k: int, radius: float | None = None) -> Data
     if radius is None:
         area = max(width * height, 1e-12)
         radius = min(max(1.5 * math.sqrt(area * (k + 1) / (math.pi * max(n, 1))), extent * 1e-6), extent)
-        tiles = points.groupBy(_tile(F.col("x"), radius).alias("_tx"), _tile(F.col("y"), radius).alias("_ty"))
+        tiles = points.groupBy(*by, _tile(F.col("x"), radius).alias("_tx"), _tile(F.col("y"), radius).alias("_ty"))
         densest = tiles.agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 1
         # start where the densest tile holds a few times what is needed; sparse places take further rounds
         radius = max(radius * min(1.0, math.sqrt(8 * (k + 1) / densest)), extent * 1e-6)
-    order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
+    order = W.Window.partitionBy(*by, "query_id").orderBy("distance", "ref_id")
     left, done = cells, []
     while True:
-        ranked = _within(left, points, radius).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        ranked = _within(left, points, radius, by).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
         ranked = cut_lineage(ranked)
-        complete = ranked.filter(F.col("place") == k).select("query_id")
+        complete = ranked.filter(F.col("place") == k).select(*by, "query_id")
         if radius >= extent:  # every other cell has been seen
             done.append(ranked)
             break
-        done.append(ranked.join(complete, "query_id", "left_semi"))
-        left = cut_lineage(left.join(complete.withColumnRenamed("query_id", "cell_id"), "cell_id", "left_anti"))
+        done.append(ranked.join(complete, [*by, "query_id"], "left_semi"))
+        left = cut_lineage(left.join(complete.withColumnRenamed("query_id", "cell_id"), [*by, "cell_id"], "left_anti"))
         if left.isEmpty():
             break
         radius = min(2 * radius, extent)
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
-    return out.select(F.col("query_id").alias("cell_id"), F.col("ref_id").alias("neighbour_id"), "distance", "place")
+    return out.select(*by, F.col("query_id").alias("cell_id"), F.col("ref_id").alias("neighbour_id"), "distance", "place")
 
 
 def patch_counts(transcripts: DataFrame, region: Sequence[float] | None = None, width: float = PATCH_WIDTH,
@@ -249,10 +252,11 @@ def transfer_labels(query: DataFrame, reference: DataFrame, labels: DataFrame, t
                     unmatched: str = UNMATCHED) -> DataFrame:
     """Label of the best overlapping reference polygon for every query polygon: (query_cell_id, transferred_identity).
 
-    If that polygon has no label the query cell is unmatched, even if a smaller overlap had one.
+    If that polygon has no label the query cell is unmatched, even if a smaller overlap had one. Of a cell listed with
+    several labels the first in text order counts.
     """
     best = best_overlap(overlap_pairs(query, reference, tile))
-    by_id = labels.select(F.col("cell_id").cast("string").alias("_key"), F.col("label").cast("string").alias("label"))
+    by_id = labels.groupBy(F.col("cell_id").cast("string").alias("_key")).agg(F.min(F.col("label").cast("string")).alias("label"))
     named = best.join(by_id, F.col("ref_id").cast("string") == F.col("_key"), "left").select("query_id", "label")
     return query.select(F.col("cell_id").alias("query_id")).join(named, "query_id", "left").select(
         F.col("query_id").alias("query_cell_id"), F.coalesce("label", F.lit(unmatched)).alias("transferred_identity")
@@ -278,7 +282,10 @@ def cells_in_rois(cells: DataFrame, rois: DataFrame, tile: float | None = None,
     placed = cells.select("cell_id", F.col("x").alias("_x"), (F.col("y") * y_sign).alias("_y"))
     placed = placed.withColumn("_tx", _tile(F.col("_x"), tile)).withColumn("_ty", _tile(F.col("_y"), tile))
     inside = F.col("_x").between(F.col("_x0"), F.col("_x1")) & F.col("_y").between(F.col("_y0"), F.col("_y1"))
-    hits = placed.join(tiled, ["_tx", "_ty"]).filter(inside & G.strictly_inside("_x", "_y", "_edges"))
+    # boxes meet cells by ids alone; a tile with many of both is cut into slices
+    regions = tiled.select("_tx", "_ty", "cls", "name", "_edges", "_x0", "_x1", "_y0", "_y1")
+    met = sliced_join(placed, regions, ["_tx", "_ty"], F.col("cell_id"), F.struct("cls", "name"))
+    hits = met.filter(inside & G.strictly_inside("_x", "_y", "_edges"))
     return hits.select("cell_id", "cls", "name").distinct()
 
 

@@ -66,18 +66,25 @@ def array_mean(values: Column | str) -> Column:
 class Resampling:
     """Index draws shared by all features; they depend only on the group sizes and the seed."""
 
-    exact: bool
+    mode: str  # exact or random
     splits: np.ndarray  # one relabelling of all samples per row, group A's places first
     boot_a: np.ndarray
     boot_b: np.ndarray
 
 
-def draw(n_a: int, n_b: int, n_perm: int, n_boot: int, seed: int = SEED) -> Resampling:
-    """All ways to split when there are at most ``n_perm`` of them, else random ones; then the bootstrap draws."""
+def draw(n_a: int, n_b: int, n_perm: int, n_boot: int, seed: int = SEED, mode: str = "auto") -> Resampling:
+    """The relabellings, then the bootstrap draws.
+
+    ``mode``: ``exact`` takes all ways to split, ``random`` takes ``n_perm`` random ones, and ``auto`` is exact if there are
+    at most ``n_perm`` ways, else random. The result's ``mode`` says which it was.
+    """
+    if mode not in ("exact", "random", "auto"):
+        raise ValueError(f"unknown mode {mode!r}")
     rng = np.random.default_rng(seed)
     n = n_a + n_b
-    exact = math.comb(n, n_a) <= n_perm
-    if exact:
+    if mode == "auto":
+        mode = "exact" if math.comb(n, n_a) <= n_perm else "random"
+    if mode == "exact":
         chosen = itertools.combinations(range(n), n_a)
         splits = np.array([[*c, *sorted(set(range(n)).difference(c))] for c in chosen])
     else:
@@ -85,7 +92,7 @@ def draw(n_a: int, n_b: int, n_perm: int, n_boot: int, seed: int = SEED) -> Resa
     boots = [(rng.choice(n_a, n_a, replace=True), rng.choice(n_b, n_b, replace=True)) for _ in range(n_boot)]
     boot_a = np.array([a for a, _ in boots], dtype=int).reshape(n_boot, n_a)
     boot_b = np.array([b for _, b in boots], dtype=int).reshape(n_boot, n_b)
-    return Resampling(exact, splits, boot_a, boot_b)
+    return Resampling(mode, splits, boot_a, boot_b)
 
 
 def _mean_gap(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -95,10 +102,13 @@ def _mean_gap(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def resampling_tests(wide: DataFrame, draws: Resampling, alpha: float = 0.05) -> DataFrame:
     """Add ``obs_diff`` (mean A - mean B), ``perm_pval`` and the bootstrap interval of the difference.
 
-    Features are independent, so this is one pass without a shuffle. What travels to the tasks is the draws:
-    (permutations + bootstraps) x samples integers, set by the arguments and not by the data.
+    Features are independent. What travels to the tasks is the draws: (permutations + bootstraps) x samples integers, set
+    by the arguments and not by the data. A row costs as many means as there are draws, so the few partitions that a pivot
+    leaves are dealt out over all tasks first.
     """
-    shipped = wide.sparkSession.sparkContext.broadcast((draws.exact, draws.splits, draws.boot_a, draws.boot_b))
+    spark = wide.sparkSession
+    wide = wide.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    shipped = wide.sparkSession.sparkContext.broadcast((draws.mode == "exact", draws.splits, draws.boot_a, draws.boot_b))
     n_boot = len(draws.boot_a)
     added = [T.StructField("obs_diff", T.DoubleType()), T.StructField("perm_pval", T.DoubleType())]
     if n_boot:
@@ -253,17 +263,25 @@ def compare_conditions(
     n_boot: int = 2_000,
     fdr_alpha: float = 0.05,
     min_presence: int = 2,
+    perm_mode: str = "auto",
 ) -> DataFrame:
     """Every feature present in both conditions, with effect size, permutation and rank-sum tests and their FDRs.
 
-    ``fdr_alpha`` sets the level of the bootstrap interval.
+    ``fdr_alpha`` sets the level of the bootstrap interval, ``perm_mode`` how relabellings are chosen (see ``draw``); the
+    column ``perm_mode`` tells which way was taken. A condition without samples gives an empty result.
     """
     features, n_a, n_b = list(features), len(samples_a), len(samples_b)
+    interval = ["bootstrap_ci_lo", "bootstrap_ci_hi"] if n_boot else []
     if not n_a or not n_b:
-        raise ValueError(f"no samples for {cond_a if not n_a else cond_b}")
+        types = dict(metrics.dtypes)
+        doubles = [f"mean_{cond_a}", f"mean_{cond_b}", "log2FC", "obs_diff", "perm_pval", "perm_FDR", *interval, "wilcox_pval", "wilcox_FDR"]
+        columns = [f"`{c}` {types[c]}" for c in features] + [f"`{c}` double" for c in doubles]
+        columns += ["perm_mode string", f"`presence_{cond_a}` int", f"`presence_{cond_b}` int"]
+        return metrics.sparkSession.createDataFrame([], ", ".join(columns))
+    draws = draw(n_a, n_b, n_perm, n_boot, mode=perm_mode)
     kept = presence_filter(wide_values(metrics, features, samples_a, samples_b, metric), n_a, n_b, min_presence)
     means = kept.withColumn("mean_a", array_mean("va")).withColumn("mean_b", array_mean("vb"))
-    tested = resampling_tests(rank_sum_test(means, n_a, n_b), draw(n_a, n_b, n_perm, n_boot), fdr_alpha)
+    tested = resampling_tests(rank_sum_test(means, n_a, n_b), draws, fdr_alpha)
     # the rates below read this table several times: write it once, one row per feature
     tested = cut_lineage(tested)
     # both kinds of p-value are rated in one pass, each as a group of its own
@@ -275,7 +293,6 @@ def compare_conditions(
     for kind in ("perm", "wilcox"):
         of_kind = rates.filter(F.col("kind") == kind).select(F.col("p").alias(f"{kind}_pval"), F.col("rate").alias(f"{kind}_FDR"))
         rated = rated.join(of_kind, f"{kind}_pval", "left")
-    interval = ["bootstrap_ci_lo", "bootstrap_ci_hi"] if n_boot else []
     return rated.select(
         *features,
         F.col("mean_a").alias(f"mean_{cond_a}"),
@@ -287,6 +304,7 @@ def compare_conditions(
         *interval,
         "wilcox_pval",
         "wilcox_FDR",
+        F.lit(draws.mode).alias("perm_mode"),
         n_present("va").alias(f"presence_{cond_a}"),
         n_present("vb").alias(f"presence_{cond_b}"),
     )

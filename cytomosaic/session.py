@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_root: list[str] = []
+_made: list[str] = []
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,27 +26,43 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    atexit.register(_clear_at_exit, spark)
     return spark
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
+def _clear_at_exit(spark: SparkSession) -> None:
+    """Clears stage folders if the session still runs."""
+    if spark.sparkContext._jsc is not None:
+        clear_stages(spark)
 
-    Only where that setting is missing, as in local tests, a temporary folder is made and used instead.
-    """
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``); where that is not set, a folder in the warehouse."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _local_root:
-        _local_root.append(tempfile.mkdtemp(prefix="cytomosaic-"))
-    return _local_root[0]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the shared root; nothing is created."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder name under the shared root; nothing is created. ``clear_stages`` deletes it."""
+    path = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete what was written under names from ``shared_folder``; tables that still read from there are lost.
+
+    To be called when a job's results are written elsewhere. Returns how many folders were there.
+    """
+    deleted = 0
+    while _made:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        deleted += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return deleted
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

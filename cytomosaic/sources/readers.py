@@ -32,6 +32,59 @@ def _listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return [(f.getPath().toString(), f.getModificationTime()) for f in found]
 
 
+def _files(spark: SparkSession, paths: Sequence[str], recursive: bool = False, name: str = "*") -> list[str]:
+    """The data files that paths or globs lead to; a folder stands for its files, with ``recursive`` on all levels."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: list[str] = []
+    for path in paths:
+        start = jvm.org.apache.hadoop.fs.Path(path)
+        system = start.getFileSystem(conf)
+        for top in system.globStatus(start) or []:
+            if top.isFile():
+                found.append(top.getPath().toString())
+                continue
+            listed = system.listFiles(top.getPath(), recursive)
+            matching = jvm.org.apache.hadoop.fs.GlobPattern(name)
+            while listed.hasNext():
+                entry = listed.next().getPath()
+                if not entry.getName().startswith(("_", ".")) and matching.matches(entry.getName()):
+                    found.append(entry.toString())
+    return sorted(found)
+
+
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a text file, unpacked if its name says that it is packed; None for an empty file."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(conf).open(place)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+    try:
+        plain = stream if codec is None else codec.createInputStream(stream)
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
+
+
+def read_csv_by_name(spark: SparkSession, files: Sequence[str]) -> list[DataFrame]:
+    """CSV files with header lines, one scan for each kind of header, so that columns go by name and not by place.
+
+    The driver reads one line of each file. A scan of files with different headers would take the first one's names for all.
+    """
+    groups: dict[str, list[str]] = {}
+    for path in files:
+        header = _first_line(spark, path)
+        if header is not None:
+            groups.setdefault(header, []).append(path)
+    return [spark.read.csv(paths, header=True) for _, paths in sorted(groups.items())]
+
+
+def _stacked(spark: SparkSession, parts: Sequence[DataFrame], schema: str) -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _no_nan(name: str) -> Column:
     return F.nanvl(F.col(name), F.lit(None).cast("double")).alias(name)
 
@@ -151,7 +204,7 @@ def parse_samples(specs: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def read_ccc_edges(spark: SparkSession, root: str, samples: Sequence[str], use_all: bool = False) -> DataFrame:
-    """``output/<sample>/*_<sample>_<kind>.csv`` of all samples in one scan, with a ``sample`` column."""
+    """``output/<sample>/*_<sample>_<kind>.csv`` of all samples with a ``sample`` column; files may order columns differently."""
     kind = ALL_EDGES if use_all else TOP_EDGES
     paths = []
     for s in samples:
@@ -159,12 +212,13 @@ def read_ccc_edges(spark: SparkSession, root: str, samples: Sequence[str], use_a
         if not _exists(spark, glob):
             raise FileNotFoundError(f"no edge file {glob}")
         paths.append(glob)
-    raw = spark.read.csv(paths, header=True)  # columns by name: their order differs between versions of the format
     sample = F.regexp_extract(F.col("_metadata.file_path"), r"/output/([^/]+)/", 1)
-    return raw.select(
-        F.url_decode(sample).alias("sample"), "from_cell", "to_cell", "ligand", "receptor",
+    columns = [
+        F.url_decode(sample).alias("sample"), *[F.col(c) for c in ("from_cell", "to_cell", "ligand", "receptor")],
         F.col("attention_score").cast("double").alias("attention_score"),
-    )
+    ]
+    parts = [raw.select(*columns) for raw in read_csv_by_name(spark, _files(spark, paths))]
+    return _stacked(spark, parts, "sample string, " + S.CCC_EDGES)
 
 
 def read_barcodes(spark: SparkSession, root: str, samples: Sequence[str]) -> DataFrame:
@@ -195,17 +249,17 @@ def read_annotations(spark: SparkSession, folder: str, samples: Sequence[str], c
 
     Samples without a file have no rows. A barcode listed twice keeps its last entry.
     """
-    out = spark.createDataFrame([], "sample string, cell_id string, cell_type string")
-    for s in samples:
-        path = f"{folder.rstrip('/')}/{s}_annotation.csv"
-        if _exists(spark, path):
-            raw = spark.read.csv(path, header=True)
-            key, *rest = raw.columns
-            used = column if column in rest else rest[0]
-            rows = raw.select(F.col(f"`{key}`").alias("cell_id"), F.col(f"`{used}`").alias("cell_type"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"))
-            last = rows.groupBy("cell_id").agg(F.max_by("cell_type", "_at").alias("cell_type"))
-            out = out.union(last.select(F.lit(s).alias("sample"), "cell_id", "cell_type"))
-    return out
+    paths = [p for p in (f"{folder.rstrip('/')}/{s}_annotation.csv" for s in samples) if _exists(spark, p)]
+    sample = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)_annotation\.csv(/|$)", 1))
+    parts = []
+    for raw in read_csv_by_name(spark, _files(spark, paths)):
+        key, *rest = raw.columns
+        used = column if column in rest else rest[0]
+        parts.append(raw.select(
+            sample.alias("sample"), F.col(f"`{key}`").alias("cell_id"), F.col(f"`{used}`").alias("cell_type"), _line_place().alias("_at")
+        ))
+    rows = _stacked(spark, parts, "sample string, cell_id string, cell_type string, _at int")
+    return rows.groupBy("sample", "cell_id").agg(F.max_by("cell_type", "_at").alias("cell_type"))
 
 
 # --- labels, segmentation, regions -----------------------------------------------------------------------------------
@@ -226,18 +280,21 @@ def read_labels(spark: SparkSession, path: str, column: str | None = None, stric
 
 
 def read_segmentation(spark: SparkSession, root: str, name: str = SEGMENTATION_FILE) -> DataFrame:
-    """All ``segmentation.csv`` files below a folder: (cell_id, gene, x, y), unassigned molecules left out."""
-    raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-        .csv(root, header=True)
-    )
-    if "cell" not in raw.columns:
-        raise KeyError(f"column cell not found; available: {raw.columns}")
-    xs, ys = ("x" if "x" in raw.columns else "x_location"), ("y" if "y" in raw.columns else "y_location")
-    gene = F.col("gene") if "gene" in raw.columns else F.lit(None).cast("string")
-    return raw.filter(F.col("cell").isNotNull()).select(
-        F.col("cell").cast("string").alias("cell_id"), gene.alias("gene"), F.col(xs).cast("double").alias("x"), F.col(ys).cast("double").alias("y")
-    )
+    """All ``segmentation.csv`` files below a folder: (cell_id, gene, x, y), unassigned molecules left out.
+
+    Files may differ in layout: coordinates are ``x``, ``y`` or ``x_location``, ``y_location``, and a gene column may lack.
+    """
+    parts = []
+    for raw in read_csv_by_name(spark, _files(spark, [root], recursive=True, name=name)):
+        if "cell" not in raw.columns:
+            raise KeyError(f"column cell not found; available: {raw.columns}")
+        xs, ys = ("x" if "x" in raw.columns else "x_location"), ("y" if "y" in raw.columns else "y_location")
+        gene = F.col("gene") if "gene" in raw.columns else F.lit(None).cast("string")
+        parts.append(raw.filter(F.col("cell").isNotNull()).select(
+            F.col("cell").cast("string").alias("cell_id"), gene.alias("gene"),
+            F.col(xs).cast("double").alias("x"), F.col(ys).cast("double").alias("y"),
+        ))
+    return _stacked(spark, parts, "cell_id string, gene string, x double, y double")
 
 
 def read_geojson_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -316,7 +373,7 @@ def read_links(spark: SparkSession, path: str, source: str, target: str, names:
 def read_run_params(spark: SparkSession, root: str) -> DataFrame:
     """Parameters of every run below a folder; fields a run lacks are NULL."""
     raw = spark.read.schema(S.RUN_PARAMS).json(f"{root.rstrip('/')}/*/{RUN_FILE}", multiLine=True)
-    run = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{RUN_FILE}$", 1)
+    run = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{RUN_FILE}(/|$)", 1)
     return raw.select(F.url_decode(run).alias("run"), *raw.columns)
 
 

@@ -185,6 +185,17 @@ def metrics_from_files(t: Tables):
     return rounded(out, "mean_attention")
 
 
+@query("SELECT sample, from_cell, to_cell, ligand, receptor, round(attention_score, 6) AS attention_score FROM edges", ("edges",))
+def edges_mixed_headers(t: Tables):
+    """Edge files whose columns stand in another order for every other sample."""
+    root = folder(t, "ccc")
+    columns = ["from_cell", "to_cell", "ligand", "receptor", "attention_score"]
+    for i, s in enumerate(SIX):
+        order = columns if i % 2 else ["to_cell", "attention_score", "from_cell", "receptor", "ligand"]
+        t.edges.filter(F.col("sample") == s).select(*order).write.option("header", True).csv(f"{root}/output/{s}/run_{s}_allCCC.csv")
+    return rounded(R.read_ccc_edges(t.spark, root, SIX, use_all=True), "attention_score")
+
+
 @query(TYPED + """ SELECT sample, condition, lr_pair, sender_type, receiver_type, n_edges, normalized_freq, round(mean_attention, 6) AS mean_attention
        FROM metrics""", ("edges", "samples", "cells"))
 def celltype_metrics_from_files(t: Tables):
@@ -197,7 +208,7 @@ def celltype_metrics_from_files(t: Tables):
 @query(METRICS + " SELECT sample, lr_pair, n_edges FROM metrics", ("edges", "samples"))
 def comparison_job(t: Tables):
     """The whole comparison with its result tables written; the metrics table read back."""
-    done = comparison.compare(t.edges, t.samples, t.cells.select("cell_id", "cell_type"), n_boot=200)
+    done = comparison.compare(t.edges, t.samples, t.cells.select("cell_id", "cell_type"))
     base = folder(t, "results")
     K.write_comparison(done, base)
     K.write_stacked(done.pairs, f"{base}/stacked")
@@ -224,6 +235,19 @@ def segmentation_job(t: Tables):
     return rounded(out, "x", "y")
 
 
+@query("SELECT cell_id, CASE WHEN CAST(substr(gene, 2) AS INT) % 3 <> 2 THEN gene END AS gene, round(x, 6) AS x, round(y, 6) AS y FROM transcripts "
+       "WHERE cell_id IS NOT NULL", ("transcripts",))
+def segmentation_mixed(t: Tables):
+    """Molecule files of three layouts: two names of the coordinates, and one file without genes."""
+    base = folder(t, "segmentation")
+    layouts = [["cell", "gene", "x", "y"], ["y_location", "x_location", "gene", "cell"], ["x", "y", "cell"]]
+    rows = t.transcripts.select(F.col("cell_id").alias("cell"), "gene", "x", "y", F.col("x").alias("x_location"), F.col("y").alias("y_location"))
+    for i, layout in enumerate(layouts):
+        part = rows.filter(F.substring("gene", 2, 9).cast("int") % 3 == i).select(*layout)
+        part.write.option("header", True).csv(f"{base}/tile{i}/deep/segmentation")
+    return rounded(R.read_segmentation(t.spark, base, name="*.csv"), "x", "y")
+
+
 @query("""--more
 boxes AS (SELECT sample, CAST(substr(sample, 2) AS INT) AS o, min(x) AS x0, max(x) AS x1, min(y) AS y0 FROM cells WHERE sample < 's3' GROUP BY sample),
 offsets AS (SELECT sample, coalesce(sum(x1 - x0 + 200) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - x0 AS dx, 0 - y0 AS dy FROM boxes),
@@ -324,6 +348,56 @@ def transfer_job(t: Tables):
     return rounded(shares, "percent")
 
 
+@query("SELECT cell_id AS query_cell_id, coalesce(cell_type, 'Unassigned') AS transferred_identity FROM cells", ("cells",))
+def transferred_identities(t: Tables):
+    """The written identities read back; outlines against themselves."""
+    outlines = t.boundaries.filter("kind = 'ref'")
+    identities, _, _ = convert.transfer_identities(outlines, outlines, t.cells.select("cell_id", F.col("cell_type").alias("label")))
+    path = K.write_transferred(identities, folder(t, "identities"))
+    return t.spark.read.csv(path, header=True)
+
+
+@query("""SELECT cls, name, CAST(i - 1 AS INT) AS vertex_ord, x, y FROM (
+       SELECT 'tissue' AS cls, sample AS name, [x0, x1, x1, x0] AS xs, [y0, y0, y1, y1] AS ys FROM
+       (SELECT sample, min(x) AS x0, max(x) AS x1, -max(y) AS y0, -min(y) AS y1 FROM cells GROUP BY sample)) r,
+       (SELECT unnest(range(1, 5)) AS i) v, LATERAL (SELECT xs[i] AS x, ys[i] AS y) p""", ("cells",))
+def read_rois(t: Tables):
+    """A region around each sample's cells, written as JSON and read back."""
+    box = t.cells.groupBy("sample").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), (-F.max("y")).alias("y0"), (-F.min("y")).alias("y1"))
+    corners = F.array(F.array("x0", "y0"), F.array("x1", "y0"), F.array("x1", "y1"), F.array("x0", "y1"))
+    path = folder(t, "rois")
+    listed = F.collect_list(F.struct(F.lit("tissue").alias("cls"), F.col("sample").alias("name"), corners.alias("polygon_xy")))
+    box.agg(F.to_json(listed).alias("value")).write.text(path)  # one array, as a drawing tool saves it
+    rois = R.read_rois(t.spark, path)
+    return rois.select("cls", "name", F.posexplode("ring").alias("vertex_ord", "v")).select("cls", "name", "vertex_ord", "v.x", "v.y")
+
+
+@query("SELECT sample AS run, 'seg' AS tool, 'p' || sample AS param_tag, CAST(NULL AS VARCHAR) AS dataset_hash, count(*) AS n_cells, min(x) AS x_min, "
+       "max(x) AS x_max, min(y) AS y_min, CAST(NULL AS DOUBLE) AS y_max FROM cells GROUP BY sample", ("cells",))
+def read_run_params(t: Tables):
+    """One parameter file for each sample's run; fields that it lacks are null."""
+    runs = t.cells.groupBy("sample").agg(F.count(F.lit(1)).alias("n_cells"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"))
+    base = folder(t, "runs")
+    said = F.to_json(F.struct(F.lit("seg").alias("tool"), F.concat(F.lit("p"), "sample").alias("param_tag"), "n_cells", "x_min", "x_max", "y_min"))
+    for s in SIX:
+        runs.filter(F.col("sample") == s).select(said.alias("value")).coalesce(1).write.text(f"{base}/{s}/{R.RUN_FILE}")
+    return R.read_run_params(t.spark, base)
+
+
+@query("SELECT true AS refused, count(*) AS n, count(*) FILTER (WHERE cell_area < 100) AS n_after FROM cells", ("cells",))
+def overwrite_guard(t: Tables):
+    """A second write is refused and leaves the first; with leave to overwrite it replaces it."""
+    path = K.write_table(t.cells, folder(t, "guarded"))
+    try:
+        K.write_table(t.cells.limit(0), path)
+        refused = False
+    except Exception as error:
+        refused = "ALREADY_EXISTS" in str(error).upper() or "already exists" in str(error)
+    n = t.spark.read.parquet(path).count()
+    K.write_table(t.cells.filter("cell_area < 100"), path, overwrite=True)
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_after")).select(F.lit(refused).alias("refused"), F.lit(n).cast("long").alias("n"), "n_after")
+
+
 @query("SELECT cell_id, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y FROM cells WHERE cell_area < 100", ("cells",))
 def export_geometry(t: Tables):
     at, _ = K.export_geometry(t.cells.filter("cell_area < 100"), t.boundaries)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cytomosaic.operators import deconvolve as D
@@ -47,19 +49,34 @@ def zscore(t: Tables):
     return rounded(M.z_scores(normal(t), t.cells), "value", "zero_score")
 
 
+@query(NORMAL + """,
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells),
+odd AS (SELECT gene, avg(value) * count(*) / (SELECT n FROM n) AS mean,
+               sqrt((var_pop(value) * count(*) + avg(value) * avg(value) * count(*) * ((SELECT n FROM n) - count(*)) / (SELECT n FROM n)) / (SELECT n FROM n)) AS sd
+        FROM normal GROUP BY gene)
+SELECT v.gene, count(*) AS n, round(sum((value - mean) / sd), 3) AS total FROM normal v JOIN odd m ON m.gene = v.gene GROUP BY v.gene""",
+       ("expr", "genes", "cells"))
+def zscore_constant_gene(t: Tables):
+    """Two genes that every cell has at one value, 3.7 and log1p(1234.567), join the rest: they have no score and drop out."""
+    level = F.explode(F.array(*[F.struct(F.lit(g).alias("gene"), F.lit(v).alias("value")) for g, v in (("same", 3.7), ("same2", math.log1p(1234.567)))]))
+    constant = t.cells.select("cell_id", level.alias("s")).select("cell_id", "s.gene", "s.value")
+    scores = M.z_scores(normal(t).union(constant), t.cells)
+    return rounded(scores.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total", digits=3)
+
+
 EVEN = "CAST(substr(cell_id, 2) AS BIGINT) % 2 = 0"
 
 
 @query(f"""--more
 ref AS (SELECT * FROM expr WHERE {EVEN}),
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cells WHERE {EVEN}),
-pool AS (SELECT gene, ord FROM genes WHERE ord >= 20 ORDER BY ord LIMIT 30),
+pool AS (SELECT gene, ord FROM genes WHERE ord >= 20),
 spread AS (SELECT p.gene, p.ord, coalesce((sum(value * value) - sum(value) * sum(value) / (SELECT n FROM n)) / ((SELECT n FROM n) - 1), 0) AS variance
            FROM pool p LEFT JOIN ref r ON r.gene = p.gene GROUP BY p.gene, p.ord)
 SELECT gene, ord, round(variance, 9) AS variance FROM spread ORDER BY spread.variance DESC, ord LIMIT 10""", ("expr", "genes", "cells"))
 def hvg_top(t: Tables):
     n = t.cells.filter(EVEN).agg(F.count(F.lit(1))).scalar()
-    out = G.variable_genes(t.genes, t.genes.filter("ord < 20"), t.expr.filter(EVEN), n, 30, 10)
+    out = G.variable_genes(t.genes, t.genes.filter("ord < 20"), t.expr.filter(EVEN), n, top=10)
     return rounded(out, "variance", digits=9)
 
 
@@ -219,16 +236,28 @@ def scores(t: Tables):
     return M.pca(vectors, 64)
 
 
-@query()
+@query("""--more
+long AS (SELECT vec_id, i, embedding[i] AS v FROM vectors, (SELECT unnest(range(1, 65)) AS i)),
+cov AS (SELECT a.i, b.i AS j, covar_pop(a.v, b.v) AS c FROM long a JOIN long b ON b.vec_id = a.vec_id GROUP BY a.i, b.i)
+SELECT CAST(64 AS BIGINT) AS n_components, round(sum(c) FILTER (WHERE i = j), 6) AS total, round(sum(c * c), 6) AS total_squares, true AS falling FROM cov""",
+       ("vectors",))
 def principal_components(t: Tables):
-    """Variance of each component, measured on the projected rows."""
-    projected = scores(t)[0].select(F.posexplode("features").alias("component", "v"))
-    return projected.groupBy("component").agg(F.var_pop("v").alias("variance"), F.avg("v").alias("mean"))
+    """All components: the variances of the projected rows fall, add up to the trace, and their squares to that of the square."""
+    vectors = t.vectors.select(F.col("vec_id").cast("string").alias("cell_id"), F.col("embedding").alias("features"))
+    found = M.moments(vectors, 64)
+    projected = M.project(vectors, M.components(found.covariance, 64)[1], found.mean).select(F.posexplode("features").alias("component", "v"))
+    spread = projected.groupBy("component").agg(F.var_pop("v").alias("variance"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("component", "variance"))), lambda s: s.variance)
+    out = spread.agg(F.count(F.lit(1)).alias("n_components"), F.sum("variance").alias("total"), F.sum(F.col("variance") * F.col("variance")).alias("total_squares"), listed.alias("v"))
+    falls = F.forall(F.arrays_zip(F.slice("v", 2, 63).alias("b"), F.slice("v", 1, 63).alias("a")), lambda p: p["b"] <= p["a"] * (1 + 1e-9))
+    return rounded(out.withColumn("falling", falls).drop("v"), "total", "total_squares")
 
 
-@query()
+@query("SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_misplaced, true AS few_groups FROM vectors", ("vectors",))
 def kmeans(t: Tables):
-    return M.cluster(scores(t)[0]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """Every row has a group, none is nearer to another group's centre, and every label has a centre."""
+    rows = cut_lineage(scores(t)[0])
+    return M.misplaced(rows, *M.fit_clusters(rows))
 
 
 @query("""--more
@@ -321,12 +350,17 @@ def corrected_layer(t: Tables):
     return rounded(corrected(t)[0].filter(F.col("layer") == G.CORRECTED).select("cell_id", "gene", "value"), "value")
 
 
-@query()
+@query(AMBIENT.replace("{keep}", "false").replace("SELECT cell_id, gene, round(value, 6) AS value FROM cleaned WHERE value > 0", f""",
+enough AS (SELECT cell_id FROM known GROUP BY cell_id HAVING sum(value) >= 2)
+SELECT (SELECT count(*) FROM cells WHERE NOT {EVEN}) AS n_cells,
+       (SELECT count(*) FROM cells WHERE NOT {EVEN} AND cell_id NOT IN (SELECT cell_id FROM cleaned WHERE value > 0 AND cell_id IN (SELECT cell_id FROM enough))) AS n_without,
+       round(sum(value), 3) AS total FROM cleaned WHERE value > 0 AND cell_id IN (SELECT cell_id FROM enough)"""), ("expr", "cells"))
 def correction_job(t: Tables):
-    """Clusters of the corrected counts: cells per cluster and their corrected total."""
+    """The whole job: all cells, those that end up without a cluster, and the corrected total."""
     layers, clusters = corrected(t)
-    totals = layers.filter(F.col("layer") == G.CORRECTED).groupBy("cell_id").agg(F.sum("value").alias("total"))
-    return clusters.join(totals, "cell_id", "left").groupBy("cluster_split_10").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"))
+    total = layers.filter(F.col("layer") == G.CORRECTED).agg(F.sum("value")).scalar()
+    out = clusters.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("cluster_split_10").isNull()).alias("n_without"))
+    return rounded(out.withColumn("total", total), "total", digits=3)
 
 
 def corrected(t: Tables):

@@ -10,6 +10,7 @@ from cytomosaic.operators import genes as G
 from cytomosaic.operators import metrics as M
 from cytomosaic.operators import neighbourhood as N
 from cytomosaic.operators import spatial as X
+from cytomosaic.session import cut_lineage
 from registry.base import Tables, query, rounded
 
 RADIUS = 20.0
@@ -108,6 +109,16 @@ def transfer_idents(t: Tables):
     return X.transfer_labels(outline(t, "query"), outline(t, "ref"), labels)
 
 
+@query(OVERLAP + """ SELECT q.cell_id AS query_cell_id, coalesce(least(c.cell_type, 'a' || c.cell_type), 'Unassigned') AS transferred_identity
+       FROM (SELECT DISTINCT cell_id FROM boundaries) q
+       LEFT JOIN (SELECT query_id, arg_min(ref_id, (-round(area, 9), ref_id)) AS ref_id FROM pairs GROUP BY query_id) b ON b.query_id = q.cell_id
+       LEFT JOIN (SELECT cell_id, cell_type FROM cells) c ON c.cell_id = b.ref_id""", ("boundaries", "cells"))
+def transfer_duplicate_labels(t: Tables):
+    """Every reference cell is listed with two labels: one row for each query cell, and the first label in text order."""
+    labels = t.cells.select("cell_id", F.explode(F.array("cell_type", F.concat(F.lit("a"), "cell_type"))).alias("label"))
+    return X.transfer_labels(outline(t, "query"), outline(t, "ref"), labels)
+
+
 # --- neighbours ------------------------------------------------------------------------------------------------------
 
 NEAR = """--more
@@ -133,6 +144,65 @@ def contacts(t: Tables):
     return N.contact_counts(t.cells, RADIUS)
 
 
+# the same on each sample's own slide
+SLIDES = NEAR.replace("a.cell_id <> b.cell_id", "a.cell_id <> b.cell_id AND a.sample = b.sample").replace("a.cell_id AS cell_id,", "a.sample AS sample, a.cell_id AS cell_id,")
+SLIDE_CONTACTS = SLIDES + """,
+contacts AS (SELECT sample, type_1 AS type_a, type_2 AS type_b, CAST(CASE WHEN type_1 = type_2 THEN count(*) / 2 ELSE count(*) END AS BIGINT) AS n_contacts
+             FROM near WHERE type_1 <= type_2 GROUP BY sample, type_1, type_2),
+sizes AS (SELECT sample, cell_type, count(*) AS n FROM cells WHERE cell_type IS NOT NULL GROUP BY sample, cell_type),
+alls AS (SELECT sample, sum(n) AS cells FROM sizes GROUP BY sample)"""
+BY = ["sample"]
+
+
+@query(SLIDE_CONTACTS + " SELECT * FROM contacts", ("cells",))
+def contacts_by_sample(t: Tables):
+    return N.contact_counts(t.cells, RADIUS, BY)
+
+
+@query(SLIDE_CONTACTS + """ SELECT sample, type_a, type_b, n_contacts, round(n_contacts / ((a.n / s.cells) * (b.n / s.cells)
+       * sum(n_contacts) OVER (PARTITION BY sample)), 6) AS oe FROM contacts JOIN alls s USING (sample)
+       JOIN (SELECT sample, cell_type AS type_a, n FROM sizes) a USING (sample, type_a) JOIN (SELECT sample, cell_type AS type_b, n FROM sizes) b USING (sample, type_b)""",
+       ("cells",))
+def contacts_oe_by_sample(t: Tables):
+    return rounded(N.normalised_contacts(N.contact_counts(t.cells, RADIUS, BY), t.cells, BY), "oe")
+
+
+@query(SLIDE_CONTACTS + """,
+deg AS (SELECT sample, cell_id, count(*) AS d FROM near WHERE type_1 IS NOT NULL AND type_2 IS NOT NULL GROUP BY sample, cell_id),
+g AS (SELECT s.sample, CAST(coalesce(sum(d), 0) / 2 AS DOUBLE) AS m, CAST(coalesce(sum(d * (d - 1)), 0) AS DOUBLE) AS s, CAST(any_value(cells) AS DOUBLE) AS n
+      FROM alls s LEFT JOIN deg ON deg.sample = s.sample GROUP BY s.sample),
+grid AS (SELECT a.sample, a.cell_type AS type_a, b.cell_type AS type_b, CAST(a.n AS DOUBLE) AS na, CAST(b.n AS DOUBLE) AS nb, m, s, g.n,
+                coalesce(c.n_contacts, 0) AS observed
+         FROM sizes a JOIN sizes b ON a.sample = b.sample AND a.cell_type <= b.cell_type JOIN g ON g.sample = a.sample
+         LEFT JOIN contacts c ON c.sample = a.sample AND c.type_a = a.cell_type AND c.type_b = b.cell_type),
+chance AS (SELECT *, CASE WHEN type_a = type_b THEN na * (na - 1) ELSE 2 * na * nb END / (n * (n - 1)) AS p1,
+                CASE WHEN type_a = type_b THEN na * (na - 1) * (na - 2) ELSE na * nb * (na + nb - 2) END / (n * (n - 1) * (n - 2)) AS p2,
+                CASE WHEN type_a = type_b THEN na * (na - 1) * (na - 2) * (na - 3) ELSE 4 * na * (na - 1) * nb * (nb - 1) END
+                  / (n * (n - 1) * (n - 2) * (n - 3)) AS p3 FROM grid),
+moments AS (SELECT sample, type_a, type_b, observed, m * p1 AS mean, sqrt(greatest(m * p1 + s * p2 + (m * (m - 1) - s) * p3 - m * p1 * m * p1, 0)) AS sd FROM chance)
+SELECT sample, type_a, type_b, CAST(observed AS DOUBLE) AS observed, round(mean, 6) AS mean, round(sd, 4) AS sd,
+       round((observed - mean) / nullif(sd, 0), 4) AS z FROM moments""", ("cells",))
+def neighbourhood_enrichment_by_sample(t: Tables):
+    return rounded(rounded(N.neighbourhood_enrichment(t.cells, RADIUS, BY), "mean"), "sd", "z", digits=4)
+
+
+@query(SLIDE_CONTACTS + """,
+typed AS (SELECT * FROM near WHERE type_1 IS NOT NULL AND type_2 IS NOT NULL),
+within AS (SELECT sample, type_1 AS type_a, type_2 AS type_b, r AS radius, count(*) AS n FROM typed
+           JOIN (VALUES (8.0), (14.0), (20.0)) v(r) ON distance <= r GROUP BY sample, type_1, type_2, r)
+SELECT w.sample, type_a, type_b, CAST(radius AS DOUBLE) AS radius,
+       round(w.n / sum(w.n) OVER (PARTITION BY w.sample, type_b, radius) / (s.n / a.cells), 6) AS score
+FROM within w JOIN sizes s ON s.sample = w.sample AND s.cell_type = type_a JOIN alls a ON a.sample = w.sample""", ("cells",))
+def co_occurrence_by_sample(t: Tables):
+    return rounded(N.co_occurrence(t.cells, [8.0, 14.0, 20.0], BY), "score")
+
+
+@query(lambda: niche_sql(SLIDES, "c.sample, "), ("cells",))
+def niche_features_by_sample(t: Tables):
+    out = N.niche_features(t.cells, RADIUS, TYPES, BY)
+    return out.select("sample", "cell_id", "n_neighbours", *[F.col("features")[i].alias(f"share_{i}") for i in range(len(TYPES))])
+
+
 @query(CONTACTS + """ SELECT type_a, type_b, n_contacts, round(n_contacts / ((a.n / (SELECT sum(n) FROM sizes)) * (b.n / (SELECT sum(n) FROM sizes))
        * (SELECT sum(n_contacts) FROM contacts)), 6) AS oe FROM contacts JOIN sizes a ON a.cell_type = type_a JOIN sizes b ON b.cell_type = type_b""",
        ("cells",))
@@ -171,10 +241,10 @@ def co_occurrence(t: Tables):
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-def niche_sql() -> str:
+def niche_sql(near: str = NEAR, own: str = "") -> str:
     shares = ", ".join(f"coalesce(count(*) FILTER (WHERE type_2 = '{v}') / nullif(count(type_2), 0), 0) AS share_{i}" for i, v in enumerate(TYPES))
-    return NEAR + f""" SELECT c.cell_id, count(type_2) AS n_neighbours, {shares} FROM cells c
-LEFT JOIN near n ON n.cell_id = c.cell_id WHERE c.cell_type IS NOT NULL GROUP BY c.cell_id"""
+    return near + f""" SELECT {own}c.cell_id, count(type_2) AS n_neighbours, {shares} FROM cells c
+LEFT JOIN near n ON n.cell_id = c.cell_id WHERE c.cell_type IS NOT NULL GROUP BY {own}c.cell_id"""
 
 
 @query(niche_sql, ("cells",))
@@ -183,12 +253,13 @@ def niche_features(t: Tables):
     return out.select("cell_id", "n_neighbours", *[F.col("features")[i].alias(f"share_{i}") for i in range(len(TYPES))])
 
 
-@query()
+@query("SELECT count(*) AS n_cells, CAST(0 AS BIGINT) AS n_misplaced, true AS few_groups FROM cells WHERE cell_type IS NOT NULL", ("cells",))
 def niches(t: Tables):
-    """KMeans on the neighbours' type shares; group numbers depend on the start, so only sizes are given."""
-    from cytomosaic.operators.matrix import cluster
+    """KMeans on the neighbours' type shares: all typed cells, none of them nearer to another group's centre, and only labels that have a centre."""
+    from cytomosaic.operators.matrix import fit_clusters, misplaced
 
-    return cluster(N.niche_features(t.cells, RADIUS, TYPES), 6).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    features = cut_lineage(N.niche_features(t.cells, RADIUS, TYPES))
+    return misplaced(features, *fit_clusters(features, 6))
 
 
 # --- communication edges ---------------------------------------------------------------------------------------------

@@ -183,12 +183,18 @@ def subset_low_expression(t: Tables):
     return P.subset_cells(t.cells, None, t.expr, gene="G3", max_expr=1.0).select("cell_id")
 
 
-@query("""SELECT b.* FROM boundaries b WHERE cell_id IN (SELECT cell_id FROM cells WHERE x BETWEEN 100 AND 700 AND y BETWEEN 50 AND 400
-       ORDER BY cell_id LIMIT 3000)""", ("cells", "boundaries"))
+@query("""SELECT b.* FROM boundaries b WHERE cell_id IN (SELECT cell_id FROM cells WHERE x BETWEEN 100 AND 700 AND y BETWEEN 50 AND 400)""",
+       ("cells", "boundaries"))
 def viewport(t: Tables):
     return P.viewport_boundaries(t.cells, t.boundaries, 100, 700, 50, 400)
 
 
+@query("SELECT b.* FROM boundaries b WHERE cell_id IN (SELECT cell_id FROM cells WHERE x >= 0 AND y >= 0)", ("cells", "boundaries"))
+def viewport_whole(t: Tables):
+    """A viewport that holds every cell."""
+    return P.viewport_boundaries(t.cells, t.boundaries, 0, 1e9, 0, 1e9)
+
+
 @query("""SELECT cell_id FROM cells WHERE cell_id IN (SELECT cell_id FROM expr WHERE gene < 'G3' GROUP BY cell_id HAVING sum(value) > 0)""",
        ("cells", "expr"))
 def nonempty_cells(t: Tables):

@@ -9,8 +9,6 @@ from tools.check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# tables this small leave these without a row
-MAY_BE_EMPTY = {"niches", "top_hits_bars"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
@@ -23,7 +21,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, note = compare(spark, con, SF, name, QUERIES[name], SQL.get(name))
-    assert ok or (name in MAY_BE_EMPTY and note.startswith("0 rows")), note
+    assert ok, note
 
 
 def test_entry(spark):
