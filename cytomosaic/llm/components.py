@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least neighbour and pointer jumping."""
+"""Connected components of an edge table, by hooking to the least neighbour and pointer jumping."""
 
 from __future__ import annotations
 
@@ -11,46 +11,27 @@ from cytomosaic.llm.common import Workspace
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(node, label) for every node of ``edges`` (columns a, b): the least node that can be reached.
 
-    Each round hooks the label of an edge's end to the least label at its other end, then points labels to their labels
-    until nothing moves; edges within one label are dropped. Rounds grow with the logarithm of the longest chain. All
-    steps are aggregations and joins on one key, so a node with very many edges is combined before the shuffle.
-    Null ends and loops are ignored. Each round is written, and the one before is deleted.
+    In each round a label hooks to the least label at the other end of its edges, hooks are followed once more, and labels
+    and edges move along; edges within one label are dropped, and the rounds end when none is left. A hook always leads to
+    a lesser label, so there are no rings, and a chain of hooks shrinks by a factor in each round. All steps are
+    aggregations and joins on one key, so a node with very many edges is combined before the shuffle. Null ends and loops
+    are ignored. Each round is written, and the one before is deleted.
     """
     a, b = F.col("a"), F.col("b")
     once = edges.filter(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    once = ws.keep(once, "edges")
-    nodes = once.select(F.col("a").alias("node")).union(once.select("b")).distinct()
-    labels = ws.keep(nodes.withColumn("label", F.col("node")), "labels")
-    live = once
+    live = ws.keep(once, "edges")
+    labels = live.select(F.col("a").alias("node")).union(live.select("b")).distinct().withColumn("label", F.col("node"))
+    written = None
     while not live.isEmpty():
-        # live edges join labels; the larger takes the least it meets
-        hooks = live.groupBy(F.col("b").alias("label")).agg(F.min("a").alias("to"))
-        hooks = ws.keep(hooks, "hooks")
-        parents = flattened(hooks, ws)
-        new_labels = (
-            labels.join(parents, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        )
-        new_labels = ws.keep(new_labels, "labels")
-        left = parents.select(F.col("label").alias("a"), F.col("to").alias("a_to"))
-        right = parents.select(F.col("label").alias("b"), F.col("to").alias("b_to"))
-        moved = live.join(left, "a", "left").join(right, "b", "left").select(
-            F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b")
-        )
-        moved = moved.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new_live = ws.keep(moved, "edges")
-        ws.drop(labels, live, parents)
-        labels, live = new_labels, new_live
+        first = live.groupBy(F.col("b").alias("label")).agg(F.min("a").alias("to"))
+        further = first.select(F.col("label").alias("to"), F.col("to").alias("next"))
+        hooks = ws.keep(first.join(further, "to", "left").select("label", F.coalesce("next", "to").alias("to")), "hooks")
+        moved = ws.keep(labels.join(hooks, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        low = hooks.select(F.col("label").alias("a"), F.col("to").alias("a_to"))
+        high = hooks.select(F.col("label").alias("b"), F.col("to").alias("b_to"))
+        ends = live.join(low, "a", "left").join(high, "b", "left").select(F.coalesce("a_to", "a").alias("a"), F.coalesce("b_to", "b").alias("b"))
+        rest = ws.keep(ends.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+        ws.drop(hooks, live, *([written] if written is not None else []))
+        labels = written = moved
+        live = rest
     return labels
-
-
-def flattened(hooks: DataFrame, ws: Workspace) -> DataFrame:
-    """(label, to) with ``to`` followed to its root; every ``to`` is less than its label, so there are no rings."""
-    while True:
-        up = hooks.select(F.col("label").alias("to"), F.col("to").alias("next"))
-        jumped = ws.keep(hooks.join(up, "to", "left").select("label", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "hooks")
-        ws.drop(hooks)
-        hooks = jumped
-        if hooks.filter("moved").isEmpty():
-            out = hooks.select("label", "to")
-            out._stage_path = hooks._stage_path
-            return out
