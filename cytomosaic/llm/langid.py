@@ -83,7 +83,14 @@ def script_of(letter: str) -> int:
 
 
 def words_of(text: bytes | None) -> list[str]:
-    return WORD.findall(text.decode().lower()) if text else []
+    """The words in lower case, one for each run of letters of the text as it stands."""
+    if not text:
+        return []
+    chars = text.decode()
+    lowered = chars.lower()
+    if len(lowered) == len(chars):
+        return WORD.findall(lowered)
+    return [w.lower() for w in WORD.findall(chars)]  # a letter whose lower case is two code points
 
 
 def trigrams(words: list[str], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,12 +244,7 @@ def spans_of(text: bytes, labels: np.ndarray, languages: list[str]) -> list[dict
     """Runs of one language: from its first word's start to its last word's end, in code points."""
     if not len(labels):
         return []
-    chars = text.decode()
-    lowered = chars.lower()
-    if len(lowered) != len(chars):  # a letter whose lower case is two code points
-        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in chars)
-    found = [m.span() for m in WORD.finditer(lowered)]
-    labels = labels[: len(found)]
+    found = [m.span() for m in WORD.finditer(text.decode())]
     cuts = np.flatnonzero(np.diff(labels)) + 1
     firsts, lasts = [0, *cuts.tolist()], [*(cuts - 1).tolist(), len(labels) - 1]
     return [{"start": found[a][0], "end": found[b][1], "lang": languages[labels[a]]} for a, b in zip(firsts, lasts, strict=True)]
@@ -252,8 +254,14 @@ SPANS = "array<struct<start: int, end: int, lang: string>>"
 SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
-def label(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
-    """All columns but the text's, with the text's language, its share of the letters, and the language spans.
+def label(
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    out: tuple[str, str, str] = ("lang_pred", "score", "spans"),
+    keep_text: bool = False,
+) -> DataFrame:
+    """All columns, the text's only if asked for, with the text's language, its share of the letters, and the language spans.
 
     A null text, one without letters, or a model without languages gives ``und``, 0 and no spans. Equal shares go to the
     first language by name. Only the text is looked at, so repeated rows get the same result. Columns named like the
@@ -282,11 +290,14 @@ def label(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[str,
                 shares.append(float(count[top]) / total)
                 spans.append(spans_of(text, own, languages))
             columns = {f.name: batch.column(i) for i, f in enumerate(fields)}
+            if keep_text:
+                columns[text_col] = batch.column(len(fields))
             return {**columns, out[0]: names, out[1]: pa.array(shares, pa.float64()), out[2]: pa.array(spans, SPANS_ARROW)}
 
         return work
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    schema += [f"`{text_col}` string"] if keep_text else []
     schema += [f"`{out[0]}` string", f"`{out[1]}` double", f"`{out[2]}` {SPANS}"]
     chosen = docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(f"`{text_col}`"))
     return map_batches(chosen, start, ", ".join(schema), rows=TEXTS_AT_ONCE)

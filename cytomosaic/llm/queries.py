@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomosaic.llm import langid, nearcopies, pieces, quality, secrets, suffixes, templates, urls, warc
+from cytomosaic.llm import chaining, langid, nearcopies, pieces, quality, secrets, suffixes, templates, urls, warc
 from cytomosaic.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,15 @@ def op1_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payload_table(warc.assemble(records), ws)
 
 
+def op2_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with passages of 50 words or more that another document has, exactly or nearly."""
+    found = chaining.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        "doc_id", "n_words", F.size("spans").cast("long").alias("n_passages"), "n_covered", F.array_join(spans, ",").alias("spans"), "partner", "n_partners"
+    )
+
+
 def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from documents whose remainder is not 0; a null doc_id has no remainder and counts as held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -100,10 +109,65 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), k=3, percent=85, rows=8)
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _spelling(url: str) -> str:
+    """``urls.usual_spelling`` in DuckDB's SQL."""
+    host = f"regexp_replace({_host(url)}, '^(www|m)\\.', '')"
+    path = f"regexp_replace({_path(url)}, '(?s)(/index)?(\\.html?|/)+$', '')"
+    query = f"string_split(regexp_extract({url}, '(?s)\\?([^#]*)', 1), '&')"
+    tail = f"array_to_string(list_sort(list_filter({query}, lambda p: NOT regexp_matches(p, '{urls.CAMPAIGN}') AND p <> '')), '&')"
+    return f"CASE WHEN {_host(url)} <> '' THEN {host} || {path} || CASE WHEN {tail} <> '' THEN '?' || {tail} ELSE '' END END"
+
+
+def _host(url: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{letters}', '{letters.lower()}')"
+
+
+def _path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _rule(what: int) -> str:
+    cases = [
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{(kind, host + path)[what]}'"
+        for kind, host, path in sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1], r[2]))
+    ]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _stated(tag: str, address: str) -> str:
+    link = f"replace(regexp_extract(regexp_extract(coalesce(html, ''), {_quoted(tag)}), {_quoted(address)}, 1), '&amp;', '&')"
+    root = "regexp_extract(coalesce(url, ''), '(?s)^(.*?://[^/?#]*)', 1)"
+    return (
+        f"CASE WHEN contains({link}, '://') THEN {link} WHEN starts_with({link}, '//') THEN 'http:' || {link} "
+        f"WHEN starts_with({link}, '/') AND {root} <> '' THEN {root} || {link} END"
+    )
+
+
+ORACLES["op5_url_equivalence"] = f"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, page_id, {_host("url")} AS host, {_path("url")} AS path, {_spelling("url")} AS spelling,
+         {_stated(urls.CANONICAL, urls.HREF)} AS canonical, {_stated(urls.REFRESH, urls.TARGET)} AS refresh FROM pages),
+q AS MATERIALIZED (SELECT *, {_rule(1)} AS rule, {_rule(0)} AS own, {_spelling("canonical")} AS c, {_spelling("refresh")} AS f FROM p),
+e AS (SELECT spelling AS a, c AS b FROM q UNION SELECT spelling, f FROM q),
+links AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+classes AS (SELECT a AS spelling, min(b) AS label FROM reach GROUP BY a),
+placed AS (SELECT q.*, coalesce(label, q.spelling) AS class FROM q LEFT JOIN classes USING (spelling)),
+said AS (SELECT class, bool_or(own = 'allow') AS allows FROM placed WHERE class IS NOT NULL AND own IS NOT NULL GROUP BY class)
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allows THEN 'allow' WHEN NOT allows THEN 'block' ELSE 'allow' END) AS verdict
+FROM placed LEFT JOIN said USING (class)"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_warc_captures,
+        op2_collinear_passages,
         op3_language_spans,
         op4_suffix_dedup,
         op5_url_equivalence,

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from cytomosaic.llm.common import Workspace
 from cytomosaic.llm.components import components
 
-# patterns of a page's own statements
-CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["']?[^"'>;]*;\s*url\s*=\s*'?([^"'\s>]+)"""
+# patterns of a page's own statements: a tag, and the address in it
+CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Query parameters that do not make another page.
+CAMPAIGN = "^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 
 
 def host_of(url: Column) -> Column:
@@ -47,7 +51,7 @@ def usual_spelling(url: Column) -> Column:
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
     path = F.regexp_replace(path_of(url), r"(?s)(/index)?(\.html?|/)+$", "")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: ~p.rlike("^(utm_[a-z]+|ref|fbclid|gclid)(=|$)") & (p != ""))
+    kept = F.filter(F.split(query, "&"), lambda p: ~p.rlike(CAMPAIGN) & (p != ""))
     tail = F.array_join(F.array_sort(kept), "&")
     return F.when(host != "", F.concat(host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
 
@@ -74,8 +78,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     host, path = host_of(url), path_of(url)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
 
-    def stated(needle: str, pattern: str) -> Column:
-        link = F.when(html.contains(needle), F.regexp_extract(html, pattern, 1))
+    def stated(tag: str, address: str) -> Column:
+        link = F.regexp_extract(F.regexp_extract(html, tag, 0), address, 1)
         return usual_spelling(absolute(F.when(link != "", link), url))
 
     read = pages.select(
@@ -83,7 +87,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
         host.alias("host"),
         path.alias("path"),
         usual_spelling(url).alias("spelling"),
-        F.array_compact(F.array(stated("canonical", CANONICAL), stated("refresh", REFRESH))).alias("targets"),
+        F.array_compact(F.array(stated(CANONICAL, HREF), stated(REFRESH, TARGET))).alias("targets"),
     )
     read = ws.keep(read.select("page_id", "host", "path", "spelling", "targets", name.alias("rule"), verdict.alias("own")), "pages")
 
