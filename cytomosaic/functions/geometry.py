@@ -6,7 +6,10 @@ its slope. Vertical edges enclose no area under them and are left out of segment
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOUCH = 1e-9  # fixed value: overlap areas up to this count as touching only
@@ -105,6 +108,63 @@ def strictly_inside(x, y, edges) -> Column:
     return odd & ~F.exists(edges, on_edge)
 
 
+def _crossing(a: tuple, b: tuple, c: tuple, d: tuple) -> tuple[float, float] | None:
+    """Where two edges cross at a point inside both."""
+    ux, uy, vx, vy = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1]
+    det = ux * vy - uy * vx
+    if det == 0:
+        return None
+    s = ((c[0] - a[0]) * vy - (c[1] - a[1]) * vx) / det
+    t = ((c[0] - a[0]) * uy - (c[1] - a[1]) * ux) / det
+    return (a[0] + s * ux, a[1] + s * uy) if 0 < s < 1 and 0 < t < 1 else None
+
+
+def simple_loops(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """The ring cut in two at a crossing, and its parts again, until none crosses itself; all run counter-clockwise.
+
+    Each cut at least takes one crossing away. Parts without area are left out.
+    """
+    pending, done = [list(ring)], []
+    while pending:
+        loop = pending.pop()
+        n = len(loop)
+        if n < 3:
+            continue
+        found = None
+        for i in range(n):
+            for j in range(i + 2, n):
+                at = _crossing(loop[i], loop[(i + 1) % n], loop[j], loop[(j + 1) % n])
+                if at is not None:
+                    found = i, j, at
+                    break
+            if found:
+                break
+        if found:
+            i, j, at = found
+            pending += [[at, *loop[i + 1 : j + 1]], [*loop[: i + 1], at, *loop[j + 1 :]]]
+            continue
+        area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(loop, [*loop[1:], loop[0]], strict=True)) / 2
+        if abs(area) > TOUCH:
+            done.append(loop if area > 0 else loop[::-1])
+    return done
+
+
+def split_rings(rings: DataFrame) -> DataFrame:
+    """(cell_id, ring): the simple loops of each ring, one row for each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (cell, [{"x": x, "y": y} for x, y in loop])
+                for cell, ring in zip(batch["cell_id"], batch["ring"], strict=True)
+                for loop in simple_loops([(v["x"], v["y"]) for v in ring])
+            ]
+            yield pd.DataFrame(rows, columns=["cell_id", "ring"])
+
+    kind = dict(rings.dtypes)["cell_id"]
+    return rings.select("cell_id", "ring").mapInPandas(run, f"cell_id {kind}, ring array<struct<x: double, y: double>>")
+
+
 def self_intersecting(ring) -> Column:
     """True if two edges of the ring cross at a point inside both; such rings have no simple inside."""
 

@@ -6,7 +6,10 @@ likelihood model.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -18,6 +21,7 @@ MODES = ("full", "doublet", "multi")
 MIN_SECOND_SHARE = 0.2
 
 MAX_TYPES = 500
+BROADCAST_BYTES = 64 << 20
 
 
 def reference_profiles(reference_expression: DataFrame, reference_labels: DataFrame) -> DataFrame:
@@ -51,59 +55,73 @@ def type_products(expression: DataFrame, table: DataFrame, n_types: int) -> Data
     return out.select("cell_id", "xx", F.array(*[F.col(f"_{i}") for i in range(n_types)]).alias("d"))
 
 
+def _best_pairs(xx: np.ndarray, d: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Residual, types and weights of the best mixture of at most two types, for each row of type products ``d``.
+
+    Weights are those of non-negative least squares; residuals are compared at nine decimals, the first pair on a tie.
+    """
+    n, rows = len(g), len(d)
+    best = np.full(rows, np.inf)
+    kept = {name: np.zeros(rows, dtype=int if name in "ab" else float) for name in ("a", "b", "wa", "wb")}
+    at = np.arange(rows)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for a in range(n):
+            others = np.arange(a + (n > 1), n)
+            if not len(others):
+                break
+            gaa, gab, gbb = g[a, a], g[a, others], g[others, others]
+            da, db = d[:, a : a + 1], d[:, others]
+            det = gaa * gbb - gab * gab
+            solvable = (others != a) & (det > 1e-12 * gaa * gbb)
+            wa, wb = (da * gbb - db * gab) / det, (db * gaa - da * gab) / det
+            only_a = da / gaa if gaa else np.zeros_like(da)
+            only_b = np.where(gbb != 0, db / gbb, 0.0)
+            both = solvable & (wa > 0) & (wb > 0)
+            a_alone = (others == a) | (only_a * da >= only_b * db)
+            wa = np.where(both, wa, np.where(a_alone, only_a, 0.0))
+            wb = np.where(both, wb, np.where(a_alone, 0.0, only_b))
+            residual = np.round(xx[:, None] - wa * da - wb * db, 9)
+            least = residual.argmin(axis=1)
+            value = residual[at, least]
+            better = value < best
+            best[better] = value[better]
+            for name, found in (("a", np.full(rows, a)), ("b", others[least]), ("wa", wa[at, least]), ("wb", wb[at, least])):
+                kept[name][better] = found[better]
+    return best, kept["a"], kept["b"], kept["wa"], kept["wb"]
+
+
+#: Cells whose pairs of types are tried side by side.
+CELLS_AT_ONCE = 1_000
+
+
 def doublet_fit(expression: DataFrame, profiles: DataFrame) -> DataFrame:
     """Best mixture of at most two types per cell.
 
     (cell_id, first_type, second_type, first_weight, second_weight, residual); ``second_type`` is NULL if its weight is 0.
-    Ties go to the pair first in name order. All pairs of types are tried inside the row, without a further shuffle.
+    Ties go to the pair first in name order. All pairs of types are tried in batches of cells, without a further shuffle;
+    the types' products, checked in number, go to every task once.
     """
     types, table, g = profile_table(profiles)
-    n = len(types)
-    spark = expression.sparkSession
-    pairs = [(a, b, float(g[a, a]), float(g[a, b]), float(g[b, b])) for a in range(n) for b in range(a + (n > 1), n)]
-    listed = spark.createDataFrame(pairs, "a int, b int, gaa double, gab double, gbb double")
-    pair_list = listed.agg(F.array_sort(F.collect_list(F.struct("a", "b", "gaa", "gab", "gbb")))).scalar()
-    names = F.array(*[F.lit(t) for t in types])
-
-    def products(p: Column) -> Column:
-        return F.struct(
-            p.a.alias("a"), p.b.alias("b"), p.gaa.alias("gaa"), p.gab.alias("gab"), p.gbb.alias("gbb"),
-            F.get("d", p.a).alias("da"), F.get("d", p.b).alias("db"), (p.gaa * p.gbb - p.gab * p.gab).alias("det"),
-        )
-
-    def weights(p: Column) -> Column:
-        solvable = (p.a != p.b) & (p.det > 1e-12 * p.gaa * p.gbb)
-        return F.struct(
-            p.a.alias("a"), p.b.alias("b"), p.da.alias("da"), p.db.alias("db"),
-            F.when(solvable, (p.da * p.gbb - p.db * p.gab) / p.det).alias("wa"),
-            F.when(solvable, (p.db * p.gaa - p.da * p.gab) / p.det).alias("wb"),
-            F.coalesce(F.try_divide(p.da, p.gaa), F.lit(0.0)).alias("only_a"),
-            F.coalesce(F.try_divide(p.db, p.gbb), F.lit(0.0)).alias("only_b"),
-        )
-
-    def candidate(p: Column) -> Column:
-        both = F.coalesce((p.wa > 0) & (p.wb > 0), F.lit(False))
-        a_alone = (p.a == p.b) | (p.only_a * p.da >= p.only_b * p.db)
-        wa = F.when(both, p.wa).when(a_alone, p.only_a).otherwise(0.0)
-        wb = F.when(both, p.wb).when(a_alone, 0.0).otherwise(p.only_b)
-        return F.struct(
-            F.round(F.col("xx") - wa * p.da - wb * p.db, 9).alias("residual"), p.a.alias("a"), p.b.alias("b"), wa.alias("wa"), wb.alias("wb")
-        )
-
-    def solve(pairs_column: str) -> Column:
-        return F.transform(F.transform(F.transform(pairs_column, products), weights), candidate)
-
-    fitted = type_products(expression, table, n).withColumn("_pairs", pair_list)
-    best = fitted.select("cell_id", F.array_min(solve("_pairs")).alias("m"))
-    first_is_a = F.col("m.wa") >= F.col("m.wb")
-    heavy, light = F.greatest("m.wa", "m.wb"), F.least("m.wa", "m.wb")
-    return best.select(
-        "cell_id",
-        F.when(first_is_a, F.get(names, F.col("m.a"))).otherwise(F.get(names, F.col("m.b"))).alias("first_type"),
-        F.when(light > 0, F.when(first_is_a, F.get(names, F.col("m.b"))).otherwise(F.get(names, F.col("m.a")))).alias("second_type"),
-        heavy.alias("first_weight"),
-        light.alias("second_weight"),
-        F.col("m.residual").alias("residual"),
+    fitted = type_products(expression, table, len(types))
+    shipped = expression.sparkSession.sparkContext.broadcast((types, g))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, products = shipped.value
+        listed = np.array([*names, None], dtype=object)
+        for batch in batches:
+            for start in range(0, len(batch), CELLS_AT_ONCE):
+                part = batch.iloc[start : start + CELLS_AT_ONCE]
+                residual, a, b, wa, wb = _best_pairs(part["xx"].to_numpy(), np.stack(part["d"].to_numpy()), products)
+                first, light = np.where(wa >= wb, a, b), np.minimum(wa, wb)
+                second = np.where(light > 0, np.where(wa >= wb, b, a), len(names))
+                yield pd.DataFrame({
+                    "cell_id": part["cell_id"], "first_type": listed[first], "second_type": listed[second],
+                    "first_weight": np.maximum(wa, wb), "second_weight": light, "residual": residual,
+                })
+
+    kind = dict(fitted.dtypes)["cell_id"]
+    return fitted.mapInPandas(
+        run, f"cell_id {kind}, first_type string, second_type string, first_weight double, second_weight double, residual double"
     )
 
 
@@ -124,17 +142,21 @@ def remove_ambient(
     if not purify_singlets:
         mixed = mixed & (second_share() >= min_second_share)
 
-    def of(which: str) -> DataFrame:
-        return profiles.select(F.col("label").alias(f"{which}_type"), "gene", F.col("mu").alias(f"_{which}"))
-
     # an unmixed cell has no second weight left, so its share is one
     parts = fit.select(
         "cell_id", "first_type", "second_type", F.when(mixed, F.col("first_weight")).alias("first_weight"), F.when(mixed, F.col("second_weight")).alias("second_weight")
     )
-    rows = expression.join(parts, "cell_id")
-    rows = rows.join(of("first"), ["first_type", "gene"], "left").join(of("second"), ["second_type", "gene"], "left")
-    own = F.col("first_weight") * F.coalesce("_first", F.lit(0.0))
-    other = F.col("second_weight") * F.coalesce("_second", F.lit(0.0))
+    types, table, _ = profile_table(profiles)
+    # one row for each gene with the means of all types: genes and types are counted, so it is sent if it is small
+    small = table.count() * len(types) * 8 <= BROADCAST_BYTES
+    rows = expression.join(parts, "cell_id").join(F.broadcast(table) if small else table, "gene", "left")
+    names = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
+
+    def mean_of(which: str) -> Column:
+        return F.coalesce(F.get("mu", F.array_position(names, F.col(which)).cast("int") - 1), F.lit(0.0))
+
+    own = F.col("first_weight") * mean_of("first_type")
+    other = F.col("second_weight") * mean_of("second_type")
     share = F.coalesce(F.try_divide(own, own + other), F.lit(1.0))
     return rows.select("cell_id", "gene", clip_negative(F.col("value") * share).alias("value")).filter(F.col("value") > 0)
 

@@ -190,6 +190,13 @@ def split_invalid(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(~F.col("_crossing")).drop("_crossing"), checked.filter("_crossing").drop("_crossing")
 
 
+def repaired(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rings fit for overlaps, where a self-crossing one is replaced by its simple loops in rows of the same id, and the
+    self-crossing ones. Loops that lie over one another count once for each."""
+    simple, crossing = split_invalid(rings_df)
+    return simple.select("cell_id", "ring").union(G.split_rings(crossing)), crossing
+
+
 def _with_box(rings_df: DataFrame, prefix: str) -> DataFrame:
     xs, ys = F.transform("ring", lambda v: v.x), F.transform("ring", lambda v: v.y)
     return rings_df.select(
@@ -207,7 +214,8 @@ def _median_side(boxed: DataFrame, p: str) -> float:
 
 
 def overlap_pairs(query: DataFrame, reference: DataFrame, tile: float | None = None, rows_per_slice: int = 2_000) -> DataFrame:
-    """Overlapping polygon pairs with their common area: (query_id, ref_id, area). Inputs are simple rings.
+    """Overlapping polygon pairs with their common area: (query_id, ref_id, area). Inputs are simple rings; the parts of
+    one polygon may be several rows of its id that run the same way round.
 
     A pair can meet in several tiles; it is kept only in the one holding the lower left corner of the boxes'
     intersection, which needs no removal of duplicates afterwards.
@@ -258,7 +266,7 @@ def transfer_labels(query: DataFrame, reference: DataFrame, labels: DataFrame, t
     best = best_overlap(overlap_pairs(query, reference, tile))
     by_id = labels.groupBy(F.col("cell_id").cast("string").alias("_key")).agg(F.min(F.col("label").cast("string")).alias("label"))
     named = best.join(by_id, F.col("ref_id").cast("string") == F.col("_key"), "left").select("query_id", "label")
-    return query.select(F.col("cell_id").alias("query_id")).join(named, "query_id", "left").select(
+    return query.select(F.col("cell_id").alias("query_id")).distinct().join(named, "query_id", "left").select(
         F.col("query_id").alias("query_cell_id"), F.coalesce("label", F.lit(unmatched)).alias("transferred_identity")
     )
 

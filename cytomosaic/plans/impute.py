@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomosaic.operators import genes as G
 from cytomosaic.operators import matrix as M
 from cytomosaic.operators.cells import majority_label
-from cytomosaic.operators.knn import K_NEIGHBOURS, knn_join
+from cytomosaic.operators.knn import BROADCAST_BYTES, K_NEIGHBOURS, knn_join
 from cytomosaic.session import cut_lineage
 
 
@@ -23,17 +25,37 @@ def neighbour_weights(neighbours: DataFrame) -> DataFrame:
     return valid.join(sums, "query_id").select("query_id", "ref_id", weight.alias("weight"))
 
 
-def weighted_values(weights: DataFrame, reference_expression: DataFrame) -> DataFrame:
-    """Sum of weight x value over the neighbours: (cell_id, gene, value).
+def weighted_values(weights: DataFrame, reference_expression: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Sum of weight x value over the neighbours: (cell_id, gene, value), for genes that one of the neighbours has.
 
-    The reference's rows per cell are joined in long form, so nothing like cells x neighbours x genes is held anywhere.
+    A reference whose counted table of cells x genes fits is sent to the tasks, which add up a query's neighbours there:
+    what is shuffled is the neighbours alone. A larger one is joined in long form.
     """
     ref = reference_expression.select(F.col("ref_cell").alias("ref_id"), "gene", "value")
-    return (
-        weights.join(ref, "ref_id")
-        .groupBy(F.col("query_id").alias("cell_id"), "gene")
-        .agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-    )
+    n_cells, n_genes = ref.agg(F.countDistinct("ref_id"), F.countDistinct("gene")).first()
+    if n_cells * (n_genes * 8 + 64) > broadcast_bytes:
+        sums = weights.join(ref, "ref_id").groupBy(F.col("query_id").alias("cell_id"), "gene")
+        return sums.agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    local = ref.groupBy("ref_id", "gene").agg(F.sum("value").alias("value")).toPandas()  # size checked above
+    wide = local.pivot(index="ref_id", columns="gene", values="value")
+    shipped = weights.sparkSession.sparkContext.broadcast((wide.index.to_numpy(), list(wide.columns), wide.to_numpy(dtype=float)))
+    near = weights.groupBy("query_id").agg(F.collect_list("ref_id").alias("refs"), F.collect_list("weight").alias("weights"))  # k of each
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, genes, values = shipped.value
+        place = {v: i for i, v in enumerate(ids)}
+        names = np.array(genes, dtype=object)
+        for batch in batches:
+            for query, refs, own in zip(batch["query_id"], batch["refs"], batch["weights"], strict=True):
+                known = [(place[r], w) for r, w in zip(refs, own, strict=True) if r in place]
+                if known:
+                    rows = values[[p for p, _ in known]]
+                    has = ~np.isnan(rows).all(axis=0)
+                    total = np.array([w for _, w in known]) @ np.nan_to_num(rows[:, has])
+                    yield pd.DataFrame({"cell_id": [query] * len(total), "gene": names[has], "value": total})
+
+    kind = dict(weights.dtypes)["query_id"]
+    return near.mapInPandas(run, f"cell_id {kind}, gene string, value double")
 
 
 def align(query: DataFrame, reference: DataFrame, width: int, n_vectors: int = M.N_PRINCIPAL_VECTORS) -> tuple[DataFrame, DataFrame, M.Alignment]:
@@ -93,10 +115,12 @@ def impute(
     if not targets:
         raise ValueError("no gene to impute: all are missing from the reference or already in the panel")
     layer = expression.filter(F.col("layer") == (G.CORRECTED if use_corrected else G.RAW))
-    normal = M.log_normalise(layer.filter(F.col("gene").isin(shared)))
+    spark = expression.sparkSession
+    listed = {n: F.broadcast(spark.createDataFrame([(g,) for g in names], "gene string")) for n, names in (("shared", shared), ("targets", targets))}
+    normal = M.log_normalise(layer.join(listed["shared"], "gene", "left_semi"))
     query = as_vectors(normal, "cell_id", shared, cells)
     reference = as_vectors(reference_expression, "ref_cell", shared, reference_cells)
-    target_values = reference_expression.filter(F.col("gene").isin(targets))
+    target_values = reference_expression.join(listed["targets"], "gene", "left_semi")
     values = impute_vectors(query, reference, len(shared), target_values, n_vectors, k)
     return G.append_imputed(expression, genes, values, targets, use_corrected)
 
@@ -109,8 +133,9 @@ def transfer_labels(
 
     Both sets are log-normalised over the shared genes and z-scored on their own.
     """
-    query = as_vectors(M.log_normalise(expression.filter(F.col("gene").isin(list(shared)))), "cell_id", shared, cells)
-    ref_long = reference_expression.filter(F.col("gene").isin(list(shared))).withColumnRenamed("ref_cell", "cell_id")
+    listed = F.broadcast(expression.sparkSession.createDataFrame([(g,) for g in shared], "gene string"))  # one panel
+    query = as_vectors(M.log_normalise(expression.join(listed, "gene", "left_semi")), "cell_id", shared, cells)
+    ref_long = reference_expression.join(listed, "gene", "left_semi").withColumnRenamed("ref_cell", "cell_id")
     reference = as_vectors(M.log_normalise(ref_long), "cell_id", shared, reference_cells.withColumnRenamed("ref_cell", "cell_id"))
     return vote(query, reference, reference_labels, len(shared), n_components, k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cytomosaic.operators import cells as cells_ops
 from cytomosaic.operators import genes as G
 from cytomosaic.operators import metrics as M
 from cytomosaic.operators import spatial as X
@@ -15,7 +16,7 @@ from cytomosaic.session import shared_folder
 from cytomosaic.sources import readers as R
 from cytomosaic.sources import writers as K
 from registry.base import Tables, query, rounded
-from registry.lr import CTRL, METRICS, SIX, TREAT, TYPED
+from registry.lr import CTRL, METRICS, SIX, TREAT, TYPED, wide_sql
 from registry.tissue import LAYERS, layered
 
 
@@ -348,6 +349,14 @@ def transfer_job(t: Tables):
     return rounded(shares, "percent")
 
 
+@query("SELECT cell_id AS query_cell_id, coalesce(cell_type, 'Unassigned') AS transferred_identity FROM cells", ("cells",))
+def transfer_crossing_outlines(t: Tables):
+    """Every third outline is made to cross itself, on both sides: each cell still overlaps itself most."""
+    turned = F.when((F.substring("cell_id", 2, 20).cast("long") % 3 == 0) & F.col("vertex_ord").isin(1, 2), 3 - F.col("vertex_ord")).otherwise(F.col("vertex_ord"))
+    outlines = t.boundaries.filter("kind = 'ref'").withColumn("vertex_ord", turned)
+    return convert.transfer_identities(outlines, outlines, t.cells.select("cell_id", F.col("cell_type").alias("label")))[0]
+
+
 @query("SELECT cell_id AS query_cell_id, coalesce(cell_type, 'Unassigned') AS transferred_identity FROM cells", ("cells",))
 def transferred_identities(t: Tables):
     """The written identities read back; outlines against themselves."""
@@ -398,6 +407,78 @@ def overwrite_guard(t: Tables):
     return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_after")).select(F.lit(refused).alias("refused"), F.lit(n).cast("long").alias("n"), "n_after")
 
 
+@query(METRICS + wide_sql() + """ SELECT 'sample_metrics' AS name, count(*) AS n, round(sum(normalized_freq), 6) AS total FROM metrics
+UNION ALL SELECT 'pairs', count(*), round(sum(mean_a), 6) FROM kept""", ("edges", "samples"))
+def comparison_job_tables(t: Tables):
+    """The written metrics and the written comparison, read back: rows and a sum of each."""
+    done = comparison.compare(t.edges, t.samples, t.cells.select("cell_id", "cell_type"))
+    base = folder(t, "results")
+    K.write_comparison(done, base)
+    pairs = t.spark.read.csv(f"{base}/ctrl_vs_treat_freq.csv", header=True, inferSchema=True)
+    metrics = t.spark.read.schema(done.sample_metrics.schema).csv(f"{base}/sample_metrics.csv", header=True)
+    parts = [metrics.agg(F.lit("sample_metrics").alias("name"), F.count(F.lit(1)).alias("n"), F.sum("normalized_freq").alias("total")),
+             pairs.agg(F.lit("pairs").alias("name"), F.count(F.lit(1)).alias("n"), F.sum("mean_ctrl").alias("total"))]
+    return rounded(parts[0].union(parts[1]), "total")
+
+
+@query("""SELECT 'boundaries' AS name, (SELECT count(*) FROM boundaries) AS n UNION ALL SELECT 'cells', (SELECT count(*) FROM cells)
+       UNION ALL SELECT 'expression', (SELECT count(*) FROM expr) UNION ALL SELECT 'genes', (SELECT count(*) FROM genes)
+       UNION ALL SELECT 'clusters', (SELECT count(*) FROM cells) UNION ALL SELECT 'annotations', (SELECT count(*) FROM cells)""",
+       ("cells", "boundaries", "expr", "genes"))
+def save_analysis_tables(t: Tables):
+    """All six tables of the snapshot, read back."""
+    labels = t.cells.select("cell_id", F.lit("kmeans").alias("method"), F.col("cluster").alias("label"))
+    paths = convert.save_analysis(
+        t.cells, t.expr.withColumn("layer", F.lit(G.RAW)), t.genes, t.boundaries, labels, ["kmeans"], t.cells.select("cell_id", "cell_type"),
+        folder(t, "snapshot"),
+    )
+    counts = [t.spark.read.parquet(p).agg(F.lit(p.rsplit("/", 1)[1]).alias("name"), F.count(F.lit(1)).alias("n")) for p in paths]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.union(part)
+    return out
+
+
+@query("SELECT cell_id, x AS _x, y AS _y, cell_type FROM cells", ("cells",))
+def communication_export_cells(t: Tables):
+    """The written coordinates and annotation, read back side by side."""
+    written = convert.to_communication_input(
+        t.cells, layered(t), t.genes, t.genes.filter("ord BETWEEN 56 AND 59"), t.genes.filter("ord >= 60"), folder(t, "export"),
+        use_corrected=True, include_imputed=True, cell_type_col="cell_type",
+    )
+    named = t.spark.read.csv(written["annotation"], header=True).select(F.col("cell").alias("cell_id"), "cell_type")
+    return t.spark.read.parquet(written["coordinates"]).join(named, "cell_id").select("cell_id", "_x", "_y", "cell_type")
+
+
+@query("SELECT gene FROM genes WHERE NOT is_imputed", ("genes",))
+def panel_file(t: Tables):
+    """The panel written with one name per line and read back."""
+    path = K.write_names(G.panel_genes(t.genes).orderBy("gene"), "gene", folder(t, "panel"))
+    return R.read_gene_list(t.spark, path).select("gene")
+
+
+@query("SELECT cell_id, gene, value FROM expr", ("expr",))
+def triplet_files(t: Tables):
+    """Numbered entries with their lists of names as tables; names come back by their numbers."""
+    out = K.write_triplets(t.expr, t.expr.select("cell_id"), t.expr.select("gene"), folder(t, "triplets"))
+    entries = t.spark.read.schema("row long, column long, value double").csv(out["matrix"], header=True)
+    genes = t.spark.read.schema("row long, gene string").csv(out["genes"], header=True)
+    cells = t.spark.read.schema("column long, cell_id string").csv(out["cells"], header=True)
+    return entries.join(genes, "row").join(cells, "column").select("cell_id", "gene", "value")
+
+
+@query("SELECT 'labels_' || max(sample) || '_abc.parquet' AS name FROM cells", ("cells",))
+def label_source_choice(t: Tables):
+    """Of label files of one dataset the newest is chosen: files are written one after another."""
+    base = folder(t, "sources")
+    for s in SIX:
+        K.write_table(t.cells.filter(F.col("sample") == s).select("cell_id", "cell_type"), f"{base}/labels_{s}_abc.parquet")
+    found = R.list_label_files(t.spark, base, "labels_")
+    listed = [{**f, "mtime": i} for i, f in enumerate(sorted(found, key=lambda f: (f["mtime"], f["name"])))]
+    name = cells_ops.pick_label_source(t.cells, listed, t.cells, "abc")
+    return t.cells.agg(F.lit(name).alias("name"))
+
+
 @query("SELECT cell_id, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y FROM cells WHERE cell_area < 100", ("cells",))
 def export_geometry(t: Tables):
     at, _ = K.export_geometry(t.cells.filter("cell_area < 100"), t.boundaries)

@@ -125,6 +125,19 @@ def nearest_graph(t: Tables):
     return rounded(X.nearest_graph(t.cells, 4), "distance")
 
 
+@query("""--more
+tile AS (SELECT *, CAST(floor(x / 48) AS BIGINT) AS tx, CAST(floor(y / 48) AS BIGINT) AS ty FROM cells),
+spread AS (SELECT t.*, t.tx + dx AS ux, t.ty + dy AS uy FROM tile t, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
+d AS (SELECT a.cell_id AS query_id, b.cell_id AS ref_id, b.cluster, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 12) AS distance
+      FROM tile a JOIN spread b ON a.tx = b.ux AND a.ty = b.uy AND a.cell_id <> b.cell_id),
+near AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d.distance, ref_id) <= 4),
+votes AS (SELECT query_id AS cell_id, cluster AS label, count(*) AS votes FROM near GROUP BY ALL)
+SELECT cell_id, label, votes FROM votes QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY votes DESC, label) = 1""", ("cells",))
+def nearest_label_vote(t: Tables):
+    """The commonest cluster among the four nearest cells."""
+    return X.nearest_labels(X.nearest_graph(t.cells, 4), t.cells.select("cell_id", F.col("cluster").alias("label")))
+
+
 @query(KNN + """ SELECT query_id, CAST(label AS STRING) AS label, votes FROM (
        SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, CAST(label AS STRING)) AS p
        FROM near GROUP BY query_id, label) WHERE p = 1""", ("vectors",))
@@ -176,6 +189,30 @@ near AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(
 WEIGHT_STEP = WEIGHTS[len(KNN):]
 
 
+@query(WEIGHTS + """,
+target AS (SELECT vec_id AS ref_id, 'E' || CAST(i - 1 AS STRING) AS gene, embedding[i] AS value
+           FROM r, (SELECT unnest(range(49, 65)) AS i))
+SELECT query_id AS cell_id, gene, round(sum(weight * value), 6) AS value FROM w JOIN target ON target.ref_id = w.ref_id GROUP BY query_id, gene""",
+       ("vectors",))
+def imputed_values_long(t: Tables):
+    """The same sums on the path for references too large to send."""
+    _, r = halves(t)
+    return rounded(I.weighted_values(I.neighbour_weights(near(t)), targets(r), broadcast_bytes=0), "value")
+
+
+@query("SELECT gene, CAST(ord AS INT) AS ord, is_imputed FROM genes WHERE ord < 56 UNION ALL SELECT gene || ' [imp]', CAST(ord AS INT), true FROM genes WHERE ord >= 56",
+       ("genes",))
+def imputation_job_genes(t: Tables):
+    """The whole imputation job: its gene list, with every reference gene outside the panel appended under its tag."""
+    panel = t.genes.filter("ord < 56").select("gene", "ord", F.lit(False).alias("is_imputed"))
+    raw = t.expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
+    ids = t.cells.select(F.col("cell_id").alias("ref_cell")).filter(EVEN.replace("cell_id", "ref_cell"))
+    reference = t.expr.filter(EVEN).withColumnRenamed("cell_id", "ref_cell").withColumn("value", F.log1p("value"))
+    wanted = t.genes.filter("ord >= 56").select("gene", "ord")
+    _, genes = I.impute(t.cells.filter(f"NOT {EVEN}"), raw, panel, ids, t.genes.select("gene", "ord"), reference, wanted)
+    return genes.select("gene", F.col("ord").cast("int").alias("ord"), "is_imputed")
+
+
 @query(lambda: zscore_sql(48) + WEIGHT_STEP + """,
 target AS (SELECT vec_id AS ref_id, 'E' || CAST(i - 1 AS STRING) AS gene, embedding[i] AS value
            FROM vectors, (SELECT unnest(range(49, 65)) AS i) WHERE vec_id % 2 = 0)

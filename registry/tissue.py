@@ -147,6 +147,34 @@ def resolved_columns(t: Tables):
     return cells_ops.resolve_coordinates(cells_ops.resolve_cell_area(meta)).select("cell_id", "cell_area", "_x", "_y")
 
 
+@query("SELECT cell_id, cluster, x AS _x, y AS _y FROM cells", ("cells",))
+def coordinates_from_embedding(t: Tables):
+    """A table without coordinates, tissue coordinates of some cells only, and a spatial embedding of all."""
+    embedding = t.cells.select("cell_id", F.col("x").alias("spatial_1"), F.col("y").alias("spatial_2"), F.lit(0.0).alias("spatial_3"))
+    some = t.cells.filter("cell_area < 100").select("cell_id", F.col("x").alias("imagerow"), F.col("y").alias("imagecol"))
+    return cells_ops.resolve_coordinates(t.cells.select("cell_id", "cluster"), some, embedding)
+
+
+@query("SELECT cell_id, x AS umap_1, y AS umap_2 FROM cells", ("cells",))
+def umap_pair(t: Tables):
+    """The corrected pair of columns where it is wanted and there, else the plain one."""
+    both = t.cells.select("cell_id", F.lit(0.0).alias("umap_1"), F.lit(0.0).alias("umap_2"), F.col("x").alias("split_umap_1"), F.col("y").alias("split_umap_2"))
+    wanted = cells_ops.resolve_umap(both, True)
+    plain = cells_ops.resolve_umap(both.drop("split_umap_1"), True)
+    missing = cells_ops.resolve_umap(t.cells, False)
+    right = plain == ("umap_1", "umap_2") and missing is None
+    return both.filter(F.lit(right)).select("cell_id", F.col(wanted[0]).alias("umap_1"), F.col(wanted[1]).alias("umap_2"))
+
+
+@query("SELECT sample, from_cell AS barcode, arg_max(receptor, (to_cell, ligand, receptor, attention_score)) AS cell_type FROM edges GROUP BY ALL", ("edges",))
+def last_labels(t: Tables):
+    """A barcode listed with several labels has the one that comes last."""
+    place = F.struct("to_cell", "ligand", "receptor", "attention_score")
+    listed = t.edges.select(F.concat_ws("|", "sample", "from_cell").alias("barcode"), F.col("receptor").alias("cell_type"), place.alias("file_ord"))
+    named = M.last_label(listed)
+    return named.select(F.split("barcode", r"\|")[0].alias("sample"), F.split("barcode", r"\|")[1].alias("barcode"), "cell_type")
+
+
 @query("SELECT cell_id, cluster AS kmeans, cell_type AS typed FROM cells", ("cells",))
 def labels_side_by_side(t: Tables):
     labels = t.cells.select("cell_id", F.lit("kmeans").alias("method"), F.col("cluster").alias("label")).union(
