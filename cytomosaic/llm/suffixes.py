@@ -31,7 +31,7 @@ LENGTH, ANCHOR = 200, 48
 #: Distinct contexts of one anchor that a bucket sorts; suffixes of more are compared across buckets.
 CONTEXTS_IN_BUCKET = 20_000
 #: Bytes of contexts sorted at a time.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 2 << 20
 #: Ids sent to every task up to this many rows, joined by a shuffle beyond.
 SENT_IDS = 1_000_000
 #: Bytes of a text handled at a time; longer texts are walked through with an overlap.
@@ -211,7 +211,7 @@ def repeated_windows(docs: DataFrame, read: DataFrame, ws: Workspace, length: in
     """(_rep, first, last): runs of repeated windows in each distinct row; ``read`` is the written result of ``all_contexts``."""
     rows = read.select("_rep", F.explode(F.arrays_zip("h", "c", "s", "w")).alias("x")).select("_rep", "x.*")
     # hashes are combined before the shuffle, so an anchor in very many texts is one row from each task
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    shared = ws.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "shared")  # so that a skewed join can be split
     met = ws.keep(rows.join(shared, "h"), "met")
     again = met.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rep", "s", "w")).alias("one"))
     again = ws.keep(again, "again")
