@@ -4,8 +4,10 @@ Tables are (id, features array<double>). Distances are 1 - cosine, or Euclidean.
 rounding distances to twelve decimals.
 
 A reference set whose measured size fits the limit is broadcast and every task handles its own queries. A larger one
-is split by nearest pivot into blocks of bounded size; the triangle inequality tells which blocks can hold one of a
-query's k nearest, the query goes to those only, and the per-block results are merged. Nothing is left out either way.
+is split by nearest pivot into blocks of bounded size. A query is first searched in the blocks that surely hold enough
+rows nearest to it; the k-th distance found there and the triangle inequality tell which other blocks can hold one of its
+k nearest. It goes to those only, and the results of blocks are merged. Nothing is left out either way. In many dimensions
+without clusters most blocks stay possible, and exact search is then near all pairs.
 """
 
 from __future__ import annotations
@@ -168,53 +170,79 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     # two cosine distances count as tied below 1e-12, which is this much in squared length: a block of ties stays in
     slack = 4e-12
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def home_blocks(d: np.ndarray, b_n: np.ndarray, b_hi: np.ndarray) -> np.ndarray:
+        """Per query and block, whether it is among the surely nearest blocks that together hold enough rows."""
+        order = np.argsort(d + b_hi, axis=1, kind="stable")
+        held = np.cumsum(b_n[order], axis=1)
+        needed = np.concatenate([np.ones((len(d), 1), dtype=bool), held[:, :-1] < wanted], axis=1)
+        home = np.zeros(d.shape, dtype=bool)
+        np.put_along_axis(home, order, needed, axis=1)
+        return home
+
+    def routes(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
         b_pivot, b_shell, b_n, b_lo, b_hi = table_bc.value
         rows = max(1, CHUNK_CELLS // max(1, len(b_pivot)))
         for batch in batches:
             for start in range(0, len(batch), rows):
                 part = batch.iloc[start : start + rows]
                 d = _distances(prepared(part), pivot_bc.value, "euclidean")[:, b_pivot]
-                most = d + b_hi
-                order = np.argsort(most, axis=1, kind="stable")
-                held = np.cumsum(b_n[order], axis=1)
-                stop = np.minimum((held < wanted).sum(axis=1), held.shape[1] - 1)
-                bound = np.take_along_axis(most, order, axis=1)[np.arange(len(part)), stop]
-                bound = np.where(held[:, -1] < wanted, np.inf, bound)
-                least = np.maximum(np.maximum(d - b_hi, b_lo - d), 0.0)
-                bound = np.sqrt(bound * bound + slack) * (1 + 1e-9) + 1e-9
-                row, col = np.nonzero(least <= bound[:, None])
-                sent = part.iloc[row]
+                chosen = home_blocks(d, b_n, b_hi)
+                if not first:
+                    # the k-th distance found at home is the bound; a query that found fewer has none
+                    found = part["bound"].to_numpy(dtype=float)
+                    bound = np.where(np.isnan(found), np.inf, np.sqrt(2 * found) if unit else found)
+                    bound = np.sqrt(bound * bound + slack) * (1 + 1e-9) + 1e-9
+                    least = np.maximum(np.maximum(d - b_hi, b_lo - d), 0.0)
+                    chosen = (least <= bound[:, None]) & ~chosen
+                row, col = np.nonzero(chosen)
+                sent = part[["id", "features"]].iloc[row]
                 yield sent.assign(pivot=b_pivot[col].astype(np.int32), shell=b_shell[col].astype(np.int32))
 
-    routed = queries.select("id", "features").mapInPandas(
-        route, f"id {query_id}, features array<double>, pivot int, shell int"
-    )
-    # both sides of a block are cut into slices of at most about block_rows rows, and every slice meets every other
-    per_block = routed.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_q")).join(
-        shelled.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_r")), ["pivot", "shell"]
-    )
-    cuts = F.broadcast(  # one row per block
-        per_block.select(
-            "pivot", "shell", F.ceil(F.col("_q") / block_rows).cast("int").alias("_qn"), F.ceil(F.col("_r") / block_rows).cast("int").alias("_rn")
-        )
-    )
+    routed_schema = f"id {query_id}, features array<double>, pivot int, shell int"
+    search = _BlockSearch(cut_lineage(shelled), block_rows, k, metric, not_self, prepared, _result_schema(queries, references))
+    at_home = cut_lineage(queries.select("id", "features").mapInPandas(lambda b: routes(b, True), routed_schema))
+    near = cut_lineage(search.run(at_home))
+    order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
+    kth = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == k)
+    bounded = queries.select("id", "features").join(kth.select(F.col("query_id").alias("id"), F.col("distance").alias("bound")), "id", "left")
+    abroad = bounded.mapInPandas(lambda b: routes(b, False), routed_schema)
+    return near.union(search.run(cut_lineage(abroad)))
 
-    def cut(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (
-            df.join(cuts, ["pivot", "shell"])
-            .withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-            .select("id", "features", "pivot", "shell", "_qs", "_rs")
+
+class _BlockSearch:
+    """The nearest rows of each routed query in each of its blocks."""
+
+    def __init__(self, shelled: DataFrame, block_rows: int, k: int, metric: str, not_self: bool, prepared, schema: str):
+        self.shelled, self.block_rows, self.k, self.metric = shelled, block_rows, k, metric
+        self.not_self, self.prepared, self.schema = not_self, prepared, schema
+
+    def run(self, routed: DataFrame) -> DataFrame:
+        block_rows, k, metric, not_self, prepared, shelled = self.block_rows, self.k, self.metric, self.not_self, self.prepared, self.shelled
+        # both sides of a block are cut into slices of at most about block_rows rows, and every slice meets every other
+        per_block = routed.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_q")).join(
+            shelled.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_r")), ["pivot", "shell"]
         )
+        cuts = F.broadcast(  # one row per block
+            per_block.select(
+                "pivot", "shell", F.ceil(F.col("_q") / block_rows).cast("int").alias("_qn"), F.ceil(F.col("_r") / block_rows).cast("int").alias("_rn")
+            )
+        )
+
+        def cut(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+            return (
+                df.join(cuts, ["pivot", "shell"])
+                .withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+                .select("id", "features", "pivot", "shell", "_qs", "_rs")
+            )
 
-    keys = ["pivot", "shell", "_qs", "_rs"]
-    q_side, r_side = cut(routed, "_qs", "_qn", "_rs", "_rn"), cut(shelled, "_rs", "_rn", "_qs", "_qn")
+        keys = ["pivot", "shell", "_qs", "_rs"]
+        q_side, r_side = cut(routed, "_qs", "_qn", "_rs", "_rn"), cut(shelled, "_rs", "_rn", "_qs", "_qn")
 
-    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"query_id": q["id"].iloc[:0], "ref_id": r["id"].iloc[:0], "distance": pd.Series(dtype=float)})
-        r = r.sort_values("id")
-        return _closest(q["id"].to_numpy(), prepared(q), r["id"].to_numpy(), prepared(r), k, metric, not_self)
+        def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if q.empty or r.empty:
+                return pd.DataFrame({"query_id": q["id"].iloc[:0], "ref_id": r["id"].iloc[:0], "distance": pd.Series(dtype=float)})
+            r = r.sort_values("id")
+            return _closest(q["id"].to_numpy(), prepared(q), r["id"].to_numpy(), prepared(r), k, metric, not_self)
 
-    return q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(meet, _result_schema(queries, references))
+        return q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(meet, self.schema)

@@ -155,3 +155,29 @@ def test_stage_folders_are_cleared(spark):
     listed, session._made[:] = session._made[:-1], [folder]
     assert session.clear_stages(spark) == 1 and not system.exists(path)
     session._made[:] = listed
+
+
+def test_blocks_rule_out_most_pairs(spark, monkeypatch):
+    """Clustered vectors: the second pass goes by the distance found in the first, and the result is that of brute force."""
+    from cytomosaic.operators import knn
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16)) * 6
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) * 0.3).tolist()) for i in range(2_400)]
+    vectors = spark.createDataFrame(rows, "id long, features array<double>")
+    sent, plain = [], knn._BlockSearch.run
+
+    def counting(self, routed):
+        sent.append(routed.count())
+        return plain(self, routed)
+
+    monkeypatch.setattr(knn._BlockSearch, "run", counting)
+    queries, references = vectors.filter("id % 4 = 0"), vectors.filter("id % 4 <> 0")
+    got = knn.knn_join(queries, references, 5, "euclidean", broadcast_bytes=0, block_rows=64, n_pivots=40)
+    found = {(r.query_id, r.place): r.ref_id for r in got.collect()}
+    points = np.array([v for _, v in rows])
+    refs = np.array([i for i in range(2_400) if i % 4])
+    for q in range(0, 2_400, 4):
+        order = np.argsort(((points[refs] - points[q]) ** 2).sum(1), kind="stable")[:5]
+        assert [found[q, p + 1] for p in range(5)] == refs[order].tolist()
+    assert sum(sent) < 0.35 * 600 * 40  # of all queries and blocks
