@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+import registry
 from tools.check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = {name: q.run for name, q in registry.load().items()}, entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
