@@ -105,7 +105,7 @@ def threshold(scores: DataFrame, most_lost: float = MOST_LOST) -> float:
     """The score below which rows are not kept; ``_trusted`` is true, false, or null for rows that take no part.
 
     Scores are counted in steps of ``STEP``. Of the steps that leave at most ``most_lost`` of the trusted rows below, the
-    one with most distrusted rows below is taken, the lowest of several. Without both kinds nothing falls below.
+    one with most distrusted rows below is taken, the middle one of several. Without both kinds nothing falls below.
     """
     place = F.floor(F.greatest(F.least(F.col("score"), F.lit(LIMIT)), F.lit(-LIMIT)) / STEP).cast("long")
     rows = scores.filter(F.col("_trusted").isNotNull()).groupBy(place.alias("place"), "_trusted").count().collect()
@@ -117,8 +117,8 @@ def threshold(scores: DataFrame, most_lost: float = MOST_LOST) -> float:
         return -LIMIT - STEP
     below = np.concatenate([np.zeros((2, 1)), np.cumsum(tally, 1)], 1)
     allowed = np.flatnonzero(below[1] <= most_lost * tally[1].sum())
-    best = allowed[np.argmax(below[0, allowed])]
-    return float((best - size) * STEP)
+    best = allowed[below[0, allowed] == below[0, allowed].max()]
+    return float((best[len(best) // 2] - size) * STEP)
 
 
 def judge(
