@@ -29,7 +29,7 @@ UNITS = frozenset(
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;\"\n%$€£]")
 WINDOW = 5
 #: Literal tokens that a window must have to be looked for.
-LEAST_LITERAL = 3
+LEAST_LITERAL = 2
 #: Share of an item's tokens, in percent, that found windows must cover.
 LEAST_COVER = 80
 #: Tokens by which matches may drift apart within one passage.
@@ -251,9 +251,10 @@ def contaminated(
             F.max(F.col("low") != F.col("high")).alias("clash"),
         )
     )
-    same = [passages[c].eqNullSafe(pairs[c]) for c in group]
+    pairs = pairs.withColumnsRenamed({c: f"_{c}_2" for c in group})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}_2`")) for c in group]
     checked = passages.join(pairs, same[0] & same[1] & same[2], "left").select(
-        *[passages[c] for c in group],
+        *group,
         "cover",
         F.coalesce("n_slots", F.lit(0)).cast("int").alias("n_slots"),
         F.coalesce("n_changed", F.lit(0)).cast("int").alias("n_changed"),
