@@ -71,6 +71,10 @@ class Resampling:
     boot_a: np.ndarray
     boot_b: np.ndarray
 
+    @property
+    def exact(self) -> bool:
+        return self.mode == "exact"
+
 
 def draw(n_a: int, n_b: int, n_perm: int, n_boot: int, seed: int = SEED, mode: str = "auto") -> Resampling:
     """The relabellings, then the bootstrap draws.
