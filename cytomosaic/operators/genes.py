@@ -50,22 +50,20 @@ def assemble_layers(
     the active imputed genes if asked for. ``X_raw`` holds the raw panel (imputed genes are zero there, so absent) and
     exists only if the main matrix differs from the raw panel.
     """
-    in_panel = expression.join(panel.select("gene"), "gene", "left_semi")
-    raw = in_panel.filter(F.col("layer") == RAW)
-    has_corrected = expression.agg(F.coalesce(F.max(F.col("layer") == CORRECTED), F.lit(False))).scalar()
-    columns = ["cell_id", "gene", "value"]
-    base, differs = raw, F.lit(False)
-    if use_corrected:
-        base = in_panel.filter(F.col("layer") == F.when(has_corrected, CORRECTED).otherwise(RAW))
-        differs = has_corrected
-    main = base.select(*columns)
+    has_corrected = expression.agg(F.coalesce(F.max(F.col("layer") == CORRECTED), F.lit(False))).scalar() if use_corrected else F.lit(False)
+    marked = expression.join(panel.select("gene", F.lit(True).alias("_panel")).distinct(), "gene", "left")
+    differs, of_imputed = F.lit(use_corrected) & has_corrected, F.lit(False)
     if include_imputed:
         names = active_imputed(raw_imputed, corr_imputed, use_corrected)
         differs = differs | names.agg(F.count(F.lit(1)) > 0).scalar()
-        imputed = expression.filter(F.col("layer").isin(IMPUTED, CORR_IMPUTED))
-        main = main.union(imputed.join(names, "gene", "left_semi").select(*columns))
-    parallel = raw.filter(differs).select(F.lit("X_raw").alias("matrix"), *columns)
-    return main.select(F.lit("X").alias("matrix"), *columns).union(parallel)
+        marked = marked.join(names.select("gene", F.lit(True).alias("_imputed")).distinct(), "gene", "left")
+        of_imputed = F.coalesce("_imputed", F.lit(False)) & F.col("layer").isin(IMPUTED, CORR_IMPUTED)
+    of_panel = F.coalesce("_panel", F.lit(False))
+    in_main = (of_panel & (F.col("layer") == F.when(has_corrected, CORRECTED).otherwise(RAW))) | of_imputed
+    in_parallel = of_panel & (F.col("layer") == RAW) & differs
+    # one pass over the counts: each row goes to neither, one or both matrices
+    matrices = F.array_compact(F.array(F.when(in_main, F.lit("X")), F.when(in_parallel, F.lit("X_raw"))))
+    return marked.select(F.explode(matrices).alias("matrix"), "cell_id", "gene", "value")
 
 
 def active_layer(expression: DataFrame, wanted: str) -> DataFrame:
