@@ -99,8 +99,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, starts, ends, decoded_sha256): pieces with their source bytes, and a hash of the decoded text."""
     model = model_bytes(MODEL)
-    decoded = pieces.decode(pieces.encode(docs, model), model)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", sha256(F.col("decoded")).alias("decoded_sha256"))
+    encoded = pieces.encode(docs, model, decoded="decoded")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

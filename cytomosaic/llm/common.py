@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Distinct words whose hashes a task remembers; beyond that it starts afresh, so memory stays bounded.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 #: Rows handled and returned at once inside a task.
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,5 +116,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]]
         work = fn()
         for batch in small_batches(batches, rows):
             yield pa.RecordBatch.from_pydict(work(batch))
+        del work
+        pa.default_memory_pool().release_unused()  # the process goes on to other tasks
 
     return df.mapInArrow(run, schema)

@@ -75,7 +75,7 @@ LEAST_SHARE = 0.01
 #: Cost of a word in a language that does not use its script.
 FOREIGN = 200.0
 #: Distinct words a task remembers, and texts that are decoded side by side.
-REMEMBERED_WORDS, TEXTS_AT_ONCE = 300_000, 2048
+REMEMBERED_WORDS, TEXTS_AT_ONCE = 150_000, 1024
 
 
 def script_of(letter: str) -> int:

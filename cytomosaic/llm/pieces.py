@@ -24,7 +24,7 @@ from cytomosaic.llm.common import binaries, lists, map_batches
 
 SPACE = "▁"
 #: Distinct chunks a task remembers before it starts afresh.
-REMEMBERED_CHUNKS = 600_000
+REMEMBERED_CHUNKS = 200_000
 #: Chunks up to this many characters are merged side by side, longer ones one by one.
 SHORT = 24
 NEVER = np.int32(2**31 - 1)
@@ -376,8 +376,8 @@ def _lenient(raw: bytes) -> str:
     return "".join(out)
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id column with ``ids``, ``starts`` and ``ends`` (arrays of int) for each row.
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """The id column with ``ids``, ``starts`` and ``ends`` (arrays of int) for each row, and the decoded text if a name is given.
 
     Spans are source bytes, end exclusive. The space put before the text has an empty span at 0; of a character written
     as byte pieces the last piece has the span and the others are empty. A null or empty text has no pieces. Rows are
@@ -390,6 +390,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             done = pieces.encode_all(binaries(batch, "text"))
             columns = {name: lists([d[i] for d in done], pa.int32()) for i, name in enumerate(("ids", "starts", "ends"))}
+            if decoded:
+                columns[decoded] = pa.array([pieces.decode(d[0]) for d in done], pa.string())
             return {id_col: batch.column(0), **columns}
 
         return work
@@ -398,7 +400,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     return map_batches(
         docs.select(F.col(id_col), F.col(text_col).alias("text")),
         start,
-        f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>",
+        f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>" + (f", `{decoded}` string" if decoded else ""),
     )
 
 

@@ -87,16 +87,14 @@ def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = model_bytes("piece_bpe_32k.model")
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), model)
-    digest = encoded.select(
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model, decoded="decoded")
+    return encoded.select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
         F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_bytes"),
     )
-    decoded = pieces.decode(digest, model)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"), "n_bytes")
 
 
 def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

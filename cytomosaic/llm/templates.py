@@ -40,7 +40,7 @@ SENT_WINDOWS = 2_000_000
 LITERAL, NUMBER, UNIT, CAPITAL, MARK = range(5)
 PLACEHOLDERS = {kind: xxhash.xxh3_64_intdigest(f"<{name}>") for kind, name in ((NUMBER, "num"), (UNIT, "unit"), (CAPITAL, "name"))}
 #: Distinct tokens a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Tokens:
