@@ -96,6 +96,18 @@ def test_passages_odd_rows(make):
     assert chaining.repeated_passages(make([])).count() == 0
 
 
+def test_passages_between_their_holders(make):
+    """The least and the largest holders of a passage's seeds have parts of it that are too short; all between have all of it."""
+    for seed, length, part in ((81, 60, 45), (82, 70, 48), (83, 50, 49)):
+        own = words(seed, length).split()
+        parts = {1: own[:part], 100: own[:part], 2: own[-part:], 101: own[-part:]}
+        rows = [(i, " ".join([*words(800 + i, 40).split(), *parts.get(i, own), *words(950 + i, 30).split()])) for i in (*parts, *range(10, 91))]
+        got = {r["doc_id"]: r for r in chaining.repeated_passages(make(rows)).collect()}
+        for i in range(10, 91):
+            assert any(s["start"] <= 40 and s["end"] >= 40 + length for s in got[i]["spans"]), (length, i)
+            assert got[i]["partner"] is not None
+
+
 # --- templates -------------------------------------------------------------------------------------------------------
 
 ITEM = "A train leaves Paris at 9 and travels 120 km to Lyon. When Anna counts 120 km from Paris, how many hours did the train take on its way?"
