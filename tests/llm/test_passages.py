@@ -31,6 +31,34 @@ def test_chains_are_best():
         assert sorted(i for c in got for i in c) == list(range(len(points)))
 
 
+def test_chains_within_the_gap():
+    """A second passage behind a longer gap is a chain of its own, and scores are those of all chains without longer gaps."""
+    first = [(10 * i, 10 * i) for i in range(28)]
+    second = [(270 + 150 + 10 * i, 270 + 120 + 10 * i) for i in range(9)]
+    points = np.array(first + second)
+    assert [len(c) for c in chaining.chains(points[:, 0], points[:, 1], 2)] == [28, 9]
+    source = random.Random(14)
+    for _ in range(60):
+        points = sorted({(source.randrange(400), source.randrange(400)) for _ in range(source.randint(2, 40))})
+        points += [(500 + 5 * i, 450 + 5 * i + source.randrange(3)) for i in range(source.randint(0, 30))]
+        score = {}
+        for x, y in points:
+            near = [s - chaining.GAP_COST * (x - u + y - v) for (u, v), s in score.items() if 0 < x - u <= chaining.LONGEST_GAP and 0 < y - v <= chaining.LONGEST_GAP]
+            score[x, y] = chaining.SEED_WORTH + max([0, *near])
+        at = np.array(points)
+        got = chaining.chains(at[:, 0], at[:, 1], 1)[0]
+        own = chaining.SEED_WORTH * len(got) - chaining.GAP_COST * sum((at[got[-1]] - at[got[0]]).tolist())
+        assert abs(own - max(score.values())) < 1e-9
+
+
+def test_passages_with_a_longer_gap(make):
+    one, two = words(61, 280), words(62, 90)
+    rows = [(1, f"{one} {words(63, 150)} {two} {words(64, 20)}"), (2, f"{one} {words(65, 120)} {two} {words(66, 35)}")]
+    got = {r["doc_id"]: r for r in chaining.repeated_passages(make(rows)).collect()}
+    assert [len(got[i]["spans"]) for i in (1, 2)] == [2, 2]
+    assert got[1]["spans"][1]["start"] <= 430 and got[1]["spans"][1]["end"] >= 520
+
+
 def test_fenwick_maxima():
     source = random.Random(9)
     tree, seen = chaining.LargestBefore(50), []
