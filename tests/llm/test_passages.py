@@ -59,6 +59,30 @@ def test_passages_with_a_longer_gap(make):
     assert got[1]["spans"][1]["start"] <= 430 and got[1]["spans"][1]["end"] >= 520
 
 
+def test_seeds_of_edited_passages(make):
+    """Two texts with a passage at the limits, 50 words and 80 %, nearly always have the seeds of a chain in common."""
+    source = np.random.default_rng(5)
+
+    def text(middle):
+        return np.concatenate([source.integers(1, 1 << 63, 40, np.uint64), middle, source.integers(1, 1 << 63, 40, np.uint64)])
+
+    lost = 0
+    for _ in range(400):
+        one = source.integers(1, 1 << 63, 50, np.uint64)
+        two = np.where(np.isin(np.arange(50), source.permutation(50)[:10]), source.integers(1, 1 << 63, 50, np.uint64), one)
+        seeds = [chaining.seeds_of(text(x), chaining.SEED, chaining.WINDOW)[1] for x in (one, two)]
+        places = np.flatnonzero(np.isin(chaining.windows(one, chaining.SEED), np.intersect1d(*seeds)))
+        lost += len(places) < chaining.LEAST_SEEDS or places[-1] - places[0] < chaining.SEED
+    assert lost <= 4
+    rows = []
+    for i in range(40):
+        own = words(1000 + i, 50, 10**6).split()
+        places = range(6, 48, 6)
+        changed = [f"z{p}y{i}" if p in places else w for p, w in enumerate(own)]
+        rows += [(2 * i + j, " ".join([words(2000 + 2 * i + j, 60, 10**6), *x, words(3000 + 2 * i + j, 30, 10**6)])) for j, x in enumerate((own, changed))]
+    assert chaining.repeated_passages(make(rows)).count() >= 78
+
+
 def test_fenwick_maxima():
     source = random.Random(9)
     tree, seen = chaining.LargestBefore(50), []
