@@ -19,6 +19,7 @@ CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*\bhref\s*=[^>]*>"""
 #: Query parameters that do not make another page.
 CAMPAIGN = "^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 
@@ -56,14 +57,33 @@ def usual_spelling(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments carried out."""
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)
+        return F.when(part == ".", done).when(part == "..", up).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.split(F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
 def absolute(link: Column, url: Column) -> Column:
-    """A link as a page states it, put against the page's address; null if it is neither absolute nor from the root."""
+    """A link as a page states it, put against an address; null for other schemes without a host, and without an address."""
     clean = F.replace(link, F.lit("&amp;"), F.lit("&"))
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    own = F.regexp_extract(clean, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(clean, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    query = F.regexp_extract(url, r"(?s)(\?[^#]*)", 1)
     return (
-        F.when(clean.contains("://"), clean)
+        F.when(own.contains("://"), clean)
         .when(clean.startswith("//"), F.concat(F.lit("http:"), clean))
-        .when(clean.startswith("/") & (root != ""), F.concat(root, clean))
+        .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (root == ""), F.lit(None))
+        .when(own.startswith("/"), F.concat(root, without_dots(own), rest))
+        .when(own != "", F.concat(root, without_dots(F.concat(folder, own)), rest))
+        .when(rest.startswith("?"), F.concat(root, path_of(url), rest))
+        .otherwise(F.concat(root, path_of(url), query))
     )
 
 
@@ -78,9 +98,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     host, path = host_of(url), path_of(url)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
 
-    def stated(tag: str, address: str) -> Column:
+    def written(tag: str, address: str) -> Column:
         link = F.regexp_extract(F.regexp_extract(html, tag, 0), address, 1)
-        return usual_spelling(absolute(F.when(link != "", link), url))
+        return F.when(link != "", link)
+
+    base = F.coalesce(absolute(written(BASE, HREF), url), url)
+
+    def stated(tag: str, address: str) -> Column:
+        return usual_spelling(absolute(written(tag, address), base))
 
     read = pages.select(
         "page_id",

@@ -155,6 +155,20 @@ def test_url_classes(spark):
     assert urls.judge(pages(spark, []), queries.URL_RULES).count() == 0
 
 
+def test_relative_links(spark):
+    links = {"next.html": "/d/e/next", "../a": "/d/a", "./x/../y": "/d/e/y", "?id=3": "/d/e/p?id=3", "../../../r": "/r", "..": "/d", "/q/../z": "/z"}
+    rows = [(i, f"http://s{i}.test/d/e/p?k=1", f"<meta http-equiv=refresh content='0; url={x}'>") for i, x in enumerate(links)]
+    rows = [(i, u, h + f'<link rel=canonical href="http://a{i}.example.com/en/9">') for i, u, h in rows]
+    rows += [(100 + i, f"http://s{i}.test{x}", "") for i, x in enumerate(links.values())]
+    rows += [(i, f"http://a{i}.example.com/en/9", "") for i in range(200, 203)]
+    rows += [(50, "http://t.test/m/n", '<base href="/o/"><link rel=canonical href="up">'), (51, "http://t.test/o/up", '<link rel=canonical href="http://a200.example.com/en/9">')]
+    rows += [(52, "http://v.test/m/n", '<link rel=canonical href="mailto:x@y.test">'), (53, "http://v.test/m/mailto:x@y.test", '<link rel=canonical href="http://a201.example.com/en/9">')]
+    rows += [(300 + i, f"http://a{i}.example.com/en/9", "") for i in range(len(links))]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages(spark, rows), queries.URL_RULES).collect()}
+    assert [got[100 + i] for i in range(len(links))] == ["block"] * len(links)
+    assert (got[50], got[51], got[52], got[53]) == ("block", "block", "allow", "block")
+
+
 def test_explicit_allow_comes_first(spark):
     link = '<link rel=canonical href="http://hub.test/x">'
     rows = [(1, "http://a.example.com/en/9", link), (2, "http://b.example.com/en/7", link), (3, "http://hub.test/x", "")]
