@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytomosaic.llm import chaining, langid, nearcopies, pieces, quality, secrets, suffixes, templates, urls, warc
+from cytomosaic.llm import chaining, curriculum, infill, langid, nearcopies, pieces, quality, secrets, suffixes, templates, urls, warc, whitening
 from cytomosaic.llm.common import Workspace, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,26 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"), k=3, percent=85, rows=8)
 
 
+def op11_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in training order, with what the mix takes of each; ``first_position`` counts the words before its first visit."""
+    mixed = curriculum.in_order(curriculum.curriculum(table(spark, sf_dir, "documents")))
+    taken = F.aggregate("visits", F.lit(0).cast("long"), lambda done, v: done + v["words"])
+    first = F.floor(F.get("visits", F.lit(0))["position"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("visits").alias("n_visits"), first.alias("first_position"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the cut texts, and of the texts put together again from them."""
+    out = infill.infill(table(spark, sf_dir, "documents"))
+    text = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256(F.col("output")).alias("output_sha256"), sha256(text).alias("restored_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four leading components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -161,6 +181,65 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN allows THEN 'allow' WH
 FROM placed LEFT JOIN said USING (class)"""
 
 
+def _time(demand: str, schedule: list[tuple[float, float]]) -> str:
+    """``curriculum.time_of`` in DuckDB's SQL."""
+    out = "NULL"
+    for begin, length, weight, slope, done in curriculum.segments(schedule):
+        rest = f"({demand} - {done!r}::DOUBLE)"
+        root = f"sqrt(greatest({weight * weight!r}::DOUBLE + {2.0 * slope!r}::DOUBLE * {rest}, 0::DOUBLE))"
+        inside = f"CASE WHEN {rest} <= 0 THEN 0 ELSE least(2::DOUBLE * {rest} / ({weight!r}::DOUBLE + {root}), {length!r}::DOUBLE) END"
+        out = f"CASE WHEN {rest} >= 0 OR {begin!r} = 0 THEN {begin!r}::DOUBLE + {inside} ELSE {out} END"
+    return out
+
+
+def _by_source(values: list[str]) -> str:
+    return f"CASE cycle {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(values))} END"
+
+
+_MOST = curriculum.MOST_VISITS
+ORACLES["op11_curriculum_mix"] = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN source IS NULL THEN 'b' ELSE 'a' || source END AS s, len(regexp_extract_all(coalesce(text, ''), '{curriculum.WORD}')) AS size,
+         md5('{curriculum.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h FROM documents),
+src AS (SELECT s, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY s) - 1) % {len(curriculum.CYCLE)} AS cycle FROM d GROUP BY s),
+w AS MATERIALIZED (SELECT *, {_by_source([f"{curriculum.integral(c)!r}::DOUBLE" for c in curriculum.CYCLE])} AS weight FROM src),
+level AS (
+  SELECT 0::BIGINT AS n, (SELECT sum(source_size) FROM w)::DOUBLE AS words, (SELECT sum(weight) FROM w) AS free
+  UNION ALL
+  SELECT m.n, (SELECT sum(source_size) FROM w)::DOUBLE - held, rest FROM (
+    SELECT level.n AS before, count(*) FILTER (weight * words / free > {_MOST} * source_size) AS n,
+           sum(CASE WHEN weight * words / free > {_MOST} * source_size THEN {_MOST} * source_size ELSE 0 END)::DOUBLE AS held,
+           sum(CASE WHEN weight * words / free > {_MOST} * source_size THEN 0 ELSE weight END) AS rest
+    FROM level, w GROUP BY level.n) m WHERE m.n > m.before),
+last AS (SELECT words, free FROM level ORDER BY n DESC LIMIT 1),
+t AS (SELECT w.*, CASE WHEN weight * words / free > {_MOST} * source_size THEN ({_MOST} * source_size)::DOUBLE ELSE weight * words / free END AS target FROM w, last),
+placed AS (
+  SELECT doc_id, size, source_size, target, weight, cycle,
+         coalesce(sum(size) OVER (PARTITION BY s ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM d JOIN t USING (s)),
+seen AS (
+  SELECT *, [greatest(least(floor(target)::BIGINT - k * source_size - a, size), 0) FOR k IN range({_MOST})] AS words,
+         CASE WHEN target > 0 THEN weight * a::DOUBLE / target END AS demand FROM placed)
+SELECT doc_id, size, source_size, target, list_sum(words)::BIGINT AS taken, len(list_filter(words, lambda x: x > 0))::INT AS n_visits,
+       CASE WHEN words[1] > 0 THEN floor(({_by_source([_time("demand", c) for c in curriculum.CYCLE])}) * (SELECT sum(source_size) FROM w)::DOUBLE)::BIGINT END AS first_position
+FROM seen"""
+
+_MARKED = " OR ".join(f"contains(text, '{m}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+_DRAWS = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::UBIGINT AS h{i + 1}" for i in range(4))
+ORACLES["op12_infill"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{infill.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, {_DRAWS} FROM d),
+f AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1))::BIGINT AS b,
+         CASE WHEN text = '' OR {_MARKED} OR h3 % 100 >= {100 - infill.PLAIN_PERCENT} THEN 'plain' WHEN h4 % 100 < {infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf FROM f),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{infill.PREFIX}' || pre || '{infill.SUFFIX}' || suf || '{infill.MIDDLE}' || mid
+                 ELSE '{infill.SUFFIX}' || suf || '{infill.PREFIX}' || pre || '{infill.MIDDLE}' || mid END AS out FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(out) AS output_sha256, sha256(text) AS restored_sha256
+FROM o"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -174,5 +253,8 @@ QUERIES: dict[str, Query] = {
         op8_template_leaks,
         op9_sentencepiece_offsets,
         op10_near_copies,
+        op11_curriculum_mix,
+        op12_infill,
+        op13_whitening,
     )
 }
