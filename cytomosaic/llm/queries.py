@@ -69,6 +69,7 @@ URL_RULES = [
 
 
 def op5_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page, by its own rule or that of the pages it is linked with."""
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
@@ -158,18 +159,35 @@ def _rule(what: int) -> str:
 
 
 def _stated(tag: str, address: str) -> str:
-    link = f"replace(regexp_extract(regexp_extract(coalesce(html, ''), {_quoted(tag)}), {_quoted(address)}, 1), '&amp;', '&')"
-    root = "regexp_extract(coalesce(url, ''), '(?s)^(.*?://[^/?#]*)', 1)"
+    return f"replace(nullif(regexp_extract(regexp_extract(coalesce(html, ''), {_quoted(tag)}), {_quoted(address)}, 1), ''), '&amp;', '&')"
+
+
+def _without_dots(path: str) -> str:
+    """``urls.without_dots``: segments behind the root, each put on or taken off."""
+    parts = f"string_split(regexp_replace({path}, '(^|/)(\\.\\.?)$', '\\1\\2/'), '/')[2:]"
+    return f"list_reduce({parts}, lambda done, part: CASE part WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END, '')"
+
+
+def _resolved(link: str, url: str) -> str:
+    """``urls.resolved`` in DuckDB's SQL."""
+    own, rest = f"regexp_extract({link}, '(?s)^([^?#]*)', 1)", f"regexp_extract({link}, '(?s)^[^?#]*(.*)$', 1)"
+    root = f"regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)"
+    folder = f"'/' || regexp_extract({_path(url)}, '(?s)^/(.*/)?', 1)"
     return (
-        f"CASE WHEN contains({link}, '://') THEN {link} WHEN starts_with({link}, '//') THEN 'http:' || {link} "
-        f"WHEN starts_with({link}, '/') AND {root} <> '' THEN {root} || {link} END"
+        f"CASE WHEN {link} IS NULL THEN NULL WHEN contains({own}, '://') THEN {link} WHEN starts_with({link}, '//') THEN 'http:' || {link} "
+        f"WHEN regexp_matches({link}, '^[A-Za-z][A-Za-z0-9+.-]*:') OR {root} = '' OR {url} IS NULL THEN NULL "
+        f"WHEN starts_with({own}, '/') THEN {root} || {_without_dots(own)} || {rest} WHEN {own} <> '' THEN {root} || {_without_dots(f'{folder} || {own}')} || {rest} "
+        f"WHEN starts_with({rest}, '?') THEN {root} || {_path(url)} || {rest} ELSE {root} || {_path(url)} || regexp_extract({url}, '(?s)(\\?[^#]*)', 1) END"
     )
 
 
 ORACLES["op5_url_equivalence"] = f"""
-WITH RECURSIVE p AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, page_id, {_host("url")} AS host, {_path("url")} AS path, {_spelling("url")} AS spelling,
-         {_stated(urls.CANONICAL, urls.HREF)} AS canonical, {_stated(urls.REFRESH, urls.TARGET)} AS refresh FROM pages),
+WITH RECURSIVE s AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, page_id, url, {_stated(urls.BASE, urls.HREF)} AS base_link, {_stated(urls.CANONICAL, urls.HREF)} AS canonical_link,
+         {_stated(urls.REFRESH, urls.TARGET)} AS refresh_link FROM pages),
+b AS MATERIALIZED (SELECT *, coalesce({_resolved("base_link", "url")}, url) AS against FROM s),
+l AS MATERIALIZED (SELECT *, {_resolved("canonical_link", "against")} AS canonical, {_resolved("refresh_link", "against")} AS refresh FROM b),
+p AS MATERIALIZED (SELECT r, page_id, {_host("url")} AS host, {_path("url")} AS path, {_spelling("url")} AS spelling, canonical, refresh FROM l),
 q AS MATERIALIZED (SELECT *, {_rule(1)} AS rule, {_rule(0)} AS own, {_spelling("canonical")} AS c, {_spelling("refresh")} AS f FROM p),
 e AS (SELECT spelling AS a, c AS b FROM q UNION SELECT spelling, f FROM q),
 links AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),

@@ -47,14 +47,21 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return name, verdict
 
 
-def usual_spelling(url: Column) -> Column:
-    """The spelling that other spellings of the same page redirect to; null without a host."""
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(?s)(/index)?(\.html?|/)+$", "")
-    query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: ~p.rlike(CAMPAIGN) & (p != ""))
-    tail = F.array_join(F.array_sort(kept), "&")
-    return F.when(host != "", F.concat(host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise("")))
+def spelled(df: DataFrame, url: str, out: str) -> DataFrame:
+    """Adds ``out``, the spelling that other spellings of the page at ``url`` redirect to; null without a host.
+
+    Parts that are named more than once are columns of their own, step by step, so that each is computed once.
+    """
+    address = F.col(url)
+    df = df.withColumns({
+        "_host": F.regexp_replace(host_of(address), r"^(www|m)\.", ""),
+        "_path": F.regexp_replace(path_of(address), r"(?s)(/index)?(\.html?|/)+$", ""),
+        "_query": F.split(F.regexp_extract(address, r"(?s)\?([^#]*)", 1), "&"),
+    })
+    kept = F.filter("_query", lambda p: ~p.rlike(CAMPAIGN) & (p != ""))
+    df = df.withColumn("_tail", F.array_join(F.array_sort(kept), "&"))
+    whole = F.concat("_host", "_path", F.when(F.col("_tail") != "", F.concat(F.lit("?"), "_tail")).otherwise(""))
+    return df.withColumn(out, F.when(F.col("_host") != "", whole)).drop("_host", "_path", "_query", "_tail")
 
 
 def without_dots(path: Column) -> Column:
@@ -68,23 +75,38 @@ def without_dots(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def absolute(link: Column, url: Column) -> Column:
-    """A link as a page states it, put against an address; null for other schemes without a host, and without an address."""
-    clean = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    own = F.regexp_extract(clean, r"(?s)^([^?#]*)", 1)
-    rest = F.regexp_extract(clean, r"(?s)^[^?#]*(.*)$", 1)
-    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
-    query = F.regexp_extract(url, r"(?s)(\?[^#]*)", 1)
-    return (
-        F.when(own.contains("://"), clean)
+def resolved(df: DataFrame, link: str, url: str, out: str) -> DataFrame:
+    """Adds ``out``, the link as a page states it put against the address ``url``; null for other schemes without a host,
+    and without an address."""
+    address, clean, own, rest = F.col(url), F.col("_clean"), F.col("_own"), F.col("_rest")
+    df = df.withColumn("_clean", F.replace(F.col(link), F.lit("&amp;"), F.lit("&")))
+    df = df.withColumns({
+        "_own": F.regexp_extract(clean, r"(?s)^([^?#]*)", 1),
+        "_rest": F.regexp_extract(clean, r"(?s)^[^?#]*(.*)$", 1),
+        "_root": F.regexp_extract(address, r"(?s)^(.*?://[^/?#]*)", 1),
+        "_page": path_of(address),
+    })
+    folder = F.concat(F.lit("/"), F.regexp_extract("_page", r"(?s)^/(.*/)?", 1))
+    whole = (
+        F.when(clean.isNull(), F.lit(None))
+        .when(own.contains("://"), clean)
         .when(clean.startswith("//"), F.concat(F.lit("http:"), clean))
-        .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (root == ""), F.lit(None))
-        .when(own.startswith("/"), F.concat(root, without_dots(own), rest))
-        .when(own != "", F.concat(root, without_dots(F.concat(folder, own)), rest))
-        .when(rest.startswith("?"), F.concat(root, path_of(url), rest))
-        .otherwise(F.concat(root, path_of(url), query))
+        .when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.col("_root") == ""), F.lit(None))
+        .when(own.startswith("/"), F.concat("_root", without_dots(own), rest))
+        .when(own != "", F.concat("_root", without_dots(F.concat(folder, own)), rest))
+        .when(rest.startswith("?"), F.concat("_root", "_page", rest))
+        .otherwise(F.concat("_root", "_page", F.regexp_extract(address, r"(?s)(\?[^#]*)", 1)))
     )
+    return df.withColumn(out, whole).drop("_clean", "_own", "_rest", "_root", "_page")
+
+
+def stated(pages: DataFrame) -> DataFrame:
+    """Adds ``_base``, ``_canonical`` and ``_refresh`` to (page_id, url, html), without the html: addresses as the page
+    writes them, or null. Each html is searched once for each kind of tag."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    tags = {"_base": (BASE, HREF), "_canonical": (CANONICAL, HREF), "_refresh": (REFRESH, TARGET)}
+    found = pages.select("page_id", "url", *[F.regexp_extract(F.regexp_extract(html, tag, 0), address, 1).alias(c) for c, (tag, address) in tags.items()])
+    return found.withColumns({c: F.when(F.col(c) != "", F.col(c)) for c in tags})
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
@@ -94,25 +116,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     rows are judged alike. Links are read from all of the html; a null html has none. Other columns are not read.
     """
     ws = Workspace(pages.sparkSession, "urls")
-    url, html = F.col("url"), F.coalesce(F.col("html"), F.lit(""))
-    host, path = host_of(url), path_of(url)
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
-
-    def written(tag: str, address: str) -> Column:
-        link = F.regexp_extract(F.regexp_extract(html, tag, 0), address, 1)
-        return F.when(link != "", link)
-
-    base = F.coalesce(absolute(written(BASE, HREF), url), url)
-
-    def stated(tag: str, address: str) -> Column:
-        return usual_spelling(absolute(written(tag, address), base))
-
-    read = pages.select(
-        "page_id",
-        host.alias("host"),
-        path.alias("path"),
-        usual_spelling(url).alias("spelling"),
-        F.array_compact(F.array(stated(CANONICAL, HREF), stated(REFRESH, TARGET))).alias("targets"),
+    found = resolved(stated(pages), "_base", "url", "_against").withColumn("_against", F.coalesce("_against", "url"))
+    found = resolved(resolved(found, "_canonical", "_against", "_canonical_url"), "_refresh", "_against", "_refresh_url")
+    for address, out in (("url", "spelling"), ("_canonical_url", "_canonical_as"), ("_refresh_url", "_refresh_as")):
+        found = spelled(found, address, out)
+    read = found.select(
+        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "spelling", F.array_compact(F.array("_canonical_as", "_refresh_as")).alias("targets")
     )
     read = ws.keep(read.select("page_id", "host", "path", "spelling", "targets", name.alias("rule"), verdict.alias("own")), "pages")
 

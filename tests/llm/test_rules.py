@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 from cytomosaic.llm import quality, queries, secrets, urls, warc
@@ -169,6 +171,43 @@ def test_relative_links(spark):
     assert (got[50], got[51], got[52], got[53]) == ("block", "block", "allow", "block")
 
 
+def linked(seed, n=120):
+    """Pages with links of all forms among a few hosts; classes differ from seed to seed."""
+    source = random.Random(seed)
+    hosts = ["s.test", "www.s.test", "t.test", "a.example.com", "b.net", "c.org", "com"]
+    paths = ["/en/7", "/en/9", "/de/8", "/es/1", "/d/e/p", "/d/e/", "/", "", "/d/x.html", "/q//r"]
+    links = ["next.html", "../a", "./x/../y", "?id=3", "../../../r", "..", ".", "/q/../z", "//t.test/d", "mailto:a@b", "#top", "http://c.org/es/1", "p?a=1&amp;utm_source=2", "/d/../en/7", ""]
+    out = []
+    for i in range(n):
+        url = source.choice([None, "no host", *[f"http://{source.choice(hosts)}{source.choice(paths)}{source.choice(['', '?k=1', '#x'])}" for _ in range(12)]])
+        tags = [f'<link rel=canonical href="{source.choice(links)}">', f"<meta http-equiv=refresh content='0; url={source.choice(links)}'>", f'<base href="{source.choice(["/o/", "http://t.test/d/", "u/"])}">']
+        out.append((i, url, source.choice([None, *["".join(t for t in tags if source.random() < 0.4) for _ in range(20)]])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sql_states_all_links(spark, seed):
+    rows = linked(seed)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    names = ["page_id", "host", "path", "rule", "verdict"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['op5_url_equivalence']})").fetchall()
+    got = [tuple(r) for r in urls.judge(pages(spark, rows), queries.URL_RULES).select(*names).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_each_pattern_once(spark):
+    """The html is searched once for each tag; in all, the plan has a bounded number of patterns."""
+    ws_plans = []
+    keep = Workspace.keep
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Workspace, "keep", lambda self, df, name="stage": ws_plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df, name))
+        urls.judge(pages(spark, [(1, "http://a/b", "")]), queries.URL_RULES).count()
+    plan = ws_plans[0].lower()
+    assert sum(plan.count(f"regexp_{kind}") for kind in ("extract", "replace")) + plan.count("rlike") < 120
+
+
 def test_explicit_allow_comes_first(spark):
     link = '<link rel=canonical href="http://hub.test/x">'
     rows = [(1, "http://a.example.com/en/9", link), (2, "http://b.example.com/en/7", link), (3, "http://hub.test/x", "")]
