@@ -81,7 +81,7 @@ def op6_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans are ``kind:start:end`` of whole matches; a repository is a document and its owner is the source."""
+    """Spans are ``kind:start:end`` of whole matches; a repository is a document, copies counted once, and its owner is the source."""
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"], owner="source")
     return secrets.digest(found)
 

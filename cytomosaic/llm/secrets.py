@@ -1,9 +1,10 @@
 """Secret scanning with corpus-wide ownership.
 
 One pass over the texts finds candidates: three fixed kinds and free-standing random-looking keys. The hashes of their
-values are then counted over the corpus by distinct repositories and owners. A value seen under many owners is an example
-that was copied around; a value that stays with one owner looks like a live credential. Fixed kinds are always reported;
-random-looking keys only if they belong to one owner.
+values are then counted over the corpus by distinct repositories and owners. Places with the same surroundings are copies of
+one text: they are one repository and have one owner, the least of theirs, so copying a document does not make its
+credentials public knowledge. A value with many repositories and many owners is an example that was copied around; every
+other looks like a live credential. Fixed kinds are always reported; random-looking keys unless they are examples.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ KEY = "key"
 KEYS = re.compile("[A-Za-z0-9+/_-]{20,}")
 #: Bits a character that such a key has at least; words and repeated characters have less.
 LEAST_ENTROPY = 3.5
-#: Owners beyond which a value counts as a copied example.
-MOST_OWNERS = 1
+#: A copied example is a value with so many owners and so many repositories.
+WIDE_OWNERS, WIDE_REPOSITORIES = 5, 8
+#: Code points on either side of a match that are its surroundings.
+AROUND = 32
 
-FOUND = "array<struct<kind: string, start: int, end: int, value: bigint, own: boolean>>"
+FOUND = "array<struct<kind: string, start: int, end: int, value: bigint, own: boolean, around: bigint>>"
 
 
 def looks_random(value: str) -> bool:
@@ -47,8 +50,13 @@ def looks_random(value: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in counts) >= LEAST_ENTROPY
 
 
-def candidates(text: str) -> list[tuple[str, int, int, int, bool]]:
-    """(kind, start, end, hash of the value, whether it is of a fixed kind), by start and kind; code points, end exclusive."""
+def hashed(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
+
+
+def candidates(text: str) -> list[tuple[str, int, int, int, bool, int]]:
+    """(kind, start, end, hash of the value, whether it is of a fixed kind, hash of the surroundings), by start and kind;
+    code points, end exclusive."""
     found: list[tuple[int, int, str, int, str]] = []
     lowered = text.lower()
     if any(word in lowered for word in ("passw", "secret", "token", "api")):
@@ -63,15 +71,21 @@ def candidates(text: str) -> list[tuple[str, int, int, int, bool]]:
         if looks_random(m[0]) and not any(start < m.end() and m.start() < end for start, end in fixed):
             found.append((m.start(), 3, KEY, m.end(), m[0]))
     found.sort()
-    return [(kind, start, end, xxhash.xxh3_64_intdigest(v.encode()) - (1 << 63), rank < 3) for start, rank, kind, end, v in found]
+    return [
+        (kind, start, end, hashed(v), rank < 3, hashed(f"{text[max(start - AROUND, 0) : start]}\0{text[end : end + AROUND]}"))
+        for start, rank, kind, end, v in found
+    ]
 
 
-def scan(docs: DataFrame, keep: list[str], owner: str, text_col: str = "text", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(
+    docs: DataFrame, keep: list[str], owner: str, text_col: str = "text", wide_owners: int = WIDE_OWNERS, wide_repositories: int = WIDE_REPOSITORIES
+) -> DataFrame:
     """The ``keep`` columns and ``found``: all reported spans of each row, with how far each value is spread.
 
     ``found`` is an array of (kind, start, end, value, own, repositories, owners, live) by start, then kind; ``live`` is
-    false for values seen under more than ``most_owners`` owners. Each row is a repository of its own, so repeated rows
-    count as two. A null owner is an owner. A null or empty text has no spans.
+    false for values with ``wide_owners`` owners and ``wide_repositories`` repositories or more. Repeated rows and copies of
+    a text are one repository, whose owner is the least of theirs. A null owner is an owner, and comes after all others. A
+    null or empty text has no spans. Columns not in ``keep`` are left out; a kept one must not be called ``found``.
     """
     ws = Workspace(docs.sparkSession, "secrets")
 
@@ -80,7 +94,7 @@ def scan(docs: DataFrame, keep: list[str], owner: str, text_col: str = "text", m
             found = []
             for raw in binaries(batch, "_text"):
                 rows = candidates(raw.decode()) if raw else []
-                found.append([dict(zip(("kind", "start", "end", "value", "own"), r, strict=True)) for r in rows])
+                found.append([dict(zip(("kind", "start", "end", "value", "own", "around"), r, strict=True)) for r in rows])
             names = [n for n in batch.schema.names if n != "_text"]
             return {**{n: batch.column(batch.schema.get_field_index(n)) for n in names}, "found": pa.array(found, FOUND_ARROW)}
 
@@ -92,8 +106,9 @@ def scan(docs: DataFrame, keep: list[str], owner: str, text_col: str = "text", m
     rows = ws.keep(scanned.withColumn("_row", F.monotonically_increasing_id()), "found")
 
     values = rows.select("_row", "_owner", F.explode("found").alias("f")).select("_row", "_owner", "f.*")
-    spread = ownership(values, ["value"], "_row", "_owner")
-    joined = values.drop("_owner").join(spread, "value").withColumn("live", F.col("owners") <= most_owners)
+    spread = ownership(values, "value", "around", "_owner")
+    wide = (F.col("owners") >= wide_owners) & (F.col("repositories") >= wide_repositories)
+    joined = values.drop("_owner", "around").join(spread, "value").withColumn("live", ~wide)
     shown = joined.filter(F.col("own") | F.col("live"))
     rank = F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3)
     item = F.struct("start", rank.alias("rank"), "end", "kind", "value", "own", "repositories", "owners", "live")
@@ -104,15 +119,16 @@ def scan(docs: DataFrame, keep: list[str], owner: str, text_col: str = "text", m
 
 
 FOUND_ARROW = pa.list_(
-    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("own", pa.bool_())])
+    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("own", pa.bool_()), ("around", pa.int64())])
 )
 
 
-def ownership(values: DataFrame, keys: list[str], repository: str, owner: str) -> DataFrame:
-    """Distinct repositories and owners of each value. Pairs are made distinct before the shuffle, so a copied value stays small."""
-    repositories = values.groupBy(*keys, repository, owner).agg(F.lit(1).alias("_one"))
-    owners = repositories.groupBy(*keys, owner).agg(F.count(F.lit(1)).alias("_n"))
-    return owners.groupBy(*keys).agg(F.sum("_n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+def ownership(values: DataFrame, value: str, repository: str, owner: str) -> DataFrame:
+    """(value, repositories, owners): a value's distinct repositories, and the distinct owners of these, each having the
+    least one's. Repositories are made distinct before the shuffle, so a copied value stays small."""
+    repositories = values.groupBy(value, repository).agg(F.min(owner).alias(owner))
+    owners = repositories.groupBy(value, owner).agg(F.count(F.lit(1)).alias("_n"))
+    return owners.groupBy(value).agg(F.sum("_n").alias("repositories"), F.count(F.lit(1)).alias("owners"))
 
 
 def digest(found: DataFrame) -> DataFrame:

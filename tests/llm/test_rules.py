@@ -95,15 +95,23 @@ def test_secret_spans(make):
         assert set(wanted[0]) <= set(filter(None, r["spans"].split(",")))
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[35]["spans"] == f"key:4:{4 + len(KEYISH)}" == by_id[35]["live_spans"]
-    assert by_id[36]["spans"] == by_id[37]["spans"] == ""  # seen under two owners: an example
+    assert by_id[36]["spans"] == by_id[37]["spans"] == f"key:6:{8 + len(KEYISH)}"  # copies of one text
     assert secrets.scan(make([]), keep=["doc_id"], owner="source").count() == 0
 
 
 def test_ownership_counts(make):
-    rows = [(i, "token=abcdefgh12345", None, f"s{i % 3}") for i in range(12)] + [(50, "token=zzzzzzzzzzzz", None, "s1"), (51, "token=zzzzzzzzzzzz", None, "s1")]
-    found = {r["doc_id"]: r["found"][0] for r in secrets.scan(make(rows), keep=["doc_id"], owner="source").collect()}
-    assert (found[0]["repositories"], found[0]["owners"], found[0]["live"]) == (12, 3, False)
-    assert (found[50]["repositories"], found[50]["owners"], found[50]["live"]) == (2, 1, True)
+    """Copies count once; a value in many places of many owners is an example, in two or three it is not."""
+    example = [(i, f"{words(i, 20)} token=abcdefgh12345 {words(100 + i, 20)}", None, f"s{i % 6}") for i in range(12)]
+    copies = [(100 + i, "a text with token=copied-value-1 in it", None, f"s{i}") for i in range(20)]
+    few = [(200 + i, f"{words(300 + i, 20)} {KEYISH}Q {words(i, 20)}", None, f"s{i}") for i in range(3)]
+    wide = [(300 + i, f"{words(400 + i, 20)} {KEYISH}W {words(i, 20)}", None, f"s{i % 7}") for i in range(21)]
+    one = [(400 + i, f"{words(500 + i, 20)} {KEYISH}U {words(i, 20)}", None, "s0") for i in range(21)]
+    got = {r["doc_id"]: r["found"] for r in secrets.scan(make([*example, *copies, *few, *wide, *one]), keep=["doc_id"], owner="source").collect()}
+    assert {tuple(got[i][0][c] for c in ("repositories", "owners", "live")) for i, *_ in example} == {(12, 6, False)}
+    assert {tuple(got[i][0][c] for c in ("repositories", "owners", "live")) for i, *_ in copies} == {(1, 1, True)}
+    assert {tuple(got[i][0][c] for c in ("repositories", "owners", "live")) for i, *_ in few} == {(3, 3, True)}
+    assert {len(got[i]) for i, *_ in wide} == {0}
+    assert {tuple(got[i][0][c] for c in ("repositories", "owners", "live")) for i, *_ in one} == {(21, 1, True)}
 
 
 def test_secret_query(spark, small):
