@@ -1,9 +1,10 @@
 """Benchmark decontamination by templates.
 
 Numbers, units behind numbers, and names are replaced by typed placeholders, in the benchmark and in the documents.
-Windows of the canonical tokens are joined by hash. Where an item's windows are found close to one another in a document
-and cover most of the item, the values in the slots are compared: each value of the item must always stand against the
-same value in the document. So a question counts as found word for word, or with other numbers and names.
+Windows of the canonical tokens are joined by hash; windows that are nearly all placeholders keep their values, so they are
+found word for word only. Where an item's windows are found along one alignment with a document and cover most of the item,
+the values in the slots are compared place by place: each value of the item must always stand against the same value in the
+document. So a question counts as found word for word, or with other numbers and names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from cytomosaic.llm.common import Workspace, binaries, lists, map_batches, mixed, windows
 
@@ -38,24 +40,45 @@ DRIFT = 16
 SENT_WINDOWS = 2_000_000
 
 LITERAL, NUMBER, UNIT, CAPITAL, MARK = range(5)
+#: Tells hashes of values from hashes of canonical tokens.
+AS_WRITTEN = np.uint64(0x5DEECE66D1234567)
 PLACEHOLDERS = {kind: xxhash.xxh3_64_intdigest(f"<{name}>") for kind, name in ((NUMBER, "num"), (UNIT, "unit"), (CAPITAL, "name"))}
-#: Distinct tokens a task remembers.
-REMEMBERED = 150_000
+#: Distinct pieces between blanks a task remembers, and their length at most.
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
+#: Stands for a line's end between the pieces; in a text itself it separates words like a blank, as no word has it.
+LINE_END = "\ue000"
 
 
-class Tokens:
-    """Hash and kind of each distinct token, remembered."""
+class Tokens(dict):
+    """Hash and kind of the tokens in each piece between blanks, remembered: piece -> number."""
 
     def __init__(self):
-        self.place: dict[str, int] = {}
-        self.hashes = np.empty(1024, np.uint64)
-        self.kinds = np.empty(1024, np.int8)
-
-    def add(self, token: str) -> int:
-        at = len(self.place)
-        if at == len(self.hashes):
-            self.hashes = np.resize(self.hashes, 2 * at)
-            self.kinds = np.resize(self.kinds, 2 * at)
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.n_pieces = self.n_tokens = 0
+        self.first, self.count = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.hashes, self.kinds = np.empty(1024, np.uint64), np.empty(1024, np.int8)
+
+    def __missing__(self, piece: str) -> int:
+        at, found = self.n_pieces, [(0, MARK)] if piece == LINE_END else [self.token(t) for t in TOKEN.findall(piece)]
+        if at == len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * at), np.resize(self.count, 2 * at)
+        end = self.n_tokens + len(found)
+        if end > len(self.hashes):
+            self.hashes, self.kinds = np.resize(self.hashes, 2 * end), np.resize(self.kinds, 2 * end)
+        self.first[at], self.count[at] = self.n_tokens, len(found)
+        if found:
+            self.hashes[self.n_tokens : end], self.kinds[self.n_tokens : end] = [h for h, _ in found], [k for _, k in found]
+        self.n_pieces, self.n_tokens = at + 1, end
+        if len(piece) <= LONGEST_REMEMBERED:
+            self[piece] = at
+        return at
+
+    @staticmethod
+    def token(token: str) -> tuple[int, int]:
         lowered = token.lower()
         if token[0].isdigit():
             kind = NUMBER
@@ -65,10 +88,7 @@ class Tokens:
             kind = UNIT
         else:
             kind = CAPITAL if token[0].isupper() and len(token) > 1 and not token.isupper() else LITERAL
-        self.hashes[at] = xxhash.xxh3_64_intdigest(lowered)
-        self.kinds[at] = kind
-        self.place[token] = at
-        return at
+        return xxhash.xxh3_64_intdigest(lowered), kind
 
     def canonical(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token hashes with placeholders, the hashed value of each slot, and whether a token is a slot.
@@ -76,12 +96,15 @@ class Tokens:
         A unit is a slot only next to a number; a capitalised word only where the token before is no mark. Names that
         follow one another are one slot.
         """
-        if len(self.place) > REMEMBERED:
-            self.place.clear()
-        found = TOKEN.findall(text)
-        place = self.place
-        at = np.fromiter((place[t] if t in place else self.add(t) for t in found), np.int64, len(found))
-        hashes, kinds = self.hashes[at], self.kinds[at].copy()
+        if self.n_pieces > REMEMBERED or self.n_tokens > 4 * REMEMBERED:
+            self.forget()
+        pieces = text.replace(LINE_END, " ").replace("\n", f" {LINE_END} ").split()
+        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        counts = self.count[at]
+        ends = np.cumsum(counts)
+        n = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.first[at] - ends + counts, counts) + np.arange(n)
+        hashes, kinds = self.hashes[at], self.kinds[at]
         before = np.concatenate([np.full(min(1, len(kinds)), MARK, np.int8), kinds[:-1]])
         after = np.concatenate([kinds[1:], np.full(min(1, len(kinds)), MARK, np.int8)])
         kinds[(kinds == CAPITAL) & (before == MARK)] = LITERAL
@@ -95,20 +118,28 @@ class Tokens:
         starts = np.flatnonzero(first)
         values = np.add.reduceat(mixed(hashes), starts)
         kinds = kinds[starts]
-        out = hashes[starts].copy()
+        out = hashes[starts]
         for kind, number in PLACEHOLDERS.items():
             out[kinds == kind] = number
         return out, values, kinds != LITERAL
 
 
-def template_windows(tokens: np.ndarray, slots: np.ndarray, size: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows with enough literal tokens."""
+def template_windows(tokens: np.ndarray, values: np.ndarray, slots: np.ndarray, size: int, least_literal: int, whole: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows: of the canonical tokens where enough are literal, else of the values.
+
+    Windows shorter than ``whole`` are left out if they have too few literal tokens: a few numbers alone say nothing.
+    """
     hashes = windows(tokens, size)
     if not len(hashes):
         return np.empty(0, np.int64), hashes
     literal = np.concatenate([[0], np.cumsum(~slots)])
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= min(least_literal, size))
-    return at, hashes[at] ^ np.uint64(size)
+    telling = literal[size:] - literal[:-size] >= min(least_literal, size)
+    if size < whole:
+        at = np.flatnonzero(telling)
+        return at, hashes[at] ^ np.uint64(size)
+    if not telling.all():
+        hashes = np.where(telling, hashes, windows(values, size) ^ AS_WRITTEN)
+    return np.arange(len(hashes)), hashes ^ np.uint64(size)
 
 
 ROWS = "pos array<int>, hash array<bigint>, slots array<array<struct<at: int, value: bigint>>>, n int"
@@ -132,7 +163,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, leas
             for raw in binaries(batch, "_text"):
                 own, values, is_slot = tokens.canonical((raw or b"").decode())
                 size = min(window, len(own))
-                at, found = template_windows(own, is_slot, size, least_literal) if size else (np.empty(0, np.int64), np.empty(0, np.uint64))
+                at, found = template_windows(own, values, is_slot, size, least_literal, window) if size else (np.empty(0, np.int64), np.empty(0, np.uint64))
                 positions.append(at)
                 hashes.append(found.view(np.int64))
                 slots.append(slots_of(at, np.full(len(at), size), values, is_slot))
@@ -155,7 +186,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, leas
     return made.filter("item IS NOT NULL").select("item", "n", "size", each).select("item", "n", "size", "w.*").distinct()
 
 
-def document_hits(docs: DataFrame, sizes: list[int], wanted: np.ndarray, least_literal: int, key: str) -> DataFrame:
+def document_hits(docs: DataFrame, sizes: list[int], wanted: np.ndarray, least_literal: int, key: str, window: int = WINDOW) -> DataFrame:
     """(key, pos, hash, slots) of the documents' windows whose hash is among ``wanted`` (sorted)."""
 
     def start() -> Callable[[pa.RecordBatch], dict[str, object]]:
@@ -167,7 +198,7 @@ def document_hits(docs: DataFrame, sizes: list[int], wanted: np.ndarray, least_l
                 own, values, is_slot = tokens.canonical((raw or b"").decode())
                 at, found, width = [], [], []
                 for size in sizes:
-                    p, h = template_windows(own, is_slot, size, least_literal)
+                    p, h = template_windows(own, values, is_slot, size, least_literal, window)
                     place = np.minimum(np.searchsorted(sought, h), len(sought) - 1)
                     hit = sought[place] == h
                     at.append(p[hit])
@@ -207,8 +238,8 @@ def contaminated(
 
     Columns: the key, ``item`` , ``cover`` (percent of the item's tokens), ``n_slots`` (slots compared), ``n_changed``
     (distinct values that differ), ``first_token`` and ``last_token`` of the passage in the document's canonical tokens.
-    Items without text or id, and items without a window of enough literal tokens, are never found; null texts contain
-    nothing. Rows that share a key are taken together. Repeated items count once. All windows of the benchmark are
+    An item that stands in a document word for word is always found. Items without text or id, and items shorter than a
+    window with too few literal tokens, are never found; null texts contain nothing, and empty tables give no rows. Rows that share a key are taken together. Repeated items count once. All windows of the benchmark are
     searched, in blocks if there are many.
     """
     ws = Workspace(docs.sparkSession, "templates")
@@ -222,39 +253,56 @@ def contaminated(
         own = distinct.filter(F.pmod(F.col("hash"), F.lit(n_blocks)) == block).toPandas()["hash"].to_numpy(np.int64)
         wanted = np.sort(own.view(np.uint64))
         if len(wanted):
-            found = document_hits(read, sizes, wanted, least_literal, key)
+            found = document_hits(read, sizes, wanted, least_literal, key, window)
             hits = found if hits is None else hits.union(found)
     if hits is None:  # a benchmark without windows
         hits = document_hits(read.filter(F.lit(False)), [], np.empty(0, np.uint64), least_literal, key)
     met = ws.keep(hits.join(sought, "hash"), "hits")
 
-    # passages: windows of one item whose places differ by about the same; two shifted grids, so none is cut
+    # alignments: windows of one item at exactly the same offset, or at about the same (two shifted grids, so none is cut)
     apart = F.col("doc_pos") - F.col("pos")
-    grids = F.explode(F.array(2 * F.floor(apart / (2 * DRIFT)), 2 * F.floor((apart + DRIFT) / (2 * DRIFT)) + 1)).alias("grid")
-    placed = met.select("*", grids)
-    group = [key, "item", "grid"]
+    grids = F.array(
+        F.struct(F.lit(0).alias("kind"), apart.alias("cell")),
+        F.struct(F.lit(1).alias("kind"), F.floor(apart / (2 * DRIFT)).cast("int").alias("cell")),
+        F.struct(F.lit(2).alias("kind"), F.floor((apart + DRIFT) / (2 * DRIFT)).cast("int").alias("cell")),
+    )
+    own = [key, "item", "grid"]
+    placed = met.withColumn("apart", apart).withColumn("grid", F.explode(grids))
+    # a cell's offsets by support, so that a window counts where most of the cell's windows stand
+    support = W.Window.partitionBy(*own, "apart")
+    placed = placed.withColumn("support", F.count(F.lit(1)).over(support))
+    best = F.struct("support", -F.abs("apart"), -F.col("apart"))
+    aligned = placed.groupBy(*own, "pos").agg(F.max(F.struct(best.alias("rank"), "doc_pos", "size", "n", "slots", "doc_slots")).alias("w")).select(*own, "pos", "w.*")
+    aligned = ws.keep(aligned, "aligned")
+
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("size") - 1)))))  # within one item
-    passages = placed.groupBy(*group).agg(
+    passages = aligned.groupBy(*own).agg(
         F.floor(100 * covered / F.max("n")).cast("int").alias("cover"),
         F.min("doc_pos").alias("first_token"),
         (F.max(F.col("doc_pos") + F.col("size")) - 1).alias("last_token"),
     )
     passages = passages.filter(F.col("cover") >= least_cover)
+    # one value of the document for each place of the item, from the window with most support
+    said = F.explode(F.arrays_zip("slots", "doc_slots")).alias("p")
+    places = (
+        aligned.select(*own, "pos", "rank", said)
+        .groupBy(*own, (F.col("pos") + F.col("p.slots.at")).alias("place"))
+        .agg(F.max(F.struct("rank", F.col("p.slots.value").alias("value"), F.col("p.doc_slots.value").alias("seen"))).alias("v"))
+    )
     pairs = (
-        placed.select(*group, F.explode(F.arrays_zip("slots", "doc_slots")).alias("p"))
-        .groupBy(*group, F.col("p.slots.value").alias("value"))
-        .agg(F.min("p.doc_slots.value").alias("low"), F.max("p.doc_slots.value").alias("high"))
-        .groupBy(*group)
+        places.groupBy(*own, F.col("v.value").alias("value"))
+        .agg(F.min("v.seen").alias("low"), F.max("v.seen").alias("high"))
+        .groupBy(*own)
         .agg(
             F.count(F.lit(1)).alias("n_slots"),
-            F.sum((F.col("low") != F.col("value")).cast("int")).alias("n_changed"),
+            F.count_if((F.col("low") != F.col("value")) | (F.col("high") != F.col("value"))).alias("n_changed"),
             F.max(F.col("low") != F.col("high")).alias("clash"),
         )
     )
-    pairs = pairs.withColumnsRenamed({c: f"_{c}_2" for c in group})
-    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}_2`")) for c in group]
+    pairs = pairs.withColumnsRenamed({c: f"_{c}_2" for c in own})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_{c}_2`")) for c in own]
     checked = passages.join(pairs, same[0] & same[1] & same[2], "left").select(
-        *group,
+        *own,
         "cover",
         F.coalesce("n_slots", F.lit(0)).cast("int").alias("n_slots"),
         F.coalesce("n_changed", F.lit(0)).cast("int").alias("n_changed"),
@@ -262,10 +310,10 @@ def contaminated(
         "first_token",
         "last_token",
     )
-    best = F.max(F.struct("cover", -F.col("n_changed"), -F.col("first_token"), "n_slots", "n_changed", "first_token", "last_token"))
+    chosen = F.max(F.struct(F.col("n_changed") == 0, "cover", -F.col("n_changed"), -F.col("first_token"), "n_slots", "n_changed", "first_token", "last_token"))
     return (
         checked.filter(~F.col("clash"))
         .groupBy(key, "item")
-        .agg(best.alias("b"))
+        .agg(chosen.alias("b"))
         .select(key, "item", "b.cover", "b.n_slots", "b.n_changed", "b.first_token", "b.last_token")
     )

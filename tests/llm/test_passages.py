@@ -191,6 +191,48 @@ def test_templates(spark, make):
     assert templates.contaminated(make(rows), items(spark, [])).count() == 0
 
 
+def test_items_with_repeated_templates(spark, make):
+    """An item that repeats its own template, beside variants of itself, and one that is nearly all numbers."""
+    twice = "Tom has 3 apples and 2 pears. Ann has 5 apples and 4 pears. How many apples do they have?"
+    sheet = "Ben buys 7 pens for 3 euros at the shop."
+    sums = "Add 12 15 18 21 24 27 30 33 and 36 together."
+    variants = " ".join(sheet.replace("7", str(n)).replace("3 e", f"{n + 1} e") for n in range(20, 26))
+    rows = [
+        (1, f"{words(1, 30)}. {twice} {words(2, 30)}"),
+        (2, f"{words(3, 30)}. {twice.replace('3', '8').replace('Tom', 'Eve')} {words(4, 30)}"),
+        (3, f"{words(5, 30)}. {variants} {sheet} {variants} {words(6, 30)}"),
+        (4, f"{words(7, 30)}. {sums} {words(8, 30)}"),
+        (5, f"{words(9, 30)}. {sums.replace('15', '16')} {words(8, 30)}"),
+        (6, f"{words(7, 30)}. {twice.replace('and 2 pears', 'and, well, 2 pears')} {words(8, 30)}"),
+    ]
+    got = {(r["doc_id"], r["item"]): r["n_changed"] for r in templates.contaminated(make(rows), items(spark, [(1, twice), (2, sheet), (3, sums)])).collect()}
+    assert got[1, 1] == got[3, 2] == got[4, 3] == got[6, 1] == 0
+    assert got[2, 1] > 0 and (5, 3) not in got
+
+
+def test_verbatim_items_are_found(spark, make):
+    """Random items out of few words, numbers and names, so that their windows repeat, stand word for word in documents."""
+    source = random.Random(5)
+    bench = [" ".join(source.choice(["has", "apples", "and", "Ann", "Tom", "3", "5", "km", "pears", "12", ".", "buys"]) for _ in range(source.randint(8, 40))) for _ in range(60)]
+    rows = [(i, f"{words(i, 20)}. {bench[i]} . {bench[(i + 1) % 60]}. {words(i + 99, 20)}") for i in range(60)]
+    got = {(r["doc_id"], r["item"]) for r in templates.contaminated(make(rows), items(spark, list(enumerate(bench)))).collect()}
+    assert {(i, i) for i in range(60)} | {(i, (i + 1) % 60) for i in range(60)} <= got
+
+
+def test_pieces_are_tokens():
+    """Tokens of pieces between blanks are those of the whole text."""
+    source = random.Random(6)
+    tokens = templates.Tokens()
+    for n in range(300):
+        text = "".join(source.choice(["a", "Bob", " ", "\n", "1", ",", ".", "5", "'", "é", "\xa0", "\x85", "\u2028", "%", "ß", "km", "\ue000", "_", "²"]) for _ in range(n))
+        found = templates.TOKEN.findall(text)
+        marked = [(h, k) for h, k in map(templates.Tokens.token, found) if k != templates.MARK]
+        values, slots = tokens.canonical(text)[1:]
+        assert len(values) == len(slots) <= len(marked)
+        if not any(k == templates.CAPITAL for _, k in marked):
+            assert values.tolist() == templates.mixed(np.array([h for h, _ in marked], np.uint64)).tolist()
+
+
 def test_blocks_of_windows(spark, make, monkeypatch):
     """A benchmark searched in many blocks gives the same."""
     monkeypatch.setattr(templates, "SENT_WINDOWS", 7)
