@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from cytomosaic.session import shared_folder
+
 #: Distinct words whose hashes a task remembers; beyond that it starts afresh, so memory stays bounded.
 REMEMBERED_WORDS = 150_000
 #: Rows handled and returned at once inside a task.
@@ -23,14 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Workspace:
     """Written intermediate tables under the shared folder that ``spark.checkpoint.dir`` names.
 
-    Where that setting is missing (local tests) a folder under the warehouse directory takes its place.
+    Where that setting is missing, a local session uses a folder under the warehouse directory and a cluster is refused.
+    ``session.clear_stages`` deletes them once a job's results are stored elsewhere.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
         self.spark = spark
-        self.path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+        self.path = shared_folder(spark, label)
         self._count = 0
 
     def folder(self, name: str) -> str:
