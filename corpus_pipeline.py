@@ -29,15 +29,25 @@ def text_key() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    mark = "_"
+    while any(f"{mark}{name}" in taken for name in names):
+        mark += "_"
+    return [f"{mark}{name}" for name in names]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the documents that state their language; texts of no language, or of several with none in half, go.
 
     A missing language is filled in. Documents that state one keep it.
     """
     model = langid.train(docs)
-    labelled = langid.label(docs, model, keep_text=True, out=("_lang", "_score", "_spans"))
-    kept = labelled.filter((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    lang, score, spans = unused(docs, "lang", "score", "spans")
+    labelled = langid.label(docs, model, keep_text=True, out=(lang, score, spans))
+    kept = labelled.filter((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +70,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which an item of the benchmark is found, as it is or with other names and numbers, go."""
+    """Documents in which an item of the benchmark is found, as it is or with other names and numbers, go.
+
+    Null and empty texts contain no item, and an empty benchmark or table takes none away.
+    """
     ws = Workspace(spark, "leaks")
-    found = templates.contaminated(docs.select(text_key().alias("_key"), "text"), table(spark, sf_dir, "benchmark"), key="_key")
-    gone = ws.keep(found.select("_key").distinct(), "found")
-    return docs.withColumn("_key", text_key()).join(sized(gone), "_key", "left_anti").select(*docs.columns)
+    (key,) = unused(docs, "key")
+    found = templates.contaminated(docs.select(text_key().alias(key), "text"), table(spark, sf_dir, "benchmark"), key=key)
+    gone = ws.keep(found.select(key).distinct(), "found")
+    return docs.withColumn(key, text_key()).join(sized(gone), key, "left_anti").select(*docs.columns)
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -83,21 +97,28 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Credentials that stay with one source are replaced by a mark; values that many sources share are examples and stay."""
+    """Credentials are replaced by a mark, except values that many texts of many sources share: these are examples and stay.
+
+    Null and empty texts, and texts without a span, stay as they are.
+    """
     ws = Workspace(spark, "masks")
-    found = secrets.scan(docs.withColumn("_key", text_key()), keep=["_key"], owner="source")
+    key, mine = unused(docs, "key", "mine")
+    found = secrets.scan(docs.select(text_key().alias(key), "text", "source"), keep=[key], owner="source")
     live = F.filter("found", lambda f: f["live"])
     spans = F.transform(live, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
-    # a text's spans are the same wherever it stands, but for who owns its values
-    rows = ws.keep(found.select("_key", spans.alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["_key"]), "spans")
-    joined = docs.withColumn("_key", text_key()).join(sized(rows), "_key", "left")
-    text = F.when(F.col("spans").isNotNull(), masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    size = F.when(F.col("spans").isNotNull(), F.length(text)).otherwise(F.col("n_chars"))
+    # a text's spans are the same wherever it stands
+    rows = ws.keep(found.select(key, spans.alias(mine)).filter(F.size(mine) > 0).dropDuplicates([key]), "spans")
+    joined = docs.withColumn(key, text_key()).join(sized(rows), key, "left")
+    text = F.when(F.col(mine).isNotNull(), masked(F.col("text"), F.col(mine))).otherwise(F.col("text"))
+    size = F.when(F.col(mine).isNotNull(), F.length(text)).otherwise(F.col("n_chars"))
     return joined.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, starts, ends, decoded_sha256): pieces with their source bytes, and a hash of the decoded text."""
+    """(doc_id, n_tokens, ids, starts, ends, decoded_sha256): pieces with their source bytes, and a hash of the decoded text.
+
+    A null or empty text has no pieces; an empty table gives an empty one.
+    """
     model = model_bytes(MODEL)
     encoded = pieces.encode(docs, model, decoded="decoded")
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", sha256(F.col("decoded")).alias("decoded_sha256"))
