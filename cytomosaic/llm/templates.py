@@ -9,8 +9,9 @@ document. So a question counts as found word for word, or with other numbers and
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ UNITS = frozenset(
     "litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent "
     "degree degrees dollar dollars cent cents euro euros watt watts volt volts joule joules mph kmh hz".split()
 )
-#: Words, numbers, and the marks after which a capital letter says nothing.
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;\"\n%$€£]")
+#: Marks after which a capital letter says nothing; units that stand as signs.
+MARKS, SIGNS = ".!?:;\"\n", "%$€£"
+#: What joins digits to one number, and letters to one word.
+POINTS, APOSTROPHES = ".,", "'’"
 WINDOW = 5
 #: Literal tokens that a window must have to be looked for.
 LEAST_LITERAL = 2
@@ -43,85 +46,134 @@ LITERAL, NUMBER, UNIT, CAPITAL, MARK = range(5)
 #: Tells hashes of values from hashes of canonical tokens.
 AS_WRITTEN = np.uint64(0x5DEECE66D1234567)
 PLACEHOLDERS = {kind: xxhash.xxh3_64_intdigest(f"<{name}>") for kind, name in ((NUMBER, "num"), (UNIT, "unit"), (CAPITAL, "name"))}
-#: Distinct pieces between blanks a task remembers, and their length at most.
-REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
-#: Stands for a line's end between the pieces; in a text itself it separates words like a blank, as no word has it.
-LINE_END = "\ue000"
-
-
-class Tokens(dict):
-    """Hash and kind of the tokens in each piece between blanks, remembered: piece -> number."""
-
-    def __init__(self):
-        super().__init__()
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.n_pieces = self.n_tokens = 0
-        self.first, self.count = np.empty(1024, np.int64), np.empty(1024, np.int64)
-        self.hashes, self.kinds = np.empty(1024, np.uint64), np.empty(1024, np.int8)
-
-    def __missing__(self, piece: str) -> int:
-        at, found = self.n_pieces, [(0, MARK)] if piece == LINE_END else [self.token(t) for t in TOKEN.findall(piece)]
-        if at == len(self.first):
-            self.first, self.count = np.resize(self.first, 2 * at), np.resize(self.count, 2 * at)
-        end = self.n_tokens + len(found)
-        if end > len(self.hashes):
-            self.hashes, self.kinds = np.resize(self.hashes, 2 * end), np.resize(self.kinds, 2 * end)
-        self.first[at], self.count[at] = self.n_tokens, len(found)
-        if found:
-            self.hashes[self.n_tokens : end], self.kinds[self.n_tokens : end] = [h for h, _ in found], [k for _, k in found]
-        self.n_pieces, self.n_tokens = at + 1, end
-        if len(piece) <= LONGEST_REMEMBERED:
-            self[piece] = at
-        return at
-
-    @staticmethod
-    def token(token: str) -> tuple[int, int]:
-        lowered = token.lower()
-        if token[0].isdigit():
-            kind = NUMBER
-        elif not token[0].isalpha():
-            kind = UNIT if token in "%$€£" else MARK
-        elif lowered in UNITS:
-            kind = UNIT
-        else:
-            kind = CAPITAL if token[0].isupper() and len(token) > 1 and not token.isupper() else LITERAL
-        return xxhash.xxh3_64_intdigest(lowered), kind
-
-    def canonical(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token hashes with placeholders, the hashed value of each slot, and whether a token is a slot.
-
-        A unit is a slot only next to a number; a capitalised word only where the token before is no mark. Names that
-        follow one another are one slot.
-        """
-        if self.n_pieces > REMEMBERED or self.n_tokens > 4 * REMEMBERED:
-            self.forget()
-        pieces = text.replace(LINE_END, " ").replace("\n", f" {LINE_END} ").split()
-        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        counts = self.count[at]
-        ends = np.cumsum(counts)
-        n = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.first[at] - ends + counts, counts) + np.arange(n)
-        hashes, kinds = self.hashes[at], self.kinds[at]
-        before = np.concatenate([np.full(min(1, len(kinds)), MARK, np.int8), kinds[:-1]])
-        after = np.concatenate([kinds[1:], np.full(min(1, len(kinds)), MARK, np.int8)])
-        kinds[(kinds == CAPITAL) & (before == MARK)] = LITERAL
-        kinds[(kinds == UNIT) & (before != NUMBER) & (after != NUMBER)] = LITERAL
-        kept = kinds != MARK
-        hashes, kinds = hashes[kept], kinds[kept]
-        if not len(kinds):
-            return hashes, hashes, np.zeros(0, bool)
-        first = np.ones(len(kinds), bool)
-        first[1:] = ~((kinds[1:] == CAPITAL) & (kinds[:-1] == CAPITAL))
-        starts = np.flatnonzero(first)
-        values = np.add.reduceat(mixed(hashes), starts)
-        kinds = kinds[starts]
-        out = hashes[starts]
-        for kind, number in PLACEHOLDERS.items():
-            out[kinds == kind] = number
-        return out, values, kinds != LITERAL
+#: Code points that are split at once; a text is cut between them at a blank.
+SPLIT_AT_ONCE = 1 << 20
+
+
+class Alphabet:
+    """What each code point is: a digit, a letter, or a mark, its case, and a number for its lower-case form."""
+
+    NOTHING, DIGIT, LETTER, SIGN = range(4)
+
+    def __init__(self, size: int = 1 << 16):
+        self.size = size
+        rows = [self.row(chr(c)) for c in range(size)]
+        self.kind, self.upper, self.lower, folded = (np.array(column) for column in zip(*rows, strict=True))
+        self.kind = self.kind.astype(np.uint8)
+        self.number = mixed(folded.astype(np.uint64) + np.uint64(1))
+
+    @classmethod
+    def row(cls, c: str) -> tuple[int, bool, bool, int]:
+        kind = cls.DIGIT if c.isdecimal() else cls.LETTER if c.isalpha() else cls.SIGN if c in MARKS + SIGNS else cls.NOTHING
+        return kind, c.isupper(), c.islower() or c.istitle() and not c.isupper(), ord(c.lower()[0])
+
+    def read(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        near = np.minimum(codes, self.size - 1)
+        found = [table[near] for table in (self.kind, self.upper, self.lower, self.number)]
+        for code in np.unique(codes[codes >= self.size]).tolist():  # rare scripts and signs
+            at = codes == code
+            *own, folded = self.row(chr(code))
+            for column, value in zip(found, [*own, mixed(np.array([folded + 1], np.uint64))[0]], strict=True):
+                column[at] = value
+        return tuple(found)
+
+
+@functools.cache
+def alphabet() -> Alphabet:
+    return Alphabet()
+
+
+@functools.cache
+def powers() -> np.ndarray:
+    """Powers of an odd number modulo 2**64, for the places in a token; longer tokens start again."""
+    return np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def split(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash without case, and kind of each token: numbers with points between digits, words with apostrophes
+    between letters, and marks."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind, upper, lower, number = alphabet().read(codes)
+    for signs, inside in ((POINTS, Alphabet.DIGIT), (APOSTROPHES, Alphabet.LETTER)):
+        for sign in signs:
+            at = np.flatnonzero(codes == ord(sign))
+            at = at[(at > 0) & (at < len(codes) - 1)]
+            kind[at[(kind[at - 1] == inside) & (kind[at + 1] == inside)]] = inside
+    begins = kind != Alphabet.NOTHING
+    begins[1:] &= (kind[1:] == Alphabet.SIGN) | (kind[1:] != kind[:-1])
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return starts, np.empty(0, np.uint64), np.empty(0, np.int8)
+    table, units = powers(), unit_hashes()
+    skipped = starts[0]
+    own = slice(skipped, None)  # from the first token on
+    starts, kind, lower, codes = starts - starts[0], kind[own], lower[own], codes[own]
+    solid = kind != Alphabet.NOTHING
+    place = np.arange(len(codes)) - starts[np.cumsum(begins[own]) - 1]
+    hashes = mixed(np.add.reduceat(np.where(solid, number[own] * table[place & (len(table) - 1)], np.uint64(0)), starts))
+    n_solid, n_lower = (np.add.reduceat(x, starts, dtype=np.int64) for x in (solid, lower & solid))
+    first, first_kind = codes[starts], kind[starts]
+    kinds = np.full(len(starts), LITERAL, np.int8)
+    kinds[upper[own][starts] & (n_solid > 1) & (n_lower > 0)] = CAPITAL
+    kinds[units[np.minimum(np.searchsorted(units, hashes), len(units) - 1)] == hashes] = UNIT
+    kinds[first_kind == Alphabet.DIGIT] = NUMBER
+    sign = first_kind == Alphabet.SIGN
+    kinds[sign] = MARK
+    for c in SIGNS:
+        kinds[first == ord(c)] = UNIT
+    return starts + skipped, hashes, kinds
+
+
+@functools.cache
+def unit_hashes() -> np.ndarray:
+    table = powers()
+    numbers = [(mixed(np.array([ord(c) + 1 for c in word], np.uint64)) * table[: len(word)]).sum() for word in UNITS]
+    return np.sort(mixed(np.array(numbers, np.uint64)))
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """A text in parts of a bounded size, cut at blanks; a longer stretch without any stays in one part."""
+    start = 0
+    while len(text) - start > SPLIT_AT_ONCE:
+        blank = re.compile(r"\s").search(text, start + SPLIT_AT_ONCE)
+        if blank is None:
+            break
+        yield text[start : blank.start()]
+        start = blank.start()
+    yield text[start:]
+
+
+def canonical(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes with placeholders, the hashed value of each slot, whether a token is a slot, and the texts' first tokens
+    with the end of the last, all texts one behind the other.
+
+    A unit is a slot only next to a number; a capitalised word only where the token before is no mark. Names that follow
+    one another are one slot. A line's end between the texts is a mark, so no text changes another.
+    """
+    found, at = [], 0
+    for part in parts_of("\n".join(texts)):
+        place, *rest = split(part)
+        found.append((place + at, *rest))
+        at += len(part)
+    place, hashes, kinds = (np.concatenate(column) for column in zip(*found, strict=True))
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    before = np.concatenate([np.full(min(1, len(kinds)), MARK, np.int8), kinds[:-1]])
+    after = np.concatenate([kinds[1:], np.full(min(1, len(kinds)), MARK, np.int8)])
+    kinds[(kinds == CAPITAL) & (before == MARK)] = LITERAL
+    kinds[(kinds == UNIT) & (before != NUMBER) & (after != NUMBER)] = LITERAL
+    kept = kinds != MARK
+    place, hashes, kinds = place[kept], hashes[kept], kinds[kept]
+    if not len(kinds):
+        return hashes, hashes, np.zeros(0, bool), np.zeros(len(begins), np.int64)
+    first = np.ones(len(kinds), bool)
+    first[1:] = ~((kinds[1:] == CAPITAL) & (kinds[:-1] == CAPITAL))
+    starts = np.flatnonzero(first)
+    values = np.add.reduceat(mixed(hashes), starts)
+    kinds = kinds[starts]
+    out = hashes[starts]
+    for kind, number in PLACEHOLDERS.items():
+        out[kinds == kind] = number
+    return out, values, kinds != LITERAL, np.searchsorted(place[starts], begins)
 
 
 def template_windows(tokens: np.ndarray, values: np.ndarray, slots: np.ndarray, size: int, least_literal: int, whole: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +208,10 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, leas
     """(item, n, size, pos, hash, slots) of each benchmark window; an item shorter than the window is one window of its own size."""
 
     def start() -> Callable[[pa.RecordBatch], dict[str, object]]:
-        tokens = Tokens()
-
         def work(batch: pa.RecordBatch) -> dict[str, object]:
             positions, hashes, slots, sizes, counts = [], [], [], [], []
             for raw in binaries(batch, "_text"):
-                own, values, is_slot = tokens.canonical((raw or b"").decode())
+                own, values, is_slot, _ = canonical([(raw or b"").decode()])
                 size = min(window, len(own))
                 at, found = template_windows(own, values, is_slot, size, least_literal, window) if size else (np.empty(0, np.int64), np.empty(0, np.uint64))
                 positions.append(at)
@@ -186,41 +236,36 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, leas
     return made.filter("item IS NOT NULL").select("item", "n", "size", each).select("item", "n", "size", "w.*").distinct()
 
 
+HITS = "doc_pos int, hash bigint, doc_slots array<struct<at: int, value: bigint>>"
+
+
 def document_hits(docs: DataFrame, sizes: list[int], wanted: np.ndarray, least_literal: int, key: str, window: int = WINDOW) -> DataFrame:
-    """(key, pos, hash, slots) of the documents' windows whose hash is among ``wanted`` (sorted)."""
+    """(key, doc_pos, hash, doc_slots) of the documents' windows whose hash is among ``wanted`` (sorted)."""
 
     def start() -> Callable[[pa.RecordBatch], dict[str, object]]:
-        tokens, sought = Tokens(), wanted
-
         def work(batch: pa.RecordBatch) -> dict[str, object]:
-            positions, hashes, slots = [], [], []
-            for raw in binaries(batch, "_text"):
-                own, values, is_slot = tokens.canonical((raw or b"").decode())
-                at, found, width = [], [], []
-                for size in sizes:
-                    p, h = template_windows(own, values, is_slot, size, least_literal, window)
-                    place = np.minimum(np.searchsorted(sought, h), len(sought) - 1)
-                    hit = sought[place] == h
-                    at.append(p[hit])
-                    found.append(h[hit])
-                    width.append(np.full(int(hit.sum()), size))
-                positions.append(np.concatenate(at))
-                hashes.append(np.concatenate(found).view(np.int64))
-                slots.append(slots_of(positions[-1], np.concatenate(width), values, is_slot))
+            own, values, is_slot, bounds = canonical([(raw or b"").decode() for raw in binaries(batch, "_text")])
+            texts, at, found, slots = [], [], [], []
+            for size in sizes:
+                p, h = template_windows(own, values, is_slot, size, least_literal, window)
+                hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
+                p, h = p[hit], h[hit]
+                text = np.searchsorted(bounds, p, "right") - 1
+                whole = p + size <= bounds[text + 1]  # not from one text into the next
+                texts.append(text[whole])
+                at.append(p[whole] - bounds[text[whole]])
+                found.append(h[whole])
+                slots += slots_of(p[whole], np.full(int(whole.sum()), size), values, is_slot)
             return {
-                key: batch.column(0),
-                "pos": lists(positions, pa.int32()),
-                "hash": lists(hashes, pa.int64()),
-                "slots": pa.array(slots, SLOTS_ARROW),
+                key: batch.column(0).take(pa.array(np.concatenate(texts))),
+                "doc_pos": pa.array(np.concatenate(at), pa.int32()),
+                "hash": pa.array(np.concatenate(found).view(np.int64)),
+                "doc_slots": pa.array(slots, SLOTS_ARROW.value_type),
             }
 
         return work
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, pos array<int>, hash array<bigint>, slots array<array<struct<at: int, value: bigint>>>"
-    made = map_batches(docs.select(F.col(f"`{key}`"), F.col("_text")), start, schema)
-    each = F.explode(F.arrays_zip("pos", "hash", "slots")).alias("w")
-    return made.filter(F.size("hash") > 0).select(key, each).select(key, F.col("w.pos").alias("doc_pos"), "w.hash", F.col("w.slots").alias("doc_slots"))
+    return map_batches(docs.select(F.col(f"`{key}`"), F.col("_text")), start, f"`{key}` {docs.schema[key].dataType.simpleString()}, {HITS}")
 
 
 def contaminated(
@@ -256,7 +301,7 @@ def contaminated(
             found = document_hits(read, sizes, wanted, least_literal, key, window)
             hits = found if hits is None else hits.union(found)
     if hits is None:  # a benchmark without windows
-        hits = document_hits(read.filter(F.lit(False)), [], np.empty(0, np.uint64), least_literal, key)
+        hits = docs.sparkSession.createDataFrame([], f"`{key}` {docs.schema[key].dataType.simpleString()}, {HITS}")
     met = ws.keep(hits.join(sought, "hash"), "hits")
 
     # alignments: windows of one item at exactly the same offset, or at about the same (two shifted grids, so none is cut)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -219,18 +220,43 @@ def test_verbatim_items_are_found(spark, make):
     assert {(i, i) for i in range(60)} | {(i, (i + 1) % 60) for i in range(60)} <= got
 
 
-def test_pieces_are_tokens():
-    """Tokens of pieces between blanks are those of the whole text."""
-    source = random.Random(6)
-    tokens = templates.Tokens()
-    for n in range(300):
-        text = "".join(source.choice(["a", "Bob", " ", "\n", "1", ",", ".", "5", "'", "é", "\xa0", "\x85", "\u2028", "%", "ß", "km", "\ue000", "_", "²"]) for _ in range(n))
-        found = templates.TOKEN.findall(text)
-        marked = [(h, k) for h, k in map(templates.Tokens.token, found) if k != templates.MARK]
-        values, slots = tokens.canonical(text)[1:]
-        assert len(values) == len(slots) <= len(marked)
-        if not any(k == templates.CAPITAL for _, k in marked):
-            assert values.tolist() == templates.mixed(np.array([h for h, _ in marked], np.uint64)).tolist()
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?:;\"\n%$€£]")
+
+
+def plain_kind(token):
+    if token[0].isdigit():
+        return templates.NUMBER
+    if not token[0].isalpha():
+        return templates.UNIT if token in "%$€£" else templates.MARK
+    if token.lower() in templates.UNITS:
+        return templates.UNIT
+    return templates.CAPITAL if token[0].isupper() and len(token) > 1 and not token.isupper() else templates.LITERAL
+
+
+def test_tokens(monkeypatch):
+    """Tokens are those of a regular expression, and hash alike exactly if they are alike but for their case."""
+    monkeypatch.setattr(templates, "SPLIT_AT_ONCE", 40)
+    source, known = random.Random(6), {}
+    letters = ["a", "b", "Ab", "AB", " ", " ", "\n", "1", ",", ".", "5", "'", "’", "é", "É", "\xa0", "\x85", "\u2028", "%", "$", "ß", "km", "_", "\U0001d400", "😀", "日", "٣", "!"]
+    for n in range(400):
+        text = "".join(source.choice(letters) for _ in range(n))
+        found = TOKEN.findall(text)
+        _, hashes, kinds = (np.concatenate(c) for c in zip(*map(templates.split, templates.parts_of(text))))
+        assert [plain_kind(t) for t in found] == kinds.tolist()
+        for token, h in zip(found, hashes.tolist()):
+            assert known.setdefault(token.lower(), h) == h
+    assert len(set(known.values())) == len(known) > 500
+    assert all(templates.split(u)[2].tolist() == [templates.UNIT] for u in templates.UNITS)
+
+
+def test_texts_together():
+    """Texts of one batch do not change one another."""
+    source = random.Random(8)
+    texts = [" ".join(source.choice(["Ann", "has", "3", "km", ".", "%", "Bob", "and"]) for _ in range(source.randrange(9))) for _ in range(200)] + ["", "\n"]
+    *columns, bounds = templates.canonical(texts)
+    for i, text in enumerate(texts):
+        alone = templates.canonical([text])
+        assert [c[bounds[i] : bounds[i + 1]].tolist() for c in columns] == [c.tolist() for c in alone[:3]]
 
 
 def test_blocks_of_windows(spark, make, monkeypatch):
