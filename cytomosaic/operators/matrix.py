@@ -1,6 +1,6 @@
-"""Normalisation of long count tables and the small linear algebra on genes.
+"""Normalisation of long count tables, components, principal vectors and clusters.
 
-Only gene-by-gene matrices reach the driver; their size is the panel's and is checked.
+Components come from ``subspace``: of a table, the driver has blocks of genes x wanted components at most.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import cluster_label, log1p_per_total, log1p_value
 from cytomosaic.operators.genes import present_moments, squares_with_zeros
+from cytomosaic.operators.subspace import columns, leading, project
 from cytomosaic.session import cut_lineage
 
 # fixed values
@@ -26,7 +27,8 @@ SEED = 42
 N_PRINCIPAL_VECTORS = 30
 MIN_COSINE = 0.3
 
-MAX_GENES = 20_000
+#: Genes up to which their list is sent to every task (some 30 bytes each), and which a dense product may have.
+SENT_GENES, MAX_GENES = 500_000, 20_000
 #: Standard deviation over mean below which values are the same but for rounding.
 SAME = 1e-9
 
@@ -64,49 +66,28 @@ def z_scores(expression: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def gene_vectors(expression: DataFrame, genes: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
-    """One dense array per cell, in the order of ``genes``, zeros filled in; cells without counts only if ``cells`` is given.
+def gene_rows(expression: DataFrame, genes: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
+    """(cell_id, at, value): a sparse row for each cell, ``at`` being places in ``genes``; cells without counts only if
+    ``cells`` is given.
 
     Counts have one row per cell and gene, so a cell's rows are at most as many as there are genes.
     """
-    names = list(genes)
-    if len(names) > MAX_GENES:
-        raise ValueError(f"{len(names)} genes; dense vectors are limited to {MAX_GENES}")
-    places = expression.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, _i int")
-    # the gene list is one panel: MAX_GENES short rows at most
-    held = expression.join(F.broadcast(places), "gene").groupBy("cell_id").agg(F.collect_list(F.struct("_i", "value")).alias("_held"))
+    places = expression.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, _i int")
+    held = expression.join(F.broadcast(places) if len(genes) <= SENT_GENES else places, "gene")
+    held = held.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("_i", "value"))).alias("_held"))
     if cells is not None:
         held = cells.select("cell_id").join(held, "cell_id", "left").withColumn("_held", F.coalesce("_held", F.array()))
-    sparse = held.select("cell_id", F.transform("_held", lambda s: s._i).alias("at"), F.transform("_held", lambda s: s.value).alias("value"))
-    width = len(names)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                dense = np.zeros((len(batch), width))
-                row = np.repeat(np.arange(len(batch)), [len(v) for v in batch["at"]])
-                dense[row, np.concatenate(batch["at"].to_list()).astype(int)] = np.concatenate(batch["value"].to_list())
-                yield pd.DataFrame({"cell_id": batch["cell_id"], "features": list(dense)})
-
-    return sparse.mapInPandas(spread, f"cell_id {dict(sparse.dtypes)['cell_id']}, features array<double>")
+    return held.select("cell_id", F.transform("_held", lambda s: s._i).alias("at"), F.transform("_held", lambda s: s.value).alias("value"))
 
 
-@dataclass(frozen=True)
-class Moments:
-    """Number of rows, column sums and XᵀX."""
-
-    n: int
-    sums: np.ndarray
-    gram: np.ndarray
-
-    @property
-    def mean(self) -> np.ndarray:
-        return self.sums / self.n
-
-    @property
-    def covariance(self) -> np.ndarray:
-        """Population covariance."""
-        return self.gram / self.n - np.outer(self.mean, self.mean)
+def gene_vectors(expression: DataFrame, genes: Sequence[str], cells: DataFrame | None = None) -> DataFrame:
+    """One dense array per cell, in the order of ``genes``, zeros filled in, for a few genes."""
+    if len(genes) > MAX_GENES:
+        raise ValueError(f"{len(genes)} genes; dense vectors are limited to {MAX_GENES}")
+    rows = gene_rows(expression, genes, cells)
+    zeros = F.array_repeat(F.lit(0.0), len(genes))
+    entries = F.map_from_arrays("at", "value")
+    return rows.select("cell_id", F.transform(zeros, lambda z, i: F.coalesce(F.try_element_at(entries, i), z)).alias("features"))
 
 
 def product_table(vectors: DataFrame, width: int) -> DataFrame:
@@ -134,46 +115,13 @@ def product_table(vectors: DataFrame, width: int) -> DataFrame:
     return parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def moments(vectors: DataFrame, width: int) -> Moments:
-    """Column sums and products on the driver: (width + 1)² numbers."""
-    out = np.zeros((width + 1, width + 1))
-    table = product_table(vectors, width).toPandas()
-    out[table["i"].to_numpy(), table["j"].to_numpy()] = table["v"].to_numpy()
-    return Moments(round(out[-1, -1]), out[-1, :-1], out[:-1, :-1])
-
-
-def components(symmetric: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading eigenvalues and eigenvectors (as columns); the largest entry of each vector is positive."""
-    values, vectors = np.linalg.eigh(symmetric)
-    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
-    signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
-    return values, vectors * np.where(signs == 0, 1.0, signs)
-
-
-def project(vectors: DataFrame, loadings: np.ndarray, shift: np.ndarray | None = None, keep: Sequence[str] = ("cell_id",)) -> DataFrame:
-    """(features - shift) times loadings, per row."""
-    offset = np.zeros(loadings.shape[0]) if shift is None else shift
-    shipped = vectors.sparkSession.sparkContext.broadcast((loadings, offset))
-    names = list(keep)
-    types = dict(vectors.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + ["features array<double>"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, s = shipped.value
-        for batch in batches:
-            if len(batch):
-                out = (np.stack(batch["features"].to_numpy()) - s) @ m
-                yield batch[names].assign(features=list(out))
-
-    return vectors.select(*names, "features").mapInPandas(run, schema)
-
-
-def pca(vectors: DataFrame, width: int, n_components: int = MAX_COMPONENTS, centred: bool = True) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Scores, loadings and explained variances; without centring this is a truncated SVD."""
-    m = moments(vectors, width)
-    k = max(1, min(n_components, m.n - 1, width - 1))
-    values, loadings = components(m.covariance if centred else m.gram / m.n, k)
-    return project(vectors, loadings, m.mean if centred else None), loadings, values
+def pca(rows: DataFrame, width: int, n_components: int = MAX_COMPONENTS, centred: bool = True) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Scores, loadings and explained variances of sparse or dense rows; without centring this is a truncated SVD."""
+    found = columns(rows, width)
+    k = max(1, min(n_components, found.n - 1, width - 1))
+    shift = found.mean if centred else None
+    values, loadings = leading(rows, width, k, shift)
+    return project(rows, loadings, shift), loadings, values / max(found.n, 1)
 
 
 def fit_clusters(scores: DataFrame, k: int = N_CLUSTERS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -211,8 +159,8 @@ def misplaced(rows: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFra
 def correct_and_cluster(expression: DataFrame, genes: Sequence[str], all_cells: DataFrame, k: int = N_CLUSTERS) -> DataFrame:
     """Clusters of corrected counts: log, unit length, uncentred components, KMeans. Cells without a row get NULL."""
     logged = expression.withColumn("value", log1p_value("value"))
-    vectors = gene_vectors(l2_normalise(logged), genes)
-    scores, _, _ = pca(vectors, len(genes), MAX_COMPONENTS, centred=False)
+    rows = cut_lineage(gene_rows(l2_normalise(logged), genes))  # read once in each pass
+    scores, _, _ = pca(rows, len(genes), MAX_COMPONENTS, centred=False)
     labels = cluster(scores, k).withColumnRenamed("label", f"cluster_split_{k}")
     return all_cells.select("cell_id").join(labels, "cell_id", "left")
 
@@ -225,23 +173,12 @@ class Alignment:
     cosines: np.ndarray
 
 
-def principal_vectors(source: np.ndarray, target: np.ndarray, n_vectors: int = N_PRINCIPAL_VECTORS, min_cosine: float = MIN_COSINE) -> Alignment:
-    """Principal vectors between the leading components of two covariance matrices over the same genes.
+def principal_vectors(source: np.ndarray, target: np.ndarray, min_cosine: float = MIN_COSINE) -> Alignment:
+    """Principal vectors between the leading components of two sets over the same genes, given as columns.
 
     The singular vectors of Ps·Ptᵀ rotate each set's components so that they pair up; the singular values are the
     cosines of the pairs. Pairs above ``min_cosine`` are kept, one at least.
     """
-    n = min(n_vectors, source.shape[0])
-    _, ps = components(source, n)
-    _, pt = components(target, n)
-    u, cosines, _ = np.linalg.svd(ps.T @ pt)
+    u, cosines, _ = np.linalg.svd(source.T @ target)
     kept = max(1, int((cosines > min_cosine).sum()))
-    return Alignment((ps @ u)[:, :kept], cosines)
-
-
-def standardised(m: Moments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Correlation matrix, means and standard deviations; columns that do not vary get weight zero."""
-    sd = np.sqrt(np.maximum(np.diag(m.covariance), 0.0))
-    varies = sd > 1e-6 * np.sqrt(np.diag(m.gram) / max(m.n, 1))  # a difference of sums keeps about half the digits
-    scale = np.where(varies, 1.0 / np.where(varies, sd, 1.0), 0.0)
-    return m.covariance * np.outer(scale, scale), m.mean, scale
+    return Alignment((source @ u)[:, :kept], cosines)

@@ -28,7 +28,7 @@ def correct(
     profiles = cut_lineage(D.reference_profiles(reference_expression.join(shared, "gene", "left_semi"), reference_labels))
     fit = cut_lineage(D.doublet_fit(on_shared, profiles))
     corrected = cut_lineage(D.remove_ambient(raw, fit, profiles, purify_singlets))
-    names = [r.gene for r in panel.orderBy("ord").select("gene").limit(M.MAX_GENES + 1).collect()]
+    names = [r.gene for r in panel.orderBy("ord").select("gene").collect()]  # one panel
     clusters = M.correct_and_cluster(corrected, names, cells, n_clusters)
     others = expression.filter(F.col("layer") != G.CORRECTED)
     return others.unionByName(corrected.withColumn("layer", F.lit(G.CORRECTED))), clusters

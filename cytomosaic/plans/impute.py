@@ -59,26 +59,24 @@ def weighted_values(weights: DataFrame, reference_expression: DataFrame, broadca
 
 
 def align(query: DataFrame, reference: DataFrame, width: int, n_vectors: int = M.N_PRINCIPAL_VECTORS) -> tuple[DataFrame, DataFrame, M.Alignment]:
-    """Both sets z-scored and projected on the reference's principal vectors; inputs and outputs are (id, features)."""
-    q, r = M.moments(query, width), M.moments(reference, width)
-    q_corr, q_mean, q_scale = M.standardised(q)
-    r_corr, r_mean, r_scale = M.standardised(r)
-    found = M.principal_vectors(r_corr, q_corr, min(n_vectors, width))
-    return (
-        M.project(query, found.loadings * q_scale[:, None], q_mean, ["id"]),
-        M.project(reference, found.loadings * r_scale[:, None], r_mean, ["id"]),
-        found,
-    )
+    """Both sets z-scored and projected on the reference's principal vectors; inputs are (id, sparse or dense row)."""
+    found = [M.columns(rows, width) for rows in (query, reference)]
+    n = min(n_vectors, width)
+    (_, own), (_, theirs) = (M.leading(rows, width, n, c.mean, c.scale) for rows, c in zip((query, reference), found, strict=True))
+    pairs = M.principal_vectors(theirs, own)
+    q, r = (M.project(rows, pairs.loadings * c.scale[:, None], c.mean, ["id"]) for rows, c in zip((query, reference), found, strict=True))
+    return q, r, pairs
 
 
-def as_vectors(expression: DataFrame, id_col: str, genes: Sequence[str], cells: DataFrame) -> DataFrame:
+def as_rows(expression: DataFrame, id_col: str, genes: Sequence[str], cells: DataFrame) -> DataFrame:
+    """(id, at, value), written, as it is read in each pass."""
     long = expression.select(F.col(id_col).alias("cell_id"), "gene", "value")
-    return M.gene_vectors(long, genes, cells.select(F.col(id_col).alias("cell_id"))).withColumnRenamed("cell_id", "id")
+    return cut_lineage(M.gene_rows(long, genes, cells.select(F.col(id_col).alias("cell_id"))).withColumnRenamed("cell_id", "id"))
 
 
 def impute_vectors(query: DataFrame, reference: DataFrame, width: int, targets: DataFrame,
                    n_vectors: int = M.N_PRINCIPAL_VECTORS, k: int = K_NEIGHBOURS) -> DataFrame:
-    """Impute ``targets`` (ref_cell, gene, value) for the query from vectors over the shared genes."""
+    """Impute ``targets`` (ref_cell, gene, value) for the query from rows over the shared genes."""
     q, r, _ = align(query, reference, width, n_vectors)
     near = cut_lineage(knn_join(cut_lineage(q), cut_lineage(r), k, "cosine"))
     return weighted_values(neighbour_weights(near), targets)
@@ -118,8 +116,8 @@ def impute(
     spark = expression.sparkSession
     listed = {n: F.broadcast(spark.createDataFrame([(g,) for g in names], "gene string")) for n, names in (("shared", shared), ("targets", targets))}
     normal = M.log_normalise(layer.join(listed["shared"], "gene", "left_semi"))
-    query = as_vectors(normal, "cell_id", shared, cells)
-    reference = as_vectors(reference_expression, "ref_cell", shared, reference_cells)
+    query = as_rows(normal, "cell_id", shared, cells)
+    reference = as_rows(reference_expression, "ref_cell", shared, reference_cells)
     target_values = reference_expression.join(listed["targets"], "gene", "left_semi")
     values = impute_vectors(query, reference, len(shared), target_values, n_vectors, k)
     return G.append_imputed(expression, genes, values, targets, use_corrected)
@@ -134,21 +132,19 @@ def transfer_labels(
     Both sets are log-normalised over the shared genes and z-scored on their own.
     """
     listed = F.broadcast(expression.sparkSession.createDataFrame([(g,) for g in shared], "gene string"))  # one panel
-    query = as_vectors(M.log_normalise(expression.join(listed, "gene", "left_semi")), "cell_id", shared, cells)
+    query = as_rows(M.log_normalise(expression.join(listed, "gene", "left_semi")), "cell_id", shared, cells)
     ref_long = reference_expression.join(listed, "gene", "left_semi").withColumnRenamed("ref_cell", "cell_id")
-    reference = as_vectors(M.log_normalise(ref_long), "cell_id", shared, reference_cells.withColumnRenamed("ref_cell", "cell_id"))
+    reference = as_rows(M.log_normalise(ref_long), "cell_id", shared, reference_cells.withColumnRenamed("ref_cell", "cell_id"))
     return vote(query, reference, reference_labels, len(shared), n_components, k)
 
 
 def vote(query: DataFrame, reference: DataFrame, reference_labels: DataFrame, width: int,
          n_components: int = M.MAX_COMPONENTS, k: int = K_NEIGHBOURS) -> DataFrame:
-    q, r = M.moments(query, width), M.moments(reference, width)
-    _, q_mean, q_scale = M.standardised(q)
-    r_corr, r_mean, r_scale = M.standardised(r)
-    _, loadings = M.components(r_corr, max(1, min(n_components, r.n - 1, width)))
+    q, r = M.columns(query, width), M.columns(reference, width)
+    _, loadings = M.leading(reference, width, max(1, min(n_components, r.n - 1, width)), r.mean, r.scale)
     near = knn_join(
-        M.project(query, loadings * q_scale[:, None], q_mean, ["id"]),
-        M.project(reference, loadings * r_scale[:, None], r_mean, ["id"]),
+        M.project(query, loadings * q.scale[:, None], q.mean, ["id"]),
+        M.project(reference, loadings * r.scale[:, None], r.mean, ["id"]),
         k,
     )
     labels = reference_labels.select(F.col("ref_cell").alias("ref_id"), "label")

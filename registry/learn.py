@@ -236,8 +236,38 @@ def label_transfer_all_components(t: Tables):
     return I.vote(q.select("id", "features"), r.select("id", "features"), labels, 64, 64)
 
 
-@query()
+def repeated(rows, latent: int, width: int):
+    """Rows of ``width`` genes out of ``latent`` numbers, each standing several times at another scale: z-scores of a gene's
+    copies are equal, so the leading components of any such set span the same space, and cosines there are those of the
+    latent z-scores."""
+    genes = [(F.col("features")[i % latent] * (1 + i // latent) + i % 3).alias(f"g{i}") for i in range(width)]
+    return rows.select("id", F.array(*genes).alias("features"))
+
+
+@query(lambda: zscore_sql(12) + WEIGHT_STEP + """,
+target AS (SELECT vec_id AS ref_id, 'E' || CAST(i - 1 AS STRING) AS gene, embedding[i] AS value
+           FROM vectors, (SELECT unnest(range(49, 65)) AS i) WHERE vec_id % 2 = 0)
+SELECT query_id AS cell_id, gene, round(sum(weight * value), 6) AS value FROM w JOIN target ON target.ref_id = w.ref_id GROUP BY query_id, gene""",
+       ("vectors",))
 def impute(t: Tables):
+    """Imputation in its default form, through 30 principal vectors of 48 genes, where 12 numbers make up all genes."""
+    q, r = halves(t)
+    return rounded(I.impute_vectors(repeated(q, 12, 48), repeated(r, 12, 48), 48, targets(r)), "value")
+
+
+@query(lambda: zscore_sql(16) + """
+SELECT query_id AS cell_id, CAST(label AS STRING) AS label, votes FROM (
+       SELECT query_id, label, count(*) AS votes, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, CAST(label AS STRING)) AS p
+       FROM near GROUP BY query_id, label) WHERE p = 1""", ("vectors",))
+def label_transfer(t: Tables):
+    """Label transfer in its default form, in 50 components of 64 genes, where 16 numbers make up all genes."""
+    q, r = halves(t)
+    labels = r.select(F.col("id").alias("ref_cell"), F.col("label").cast("string").alias("label"))
+    return I.vote(repeated(q, 16, 64), repeated(r, 16, 64), labels, 64)
+
+
+@query()
+def impute_error(t: Tables):
     """Imputation through principal vectors over dimensions 0-47; error per imputed dimension."""
     q, r = halves(t)
     shared = F.slice("features", 1, 48).alias("features")
@@ -248,7 +278,7 @@ def impute(t: Tables):
 
 
 @query()
-def label_transfer(t: Tables):
+def label_transfer_hits(t: Tables):
     """Labels by vote in the reference's principal components, with how often they are right."""
     q, r = halves(t)
     labels = r.select(F.col("id").alias("ref_cell"), F.col("label").cast("string").alias("label"))
@@ -257,6 +287,28 @@ def label_transfer(t: Tables):
     return voted.join(truth, "cell_id").groupBy("truth").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("truth")).alias("n_right"))
 
 
+#: Cosines between the planted directions of two sets; the last is too small to be kept.
+PLANTED = (0.9, 0.6, 0.2)
+
+
+@query(f"""SELECT CAST(i AS INT) AS place, CAST(CASE i WHEN 1 THEN {PLANTED[0]} ELSE {PLANTED[1]} END AS DOUBLE) AS cosine, round(var_pop(embedding[i]), 6) AS variance
+       FROM vectors, (SELECT unnest([1, 2]) AS i) WHERE vec_id % 2 = 0 GROUP BY i""", ("vectors",))
+def principal_vectors(t: Tables):
+    """Both halves in three directions each of ten genes, at known angles: the kept vectors' cosines, and the reference's spread along them."""
+    q, r = halves(t)
+    side = [math.sqrt(1 - c * c) for c in PLANTED]
+    apart = [F.col("features")[i] * c for i, c in enumerate(PLANTED)] + [F.col("features")[i] * s for i, s in enumerate(side)]
+    zeros = [F.lit(0.0)] * 4
+    query_rows = q.select("id", F.array(*apart, *zeros).alias("features"))
+    rows = r.select("id", F.array(*[F.col("features")[i] for i in range(3)], *[F.lit(0.0)] * 3, *zeros).alias("features"))
+    means = [M.columns(x, 10).mean for x in (query_rows, rows)]
+    own, theirs = (M.leading(x, 10, 3, mean)[1] for x, mean in zip((query_rows, rows), means, strict=True))
+    found = M.principal_vectors(theirs, own)
+    spread = M.project(rows, found.loadings, means[1], ["id"]).select(F.posexplode("features").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("variance"))
+    cosine = F.element_at(F.array(*[F.lit(float(c)) for c in found.cosines]), F.col("i") + 1)
+    return rounded(rounded(spread.select((F.col("i") + 1).alias("place"), cosine.alias("cosine"), "variance"), "cosine", digits=9), "variance")
+
+
 # --- products, components, clusters ----------------------------------------------------------------------------------
 
 
@@ -281,8 +333,8 @@ SELECT CAST(64 AS BIGINT) AS n_components, round(sum(c) FILTER (WHERE i = j), 6)
 def principal_components(t: Tables):
     """All components: the variances of the projected rows fall, add up to the trace, and their squares to that of the square."""
     vectors = t.vectors.select(F.col("vec_id").cast("string").alias("cell_id"), F.col("embedding").alias("features"))
-    found = M.moments(vectors, 64)
-    projected = M.project(vectors, M.components(found.covariance, 64)[1], found.mean).select(F.posexplode("features").alias("component", "v"))
+    mean = M.columns(vectors, 64).mean
+    projected = M.project(vectors, M.leading(vectors, 64, 64, mean)[1], mean).select(F.posexplode("features").alias("component", "v"))
     spread = projected.groupBy("component").agg(F.var_pop("v").alias("variance"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("component", "variance"))), lambda s: s.variance)
     out = spread.agg(F.count(F.lit(1)).alias("n_components"), F.sum("variance").alias("total"), F.sum(F.col("variance") * F.col("variance")).alias("total_squares"), listed.alias("v"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cytomosaic.operators import deconvolve as D
 from cytomosaic.operators import genes as G
 from cytomosaic.operators import matrix as M
+from cytomosaic.operators import subspace as S
 from cytomosaic.operators.knn import knn_join
 from cytomosaic.plans import correct as correction
 from cytomosaic.plans import impute as I
@@ -111,6 +112,60 @@ def test_components_match_numpy(spark):
     assert np.allclose(np.abs(raw.T @ np.linalg.svd(x, full_matrices=False)[2][:2].T), np.eye(2), atol=1e-8)
 
 
+def sparse(spark, m, parts=5):
+    rows = [(f"r{i:04d}", [int(j) for j in np.flatnonzero(row)], [float(v) for v in row[row != 0]]) for i, row in enumerate(m)]
+    return spark.createDataFrame(rows, "id string, at array<int>, value array<double>").repartition(parts)
+
+
+@pytest.mark.parametrize("most", [480, 40])
+def test_leading_vectors_of_sparse_rows(spark, monkeypatch, most):
+    """Wider than one block, so the span grows over passes, and is cut back where it may not grow; with shift and scale."""
+    monkeypatch.setattr(S, "MOST_VECTORS", most)
+    monkeypatch.setattr(S, "ENTRIES_AT_ONCE", 37)
+    rng = np.random.default_rng(2)
+    m = np.where(rng.random((150, 90)) < 0.15, rng.gamma(2, 1, (150, 90)) * rng.random(90) ** 3, 0) + rng.random((150, 1)) * (rng.random(90) < 0.1)
+    df = sparse(spark, m)
+    found = M.columns(df, 90)
+    assert found.n == 150 and np.allclose(found.mean, m.mean(0)) and np.allclose(found.rms, np.sqrt((m * m).mean(0)))
+    for shift, scale in ((None, None), (found.mean, found.scale)):
+        a = m if shift is None else (m - shift) * scale
+        values, vectors = S.leading(df, 90, 5, shift, scale)
+        want = np.linalg.svd(a, full_matrices=False)
+        assert np.allclose(values, want[1][:5] ** 2, rtol=1e-9)
+        assert np.allclose(np.abs(vectors.T @ want[2][:5].T), np.eye(5), atol=1e-6)
+        got = np.array([r.features for r in M.project(df, vectors, shift, ["id"]).orderBy("id").collect()])
+        assert np.allclose(got, (m - (0 if shift is None else shift)) @ vectors)
+
+
+def test_leading_vectors_of_odd_rows(spark):
+    """Few directions, equal values, no rows, empty rows, and columns that do not vary."""
+    rng = np.random.default_rng(4)
+    low = rng.normal(size=(40, 2)) @ rng.normal(size=(2, 30))
+    values, vectors = S.leading(sparse(spark, low), 30, 6)
+    assert np.allclose(values[2:], 0, atol=1e-8 * values[0]) and np.allclose(vectors.T @ vectors, np.eye(6), atol=1e-8)
+    values, vectors = S.leading(sparse(spark, np.eye(30)), 30, 4)
+    assert np.allclose(values, 1) and np.allclose(vectors.T @ vectors, np.eye(4))
+    none = sparse(spark, np.zeros((3, 30)))
+    assert np.allclose(S.leading(none, 30, 4)[0], 0) and np.allclose(S.leading(none.limit(0), 30, 4)[0], 0)
+    constant = np.hstack([rng.random((9, 2)), np.full((9, 1), 3.7)])
+    assert M.columns(sparse(spark, constant), 3).scale[2] == 0.0
+    rows = M.project(none, np.ones((30, 2)), np.ones(30), ["id"]).collect()
+    assert [r.features for r in rows] == [[-30.0, -30.0]] * 3
+
+
+def test_principal_vectors_with_known_angles(spark):
+    """Two sets in planes of a random space, at planted angles; more vectors asked for than kept."""
+    rng = np.random.default_rng(6)
+    axes = np.linalg.qr(rng.normal(size=(40, 8)))[0]
+    cosines = np.array([0.95, 0.5, 0.1])
+    other = axes[:, :3] * cosines + axes[:, 3:6] * np.sqrt(1 - cosines**2)
+    r, q = rng.normal(size=(80, 3)) @ axes[:, :3].T, rng.normal(size=(60, 3)) @ other.T
+    own, theirs = (S.leading(sparse(spark, m), 40, 3)[1] for m in (q, r))
+    found = M.principal_vectors(theirs, own)
+    assert np.allclose(found.cosines, cosines)
+    assert np.allclose(np.abs(axes[:, :2].T @ found.loadings), np.eye(2), atol=1e-7)
+
+
 def reference_imputation(q, r, y, n_pv, k):
     """The method on dense arrays: z-scores, principal vectors, cosine neighbours, weights."""
     zq, zr = (q - q.mean(0)) / q.std(0), (r - r.mean(0)) / r.std(0)
@@ -165,6 +220,13 @@ def test_imputation_job(spark):
     imputed = out.filter("layer = 'imputed'")
     assert {r.gene for r in imputed.select("gene").distinct().collect()} == {"new [imp]", "flat [imp]"}
     assert out.filter("layer = 'raw'").count() == layered.count()
+    dense = reference.groupBy("ref_cell").pivot("gene", [*names, "new", "flat"]).agg(F.first("value")).orderBy("ref_cell").toPandas()
+    r, y = dense[names].to_numpy(), dense[["new", "flat"]].to_numpy()
+    q = np.log1p(counts / counts.sum(1, keepdims=True) * 10_000)
+    want = reference_imputation(q, r, y, 4, 5)
+    got = {(x.cell_id, x.gene): x.value for x in imputed.collect()}
+    for i, j in itertools.product(range(30), range(2)):
+        assert got.get((f"c{i}", ["new [imp]", "flat [imp]"][j]), 0.0) == pytest.approx(want[i, j], abs=1e-6)
     wanted = spark.createDataFrame([("new", 0), ("g1", 1), ("nowhere", 2)], "gene string, ord int")
     _, few = I.impute(cells, layered, genes, ref_cells, ref_genes, reference, wanted, 4, 5)
     assert [r.gene for r in few.filter("is_imputed").collect()] == ["new [imp]"]
