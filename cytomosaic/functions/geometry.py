@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,14 +47,13 @@ def segments(ring) -> Column:
     return F.transform(F.filter(ring_edges(ring), lambda e: e.x0 != e.x1), oriented)
 
 
-def area_under_lower(e: dict[str, Column], f: dict[str, Column], base: Column) -> Column:
-    """Signed area between ``base`` and the lower one of two segments over the stretch of x that both span.
+def area_under_lower(e: dict[str, Column], f: dict[str, Column], base: Column, left: Column, right: Column) -> Column:
+    """Signed area between ``base`` and the lower one of two segments over a stretch of x that both span.
 
     Summed over all segment pairs of two simple polygons this is their common area, up to its sign: a polygon is the
     signed sum of the regions under its segments, and the region under two segments is the one under the lower of them.
     Segments are dicts of the fields of ``segments``; ``base`` is any height at or below both polygons.
     """
-    left, right = F.greatest(e["x0"], f["x0"]), F.least(e["x1"], f["x1"])
 
     def height(s: dict[str, Column], x: Column) -> Column:
         return s["y0"] + s["m"] * (x - s["x0"])
@@ -108,61 +108,53 @@ def strictly_inside(x, y, edges) -> Column:
     return odd & ~F.exists(edges, on_edge)
 
 
-def _crossing(a: tuple, b: tuple, c: tuple, d: tuple) -> tuple[float, float] | None:
-    """Where two edges cross at a point inside both."""
-    ux, uy, vx, vy = b[0] - a[0], b[1] - a[1], d[0] - c[0], d[1] - c[1]
-    det = ux * vy - uy * vx
-    if det == 0:
-        return None
-    s = ((c[0] - a[0]) * vy - (c[1] - a[1]) * vx) / det
-    t = ((c[0] - a[0]) * uy - (c[1] - a[1]) * ux) / det
-    return (a[0] + s * ux, a[1] + s * uy) if 0 < s < 1 and 0 < t < 1 else None
+def even_odd_segments(ring: np.ndarray) -> np.ndarray:
+    """Segments (x0, y0, x1, m, s) whose signed regions add up to the points that the ring winds around an odd number of
+    times, however it crosses or covers itself.
 
-
-def simple_loops(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
-    """The ring cut in two at a crossing, and its parts again, until none crosses itself; all run counter-clockwise.
-
-    Each cut at least takes one crossing away. Parts without area are left out.
+    Between two neighbouring vertices or crossings in x, edges keep their order; counted from above, each first one opens
+    the inside and each second one closes it. Stretches of an edge with the same sign are joined.
     """
-    pending, done = [list(ring)], []
-    while pending:
-        loop = pending.pop()
-        n = len(loop)
-        if n < 3:
-            continue
-        found = None
-        for i in range(n):
-            for j in range(i + 2, n):
-                at = _crossing(loop[i], loop[(i + 1) % n], loop[j], loop[(j + 1) % n])
-                if at is not None:
-                    found = i, j, at
-                    break
-            if found:
-                break
-        if found:
-            i, j, at = found
-            pending += [[at, *loop[i + 1 : j + 1]], [*loop[: i + 1], at, *loop[j + 1 :]]]
-            continue
-        area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(loop, [*loop[1:], loop[0]], strict=True)) / 2
-        if abs(area) > TOUCH:
-            done.append(loop if area > 0 else loop[::-1])
-    return done
-
-
-def split_rings(rings: DataFrame) -> DataFrame:
-    """(cell_id, ring): the simple loops of each ring, one row for each."""
+    ends = np.concatenate([ring, np.roll(ring, -1, axis=0)], axis=1)
+    ends = ends[ends[:, 0] != ends[:, 2]]
+    if not len(ends):
+        return np.zeros((0, 5))
+    x0, y0, x1, y1 = np.where((ends[:, 0] < ends[:, 2])[:, None], ends, ends[:, [2, 3, 0, 1]]).T
+    slope = (y1 - y0) / (x1 - x0)
+    cuts = [x0, x1]
+    for i in range(len(x0) - 1):  # where edge i meets the later ones
+        left, right = np.maximum(x0[i], x0[i + 1 :]), np.minimum(x1[i], x1[i + 1 :])
+        above = [(y0[i] - y0[i + 1 :]) + slope[i] * (x - x0[i]) - slope[i + 1 :] * (x - x0[i + 1 :]) for x in (left, right)]
+        meet = (left < right) & (above[0] * above[1] < 0)
+        cuts.append((left + (right - left) * above[0] / np.where(meet, above[0] - above[1], 1.0))[meet])
+    at = np.unique(np.concatenate(cuts))
+    first, last = np.searchsorted(at, x0), np.searchsorted(at, x1)
+    edge = np.repeat(np.arange(len(x0)), last - first)
+    slab = np.arange(len(edge)) - np.repeat(np.cumsum(last - first) - last, last - first)
+    height = y0[edge] + slope[edge] * ((at[slab] + at[slab + 1]) / 2 - x0[edge])
+    order = np.lexsort((edge, -height, slab))
+    rank = np.arange(len(order)) - np.searchsorted(slab[order], slab[order])
+    sign = np.empty(len(order))
+    sign[order] = 1.0 - 2.0 * (rank % 2)
+    begins = np.flatnonzero((np.diff(edge, prepend=-1) != 0) | (np.diff(sign, prepend=0) != 0))
+    stops = np.append(begins[1:], len(edge)) - 1
+    e, left, right = edge[begins], at[slab[begins]], at[slab[stops] + 1]
+    return np.stack([left, y0[e] + slope[e] * (left - x0[e]), right, slope[e], sign[begins]], axis=1)
+
+
+SEGMENTS = "array<struct<x0: double, y0: double, x1: double, m: double, s: double>>"
+
+
+def with_segments(rings: DataFrame) -> DataFrame:
+    """(cell_id, ring, seg) for rings that cross themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (cell, [{"x": x, "y": y} for x, y in loop])
-                for cell, ring in zip(batch["cell_id"], batch["ring"], strict=True)
-                for loop in simple_loops([(v["x"], v["y"]) for v in ring])
-            ]
-            yield pd.DataFrame(rows, columns=["cell_id", "ring"])
+            made = [even_odd_segments(np.array([(v["x"], v["y"]) for v in ring])) for ring in batch["ring"]]
+            yield batch.assign(seg=[[dict(zip(("x0", "y0", "x1", "m", "s"), row, strict=True)) for row in part.tolist()] for part in made])
 
     kind = dict(rings.dtypes)["cell_id"]
-    return rings.select("cell_id", "ring").mapInPandas(run, f"cell_id {kind}, ring array<struct<x: double, y: double>>")
+    return rings.select("cell_id", "ring").mapInPandas(run, f"cell_id {kind}, ring array<struct<x: double, y: double>>, seg {SEGMENTS}")
 
 
 def self_intersecting(ring) -> Column:

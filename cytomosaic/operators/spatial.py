@@ -191,17 +191,18 @@ def split_invalid(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repaired(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rings fit for overlaps, where a self-crossing one is replaced by its simple loops in rows of the same id, and the
-    self-crossing ones. Loops that lie over one another count once for each."""
+    """(cell_id, ring, seg) fit for overlaps, and the self-crossing rings. These count with the points that they wind
+    around an odd number of times."""
     simple, crossing = split_invalid(rings_df)
-    return simple.select("cell_id", "ring").union(G.split_rings(crossing)), crossing
+    return simple.select("cell_id", "ring", G.segments("ring").alias("seg")).union(G.with_segments(crossing)), crossing
 
 
 def _with_box(rings_df: DataFrame, prefix: str) -> DataFrame:
     xs, ys = F.transform("ring", lambda v: v.x), F.transform("ring", lambda v: v.y)
+    segments = F.col("seg") if "seg" in rings_df.columns else G.segments("ring")
     return rings_df.select(
         F.col("cell_id").alias(f"{prefix}_id"),
-        G.segments("ring").alias(f"{prefix}_seg"),
+        segments.alias(f"{prefix}_seg"), _n_slabs(F.size("ring")).alias(f"{prefix}_n"),
         F.array_min(xs).alias(f"{prefix}_x0"), F.array_max(xs).alias(f"{prefix}_x1"),
         F.array_min(ys).alias(f"{prefix}_y0"), F.array_max(ys).alias(f"{prefix}_y1"),
     )
@@ -209,42 +210,150 @@ def _with_box(rings_df: DataFrame, prefix: str) -> DataFrame:
 
 def _median_side(boxed: DataFrame, p: str) -> float:
     """Approximate median of the larger box side."""
-    side = F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.col(f"{p}_y1") - F.col(f"{p}_y0"))
-    return boxed.agg(F.percentile_approx(side, 0.5, 1000)).first()[0] or 1.0
+    return boxed.agg(F.percentile_approx(_side(p), 0.5, 1000)).first()[0] or 1.0
+
+
+# Outlines of very different size meet on a pyramid of square tiles: each stands on the level whose tiles are no smaller
+# than itself, in four of them at most.
+
+
+def _side(p: str) -> Column:
+    return F.greatest(F.col(f"{p}_x1") - F.col(f"{p}_x0"), F.col(f"{p}_y1") - F.col(f"{p}_y0"))
+
+
+def _with_level(boxed: DataFrame, p: str, tile: float) -> DataFrame:
+    level = F.greatest(F.coalesce(F.ceil(F.log2(_side(p) / tile)), F.lit(0)), F.lit(0)).cast("int")
+    return boxed.withColumn(f"{p}_level", level)
+
+
+def _level_tile(v: Column, level: Column, tile: float) -> Column:
+    return F.floor(v / (F.lit(float(tile)) * F.pow(F.lit(2.0), level)))
+
+
+def _on_tiles(boxed: DataFrame, p: str, tile: float) -> DataFrame:
+    """A row for each tile of the level ``_level`` that the box touches."""
+
+    def span(low: str, high: str) -> Column:
+        return F.sequence(*(_level_tile(F.col(f"{p}_{c}"), F.col("_level"), tile) for c in (low, high)))
+
+    return boxed.withColumn("_tx", F.explode(span("x0", "x1"))).withColumn("_ty", F.explode(span("y0", "y1")))
+
+
+def _levels(boxed: DataFrame, p: str) -> list[int]:
+    """The levels in use: some tens at most, as sides double from one to the next."""
+    return sorted(r[0] for r in boxed.select(f"{p}_level").distinct().collect())
+
+
+def _search_levels(boxed: DataFrame, p: str, others: list[int], strictly: bool) -> DataFrame:
+    """A row for each level of the other side that is at least as coarse as the box's own, or coarser."""
+    own = F.col(f"{p}_level")
+    wanted = F.filter(F.array(*[F.lit(v) for v in others]).cast("array<int>"), lambda v: v > own if strictly else v >= own)
+    return boxed.withColumn("_level", F.explode(wanted))
+
+
+def _tile_rows(q: DataFrame, r: DataFrame, tile: float) -> tuple[DataFrame, DataFrame]:
+    """Rows on which every query box meets every reference box at the coarser one's level, and on no other: in the first
+    turn references stand and queries search, in the second references that are smaller search."""
+
+    q_levels, r_levels = _levels(q, "q"), _levels(r, "r")
+
+    def turn(df: DataFrame, n: int, p: str) -> DataFrame:
+        return _on_tiles(df.withColumn("_turn", F.lit(n)), p, tile)
+
+    q_rows, r_rows = turn(_search_levels(q, "q", r_levels, False), 0, "q"), turn(r.withColumn("_level", F.col("r_level")), 0, "r")
+    if q_levels and r_levels and max(q_levels) > min(r_levels):  # else no reference is smaller than a query
+        large = q.filter(F.col("q_level") > min(r_levels)).withColumn("_level", F.col("q_level"))
+        q_rows = q_rows.union(turn(large, 1, "q"))
+        r_rows = r_rows.union(turn(_search_levels(r, "r", q_levels, True), 1, "r"))
+    return q_rows, r_rows
+
+
+# Long outlines are cut into slabs of about the same number of edges, so that work goes to the edges near by.
+SLAB_EDGES = 32
+#: Outlines of so few edges keep them beside their box, 40 bytes each.
+BOXED_EDGES = 32
+
+
+def _n_slabs(n_edges: Column) -> Column:
+    return F.when(n_edges <= 2 * SLAB_EDGES, 1).otherwise(F.ceil(n_edges / SLAB_EDGES)).cast("int")
+
+
+def _slab(v: Column, low: Column, width: Column, n: Column) -> Column:
+    """The slab of a place, 0 to n - 1."""
+    return F.least(F.greatest(F.coalesce(F.floor(F.try_divide(v - low, width)), F.lit(0)), F.lit(0)), n - 1).cast("int")
+
+
+def _in_slabs(parts: DataFrame, keys: Sequence[str], items: str, low: Column, high: Column, start: Column, width: Column, n: Column) -> DataFrame:
+    """(keys, _slab, items): the items, from ``low`` to ``high`` each, of every slab they touch. One slab keeps its list."""
+    whole = parts.filter(n == 1).select(*keys, F.lit(0).alias("_slab"), items)
+    each = parts.filter(n > 1).withColumn("_item", F.explode(items))
+    touched = F.sequence(_slab(low, start, width, n), _slab(high, start, width, n))
+    cut = each.withColumn("_slab", F.explode(touched)).groupBy(*keys, "_slab").agg(F.collect_list("_item").alias(items))
+    return whole.union(cut.select(*keys, "_slab", items))
 
 
 def overlap_pairs(query: DataFrame, reference: DataFrame, tile: float | None = None, rows_per_slice: int = 2_000) -> DataFrame:
-    """Overlapping polygon pairs with their common area: (query_id, ref_id, area). Inputs are simple rings; the parts of
-    one polygon may be several rows of its id that run the same way round.
+    """Overlapping polygon pairs with their common area: (query_id, ref_id, area). Inputs are (cell_id, ring) of simple
+    rings, or as ``repaired`` returns them; ids are unique.
 
-    A pair can meet in several tiles; it is kept only in the one holding the lower left corner of the boxes'
-    intersection, which needs no removal of duplicates afterwards.
+    Boxes meet on tiles, with the segments of outlines that have few. A pair can meet in several tiles; it is kept only in
+    the one holding the lower left corner of the boxes' intersection, which needs no removal of duplicates. Where one of a
+    pair has many segments, they are joined to the pair afterwards, slab by slab.
     """
     # written once: the passes that size tiles and count their rows then read the box columns alone
     q_boxed, r_boxed = cut_lineage(_with_box(query, "q")), cut_lineage(_with_box(reference, "r"))
     if tile is None:
         tile = max(2.0 * _median_side(r_boxed, "r"), 1e-6)
 
-    def tiled(df: DataFrame, p: str) -> DataFrame:
-        across = F.sequence(_tile(F.col(f"{p}_x0"), tile), _tile(F.col(f"{p}_x1"), tile))
-        up = F.sequence(_tile(F.col(f"{p}_y0"), tile), _tile(F.col(f"{p}_y1"), tile))
-        return df.withColumn("_tx", F.explode(across)).withColumn("_ty", F.explode(up))
+    def boxes(boxed: DataFrame, p: str) -> DataFrame:
+        few = F.size(f"{p}_seg") <= BOXED_EDGES
+        return _with_level(boxed.withColumn(f"{p}_seg", F.when(few, F.col(f"{p}_seg"))), p, tile)
 
-    q, r = tiled(q_boxed, "q"), tiled(r_boxed, "r")
-    met = sliced_join(q, r, ["_tx", "_ty"], F.col("q_id"), F.col("r_id"), rows_per_slice)
+    q, r = boxes(q_boxed, "q"), boxes(r_boxed, "r")
+    met = sliced_join(*_tile_rows(q, r, tile), ["_turn", "_level", "_tx", "_ty"], F.col("q_id"), F.col("r_id"), rows_per_slice)
     left, bottom = F.greatest("q_x0", "r_x0"), F.greatest("q_y0", "r_y0")
-    touching = (left <= F.least("q_x1", "r_x1")) & (bottom <= F.least("q_y1", "r_y1"))
-    here = (_tile(left, tile) == F.col("_tx")) & (_tile(bottom, tile) == F.col("_ty"))
-    kept = met.filter(touching & here).select(
-        F.col("q_id").alias("query_id"), F.col("r_id").alias("ref_id"), F.least("q_y0", "r_y0").alias("_base"), "q_seg", "r_seg"
-    )
+    right = F.least("q_x1", "r_x1")
+    touching = (left <= right) & (bottom <= F.least("q_y1", "r_y1"))
+    here = (_level_tile(left, F.col("_level"), tile) == F.col("_tx")) & (_level_tile(bottom, F.col("_level"), tile) == F.col("_ty"))
+    kept = met.filter(touching & here).withColumns({"_base": F.least("q_y0", "r_y0"), "_left": left, "_right": right})
+    kept = kept.select("q_id", "r_id", "_base", "_left", "_right", "q_seg", "r_seg", *[f"{p}_{c}" for p in "qr" for c in ("x0", "x1", "n")])
+    stretch = ["q_id", "r_id", "_base", "_left", "_right", "q_seg", "r_seg"]
+    if all(b.filter(F.size(f"{p}_seg") > BOXED_EDGES).isEmpty() for p, b in (("q", q_boxed), ("r", r_boxed))):
+        stretches = kept.select(*stretch)
+    else:
+        kept = cut_lineage(kept)
+        have = F.col("q_seg").isNotNull() & F.col("r_seg").isNotNull()
+        rest = _cut_to_slabs(kept.filter(~have).drop("q_seg", "r_seg"), q_boxed, r_boxed)
+        stretches = kept.filter(have).select(*stretch).union(rest.select(*stretch))
     names = ("x0", "y0", "x1", "m", "s")
     e, f = {n: F.col(f"_e.{n}") for n in names}, {n: F.col(f"_f.{n}") for n in names}
     # segment pairs are rows of generated code inside the task; a partial sum leaves one row per polygon pair to shuffle
-    facing = kept.withColumn("_e", F.explode("q_seg")).drop("q_seg").withColumn("_f", F.explode("r_seg")).drop("r_seg")
-    facing = facing.filter(F.greatest(e["x0"], f["x0"]) < F.least(e["x1"], f["x1"]))
-    common = F.abs(F.sum(G.area_under_lower(e, f, F.col("_base"))))
-    return facing.groupBy("query_id", "ref_id").agg(common.alias("area")).filter(F.col("area") > G.TOUCH)
+    facing = stretches.withColumn("_e", F.explode("q_seg")).drop("q_seg").withColumn("_f", F.explode("r_seg")).drop("r_seg")
+    start, end = F.greatest("_left", e["x0"], f["x0"]), F.least("_right", e["x1"], f["x1"])
+    facing = facing.filter(start < end)
+    common = F.abs(F.sum(G.area_under_lower(e, f, F.col("_base"), start, end)))
+    return facing.groupBy(F.col("q_id").alias("query_id"), F.col("r_id").alias("ref_id")).agg(common.alias("area")).filter(F.col("area") > G.TOUCH)
+
+
+def _cut_to_slabs(pairs: DataFrame, q_boxed: DataFrame, r_boxed: DataFrame) -> DataFrame:
+    """Pairs cut where either outline's slabs end, with the segments of both slabs."""
+
+    def width(p: str) -> Column:
+        return (F.col(f"{p}_x1") - F.col(f"{p}_x0")) / F.col(f"{p}_n")
+
+    for p in "qr":  # a row for each of the side's slabs within the stretch, which is narrowed to the slab
+        low, n, k = F.col(f"{p}_x0"), F.col(f"{p}_n"), F.col(f"{p}_slab")
+        slabs = F.sequence(_slab(F.col("_left"), low, width(p), n), _slab(F.col("_right"), low, width(p), n))
+        pairs = pairs.withColumn(f"{p}_slab", F.explode(slabs)).withColumns({
+            "_left": F.when(k == 0, F.col("_left")).otherwise(F.greatest("_left", low + k * width(p))),
+            "_right": F.when(k == n - 1, F.col("_right")).otherwise(F.least("_right", low + (k + 1) * width(p))),
+        })
+    pairs = pairs.select("q_id", "r_id", "q_slab", "r_slab", "_base", "_left", "_right")
+    for p, boxed in (("q", q_boxed), ("r", r_boxed)):
+        item, low, n = F.col("_item"), F.col(f"{p}_x0"), F.col(f"{p}_n")
+        segments = _in_slabs(boxed, [f"{p}_id", f"{p}_x0", f"{p}_x1", f"{p}_n"], f"{p}_seg", item.x0, item.x1, low, width(p), n)
+        pairs = pairs.join(segments.select(f"{p}_id", F.col("_slab").alias(f"{p}_slab"), f"{p}_seg"), [f"{p}_id", f"{p}_slab"])
+    return pairs
 
 
 def best_overlap(pairs: DataFrame) -> DataFrame:
@@ -275,25 +384,31 @@ def cells_in_rois(cells: DataFrame, rois: DataFrame, tile: float | None = None,
     """(cell_id, cls, name) for each cell strictly inside a region; regions of the same name count together.
 
     ``rois`` = (cls, name, ring). Regions are drawn with the y axis pointing up, so the cells' y is negated first.
+
+    Boxes meet cells on the pyramid of tiles, a cell standing in one tile of each level that regions use. A region's edges
+    are kept by slabs of y; a cell in its box is tested against the edges of one slab.
     """
     xs, ys = F.transform("ring", lambda v: v.x), F.transform("ring", lambda v: v.y)
-    boxed = rois.select(
-        "cls", "name", G.ring_edges("ring").alias("_edges"),
-        F.array_min(xs).alias("_x0"), F.array_max(xs).alias("_x1"), F.array_min(ys).alias("_y0"), F.array_max(ys).alias("_y1"),
+    edges = rois.select(
+        F.monotonically_increasing_id().alias("r_id"), "cls", "name", G.ring_edges("ring").alias("r_edges"), _n_slabs(F.size("ring")).alias("r_n"),
+        F.array_min(xs).alias("r_x0"), F.array_max(xs).alias("r_x1"), F.array_min(ys).alias("r_y0"), F.array_max(ys).alias("r_y1"),
     )
+    edges = cut_lineage(edges.filter(F.size("r_edges") > 0))
     if tile is None:
-        widest = rois.agg(F.max(F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)))).first()[0]
-        tile = max((widest or 1.0) / 32, 1e-6)
-    tiled = boxed.withColumn(
-        "_tx", F.explode(F.sequence(_tile(F.col("_x0"), tile), _tile(F.col("_x1"), tile)))
-    ).withColumn("_ty", F.explode(F.sequence(_tile(F.col("_y0"), tile), _tile(F.col("_y1"), tile))))
-    placed = cells.select("cell_id", F.col("x").alias("_x"), (F.col("y") * y_sign).alias("_y"))
-    placed = placed.withColumn("_tx", _tile(F.col("_x"), tile)).withColumn("_ty", _tile(F.col("_y"), tile))
-    inside = F.col("_x").between(F.col("_x0"), F.col("_x1")) & F.col("_y").between(F.col("_y0"), F.col("_y1"))
-    # boxes meet cells by ids alone; a tile with many of both is cut into slices
-    regions = tiled.select("_tx", "_ty", "cls", "name", "_edges", "_x0", "_x1", "_y0", "_y1")
-    met = sliced_join(placed, regions, ["_tx", "_ty"], F.col("cell_id"), F.struct("cls", "name"))
-    hits = met.filter(inside & G.strictly_inside("_x", "_y", "_edges"))
+        tile = max(_median_side(edges, "r"), 1e-6)
+    boxes = _with_level(edges.drop("r_edges"), "r", tile)
+    levels = F.array(*[F.lit(v) for v in _levels(boxes, "r")]).cast("array<int>")
+    standing = _on_tiles(boxes.withColumn("_level", F.col("r_level")), "r", tile)
+    placed = cells.select("cell_id", F.col("x").alias("_x"), (F.col("y") * y_sign).alias("_y")).withColumn("_level", F.explode(levels))
+    placed = placed.withColumns({c: _level_tile(F.col(v), F.col("_level"), tile) for c, v in (("_tx", "_x"), ("_ty", "_y"))})
+    met = sliced_join(placed, standing, ["_level", "_tx", "_ty"], F.col("cell_id"), F.col("r_id"))
+    met = met.filter(F.col("_x").between(F.col("r_x0"), F.col("r_x1")) & F.col("_y").between(F.col("r_y0"), F.col("r_y1")))
+    low, n = F.col("r_y0"), F.col("r_n")
+    height = (F.col("r_y1") - low) / n
+    near = met.select("cell_id", "_x", "_y", "cls", "name", "r_id", _slab(F.col("_y"), low, height, n).alias("_slab"))
+    item = F.col("_item")
+    slabs = _in_slabs(edges, ["r_id", "r_y0", "r_y1", "r_n"], "r_edges", F.least(item.y0, item.y1), F.greatest(item.y0, item.y1), low, height, n)
+    hits = near.join(slabs.select("r_id", "_slab", "r_edges"), ["r_id", "_slab"]).filter(G.strictly_inside("_x", "_y", "r_edges"))
     return hits.select("cell_id", "cls", "name").distinct()
 
 

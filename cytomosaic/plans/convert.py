@@ -134,15 +134,10 @@ def transfer_identities(
     query_boundaries: DataFrame, reference_boundaries: DataFrame, labels: DataFrame, tile: float | None = None,
     unmatched: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Transferred identities, their shares, and the outlines that cross themselves and were split into simple loops."""
+    """Transferred identities, their shares, and the outlines that cross themselves, which count by the even-odd rule."""
     query, bad_query = X.repaired(X.rings(query_boundaries))
     reference, bad_reference = X.repaired(X.rings(reference_boundaries))
     identities = X.transfer_labels(query, reference, labels, tile, unmatched or X.UNMATCHED)
-    # an outline without any area has no loop left, but its cell still belongs in the result
-    lost = bad_query.join(query.select("cell_id").distinct(), "cell_id", "left_anti")
-    identities = identities.unionByName(
-        lost.select(F.col("cell_id").alias("query_cell_id"), F.lit(unmatched or X.UNMATCHED).alias("transferred_identity"))
-    )
     identities = cut_lineage(identities)  # written, counted and handed on: the overlap is computed once
     invalid = bad_query.select(F.lit("query").alias("side"), "cell_id").union(bad_reference.select(F.lit("reference"), "cell_id"))
     return identities, C.value_shares(identities, "transferred_identity"), invalid

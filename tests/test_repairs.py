@@ -1,5 +1,7 @@
 """Edge cases of cuts, headers, moments, labels, slides, crossing outlines and stage folders."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -96,19 +98,130 @@ def test_slides_do_not_mix(spark):
     assert N.contact_counts(cells, 5.0).agg(F.sum("n_contacts")).first()[0] == 6
 
 
-def shoelace(loop):
-    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(loop, [*loop[1:], loop[0]], strict=True)) / 2
+def inside_share(rings, x, y):
+    """For each grid point, whether an odd number of edges lie above it."""
+    above = np.zeros(len(x), int)
+    for (xa, ya), (xb, yb) in zip(rings, [*rings[1:], rings[0]]):
+        if xa != xb:
+            over = (np.minimum(xa, xb) <= x) & (x < np.maximum(xa, xb))
+            above += over & (ya + (yb - ya) / (xb - xa) * (x - xa) > y)
+    return above % 2 == 1
 
 
-def test_simple_loops():
-    bow = [(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]
-    loops = GEO.simple_loops(bow)
-    assert sorted(shoelace(p) for p in loops) == [1.0, 1.0]
-    square = [(0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0)]
-    assert [shoelace(p) for p in GEO.simple_loops(square)] == [4.0]
-    zigzag = [(0.0, 0.0), (6.0, 0.0), (6.0, 2.0), (4.0, -2.0), (2.0, 2.0), (0.0, -2.0)]
-    assert all(shoelace(p) > 0 for p in GEO.simple_loops(zigzag))
-    assert GEO.simple_loops([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]) == []
+def segment_area(segments, x, y):
+    total = np.zeros(len(x))
+    for x0, y0, x1, m, s in segments:
+        total += s * ((x0 <= x) & (x < x1) & (y0 + m * (x - x0) > y))
+    return total
+
+
+def pentagram(cx=0.0, cy=0.0, r=1.0):
+    return [(cx + r * np.cos(a), cy + r * np.sin(a)) for a in 0.3 + np.arange(5) * 4 * np.pi / 5]
+
+
+def test_even_odd_segments():
+    """Segments add up to the inside at every point, for crossing, covering and touching outlines."""
+    rng = np.random.default_rng(8)
+    shapes = [pentagram(), [(0, 0), (2, 2), (2, 0), (0, 2)], [(0, 0), (6, 0), (6, 2), (4, -2), (2, 2), (0, -2)], [(0, 0), (0, 2), (2, 2), (2, 0)]]
+    shapes += [[(0, 0), (4, 0), (4, 4), (0, 4)] * 2, [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (2, 0), (2, 2), (0, 2)], [(0, 0), (1, 1), (2, 2)], [(0, 0), (0, 1), (0, 2)]]
+    shapes += [rng.uniform(0, 5, (n, 2)).tolist() for n in (5, 9, 30)]
+    for ring in shapes:
+        ring = [(float(a), float(b)) for a, b in ring]
+        x, y = rng.uniform(-2, 7, (2, 4000))
+        got = segment_area(GEO.even_odd_segments(np.array(ring)), x, y)
+        assert np.allclose(got, inside_share(ring, x, y))
+    ring = np.array(pentagram())
+    area = sum(s * (x1 - x0) * (y0 + 5 + m * (x1 - x0) / 2) for x0, y0, x1, m, s in GEO.even_odd_segments(ring))
+    assert area == pytest.approx(0.7757, abs=2e-3)  # the tips without the middle
+
+
+def test_pentagrams_overlap(spark):
+    """Overlap of shapes that cover themselves, against points of a grid."""
+    rng = np.random.default_rng(9)
+    schema = "cell_id string, ring array<struct<x: double, y: double>>"
+    make = lambda rows: spark.createDataFrame([(n, [{"x": float(x), "y": float(y)} for x, y in ring]) for n, ring in rows], schema)
+    left = [(f"q{i}", pentagram(*rng.uniform(0, 3, 2), 1.2)) for i in range(8)] + [("qb", [(0, 0), (3, 3), (3, 0), (0, 3)])]
+    right = [(f"r{i}", pentagram(*rng.uniform(0, 3, 2), 0.8)) for i in range(8)] + [("rt", [(0, 0), (3, 0), (1, 3)])]
+    (query, crossing), (reference, _) = X.repaired(make(left)), X.repaired(make(right))
+    assert crossing.count() == 9 and query.count() == 9
+    got = {(r.query_id, r.ref_id): r.area for r in X.overlap_pairs(query, reference).collect()}
+    side = 700
+    x, y = (v.ravel() for v in np.meshgrid(*[(np.arange(side) + 0.5) / side * 6 - 1.5] * 2))
+    inside = {n: inside_share(ring, x, y) for n, ring in [*left, *right]}
+    for (q, _), (r, _) in itertools.product(left, right):
+        assert got.get((q, r), 0.0) == pytest.approx((inside[q] & inside[r]).mean() * 36, abs=0.012)
+    assert len(got) > 20
+
+
+def test_outlines_of_all_sizes(spark):
+    """Sizes over five orders of magnitude on both sides: every pair once, and few rows for an outline."""
+    rng = np.random.default_rng(10)
+    schema = "cell_id string, ring array<struct<x: double, y: double>>"
+
+    def squares(prefix, n):
+        out = []
+        for i in range(n):
+            side = float(10 ** rng.uniform(-2, 3))
+            x, y = rng.uniform(-500, 500, 2).tolist()
+            out.append((f"{prefix}{i}", x, y, side))
+        return out
+
+    left, right = squares("q", 70), squares("r", 70)
+    make = lambda rows: spark.createDataFrame([(n, [{"x": x, "y": y}, {"x": x + s, "y": y}, {"x": x + s, "y": y + s}, {"x": x, "y": y + s}]) for n, x, y, s in rows], schema)
+    want = {}
+    for (q, qx, qy, qs), (r, rx, ry, rs) in itertools.product(left, right):
+        w, h = min(qx + qs, rx + rs) - max(qx, rx), min(qy + qs, ry + rs) - max(qy, ry)
+        if w > 0 and h > 0:
+            want[q, r] = w * h
+    for tile in (None, 0.05, 3000.0):
+        got = {(r.query_id, r.ref_id): r.area for r in X.overlap_pairs(make(left), make(right), tile, rows_per_slice=20).collect()}
+        assert got == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
+    huge = make([("big", 0.0, 0.0, 1e6)])
+    boxed = X._with_level(X._with_box(huge, "r"), "r", 1.0)
+    assert X._on_tiles(boxed.withColumn("_level", F.col("r_level")), "r", 1.0).count() <= 4
+
+
+def test_long_outlines_in_slabs(spark, monkeypatch):
+    """Outlines of very many edges are cut into slabs on either side; areas and points inside stay the same."""
+    monkeypatch.setattr(X, "SLAB_EDGES", 4)
+    monkeypatch.setattr(X, "BOXED_EDGES", 4)
+    schema = "cell_id string, ring array<struct<x: double, y: double>>"
+
+    def disc(n, cx, cy, r, wave=0.0):
+        a = np.arange(n) * 2 * np.pi / n
+        radius = r * (1 + wave * np.sin(9 * a))
+        return list(zip((cx + radius * np.cos(a)).tolist(), (cy + radius * np.sin(a)).tolist()))
+
+    make = lambda rows: spark.createDataFrame([(n, [{"x": x, "y": y} for x, y in ring]) for n, ring in rows], schema)
+    left = [("a", disc(400, 0, 0, 10, 0.2)), ("b", disc(5, 7, 3, 2)), ("c", disc(60, 30, 0, 4))]
+    right = [("d", disc(300, 6, 0, 9)), ("e", disc(4, -6, 1, 3)), ("f", disc(90, 29, 2, 3, 0.1))]
+    got = {(r.query_id, r.ref_id): r.area for r in X.overlap_pairs(make(left), make(right)).collect()}
+    monkeypatch.setattr(X, "SLAB_EDGES", 10_000)
+    monkeypatch.setattr(X, "BOXED_EDGES", 10_000)
+    want = {(r.query_id, r.ref_id): r.area for r in X.overlap_pairs(make(left), make(right)).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()} and len(want) == 4
+
+
+def test_points_in_a_region_of_many_edges(spark):
+    """A region of 100,000 edges beside small ones: each point is tested against the few edges of its slab."""
+    n = 100_000
+    a = np.arange(n) * 2 * np.pi / n
+    radius = 1000 * (1 + 0.1 * np.sin(50 * a))
+    big = list(zip((radius * np.cos(a)).tolist(), (radius * np.sin(a)).tolist()))
+    small = [(0.0, 0.0), (3.0, 0.0), (0.0, 3.0)]
+    rois = spark.createDataFrame([("t", "big", big), ("t", "small", small), ("t", "none", [])], "cls string, name string, ring array<struct<x: double, y: double>>")
+    rng = np.random.default_rng(11)
+    points = np.concatenate([rng.uniform(-1200, 1200, (3000, 2)), rng.uniform(-1, 4, (300, 2))])
+    cells = spark.createDataFrame([(i, float(x), float(-y)) for i, (x, y) in enumerate(points)], "cell_id long, x double, y double")
+    got = {(r.cell_id, r.name) for r in X.cells_in_rois(cells, rois).collect()}
+    angle = np.arctan2(points[:, 1], points[:, 0])
+    far = np.hypot(*points.T) - 1000 * (1 + 0.1 * np.sin(50 * angle))
+    sure = np.abs(far) > 0.5
+    assert {i for i, name in got if name == "big" and sure[i]} == set(np.flatnonzero((far < 0) & sure).tolist())
+    x, y = points.T
+    assert {i for i, name in got if name == "small"} == set(np.flatnonzero((x > 0) & (y > 0) & (x + y < 3)).tolist())
+    edges = rois.filter("name = 'big'").select(F.lit(0).alias("r_id"), GEO.ring_edges("ring").alias("r_edges"), X._n_slabs(F.size("ring")).alias("n"))
+    assert edges.first()["n"] > 3000
 
 
 def test_crossing_outlines_overlap(spark):
