@@ -297,16 +297,41 @@ def read_segmentation(spark: SparkSession, root: str, name: str = SEGMENTATION_F
     return _stacked(spark, parts, "cell_id string, gene string, x double, y double")
 
 
-def read_geojson_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+FEATURE = "id: string, properties: struct<cell: string, cell_id: string>, geometry: struct<type: string, coordinates: string>"
+
+
+def _features(spark: SparkSession, path: str) -> DataFrame:
+    """The features of collections of any size, one row each, read by as many tasks as the files have splits.
+
+    The text between two ``"Feature"`` is the rest of one feature, followed by what leads to the next. Spark's text reader
+    aligns its splits to such a separator like to line ends. What follows the feature's own closing brace is not looked at.
+    A feature must start with its type, as tools write it; other text is an error, not a loss. A file without any type is
+    one row, and read as a whole.
+    """
+    value, corrupt = F.col("value"), {"columnNameOfCorruptRecord": "_corrupt"}
+    parts = spark.read.option("lineSep", '"Feature"').text(path)
+    leads, head = value.rlike(r"\{\s*\"type\"\s*:\s*$"), value.rlike(r"^\s*\{")  # the text before a file's first feature is a head
+    parsed = F.from_json(F.concat(F.lit('{"type":"Feature"'), value), f"struct<{FEATURE}, _corrupt: string>", corrupt)
+    whole = F.from_json(value, f"struct<features: array<struct<{FEATURE}>>, _corrupt: string>", corrupt)
+    read = parts.filter(~(head & leads)).withColumns({"_one": F.when(~head, parsed), "_all": F.when(head, whole)})
+    broken = F.coalesce("_one._corrupt", "_all._corrupt").isNotNull() | ~(leads | value.rlike(r"\}\s*$"))
+    refused = F.raise_error(F.lit("a feature does not start with its type, or is broken; read the file with whole=True")).cast("boolean")
+    fields = [F.col(f"_one.{c}").alias(c) for c in ("id", "properties", "geometry")]
+    features = F.when(F.col("_all").isNotNull(), F.col("_all.features")).otherwise(F.array(F.struct(*fields)))
+    return read.filter(F.when(broken, refused).otherwise(F.lit(True))).select(F.explode(features).alias("f"))
+
+
+def read_geojson_polygons(spark: SparkSession, path: str, lines: bool = False, whole: bool = False) -> DataFrame:
     """Outer rings of feature collections: (cell_id, ring). The id is ``cell``, else ``cell_id``, else the feature's own.
 
-    A file is one collection, or with ``lines`` one collection per line, which Spark can split.
+    A file is one collection, or with ``lines`` one collection per line. A collection's features are spread over tasks
+    (see ``_features``); ``whole`` reads a file in one task, which takes any order of the features' fields.
     """
-    layout = (
-        "features array<struct<id: string, properties: struct<cell: string, cell_id: string>, "
-        "geometry: struct<type: string, coordinates: string>>>"
-    )
-    feature = spark.read.schema(layout).json(path, multiLine=not lines).select(F.explode("features").alias("f"))
+    if lines or whole:
+        layout = f"features array<struct<{FEATURE}>>"
+        feature = spark.read.schema(layout).json(path, multiLine=not lines).select(F.explode("features").alias("f"))
+    else:
+        feature = _features(spark, path)
     # a polygon nests its rings one level deep, a multi-polygon two; its first part counts
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     single = F.get(F.from_json(text, "array<array<array<double>>>"), F.lit(0))

@@ -17,6 +17,7 @@ from cytomosaic.sources import readers as R
 from cytomosaic.sources import writers as K
 from registry.base import Tables, query, rounded
 from registry.lr import CTRL, METRICS, SIX, TREAT, TYPED, wide_sql
+from registry.space import OVERLAP, TRANSFER, overlap_of_loops
 from registry.tissue import LAYERS, layered
 
 
@@ -33,13 +34,16 @@ def read_cells(t: Tables):
     return R.read_cells(t.spark, path).select("cell_id", "x", "y", "cell_area", "nucleus_area")
 
 
-@query("SELECT cell_id, 'nucleus' AS kind, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries WHERE kind = 'ref'", ("boundaries",))
+@query("SELECT cell_id, CASE kind WHEN 'ref' THEN 'nucleus' ELSE 'cell' END AS kind, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries", ("boundaries",))
 def read_boundaries(t: Tables):
-    """Vertices in file order, without an order column; their order inside each cell must survive."""
-    rows = t.boundaries.filter("kind = 'ref'").repartitionByRange(4, "cell_id").sortWithinPartitions("cell_id", "vertex_ord")
-    path = K.write_table(rows.select("cell_id", F.col("x").alias("vertex_x"), F.col("y").alias("vertex_y")), folder(t, "boundaries"))
-    back = X.rings(R.read_boundaries(t.spark, path, "nucleus"))
-    return X.vertices(back).select("cell_id", F.lit("nucleus").alias("kind"), "vertex_ord", "x", "y")
+    """Vertices of both kinds in file order, without an order column; their order inside each cell must survive."""
+    parts = []
+    for kind, name in (("ref", "nucleus"), ("query", "cell")):
+        rows = t.boundaries.filter(F.col("kind") == kind).repartitionByRange(4, "cell_id").sortWithinPartitions("cell_id", "vertex_ord")
+        path = K.write_table(rows.select("cell_id", F.col("x").alias("vertex_x"), F.col("y").alias("vertex_y")), folder(t, f"boundaries_{name}"))
+        back = X.rings(R.read_boundaries(t.spark, path, name))
+        parts.append(X.vertices(back).select("cell_id", F.lit(name).alias("kind"), "vertex_ord", "x", "y"))
+    return parts[0].union(parts[1])
 
 
 @query("SELECT cell_id, gene, x, y, qv FROM transcripts WHERE qv >= 20 AND x BETWEEN 100 AND 500", ("transcripts",))
@@ -135,29 +139,35 @@ def read_links(t: Tables):
 # --- regions and outlines --------------------------------------------------------------------------------------------
 
 
-@query("SELECT cell_id, 'B' AS roi_tissue FROM cells WHERE x > 600", ("cells",))
+@query("SELECT cell_id, CASE WHEN x > 600 THEN 'B' ELSE 'A' END AS roi_tissue FROM cells", ("cells",))
 def read_roi_assignment(t: Tables):
-    path = K.write_table(t.cells.filter("x > 600").select("cell_id", F.lit("B").alias("roi_tissue")), folder(t, "roi"))
+    path = K.write_table(t.cells.select("cell_id", F.when(F.col("x") > 600, "B").otherwise("A").alias("roi_tissue")), folder(t, "roi"))
     return R.read_roi_assignment(t.spark, path, "tissue")
 
 
-@query("SELECT cell_id, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries WHERE kind = 'query'", ("boundaries",))
+@query("SELECT kind, cell_id, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries", ("boundaries",))
 def read_geojson(t: Tables):
-    """Feature collections written by Spark and read back; ids sit in the properties, or in the feature itself."""
-    ring = X.rings(t.boundaries.filter("kind = 'query'"))
-    points = F.transform("ring", lambda v: F.array(v.x, v.y))
-    even = F.substring("cell_id", 2, 20).cast("long") % 2 == 0
+    """Outlines of both kinds as feature collections, written by Spark and read back: of the one kind a single collection,
+    of the other one per thousand cells. Ids sit in the properties, or in the feature itself."""
+    ring = X.rings(t.boundaries, ["kind", "cell_id"])
+    number = F.substring("cell_id", 2, 20).cast("long")
+    even = number % 2 == 0
     feature = F.struct(
         F.lit("Feature").alias("type"), F.when(~even, F.col("cell_id")).alias("id"),
         F.struct(F.when(even, F.col("cell_id")).alias("cell")).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")).alias("geometry"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(F.transform("ring", lambda v: F.array(v.x, v.y))).alias("coordinates")).alias("geometry"),
     )
-    # one collection per group of cells, as tools write one per tile
-    tiles = ring.groupBy((F.substring("cell_id", 2, 20).cast("long") % 50).alias("g")).agg(F.collect_list(feature).alias("features"))
-    path = folder(t, "polygons")
-    tiles.repartition(50, "g").select(F.to_json(F.struct("features")).alias("value")).write.text(path, lineSep="\n")
-    back = R.read_geojson_polygons(t.spark, path, lines=True)
-    return X.vertices(back)
+    tiles = ring.filter("kind = 'query'").groupBy(F.floor(number / 1000).alias("g")).agg(F.collect_list(feature).alias("features"))
+    by_line, single = folder(t, "polygons"), folder(t, "collection")
+    tiles.select(F.to_json(F.struct("features")).alias("value")).write.text(by_line, lineSep="\n")
+    # a collection is head, features and tail; Spark writes them in this order
+    body = ring.filter("kind = 'ref'").select(F.lit(1).alias("at"), F.concat(F.to_json(feature), F.lit(",")).alias("value"))
+    empty = '{"type":"Feature","geometry":null}'
+    ends = t.spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, empty + "]}")], "at int, value string")
+    body.union(ends).repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(single)
+    parts = [("query", R.read_geojson_polygons(t.spark, by_line, lines=True)), ("ref", R.read_geojson_polygons(t.spark, single))]
+    back = [X.vertices(rings.withColumn("kind", F.lit(kind)), ["kind", "cell_id"]) for kind, rings in parts]
+    return back[0].union(back[1])
 
 
 # --- communication ---------------------------------------------------------------------------------------------------
@@ -250,24 +260,25 @@ def segmentation_mixed(t: Tables):
 
 
 @query("""--more
-boxes AS (SELECT sample, CAST(substr(sample, 2) AS INT) AS o, min(x) AS x0, max(x) AS x1, min(y) AS y0 FROM cells WHERE sample < 's3' GROUP BY sample),
+boxes AS (SELECT sample, CAST(substr(sample, 2) AS INT) AS o, min(x) AS x0, max(x) AS x1, min(y) AS y0 FROM cells GROUP BY sample),
 offsets AS (SELECT sample, coalesce(sum(x1 - x0 + 200) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - x0 AS dx, 0 - y0 AS dy FROM boxes),
 placed AS (SELECT o.sample AS dataset, o.sample || '_' || cell_id AS cell_id, x + dx AS x, y + dy AS y FROM cells c JOIN offsets o ON o.sample = c.sample),
 total AS (SELECT c.sample || '_' || e.cell_id AS cell_id, sum(value) AS total FROM expr e JOIN cells c ON c.cell_id = e.cell_id GROUP BY ALL),
 outline AS (SELECT o.sample || '_' || b.cell_id AS cell_id, min(b.x + dx) AS left_edge FROM boundaries b JOIN cells c ON c.cell_id = b.cell_id
-            JOIN offsets o ON o.sample = c.sample WHERE kind = 'ref' GROUP BY ALL)
+            JOIN offsets o ON o.sample = c.sample GROUP BY ALL)
 SELECT p.*, CAST(row_number() OVER (ORDER BY p.cell_id) - 1 AS BIGINT) AS instance_id, coalesce(total, 0) AS total, left_edge
 FROM placed p LEFT JOIN total t ON t.cell_id = p.cell_id JOIN outline l ON l.cell_id = p.cell_id""", ("cells", "expr", "boundaries"))
 def merge_job(t: Tables):
+    """All six samples with both kinds of outlines."""
     parts = []
-    for s in CTRL:
+    for s in SIX:
         cells = t.cells.filter(F.col("sample") == s).select("cell_id", "x", "y")
         ids = cells.select("cell_id")
         parts.append(merging.Dataset(
             cells, t.expr.join(ids, "cell_id", "left_semi").withColumn("layer", F.lit("raw")), t.genes,
-            t.boundaries.filter("kind = 'ref'").join(ids, "cell_id", "left_semi"),
+            t.boundaries.join(ids, "cell_id", "left_semi"),
         ))
-    merged = merging.merge(parts, CTRL)
+    merged = merging.merge(parts, SIX)
     totals = merged.expression.groupBy("cell_id").agg(F.sum("value").alias("total"))
     left = merged.boundaries.groupBy("cell_id").agg(F.min("x").alias("left_edge"))
     return (
@@ -338,31 +349,42 @@ def save_analysis(t: Tables):
     return t.spark.read.parquet(paths[4]).select("cell_id", "kmeans", "typed")
 
 
-@query("""SELECT coalesce(cell_type, 'Unassigned') AS transferred_identity, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent
-       FROM cells GROUP BY 1""", ("cells",))
+def two_sides(t: Tables):
+    """Query outlines, reference outlines, and the reference cells' labels."""
+    return t.boundaries.filter("kind = 'query'"), t.boundaries.filter("kind = 'ref'"), t.cells.select("cell_id", F.col("cell_type").alias("label"))
+
+
+@query(f"{OVERLAP}, named AS ({TRANSFER}) SELECT transferred_identity, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM named GROUP BY 1",
+       ("boundaries", "cells"))
 def transfer_job(t: Tables):
-    """Outlines against themselves: every cell gets its own label."""
-    outlines = t.boundaries.filter("kind = 'ref'")
-    labels = t.cells.select("cell_id", F.col("cell_type").alias("label"))
-    identities, shares, _ = convert.transfer_identities(outlines, outlines, labels)
+    """The whole job between two segmentations: shares of the transferred identities."""
+    identities, shares, _ = convert.transfer_identities(*two_sides(t))
     K.write_transferred(identities, folder(t, "identities"))
     return rounded(shares, "percent")
 
 
-@query("SELECT cell_id AS query_cell_id, coalesce(cell_type, 'Unassigned') AS transferred_identity FROM cells", ("cells",))
+#: Two loops of each outline that ``transfer_crossing_outlines`` turns: the middle with two vertices each.
+TURNED = """m AS (SELECT *, CAST(substr(cell_id, 2) AS BIGINT) % 3 = CASE kind WHEN 'query' THEN 0 ELSE 1 END AS turned FROM boundaries),
+middle AS (SELECT kind, cell_id, avg(x) AS x, avg(y) AS y FROM m WHERE turned GROUP BY kind, cell_id),
+shapes AS (SELECT kind, cell_id, 0 AS loop, vertex_ord, x, y FROM m WHERE NOT turned
+           UNION ALL SELECT kind, cell_id, 1, 3 - vertex_ord, x, y FROM m WHERE turned AND vertex_ord IN (1, 2) UNION ALL SELECT kind, cell_id, 1, 0, x, y FROM middle
+           UNION ALL SELECT kind, cell_id, 2, CASE vertex_ord WHEN 3 THEN 1 ELSE 2 END, x, y FROM m WHERE turned AND vertex_ord IN (0, 3)
+           UNION ALL SELECT kind, cell_id, 2, 0, x, y FROM middle)"""
+
+
+@query(lambda: overlap_of_loops(TURNED) + TRANSFER, ("boundaries", "cells"))
 def transfer_crossing_outlines(t: Tables):
-    """Every third outline is made to cross itself, on both sides: each cell still overlaps itself most."""
-    turned = F.when((F.substring("cell_id", 2, 20).cast("long") % 3 == 0) & F.col("vertex_ord").isin(1, 2), 3 - F.col("vertex_ord")).otherwise(F.col("vertex_ord"))
-    outlines = t.boundaries.filter("kind = 'ref'").withColumn("vertex_ord", turned)
-    return convert.transfer_identities(outlines, outlines, t.cells.select("cell_id", F.col("cell_type").alias("label")))[0]
+    """Every third outline of either side is made to cross itself, each side its own; overlaps are those of the loops."""
+    third = F.substring("cell_id", 2, 20).cast("long") % 3 == F.when(F.col("kind") == "query", 0).otherwise(1)
+    swapped = F.when(third & F.col("vertex_ord").isin(1, 2), 3 - F.col("vertex_ord")).otherwise(F.col("vertex_ord"))
+    query_side, reference, labels = two_sides(t)
+    return convert.transfer_identities(*[b.withColumn("vertex_ord", swapped) for b in (query_side, reference)], labels)[0]
 
 
-@query("SELECT cell_id AS query_cell_id, coalesce(cell_type, 'Unassigned') AS transferred_identity FROM cells", ("cells",))
+@query(OVERLAP + TRANSFER, ("boundaries", "cells"))
 def transferred_identities(t: Tables):
-    """The written identities read back; outlines against themselves."""
-    outlines = t.boundaries.filter("kind = 'ref'")
-    identities, _, _ = convert.transfer_identities(outlines, outlines, t.cells.select("cell_id", F.col("cell_type").alias("label")))
-    path = K.write_transferred(identities, folder(t, "identities"))
+    """The identities transferred between two segmentations, written and read back."""
+    path = K.write_transferred(convert.transfer_identities(*two_sides(t))[0], folder(t, "identities"))
     return t.spark.read.csv(path, header=True)
 
 
@@ -421,22 +443,34 @@ def comparison_job_tables(t: Tables):
     return rounded(parts[0].union(parts[1]), "total")
 
 
-@query("""SELECT 'boundaries' AS name, (SELECT count(*) FROM boundaries) AS n UNION ALL SELECT 'cells', (SELECT count(*) FROM cells)
-       UNION ALL SELECT 'expression', (SELECT count(*) FROM expr) UNION ALL SELECT 'genes', (SELECT count(*) FROM genes)
-       UNION ALL SELECT 'clusters', (SELECT count(*) FROM cells) UNION ALL SELECT 'annotations', (SELECT count(*) FROM cells)""",
+@query("""SELECT 'boundaries' AS name, count(*) AS n, round(sum(x + 2 * y + vertex_ord), 3) AS total FROM boundaries
+       UNION ALL SELECT 'cells', count(*), round(sum(x + 2 * y + 3 * cell_area), 3) FROM cells
+       UNION ALL SELECT 'expression', count(*), round(sum(value * CAST(substr(gene, 2) AS INT)), 3) FROM expr
+       UNION ALL SELECT 'genes', count(*), round(sum(ord * CASE WHEN is_imputed THEN 2.0 ELSE 1.0 END), 3) FROM genes
+       UNION ALL SELECT 'clusters', count(*), round(sum(CAST(cluster AS DOUBLE) * CAST(substr(cell_id, 2) AS DOUBLE)), 3) FROM cells
+       UNION ALL SELECT 'annotations', count(*), round(sum(length(cell_type) * CAST(substr(cell_id, 2) AS DOUBLE)), 3) FROM cells""",
        ("cells", "boundaries", "expr", "genes"))
 def save_analysis_tables(t: Tables):
-    """All six tables of the snapshot, read back."""
+    """All six tables of the snapshot, read back: rows, and a sum over the columns of each."""
     labels = t.cells.select("cell_id", F.lit("kmeans").alias("method"), F.col("cluster").alias("label"))
     paths = convert.save_analysis(
         t.cells, t.expr.withColumn("layer", F.lit(G.RAW)), t.genes, t.boundaries, labels, ["kmeans"], t.cells.select("cell_id", "cell_type"),
         folder(t, "snapshot"),
     )
-    counts = [t.spark.read.parquet(p).agg(F.lit(p.rsplit("/", 1)[1]).alias("name"), F.count(F.lit(1)).alias("n")) for p in paths]
-    out = counts[0]
-    for part in counts[1:]:
+    number = "CAST(substr(cell_id, 2) AS DOUBLE)"
+    sums = {
+        "boundaries": "x + 2 * y + vertex_ord", "cells": "x + 2 * y + 3 * cell_area", "expression": "value * CAST(substr(gene, 2) AS INT)",
+        "genes": "ord * CASE WHEN is_imputed THEN 2.0D ELSE 1.0D END", "clusters": f"CAST(kmeans AS DOUBLE) * {number}", "annotations": f"length(cell_type) * {number}",
+    }
+    parts = []
+    for path in paths:
+        name = path.rsplit("/", 1)[1]
+        total = F.expr(f"CAST(sum({sums[name]}) AS DOUBLE)").alias("total")
+        parts.append(t.spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), total))
+    out = parts[0]
+    for part in parts[1:]:
         out = out.union(part)
-    return out
+    return rounded(out, "total", digits=3)
 
 
 @query("SELECT cell_id, x AS _x, y AS _y, cell_type FROM cells", ("cells",))
@@ -479,7 +513,12 @@ def label_source_choice(t: Tables):
     return t.cells.agg(F.lit(name).alias("name"))
 
 
-@query("SELECT cell_id, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y FROM cells WHERE cell_area < 100", ("cells",))
+@query("""--more
+kept AS (SELECT * FROM cells WHERE cell_area < 100 OR cell_type IS NOT NULL)
+SELECT cell_id, 'centre' AS kind, 0 AS vertex_ord, round(coalesce(x, 0), 6) AS x, round(coalesce(y, 0), 6) AS y FROM kept
+UNION ALL SELECT cell_id, kind, CAST(vertex_ord AS INT), round(x, 6), round(y, 6) FROM boundaries WHERE cell_id IN (SELECT cell_id FROM kept)""", ("cells", "boundaries"))
 def export_geometry(t: Tables):
-    at, _ = K.export_geometry(t.cells.filter("cell_area < 100"), t.boundaries)
-    return rounded(at, "x", "y")
+    """Centres and outlines of the cells that are small or have a type."""
+    at, outlines = K.export_geometry(t.cells.filter("cell_area < 100 OR cell_type IS NOT NULL"), t.boundaries)
+    centres = at.select("cell_id", F.lit("centre").alias("kind"), F.lit(0).alias("vertex_ord"), "x", "y")
+    return rounded(centres.union(outlines.select("cell_id", "kind", F.col("vertex_ord").cast("int"), "x", "y")), "x", "y")

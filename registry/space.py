@@ -100,10 +100,23 @@ def overlap_areas(t: Tables):
     return rounded(X.overlap_pairs(outline(t, "query"), outline(t, "ref"), 24.0), "area")
 
 
-@query(OVERLAP + """ SELECT q.cell_id AS query_cell_id, coalesce(c.cell_type, 'Unassigned') AS transferred_identity
+TRANSFER = """ SELECT q.cell_id AS query_cell_id, coalesce(c.cell_type, 'Unassigned') AS transferred_identity
        FROM (SELECT DISTINCT cell_id FROM boundaries) q
        LEFT JOIN (SELECT query_id, arg_min(ref_id, (-round(area, 9), ref_id)) AS ref_id FROM pairs GROUP BY query_id) b ON b.query_id = q.cell_id
-       LEFT JOIN (SELECT cell_id, cell_type FROM cells) c ON c.cell_id = b.ref_id""", ("boundaries", "cells"))
+       LEFT JOIN (SELECT cell_id, cell_type FROM cells) c ON c.cell_id = b.ref_id"""
+
+
+def overlap_of_loops(shapes: str) -> str:
+    """``OVERLAP`` for outlines of several loops that do not cover one another: ``shapes`` defines a table of that name."""
+    text = OVERLAP.replace("FROM boundaries", "FROM shapes").replace("kind, cell_id", "kind, cell_id, loop")
+    text = text.replace("r.cell_id AS ref_id,", "r.cell_id AS ref_id, q.loop AS ql, r.loop AS rl,").replace("query_id, ref_id, base,", "query_id, ref_id, ql, rl, base,")
+    text = text.replace("e.cell_id = query_id", "e.cell_id = query_id AND e.loop = ql").replace("f.cell_id = ref_id", "f.cell_id = ref_id AND f.loop = rl")
+    text = text.replace("FROM under GROUP BY query_id, ref_id", "FROM under GROUP BY query_id, ref_id, ql, rl")
+    text = text.replace("SELECT * FROM areas WHERE area > 1e-9", "SELECT query_id, ref_id, sum(area) AS area FROM areas GROUP BY ALL HAVING sum(area) > 1e-9")
+    return text.replace("--more", f"--more\n{shapes},", 1)
+
+
+@query(OVERLAP + TRANSFER, ("boundaries", "cells"))
 def transfer_idents(t: Tables):
     labels = t.cells.select("cell_id", F.col("cell_type").alias("label"))
     return X.transfer_labels(outline(t, "query"), outline(t, "ref"), labels)

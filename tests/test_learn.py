@@ -198,6 +198,28 @@ def test_imputation_matches_dense_arrays(spark):
         assert got[(f"q{i:04d}", f"t{j}")] == pytest.approx(want[i, j], abs=1e-6)
 
 
+@pytest.mark.parametrize("slices", [200_000, 40])
+def test_blocked_product(spark, monkeypatch, slices):
+    """Weights times values in small blocks, with a hub, unknown neighbours and genes that only some have."""
+    for name, value in (("BLOCK_REFS", 16), ("BLOCK_GENES", 8), ("SLICE_WEIGHTS", slices), ("BLOCK_QUERIES", 7), ("WEIGHTS_AT_ONCE", 11)):
+        monkeypatch.setattr(I, name, value)
+    rng = np.random.default_rng(12)
+    y = np.where(rng.random((60, 30)) < 0.3, rng.normal(size=(60, 30)), np.nan)
+    w = [(f"q{i}", f"r{j}", float(rng.random())) for i in range(90) for j in {0, *rng.integers(0, 66, 5).tolist()}]
+    values = [(f"r{i}", f"g{j}", float(y[i, j])) for i in range(60) for j in range(30) if not np.isnan(y[i, j])]
+    weights = spark.createDataFrame(w, "query_id string, ref_id string, weight double")
+    reference = spark.createDataFrame(values, "ref_cell string, gene string, value double")
+    want = {}
+    for q, r, weight in w:
+        i = int(r[1:])
+        for j in np.flatnonzero(~np.isnan(y[i])) if i < 60 else ():
+            want[q, f"g{j}"] = want.get((q, f"g{j}"), 0.0) + weight * y[i, j]
+    out = I.weighted_values(weights, reference, broadcast_bytes=0)
+    got = {(r.cell_id, r.gene): r.value for r in out.collect()}
+    assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
+    assert I.weighted_values(weights.limit(0), reference, broadcast_bytes=0).count() == 0
+
+
 def test_one_valid_neighbour_weighs_nothing(spark):
     near = spark.createDataFrame([("q", "a", 0.4), ("q", "b", 1.2), ("p", "a", 0.0), ("p", "b", 0.0)], "query_id string, ref_id string, distance double")
     got = {(r.query_id, r.ref_id): r.weight for r in I.neighbour_weights(near).collect()}

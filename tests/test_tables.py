@@ -230,6 +230,42 @@ def test_geojson(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in R.polygon_files(spark, str(tmp_path / "d"))] == ["polygons.json"]
 
 
+def test_one_large_collection_in_many_tasks(spark, tmp_path):
+    """One collection on one line is read by several tasks; layouts differ in blanks and in what follows the features."""
+    features = [
+        {"type": "Feature", "properties": {"cell": f"c{i}", "list": [{"a": "}],"}], "geometry": None}, "geometry": {"type": "Polygon", "coordinates": [[[i, 0], [i + 1, 0], [i, 1]]]}}
+        for i in range(4_000)
+    ]
+    whole = {"type": "FeatureCollection", "features": features, "crs": {"type": "name", "properties": {"name": "x"}}}
+    path = write(tmp_path / "a.json", json.dumps(whole))
+    spread = write(tmp_path / "b.json", json.dumps(whole, indent=1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        for p in (path, spread):
+            got = R.read_geojson_polygons(spark, p)
+            assert got.select(F.spark_partition_id()).distinct().count() > 4
+            assert {(r.cell_id, r.ring[0].x) for r in got.collect()} == {(f"c{i}", float(i)) for i in range(4_000)} and got.count() == 4_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert R.read_geojson_polygons(spark, path, whole=True).count() == 4_000
+    assert R.read_geojson_polygons(spark, write(tmp_path / "c.json", json.dumps({"type": "FeatureCollection", "features": []}))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["type last", "nested", "cut off"])
+def test_collections_in_other_layouts_are_refused(spark, tmp_path, kind):
+    geometry = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [0, 1]]]}
+    feature = {"type": "Feature", "properties": {"type": "Feature", "cell": "a"}, "geometry": geometry} if kind == "nested" else {"properties": {"cell": "a"}, "geometry": geometry, "type": "Feature"}
+    if kind == "cut off":
+        feature = {"type": "Feature", "properties": {"cell": "a"}, "geometry": geometry}
+    text = json.dumps({"type": "FeatureCollection", "features": [feature, feature]})
+    path = write(tmp_path / "a.json", text[: -30] if kind == "cut off" else text)
+    with pytest.raises(Exception, match="does not start with its type"):
+        R.read_geojson_polygons(spark, path).collect()
+    if kind != "cut off":
+        assert R.read_geojson_polygons(spark, path, whole=True).count() == 2
+
+
 def test_segmentation_folder(spark, tmp_path, rows):
     write(tmp_path / "t1/segmentation.csv", "cell,gene,x,y\n1,g,0,0\n1,h,2,2\n,g,9,9\n")
     write(tmp_path / "t1/other.csv", "cell,gene,x,y\n5,g,0,0\n")
