@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import clean_fov, label_text
@@ -103,16 +105,84 @@ def export_geometry(cells: DataFrame, boundaries: DataFrame | None) -> tuple[Dat
     return at, kept
 
 
-def write_layer(expression: DataFrame, path: str) -> str:
-    """Replace the layers present in ``expression`` and leave all others on disk as they are."""
-    expression.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(path)
+STAGED, PLANNED, OLD = "_staged-", "_planned-", "_old-"  # names with an underscore are no data to Spark's readers
+
+
+class _Folder:
+    """A table's folder on whatever file system its path names."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.root = path.rstrip("/")
+        self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def at(self, name: str):
+        return self._path(f"{self.root}/{name}")
+
+    def names(self, prefix: str) -> list[str]:
+        if not self.fs.exists(self._path(self.root)):
+            return []
+        found = [f.getPath().getName() for f in self.fs.listStatus(self._path(self.root))]
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def leaves(self, name: str, depth: int) -> list[str]:
+        """Partition folders so many levels below, as their places in the table."""
+        level = [""]
+        for _ in range(depth):
+            listed = [(p, f) for p in level for f in self.fs.listStatus(self._path(f"{self.root}/{name}/{p}"))]
+            level = [f"{p}/{f.getPath().getName()}".lstrip("/") for p, f in listed if f.isDirectory()]
+        return sorted(level)
+
+    def rename(self, source: str, target: str) -> None:
+        self.fs.mkdirs(self.at(target).getParent())
+        if not self.fs.rename(self.at(source), self.at(target)):
+            raise OSError(f"{source} could not become {target} in {self.root}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
+def recover(spark: SparkSession, path: str, depth: int = 1) -> None:
+    """Brings a table's folder to rest after a publish that broke off: a planned switch is completed, a staged write without
+    a plan is dropped. Nothing happens to a folder at rest."""
+    folder = _Folder(spark, path)
+    for plan in folder.names(PLANNED):
+        tag = plan.removeprefix(PLANNED)
+        staged = f"{STAGED}{tag}"
+        for leaf in folder.leaves(staged, depth) if folder.fs.exists(folder.at(staged)) else []:
+            if folder.fs.exists(folder.at(leaf)):
+                folder.rename(leaf, f"{OLD}{tag}/{leaf}")
+            folder.rename(f"{staged}/{leaf}", leaf)
+        folder.delete(plan)
+    for prefix in (STAGED, OLD):
+        for name in folder.names(prefix):
+            folder.delete(name)
+
+
+def publish(df: DataFrame, path: str, keys: list[str]) -> str:
+    """Replace the partitions by ``keys`` that are present in ``df`` and leave all others as they are, in two phases.
+
+    Everything is written beside the table first, so a job that fails leaves the table as it was, and ``df`` may read from
+    it. Then a plan is put down, which is the moment of the switch: from there on ``recover`` (or the next publish) completes
+    what a lost driver left undone. One writer at a time is taken for granted.
+    """
+    spark = df.sparkSession
+    recover(spark, path, len(keys))
+    folder, tag = _Folder(spark, path), uuid.uuid4().hex[:12]
+    df.write.partitionBy(*keys).parquet(f"{folder.root}/{STAGED}{tag}")
+    folder.fs.mkdirs(folder.at(f"{PLANNED}{tag}"))
+    recover(spark, path, len(keys))
     return path
 
 
+def write_layer(expression: DataFrame, path: str) -> str:
+    """Replace the layers present in ``expression`` and leave all others as they are."""
+    return publish(expression, path, ["layer"])
+
+
 def write_labels(labels: DataFrame, path: str) -> str:
     """Label cache: replaces the (dataset, method) pairs present in ``labels`` only."""
-    labels.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "method").parquet(path)
-    return path
+    return publish(labels, path, ["dataset", "method"])
 
 
 def write_per_fov(df: DataFrame, path: str, overwrite: bool = False) -> str:

@@ -230,6 +230,50 @@ def test_geojson(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in R.polygon_files(spark, str(tmp_path / "d"))] == ["polygons.json"]
 
 
+def layers(spark, path, rows):
+    return {tuple(r) for r in spark.read.parquet(path).select("cell_id", "value", "layer").collect()} == rows
+
+
+def test_a_failed_overwrite_leaves_the_old_layer(spark, tmp_path):
+    path = str(tmp_path / "store")
+    make = lambda *rows: spark.createDataFrame(rows, "cell_id string, value double, layer string")
+    old = {("a", 1.0, "raw"), ("b", 2.0, "raw"), ("a", 3.0, "corrected")}
+    K.write_layer(make(*old), path)
+    broken = make(("a", 9.0, "raw")).withColumn("value", F.when(F.col("cell_id") == "a", F.raise_error(F.lit("lost"))).otherwise(F.lit(0.0)).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        K.write_layer(broken, path)
+    assert layers(spark, path, old)
+    K.write_layer(spark.read.parquet(path).filter("layer = 'raw'").withColumn("value", F.col("value") * 10), path)  # a table written from itself
+    assert layers(spark, path, {("a", 10.0, "raw"), ("b", 20.0, "raw"), ("a", 3.0, "corrected")})
+    assert not [p.name for p in (tmp_path / "store").iterdir() if p.name.startswith(("_staged", "_old", "_planned"))]
+
+
+def test_a_switch_that_broke_off_is_completed(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    make = lambda *rows: spark.createDataFrame(rows, "cell_id string, value double, layer string")
+    K.write_layer(make(("a", 1.0, "one"), ("a", 1.0, "two"), ("a", 1.0, "three")), path)
+    new = make(("a", 2.0, "one"), ("a", 2.0, "two"))
+    for step in range(1, 5):  # the driver is lost after so many renames
+        K.write_layer(make(("a", 1.0, "one"), ("a", 1.0, "two")), path)
+        plain, done = K._Folder.rename, []
+
+        def lost(self, source, target):
+            if len(done) >= step:
+                raise KeyboardInterrupt
+            done.append(source)
+            plain(self, source, target)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(K._Folder, "rename", lost)
+            if step < 4:
+                with pytest.raises(KeyboardInterrupt):
+                    K.write_layer(new, path)
+            else:
+                K.write_layer(new, path)
+        K.recover(spark, path)
+        assert layers(spark, path, {("a", 2.0, "one"), ("a", 2.0, "two"), ("a", 1.0, "three")})
+
+
 def test_one_large_collection_in_many_tasks(spark, tmp_path):
     """One collection on one line is read by several tasks; layouts differ in blanks and in what follows the features."""
     features = [
