@@ -162,7 +162,7 @@ def leading(rows: DataFrame, width: int, k: int, shift: np.ndarray | None = None
     """
     shift, scale = np.zeros(width) if shift is None else shift, np.ones(width) if scale is None else scale
     k = min(k, width)
-    size = min(width, k + SPARE)
+    size = width if width <= 2 * (k + SPARE) else k + SPARE  # a narrow table is solved in one pass
     fresh = np.linalg.qr(np.random.default_rng(SEED).standard_normal((width, size)))[0]
     span, images = np.zeros((width, 0)), np.zeros((width, 0))
     for _ in range(MOST_PASSES):
