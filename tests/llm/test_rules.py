@@ -3,12 +3,15 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cytomosaic.llm import quality, queries, secrets, urls, warc
 from cytomosaic.llm.common import Workspace
@@ -50,6 +53,59 @@ def test_quality_tells_junk(spark, make):
     assert kept == {i for i, _ in clean}
 
 
+def stated_scores(rows, trusted):
+    """Score of each text by dictionaries over the n-grams themselves, each a bucket of its own among ``LEAST_BUCKETS``."""
+    def grams(text):
+        own = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or ""))]
+        return [(w,) for w in own] + list(zip(own, own[1:]))
+
+    raw, good, size = Counter(), Counter(), quality.LEAST_BUCKETS
+    for i, text in rows:
+        raw.update(grams(text))
+        if i in trusted:
+            good.update(grams(text))
+
+    def ratio(g):
+        return math.log((good[g] + 1) / (good.total() + size)) - math.log((raw[g] + 1) / (raw.total() + size))
+
+    return {i: sum(map(ratio, grams(t))) / len(grams(t)) if grams(t) else 0.0 for i, t in rows}
+
+
+@pytest.mark.parametrize("sent", [quality.SENT_BUCKETS, 0])
+def test_quality_scores(spark, make, sent):
+    """Few n-grams, so that hashes rarely share a bucket; by the table that is sent, and by the join."""
+    rows = [(i, words(i % 9, 60, 40)) for i in range(24)] + [(30, None), (31, ""), (32, "w1x"), (33, "w1x"), (34, "W2x w3x")]
+    labels = spark.createDataFrame([(i, True) for i in range(0, 34, 2)] + [(i, False) for i in range(1, 24, 4)], "doc_id long, trusted boolean")
+    fitted = {i for i in range(0, 34, 2) if zlib.crc32(str(i).encode()) % quality.HELD_OUT}
+    want = stated_scores(rows, fitted)
+    got = quality.judge(make(rows), labels, sent_buckets=sent).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=0.05), r["doc_id"]  # some buckets hold two n-grams
+
+
+def test_quality_join_is_the_table(spark, make):
+    """Frequent buckets sent or not, copies, and rows without text give the verdicts of the table that is sent."""
+    rows = [*odd_rows(), *[(100 + i, words(i % 30, 80, 900)) for i in range(60)]]
+    labels = spark.createDataFrame([(100 + i, i % 3 > 0) for i in range(60)], "doc_id long, trusted boolean")
+    want = sorted(map(tuple, quality.judge(make(rows), labels).collect()), key=str)
+    got = sorted(map(tuple, quality.judge(make(rows), labels, sent_buckets=0).collect()), key=str)
+    assert [w[:-1] for w in want] == [g[:-1] for g in got]
+    assert [w[-1] for w in want] == pytest.approx([g[-1] for g in got], abs=1e-8)
+
+
+def test_quality_buckets_grow(spark, make):
+    texts = make([(i, words(i, 3000, 100_000)) for i in range(40)])
+    grams = {g for i in range(40) for own in [words(i, 3000, 100_000).split()] for g in [*own, *zip(own, own[1:])]}
+    found = quality.distinct_grams(texts.withColumn("_text", texts["text"]).repartition(7))
+    assert found == pytest.approx(len(grams), rel=0.15)
+    assert found == quality.distinct_grams(texts.withColumn("_text", texts["text"]).coalesce(1))
+    assert quality.distinct_grams(make([(1, "a b a b"), (2, None)]).withColumn("_text", F.col("text"))) == 4
+    for n in (0, 1, 10**6, 10**9, 10**13):
+        size = quality.buckets_for(n)
+        assert size >= quality.LEAST_BUCKETS and n <= quality.GRAMS_PER_BUCKET * size < max(2 * n, quality.GRAMS_PER_BUCKET * quality.LEAST_BUCKETS + 1)
+
+
 def test_quality_query(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     check_rules(rows, queries.op6_quality_ratio(spark, small).collect())
