@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from cytomosaic.functions.scalar import edge_width, observed_over_expected
+from cytomosaic.operators import pyramid
 from cytomosaic.operators.spatial import neighbour_graph, neighbour_pairs
 from cytomosaic.session import cut_lineage
 
@@ -38,22 +39,30 @@ def _pair_types(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("type_a"), F.greatest(a, b).alias("type_b")]
 
 
-def typed_pairs(cells: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
-    """(by, type_a, type_b, distance, n) with n unordered cell pairs, aggregated over copies of the same point."""
-    points = cut_lineage(typed_points(cells, by))  # both sides of the join and the count of rows per tile read it
-    apart = neighbour_pairs(points, radius, "point", ["cell_type", "n"], by).select(
+def binned_pairs(cells: DataFrame, radii: Sequence[float], by: Sequence[str] = (), leaf: float | None = None) -> DataFrame:
+    """(by, type_a, type_b, step, n) with n unordered cell pairs whose distance is the first to fit in radius number ``step``.
+
+    Where the last radius holds many points, pairs of tiles are counted at once (see ``pyramid``); ``leaf`` sets the width of
+    the lowest tiles, a power of two, instead of the measured one. Else pairs are listed, which is less work there.
+    """
+    points = cut_lineage(typed_points(cells, by))  # read by both sides of the joins, the choice and the count of rows per tile
+    leaf = leaf or pyramid.leaf_size(points, radii[-1], by)
+    if leaf:
+        return pyramid.binned_pairs(points, radii, leaf, by)
+    apart = neighbour_pairs(points, radii[-1], "point", ["cell_type", "n"], by).select(
         *by, *_pair_types(F.col("a_cell_type"), F.col("b_cell_type")), "distance", (F.col("a_n") * F.col("b_n")).alias("n")
     )
     same = points.filter(F.col("n") > 1).select(
         *by, F.col("cell_type").alias("type_a"), F.col("cell_type").alias("type_b"), F.lit(0.0).alias("distance"),
         (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n"),
     )
-    return apart.union(same)
+    step = F.array_position(F.transform(F.array(*[F.lit(float(r)) for r in radii]), lambda r: F.col("distance") <= r), True)
+    return apart.union(same).groupBy(*by, "type_a", "type_b", step.cast("int").alias("step")).agg(F.sum("n").alias("n"))
 
 
 def contact_counts(cells: DataFrame, radius: float, by: Sequence[str] = ()) -> DataFrame:
     """Contacts per unordered pair of cell types: cell pairs at most ``radius`` apart, on each slide that ``by`` tells apart."""
-    return typed_pairs(cells, radius, by).groupBy(*by, "type_a", "type_b").agg(F.sum("n").alias("n_contacts"))
+    return binned_pairs(cells, [radius], by).select(*by, "type_a", "type_b", F.col("n").alias("n_contacts"))
 
 
 def type_counts(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -158,11 +167,7 @@ def co_occurrence(cells: DataFrame, radii: Sequence[float], by: Sequence[str] =
     """
     radii = sorted(float(r) for r in radii)
     cells, slide = _slides(cells, by)
-    step = F.array_position(F.transform(F.array(*[F.lit(r) for r in radii]), lambda r: F.col("distance") <= r), True)
-    binned = (
-        typed_pairs(cells, radii[-1], slide).withColumn("step", step.cast("int"))
-        .groupBy(*slide, "type_a", "type_b", "step").agg(F.sum("n").alias("n"))
-    )
+    binned = binned_pairs(cells, radii, slide)
 
     def direction(x: str, y: str) -> Column:
         return F.struct(F.col(x).alias("type_a"), F.col(y).alias("type_b"), F.col("step"), F.col("n"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -52,30 +54,36 @@ def _files(spark: SparkSession, paths: Sequence[str], recursive: bool = False, n
     return sorted(found)
 
 
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    """The first line of a text file, unpacked if its name says that it is packed; None for an empty file."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(conf).open(place)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
-    try:
-        plain = stream if codec is None else codec.createInputStream(stream)
-        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8")).readLine()
-    finally:
-        stream.close()
+def _first_lines(spark: SparkSession, files: Sequence[str]) -> list[tuple[str, str]]:
+    """(first line, path) of each text file that has one, read in the executors; packed files are unpacked by their names.
+
+    A session of its own has one file to a task, so a task's first row is the file's first line, and the rest stays unread.
+    """
+    own = spark.newSession()
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(name, str(1 << 40))
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.iloc[:1]
+                return
+
+    lines = own.read.text(list(files)).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    found = lines.filter("at = 0").select("value", "path").mapInPandas(first, "value string, path string").collect()  # a row for each listed file
+    return [(r["value"], unquote(r["path"])) for r in found]
 
 
 def read_csv_by_name(spark: SparkSession, files: Sequence[str]) -> list[DataFrame]:
     """CSV files with header lines, one scan for each kind of header, so that columns go by name and not by place.
 
-    The driver reads one line of each file. A scan of files with different headers would take the first one's names for all.
+    The header lines are read in the executors. A scan of files with different headers would take the first one's names for all.
     """
     groups: dict[str, list[str]] = {}
-    for path in files:
-        header = _first_line(spark, path)
-        if header is not None:
-            groups.setdefault(header, []).append(path)
-    return [spark.read.csv(paths, header=True) for _, paths in sorted(groups.items())]
+    for header, path in _first_lines(spark, files) if files else ():
+        groups.setdefault(header, []).append(path)
+    return [spark.read.csv(sorted(paths), header=True) for _, paths in sorted(groups.items())]
 
 
 def _stacked(spark: SparkSession, parts: Sequence[DataFrame], schema: str) -> DataFrame:

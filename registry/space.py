@@ -251,6 +251,25 @@ def co_occurrence(t: Tables):
     return rounded(N.co_occurrence(t.cells, [8.0, 14.0, 20.0]), "score")
 
 
+# radii that hold hundreds of cells: pairs of tiles are counted at once
+WIDE = CONTACTS.replace("/ 20)", "/ 256)").replace("<= 400", "<= 65536")
+
+
+@query(WIDE + " SELECT * FROM contacts", ("cells",))
+def contacts_wide(t: Tables):
+    return N.contact_counts(t.cells, 256.0)
+
+
+@query(WIDE + """,
+typed AS (SELECT * FROM near WHERE type_1 IS NOT NULL AND type_2 IS NOT NULL),
+within AS (SELECT type_1 AS type_a, type_2 AS type_b, r AS radius, count(*) AS n FROM typed JOIN (VALUES (64.0), (128.0), (256.0)) v(r) ON distance <= r
+           GROUP BY type_1, type_2, r)
+SELECT type_a, type_b, CAST(radius AS DOUBLE) AS radius, round(w.n / sum(w.n) OVER (PARTITION BY type_b, radius) / (s.n / (SELECT sum(n) FROM sizes)), 6) AS score
+FROM within w JOIN sizes s ON s.cell_type = type_a""", ("cells",))
+def co_occurrence_wide(t: Tables):
+    return rounded(N.co_occurrence(t.cells, [64.0, 128.0, 256.0]), "score")
+
+
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 

@@ -68,6 +68,24 @@ def test_packed_and_empty_files(spark, tmp_path):
     assert {(r.x, r.y) for part in parts for r in part.select("x", "y").collect()} == {("1", "2"), ("3", "4")}
 
 
+def test_headers_of_many_files(spark, tmp_path):
+    """One scan for each kind of header; names with blanks and signs, line ends of both kinds, a file of many splits."""
+    names = ["cell", "x", "y"]
+    for i in range(120):
+        order = names[i % 3 :] + names[: i % 3]
+        values = {"cell": f"c{i}", "x": str(i), "y": str(-i)}
+        end = "\r\n" if i % 2 else "\n"
+        (tmp_path / f"part {i}+%.csv").write_text(end.join([",".join(order), ",".join(values[c] for c in order)]) + end, newline="")
+    with (tmp_path / "zz.csv").open("w") as f:
+        f.write("y,cell,x\n")
+        f.writelines(f"{-k},c{k},{k}\n" for k in range(1_000, 300_000))
+    parts = R.read_csv_by_name(spark, R._files(spark, [str(tmp_path)]))
+    assert len(parts) == 3
+    got = R._stacked(spark, [p.select(*names) for p in parts], "cell string, x string, y string")
+    assert got.count() == 120 + 299_000
+    assert got.filter("cell <> concat('c', x) OR cast(x AS int) <> -cast(y AS int)").count() == 0
+
+
 @pytest.mark.parametrize(("value", "n"), [(3.7, 3_333), (np.log1p(1234.567), 12_345), (1e-8, 50)])
 def test_constant_genes_have_no_score(spark, value, n):
     cells = spark.range(n).select(F.col("id").cast("string").alias("cell_id"))
