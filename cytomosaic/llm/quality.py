@@ -1,8 +1,8 @@
 """Quality rules on whole texts and a hashed n-gram log-likelihood ratio.
 
 Word n-grams of all documents are hashed into buckets and counted twice: over documents labelled as trusted, and over the
-whole corpus. There are as many buckets as the corpus needs for a stated number of different n-grams to each. The two
-smoothed multinomials give each bucket a log ratio; a document's score is the mean ratio of its n-grams. Ratios are sent to
+whole corpus. The number of buckets follows from the corpus: as the square root of the different n-grams, so that buckets,
+and what is counted in each, grow alike. The two smoothed multinomials give each bucket a log ratio; a document's score is the mean ratio of its n-grams. Ratios are sent to
 the tasks up to a stated number of buckets, and meet the n-grams in a shuffle beyond. A fifth of the labels, by a hash of
 the id, takes no part in the counts and sets the threshold from its exact histogram by a stated rule, so every document
 gets its verdict from the same numbers however the job was split.
@@ -27,8 +27,8 @@ LEAST_WORDS = 50
 #: Word windows: a repeated one marks its words.
 REPEAT_WINDOW = 3
 MOST_REPEATED_PERCENT = 50
-#: Different n-grams to a hash bucket, on average and at most; from this the number of buckets follows, a power of two.
-GRAMS_PER_BUCKET = 64
+#: Hash buckets for each unit of the square root of the different n-grams, rounded up to a power of two.
+BUCKETS_PER_ROOT = 16
 LEAST_BUCKETS = 1 << 15
 #: Least hashes from which the number of different n-grams is told, within some 3 %.
 SKETCH = 1_024
@@ -107,7 +107,7 @@ def distinct_grams(docs: DataFrame, size: int = SKETCH) -> int:
 
 def buckets_for(n_grams: int) -> int:
     """The number of buckets for so many different n-grams."""
-    return max(LEAST_BUCKETS, 1 << max(-(-n_grams // GRAMS_PER_BUCKET) - 1, 0).bit_length())
+    return max(LEAST_BUCKETS, 1 << max(BUCKETS_PER_ROOT * math.isqrt(n_grams) - 1, 0).bit_length())
 
 
 def bucket_counts(docs: DataFrame, n_buckets: int, held: int = HELD_GRAMS) -> DataFrame:

@@ -101,9 +101,9 @@ def test_quality_buckets_grow(spark, make):
     assert found == pytest.approx(len(grams), rel=0.15)
     assert found == quality.distinct_grams(texts.withColumn("_text", texts["text"]).coalesce(1))
     assert quality.distinct_grams(make([(1, "a b a b"), (2, None)]).withColumn("_text", F.col("text"))) == 4
-    for n in (0, 1, 10**6, 10**9, 10**13):
-        size = quality.buckets_for(n)
-        assert size >= quality.LEAST_BUCKETS and n <= quality.GRAMS_PER_BUCKET * size < max(2 * n, quality.GRAMS_PER_BUCKET * quality.LEAST_BUCKETS + 1)
+    sizes = [quality.buckets_for(10**k) for k in range(16)]
+    assert sizes == sorted(sizes) and sizes[0] == quality.LEAST_BUCKETS
+    assert all(16 * 10 ** (k / 2) - 16 <= size < 32 * 10 ** (k / 2) for k, size in enumerate(sizes) if size > quality.LEAST_BUCKETS)
 
 
 def test_quality_query(spark, small):
