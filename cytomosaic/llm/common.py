@@ -78,6 +78,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Words of more bytes are hashed one by one; of the others, so many bytes at once.
+LONG_WORD, BYTES_AT_ONCE = 64, 1 << 20
+#: Base of the words' polynomials, an odd number, and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a 64-bit number, from the zeroth on."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Words:
+    """Words (between blanks and control characters 9 to 13) of UTF-8 texts by array operations: places and 64-bit hashes.
+
+    A word's hash is a polynomial in random numbers of its bytes, A-Z taken as a-z, with its bits spread.
+    """
+
+    def __init__(self):
+        lower = np.arange(256, dtype=np.uint64)
+        lower[65:91] += np.uint64(32)
+        self.value = mixed(lower + np.uint64(BASE))
+        self.in_word = np.ones(256, bool)
+        self.in_word[[9, 10, 11, 12, 13, 32]] = False
+        self.power, self.inverse = (powers(x, BYTES_AT_ONCE + 1) for x in (BASE, INVERSE))
+
+    def places(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of each word."""
+        inside = np.zeros(len(raw) + 2, bool)
+        inside[1:-1] = self.in_word[np.frombuffer(raw, np.uint8)]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        return edges[::2], edges[1::2]
+
+    def hashes(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        data = np.frombuffer(raw, np.uint8)
+        out = np.zeros(len(starts), np.uint64)
+        x = 0
+        while x < len(starts):
+            low = starts[x]
+            y = max(x + 1, int(np.searchsorted(ends, low + BYTES_AT_ONCE, "right")))
+            size = int(ends[y - 1] - low)
+            if size <= BYTES_AT_ONCE:
+                sums = np.zeros(size + 1, np.uint64)
+                np.cumsum(self.value[data[low : low + size]] * self.power[:size], out=sums[1:])
+                first = starts[x:y] - low
+                out[x:y] = mixed((sums[ends[x:y] - low] - sums[first]) * self.inverse[first])
+            x = y
+        for x in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            out[x] = xxhash.xxh3_64_intdigest(raw[starts[x] : ends[x]].lower())
+        return out
+
+    def of(self, raw: bytes) -> np.ndarray:
+        return self.hashes(raw, *self.places(raw))
+
+    def of_all(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all texts one after another, and their bounds."""
+        raw = b" ".join(raws)
+        starts, ends = self.places(raw)
+        sizes = np.array([len(x) + 1 for x in raws], np.int64)
+        return self.hashes(raw, starts, ends), np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """One 64-bit hash for each window of ``k`` consecutive words; empty if there are fewer words."""
     n = len(hashes) - k + 1
