@@ -273,3 +273,88 @@ def test_leak_query(spark, small):
     want = {(d["doc_id"], b["item_id"]) for d in docs for b in bench if b["text"] in d["text"]}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op8_template_leaks(spark, small).collect()}
     assert want <= got and len(got - want) <= 0.1 * len(want)
+
+
+def test_words_of_whole_batches():
+    rng = np.random.default_rng(11)
+    texts = [b"", b" \t\n", b"one", "A b\x0bÄ x B a".encode(), b"long " + b"x" * 200 + b" LONG " + b"X" * 200, b"w" * 70]
+    texts += [" ".join(rng.choice(["ab", "ba", "aab", "AB", "é"], 40)).encode() for _ in range(20)]
+    words = chaining.Words()
+    found, bounds = words.of_all(texts)
+    plain = [x.lower().split() for x in texts]
+    assert np.diff(bounds).tolist() == [len(x) for x in plain]
+    flat = [w for x in plain for w in x]
+    assert len(set(found.tolist())) == len(set(flat)) == len(set(zip(found.tolist(), flat, strict=True)))
+    for x, raw in enumerate(texts):
+        assert (words.of(raw) == found[bounds[x] : bounds[x + 1]]).all()
+
+
+def test_seeds_of_whole_batches():
+    rng = np.random.default_rng(12)
+    sizes = [0, 1, 3, 4, 7, 8, 9, 0, 50, 200, 5]
+    bounds = np.cumsum([0, *sizes])
+    numbers = chaining.mixed(rng.integers(0, 6, bounds[-1]).astype(np.uint64))
+    ends, places, found = chaining.batch_seeds(numbers, bounds, 4, 5)
+    for x in range(len(sizes)):
+        at, grams = chaining.seeds_of(numbers[bounds[x] : bounds[x + 1]], 4, 5)
+        assert places[ends[x] : ends[x + 1]].tolist() == at.tolist()
+        assert found[ends[x] : ends[x + 1]].tolist() == grams.tolist()
+
+
+def test_stretches_match_by_match():
+    def plain(at, least_words, percent):
+        worth, out, total, best, first, last = 100 - percent, [], 0, 0, 0, 0
+        for x in range(len(at)):
+            if x:
+                total -= percent * (max(at[x][0] - at[x - 1][0], at[x][1] - at[x - 1][1]) - 1)
+            if total <= 0 or best - total > worth * least_words:
+                out += [(first, last)] if best > 0 else []
+                total = best = 0
+                first = x
+            total += worth
+            if total >= best:
+                best, last = total, x
+        out += [(first, last)] if best > 0 else []
+        ends = [(*at[x], at[y][0] + 1, at[y][1] + 1, y - x + 1) for x, y in out]
+        return [(a, c, b, d, n) for a, b, c, d, n in ends if min(c - a, d - b) >= least_words]
+
+    rng = np.random.default_rng(13)
+    for _ in range(200):
+        steps = np.where(rng.random((120, 2)) < 0.85, 1, rng.integers(1, 12, (120, 2)))
+        at = np.cumsum(steps, 0)
+        assert chaining.stretches(at, 10, 80) == plain(at.tolist(), 10, 80)
+
+
+def test_families_of_edited_passages(make):
+    """Members of large families find a partner wherever comparing all members word by word does."""
+    rnd = np.random.default_rng(14)
+    rows, kept = [], []
+    for family, (members, words, rate) in enumerate([(12, 60, 0.1), (60, 60, 0.1), (60, 120, 0.1), (60, 60, 0.05), (150, 80, 0.1)]):
+        for _ in range(members):
+            same = rnd.random(words) >= rate
+            passage = [f"f{family}w{i}" if x else f"e{rnd.integers(1 << 40)}" for i, x in enumerate(same)]
+            around = [[f"r{rnd.integers(1 << 40)}" for _ in range(rnd.integers(20, 90))] for _ in range(2)]
+            kept.append((family, same))
+            rows.append(" ".join([*around[0], *passage, *around[1]]))
+    ids = rnd.permutation(len(rows)).tolist()
+    linked: dict[int, set[int]] = {}
+    for x, (family, same) in enumerate(kept):
+        linked.setdefault(family, set())
+        for y in range(x):
+            both = np.flatnonzero(same & kept[y][1]) if kept[y][0] == family else []
+            if len(both) and chaining.stretches(np.stack([both, both], 1), 50, 80):
+                linked[family] |= {ids[x], ids[y]}
+    got = {r["doc_id"] for r in chaining.repeated_passages(make(list(zip(ids, rows, strict=True)))).select("doc_id").collect()}
+    assert got <= set().union(*linked.values())
+    for docs in linked.values():
+        assert len(docs & got) >= 0.95 * len(docs)
+
+
+def test_neighbours_of_a_hot_seed_in_parts(spark, monkeypatch):
+    """Every holder but the first of each part meets the one before it, and parts hold about as many places as allowed."""
+    monkeypatch.setattr(chaining, "PART", 10)
+    rows = spark.range(100).selectExpr("id AS node", "7L AS hash", "cast(id % 5 AS int) AS pos", "100L AS places")
+    found = chaining.neighbours(rows, 2).collect()
+    assert all(r["a"] > r["b"] and r["pa"] == r["a"] % 5 and r["pb"] == r["b"] % 5 for r in found)
+    assert len({r["a"] for r in found}) >= 100 - 16
+    assert len(found) <= 200 and len({(r["a"], r["b"]) for r in found}) == len(found)
