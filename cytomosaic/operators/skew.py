@@ -25,26 +25,19 @@ def hot_keys(left: DataFrame, right: DataFrame, keys: list[str], rows_per_slice:
     )
 
 
-def sliced_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    left_id: Column,
-    right_id: Column,
-    rows_per_slice: int = 20_000,
-) -> DataFrame:
-    """Inner equi-join on ``keys`` where a hot key becomes a grid of (left slice, right slice) tasks.
+def sliced_sides(
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column, rows_per_slice: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides with their slices ``_ls`` and ``_rs`` added, or None where no key is hot.
 
     A left row goes to one left slice and to every right slice of its key, and the other way round, so each
-    matching pair meets exactly once and no task handles more than ``rows_per_slice`` squared pairs of one key.
-
-    Rows per key are counted first, over the key columns alone. Without a hot key this is a plain join. The list of hot
+    matching pair meets exactly once. Rows per key are counted first, over the key columns alone. The list of hot
     keys is broadcast if its counted size allows, and joined by a shuffle otherwise.
     """
     hot = cut_lineage(hot_keys(left, right, keys, rows_per_slice))
     n_hot = hot.count()
     if n_hot == 0:
-        return left.join(right, keys)
+        return None
     if n_hot <= BROADCAST_KEYS:
         hot = F.broadcast(hot)
     one = F.lit(1)
@@ -58,6 +51,22 @@ def sliced_join(
             .drop("_lcount", "_rcount")
         )
 
-    cut_left = spread(left, left_id, "_ls", n_left, "_rs", n_right)
-    cut_right = spread(right, right_id, "_rs", n_right, "_ls", n_left)
-    return cut_left.join(cut_right, [*keys, "_ls", "_rs"]).drop("_ls", "_rs")
+    return spread(left, left_id, "_ls", n_left, "_rs", n_right), spread(right, right_id, "_rs", n_right, "_ls", n_left)
+
+
+def sliced_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    left_id: Column,
+    right_id: Column,
+    rows_per_slice: int = 20_000,
+) -> DataFrame:
+    """Inner equi-join on ``keys`` where a hot key becomes a grid of (left slice, right slice) tasks.
+
+    No task handles more than ``rows_per_slice`` squared pairs of one key. Without a hot key this is a plain join.
+    """
+    sides = sliced_sides(left, right, keys, left_id, right_id, rows_per_slice)
+    if sides is None:
+        return left.join(right, keys)
+    return sides[0].join(sides[1], [*keys, "_ls", "_rs"]).drop("_ls", "_rs")

@@ -83,3 +83,37 @@ def test_walk_covers_each_pair_once():
             near = math.hypot(max(abs(dx) - 1, 0), max(abs(dy) - 1, 0))
             both = ways if (dx, dy) == (0, 0) else ways + back
             assert both <= 2 and (near > 11 or both >= 1)
+
+
+def test_tiles_meet_in_blocks(spark, monkeypatch):
+    """Neither tiles nor points become a row for each offset: no join is left, and a crowded block is met by slices."""
+    rows = scattered(4, 1200, side=30.0, grid=0.25)
+    cells = spark.createDataFrame([*rows, *[(f"d{i}", None, 1.0, 1.0, "A") for i in range(3)]], SCHEMA)
+    for most in (P.BLOCK_ROWS, 100):
+        monkeypatch.setattr(P, "BLOCK_ROWS", most)
+        found = N.binned_pairs(cells, [2.0, 16.0], ["slide"], leaf=0.5)
+        if most > 100:
+            assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {tuple(r)[:-1]: r["n"] for r in found.collect()} == listed(rows, [2.0, 16.0])
+
+
+def test_runs_hold_each_offset_once():
+    plan = P.walk([6.0, 11.0], 1.0)
+    settled = [((px, py), dx, dy, step) for px, py, dx, dy, step in plan.levels[0]]
+    got = Counter((r.place, r.dx, dy, r.step) for r in P.runs(settled) for dy in range(r.low, r.high + 1))
+    assert got == Counter(settled)
+
+
+def test_counts_by_many_types(spark, monkeypatch):
+    """More types than are summed beforehand, more than fit a table of counts, and many cells at a place."""
+    source = random.Random(3)
+    rows = [(f"c{i}", "s", source.randrange(12) / 2, source.randrange(12) / 2, f"t{source.randrange(6)}") for i in range(500)]
+    want = listed(rows, [1.5, 4.0])
+    for summed, dense in ((64, 10**6), (2, 10**6), (2, 5)):
+        monkeypatch.setattr(P, "SUMMED_TYPES", summed)
+        monkeypatch.setattr(P, "DENSE_COUNTS", dense)
+        monkeypatch.setattr(P, "PAIRS_AT_ONCE", 1000)
+        plan = P.walk([1.5, 4.0], 0.5)
+        points = N.typed_points(spark.createDataFrame(rows, SCHEMA), ["slide"])
+        got = P.binned_pairs(points, [1.5, 4.0], plan.leaf, ["slide"]).collect()
+        assert {tuple(r)[:-1]: r["n"] for r in got} == want
