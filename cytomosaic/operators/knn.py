@@ -5,9 +5,11 @@ rounding distances to twelve decimals.
 
 A reference set whose measured size fits the limit is broadcast and every task handles its own queries. A larger one
 is split by nearest pivot into blocks of bounded size. A query is first searched in the blocks that surely hold enough
-rows nearest to it; the k-th distance found there and the triangle inequality tell which other blocks can hold one of its
-k nearest. It goes to those only, and the results of blocks are merged. Nothing is left out either way. In many dimensions
-without clusters most blocks stay possible, and exact search is then near all pairs.
+rows nearest to it; the k-th distance found there and the triangle inequality tell which blocks can hold one of its
+k nearest. Blocks are put together into groups of many thousand rows, a query goes once to each group that has a possible
+block, and there only rows within its bound are looked at closely; the results of groups are merged. Nothing is left out
+either way. In many dimensions without clusters most blocks stay possible, and exact search is then near all pairs: a query
+becomes a row for each group then, not for each block.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from cytomosaic.operators.skew import sliced_sides
 from cytomosaic.session import cut_lineage
 
 # fixed values
@@ -29,7 +33,10 @@ DIGITS = 12
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4_096
 MAX_BLOCKS = 20_000
-CHUNK_CELLS = 4_000_000
+#: Rows of either side that meet in one task of the second search.
+GROUP_ROWS = 32_768
+#: Distances held at once in a task.
+CHUNK_CELLS = 1_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -166,7 +173,6 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     table = (
         sizes["pivot"].to_numpy(), sizes["shell"].to_numpy(), sizes["n"].to_numpy(), sizes["lo"].to_numpy(), sizes["hi"].to_numpy(),
     )
-    table_bc = sc.broadcast(table)
     # two cosine distances count as tied below 1e-12, which is this much in squared length: a block of ties stays in
     slack = 4e-12
 
@@ -179,34 +185,146 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
         np.put_along_axis(home, order, needed, axis=1)
         return home
 
-    def routes(batches: Iterator[pd.DataFrame], first: bool) -> Iterator[pd.DataFrame]:
-        b_pivot, b_shell, b_n, b_lo, b_hi = table_bc.value
+    # blocks in order of pivot and shell make up groups; a group is searched as a whole
+    table_order = np.lexsort((table[1], table[0]))
+    table = tuple(column[table_order] for column in table)
+    held_before = np.cumsum(table[2]) - table[2]
+    _, group_starts, group_of = np.unique(held_before // GROUP_ROWS, return_index=True, return_inverse=True)
+    table_bc = sc.broadcast((*table, group_starts))
+
+    def distances(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """Parts of a batch with their distances to the pivots of all blocks."""
+        b_pivot = table_bc.value[0]
         rows = max(1, CHUNK_CELLS // max(1, len(b_pivot)))
+        for start in range(0, len(batch), rows):
+            part = batch.iloc[start : start + rows]
+            yield part, _distances(prepared(part), pivot_bc.value, "euclidean")[:, b_pivot]
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        b_pivot, b_shell, b_n, _, b_hi, _ = table_bc.value
         for batch in batches:
-            for start in range(0, len(batch), rows):
-                part = batch.iloc[start : start + rows]
-                d = _distances(prepared(part), pivot_bc.value, "euclidean")[:, b_pivot]
-                chosen = home_blocks(d, b_n, b_hi)
-                if not first:
-                    # the k-th distance found at home is the bound; a query that found fewer has none
-                    found = part["bound"].to_numpy(dtype=float)
-                    bound = np.where(np.isnan(found), np.inf, np.sqrt(2 * found) if unit else found)
-                    bound = np.sqrt(bound * bound + slack) * (1 + 1e-9) + 1e-9
-                    least = np.maximum(np.maximum(d - b_hi, b_lo - d), 0.0)
-                    chosen = (least <= bound[:, None]) & ~chosen
-                row, col = np.nonzero(chosen)
+            for part, d in distances(batch):
+                row, col = np.nonzero(home_blocks(d, b_n, b_hi))
                 sent = part[["id", "features"]].iloc[row]
                 yield sent.assign(pivot=b_pivot[col].astype(np.int32), shell=b_shell[col].astype(np.int32))
 
-    routed_schema = f"id {query_id}, features array<double>, pivot int, shell int"
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, _, _, b_lo, b_hi, starts = table_bc.value
+        for batch in batches:
+            for part, d in distances(batch):
+                # the k-th distance found at home is the bound; a query that found fewer has none
+                found = part["bound"].to_numpy(dtype=float)
+                found = np.where(np.isnan(found), np.inf, found)
+                bound = np.sqrt(2 * found) if unit else found
+                bound = np.sqrt(bound * bound + slack) * (1 + 1e-9) + 1e-9
+                chosen = np.maximum(np.maximum(d - b_hi, b_lo - d), 0.0) <= bound[:, None]
+                groups = np.logical_or.reduceat(chosen, starts, axis=1)
+                yield part[["id", "features"]].assign(bound=found, groups=[np.flatnonzero(g).astype(np.int32) for g in groups])
+
     search = _BlockSearch(cut_lineage(shelled), block_rows, k, metric, not_self, prepared, _result_schema(queries, references))
-    at_home = cut_lineage(queries.select("id", "features").mapInPandas(lambda b: routes(b, True), routed_schema))
-    near = cut_lineage(search.run(at_home))
+    at_home = cut_lineage(queries.select("id", "features").mapInPandas(home, f"id {query_id}, features array<double>, pivot int, shell int"))
     order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    kth = near.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == k)
+    kth = search.run(at_home).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == k)
     bounded = queries.select("id", "features").join(kth.select(F.col("query_id").alias("id"), F.col("distance").alias("bound")), "id", "left")
-    abroad = bounded.mapInPandas(lambda b: routes(b, False), routed_schema)
-    return near.union(search.run(cut_lineage(abroad)))
+    routed = cut_lineage(bounded.mapInPandas(possible, f"id {query_id}, features array<double>, bound double, groups array<int>"))
+    groups = queries.sparkSession.createDataFrame(
+        [(int(p), int(s), int(g)) for p, s, g in zip(table[0], table[1], group_of, strict=True)], "pivot int, shell int, grp int"
+    )
+    grouped = search.shelled.join(F.broadcast(groups), ["pivot", "shell"]).select("id", "features", "grp")
+    return _within_groups(routed.withColumn("grp", F.explode("groups")).drop("groups"), grouped, k, metric, not_self)
+
+
+def _within_groups(routed: DataFrame, grouped: DataFrame, k: int, metric: str, not_self: bool) -> DataFrame:
+    """The k nearest rows within its bound of each (id, features, bound, grp) among the rows (id, features, grp) of its group."""
+    own = F.struct("id", "features")
+    sides = sliced_sides(routed, grouped, ["grp"], own, own, GROUP_ROWS)
+    keys = ["grp", "_ls", "_rs"] if sides else ["grp"]
+    routed, grouped = sides or (routed, grouped)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", left.schema.field("id").type), ("ref_id", right.schema.field("id").type), ("distance", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        right = right.sort_by("id")
+        q, r = _rows(left["features"], metric), _rows(right["features"], metric)
+        q_code, r_code = _id_codes(left["id"], right["id"]) if not_self else (None, None)
+        row, col, value = _nearest_within(q, r, left["bound"].to_numpy(), k, metric, q_code, r_code)
+        return pa.table([left["id"].take(pa.array(row)), right["id"].take(pa.array(col)), pa.array(value)], schema=schema)
+
+    return routed.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInArrow(meet, _result_schema(routed, grouped))
+
+
+def _rows(features: pa.ChunkedArray, metric: str) -> np.ndarray:
+    flat = features.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    m = flat.reshape(len(features), -1).astype(np.float64, copy=False)
+    return _unit(m) if metric == "cosine" else m
+
+
+def _id_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where ids are; a missing id equals none."""
+    both = pa.chunked_array([*left.chunks, *right.chunks]).combine_chunks().dictionary_encode()
+    code = both.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    q, r = code[: len(left)].copy(), code[len(left) :]
+    q[q < 0] = -2
+    return q, r
+
+
+def _nearest_within(
+    q: np.ndarray, r: np.ndarray, bound: np.ndarray, k: int, metric: str, q_code: np.ndarray | None, r_code: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of r, distance) of the k nearest within each row's bound; ``r`` is sorted by id.
+
+    A product of short floats rules out what is surely farther than the bound, or than the k-th of a part of the rows; its
+    error is bounded from above. What is left is measured row by row.
+    """
+    width = q.shape[1]
+    if metric == "cosine":
+        # half the squared distance of unit vectors; sums of ``width`` products of short floats
+        left, right, error = q.astype(np.float32), r.astype(np.float32).T, (width + 8) * 1.2e-7 + 2 * 10.0**-DIGITS
+        q_half = r_half = None
+        limit = bound + error
+    else:
+        left, right = q, r.T
+        q_half, r_half = (q * q).sum(axis=1) / 2, (r * r).sum(axis=1) / 2
+        error = (width + 8) * 2.3e-16 * 4 * (q_half + r_half[np.isfinite(r_half)].max(initial=0.0))
+        limit = (bound + 2 * 10.0**-DIGITS) ** 2 / 2 * (1 + 1e-12) + error
+    found = ([], [], [])
+    rows = max(1, CHUNK_CELLS // max(1, len(r)))
+    for start in range(0, len(q), rows):
+        part = slice(start, start + rows)
+        near = left[part] @ right
+        near = np.subtract(1, near, out=near) if q_half is None else q_half[part, None] + r_half[None, :] - near
+        most = limit[part].astype(near.dtype) * (1 + 1e-6 if near.dtype == np.float32 else 1)
+        if q_code is not None:
+            near[q_code[part][:, None] == r_code[None, :]] = np.inf
+        at = np.flatnonzero((near <= most[:, None]) & (near < np.inf))
+        row, col = np.divmod(at, len(r))
+        if len(row) > 4 * k * len(near) and len(r) > k:  # a wide bound: the k-th of the product and twice its error are a closer one
+            slack = 2 * (error if q_half is None else error[part, None])
+            near[np.isnan(near)] = np.inf
+            kth = np.partition(near, k - 1, axis=1)[:, k - 1 : k] + slack + 4 * 10.0**-DIGITS
+            if q_half is not None:  # distances tie after rounding, not their squares
+                kth = (np.sqrt(2 * np.maximum(kth, 0)) + 2 * 10.0**-DIGITS) ** 2 / 2
+            kept = near[row, col] <= kth[row, 0]
+            row, col = row[kept], col[kept]
+        row = row + start
+        value = np.concatenate([np.zeros(0), *[_pairwise(q[row[i : i + 50_000]], r[col[i : i + 50_000]], metric) for i in range(0, len(row), 50_000)]])
+        kept = value <= bound[row]
+        row, col, value = row[kept], col[kept], value[kept]
+        order = np.lexsort((col, value, row))
+        row, col, value = row[order], col[order], value[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        for out, v in zip(found, (row, col, value), strict=True):
+            out.append(v[kept])
+    return tuple(np.concatenate(v) for v in found)
+
+
+def _pairwise(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows side by side."""
+    if metric == "cosine":
+        return np.round(1.0 - np.einsum("ij,ij->i", q, r), DIGITS)
+    gap = q - r
+    return np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DIGITS)
 
 
 class _BlockSearch:

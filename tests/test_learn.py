@@ -343,3 +343,51 @@ def test_linear_scores(spark):
     coef = spark.createDataFrame([("g", "X", 1.0), ("g", "Y", -1.0)], "gene string, class string, weight double")
     got = {r.cell_id: (r.label, r.score) for r in D.linear_annotate(cells, e, coef, {"X": 0.0, "Y": 1.0}).collect()}
     assert got == {"a": ("X", 2.0), "b": ("Y", 1.0)}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_queries_go_to_groups_not_to_blocks(spark, monkeypatch, metric):
+    """Vectors without clusters, where each block is possible: what is written stays a few rows for each query and reference."""
+    from cytomosaic.operators import knn
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(700, 12))
+    m[600:] = m[0]  # copies: ties go to the smaller id
+    df = vectors(spark, "v", m)
+    written, plain = [], knn.cut_lineage
+
+    def counting(rows):
+        out = plain(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(knn, "cut_lineage", counting)
+    want = brute(m, m, 5, metric, True)
+    for group_rows in (knn.GROUP_ROWS, 150):
+        monkeypatch.setattr(knn, "GROUP_ROWS", group_rows)
+        written.clear()
+        got = {}
+        for row in knn_join(df, df, 5, metric, not_self=True, broadcast_bytes=0, block_rows=8, n_pivots=60).orderBy("query_id", "place").collect():
+            got.setdefault(row.query_id, []).append((int(row.ref_id[1:]), row.distance))
+        assert sum(written) < 12 * 700
+        for i, near in enumerate(want):
+            assert [d for _, d in got[f"v{i:04d}"]] == pytest.approx([d for _, d in near], abs=1e-9)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_within_bounds(metric):
+    from cytomosaic.operators import knn
+
+    rng = np.random.default_rng(5)
+    q, r = rng.normal(size=(40, 20)), rng.normal(size=(300, 20))
+    r[50:90] = r[3]
+    if metric == "cosine":
+        q, r = knn._unit(q), knn._unit(r)
+    every = knn._distances(q, r, metric)
+    r[299] = np.nan
+    every[:, 299] = np.inf
+    for bound in (np.full(40, np.inf), np.sort(every, axis=1)[:, 9]):
+        row, col, value = knn._nearest_within(q, r, bound, 7, metric, None, None)
+        assert len(row) == 280
+        assert value.reshape(40, 7) == pytest.approx(np.sort(every, axis=1)[:, :7], abs=1e-9)
+        assert np.abs(every[row, col] - value).max() < 1e-9
