@@ -34,12 +34,18 @@ def read_cells(t: Tables):
     return R.read_cells(t.spark, path).select("cell_id", "x", "y", "cell_area", "nucleus_area")
 
 
+#: Vertices in one written file of outlines, about.
+FILE_ROWS = 500_000
+
+
 @query("SELECT cell_id, CASE kind WHEN 'ref' THEN 'nucleus' ELSE 'cell' END AS kind, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries", ("boundaries",))
 def read_boundaries(t: Tables):
     """Vertices of both kinds in file order, without an order column; their order inside each cell must survive."""
     parts = []
     for kind, name in (("ref", "nucleus"), ("query", "cell")):
-        rows = t.boundaries.filter(F.col("kind") == kind).repartitionByRange(4, "cell_id").sortWithinPartitions("cell_id", "vertex_ord")
+        rows = t.boundaries.filter(F.col("kind") == kind)
+        n_files = max(4, -(-rows.count() // FILE_ROWS))  # a task sorts the rows of one file
+        rows = rows.repartitionByRange(n_files, "cell_id").sortWithinPartitions("cell_id", "vertex_ord")
         path = K.write_table(rows.select("cell_id", F.col("x").alias("vertex_x"), F.col("y").alias("vertex_y")), folder(t, f"boundaries_{name}"))
         back = X.rings(R.read_boundaries(t.spark, path, name))
         parts.append(X.vertices(back).select("cell_id", F.lit(name).alias("kind"), "vertex_ord", "x", "y"))

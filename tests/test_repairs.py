@@ -312,3 +312,25 @@ def test_blocks_rule_out_most_pairs(spark, monkeypatch):
         order = np.argsort(((points[refs] - points[q]) ** 2).sum(1), kind="stable")[:5]
         assert [found[q, p + 1] for p in range(5)] == refs[order].tolist()
     assert sum(sent) < 0.35 * 600 * 40  # of all queries and blocks
+
+
+def test_outline_files_grow_in_number(spark, monkeypatch):
+    """Files of outlines are sorted by one task each, so their number follows the rows; vertices keep their order."""
+    from types import SimpleNamespace
+
+    from registry import files
+
+    rows = [(f"c{i}", kind, v, float(i + v), float(v)) for i in range(60) for kind in ("ref", "query") for v in range(4)]
+    made = spark.createDataFrame(rows[::-1], "cell_id string, kind string, vertex_ord int, x double, y double")
+    parts, plain = [], files.K.write_table
+
+    def counting(df, path):
+        parts.append(df.rdd.getNumPartitions())
+        return plain(df, path)
+
+    monkeypatch.setattr(files.K, "write_table", counting)
+    monkeypatch.setattr(files, "FILE_ROWS", 30)
+    back = files.read_boundaries(SimpleNamespace(spark=spark, boundaries=made, sf_dir=""))
+    names = {"ref": "nucleus", "query": "cell"}
+    assert sorted(tuple(r) for r in back.collect()) == sorted((c, names[k], v, x, y) for c, k, v, x, y in rows)
+    assert parts == [8, 8]
