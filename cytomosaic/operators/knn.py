@@ -3,7 +3,7 @@
 Tables are (id, features array<double>). Distances are 1 - cosine, or Euclidean. Ties go to the smaller id after
 rounding distances to twelve decimals.
 
-A reference set whose measured size fits the limit is broadcast and every task handles its own queries. A larger one
+A reference set whose measured size fits the limit is broadcast and every task handles a bounded number of pairs. A larger one
 is split by nearest pivot into blocks of bounded size. A query is first searched in the blocks that surely hold enough
 rows nearest to it; the k-th distance found there and the triangle inequality tell which blocks can hold one of its
 k nearest. Blocks are put together into groups of many thousand rows, a query goes once to each group that has a possible
@@ -35,8 +35,10 @@ BLOCK_ROWS = 4_096
 MAX_BLOCKS = 20_000
 #: Rows of either side that meet in one task of the second search.
 GROUP_ROWS = 32_768
-#: Distances held at once in a task.
-CHUNK_CELLS = 1_000_000
+#: Distances held at once in a task, references and queries measured together, and pairs of one task.
+CHUNK_CELLS, SEARCH_ROWS, SEARCH_QUERIES, TASK_PAIRS = 1_000_000, 8_192, 4_096, 500_000_000
+#: Distances to blocks of one task.
+TASK_CELLS = 20_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -56,31 +58,10 @@ def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     square = np.zeros((len(q), len(r)))
     for a, b in zip(q.T, r.T, strict=True):
         gap = a[:, None] - b[None, :]
-        square += gap * gap
-    return np.round(np.sqrt(square), DIGITS)
-
-
-def _closest(q_ids: np.ndarray, q: np.ndarray, r_ids: np.ndarray, r: np.ndarray, k: int, metric: str, not_self: bool) -> pd.DataFrame:
-    """The k nearest rows of ``r`` (sorted by id) for each row of ``q``, in chunks of bounded size."""
-    parts = []
-    rows = max(1, CHUNK_CELLS // max(1, len(r)))
-    for start in range(0, len(q), rows):
-        ids = q_ids[start : start + rows]
-        d = _distances(q[start : start + rows], r, metric)
-        if not_self:
-            d[ids[:, None] == r_ids[None, :]] = np.inf
-        if d.shape[1] > k:
-            limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            row, col = np.nonzero((d <= limit) & np.isfinite(d))
-        else:
-            row, col = np.nonzero(np.isfinite(d))
-        value = d[row, col]
-        order = np.lexsort((col, value, row))
-        row, col, value = row[order], col[order], value[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        parts.append(pd.DataFrame({"query_id": ids[row[keep]], "ref_id": r_ids[col[keep]], "distance": value[keep]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": q_ids[:0], "ref_id": r_ids[:0], "distance": []})
+        gap *= gap
+        square += gap
+    np.sqrt(square, out=square)
+    return np.round(square, DIGITS, out=square)
 
 
 def _result_schema(queries: DataFrame, references: DataFrame) -> str:
@@ -103,7 +84,7 @@ def knn_join(
         raise ValueError(f"unknown metric {metric!r}")
     n, width = references.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("features")), F.lit(0))).first()
     if n * (width * 8 + 64) <= broadcast_bytes:
-        near = _by_broadcast(queries, references, k, metric, not_self)
+        near = _by_broadcast(queries, references, n, k, metric, not_self)
     else:
         # the list of blocks goes to every task, so its length is held while blocks grow with the data
         block_rows = max(block_rows, -(-n // MAX_BLOCKS))
@@ -114,20 +95,27 @@ def knn_join(
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def _by_broadcast(queries: DataFrame, references: DataFrame, k: int, metric: str, not_self: bool) -> DataFrame:
-    local = references.select("id", "features").toPandas().sort_values("id")  # size checked by the caller
-    r_ids, r = local["id"].to_numpy(), _matrix(local["features"])
-    shipped = queries.sparkSession.sparkContext.broadcast((r_ids, _unit(r) if metric == "cosine" and len(r) else r))
+def _first_copies(references: DataFrame, n: int) -> DataFrame:
+    """Of equal vectors only the first few ids can be among the nearest."""
+    copies = F.row_number().over(W.Window.partitionBy("features").orderBy("id"))
+    return references.select("id", "features").withColumn("_copy", copies).filter(F.col("_copy") <= n).drop("_copy")
+
+
+def _by_broadcast(queries: DataFrame, references: DataFrame, n_refs: int, k: int, metric: str, not_self: bool) -> DataFrame:
+    held = references.select("id", "features") if not_self else _first_copies(references, k)
+    local = held.toArrow().sort_by("id").combine_chunks()  # size checked by the caller
+    shipped = queries.sparkSession.sparkContext.broadcast((local["id"].combine_chunks(), _rows(local["features"], metric) if len(local) else None))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ref_ids, ref = shipped.value
         for batch in batches:
-            if len(batch) and len(ref_ids):
-                q = _matrix(batch["features"])
-                q = _unit(q) if metric == "cosine" else q
-                yield _closest(batch["id"].to_numpy(), q, ref_ids, ref, k, metric, not_self)
+            if batch.num_rows and len(ref_ids):
+                yield from _found(pa.Table.from_batches([batch]), ref_ids, ref, None, k, metric, not_self).to_batches()
 
-    return queries.select("id", "features").mapInPandas(run, _result_schema(queries, references))
+    # few files of queries may make up many pairs
+    n_tasks = -(-queries.count() * n_refs // TASK_PAIRS)
+    rows = queries.select("id", "features")
+    return (rows.repartition(n_tasks, "id") if n_tasks > 1 else rows).mapInArrow(run, _result_schema(queries, references))
 
 
 def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, not_self: bool, block_rows: int, n_pivots: int) -> DataFrame:
@@ -135,11 +123,7 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     sc = queries.sparkSession.sparkContext
     unit = metric == "cosine"
     wanted = k + 1 if not_self else k
-    # of equal vectors only the first few ids can be among the nearest; the limit applies before the shuffle
-    copies = F.row_number().over(W.Window.partitionBy("features").orderBy("id"))
-    references = cut_lineage(
-        references.select("id", "features").withColumn("_copy", copies).filter(F.col("_copy") <= wanted).drop("_copy")
-    )
+    references = cut_lineage(_first_copies(references, wanted))  # the limit applies before the shuffle
     chosen = references.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     pivots = np.unique(_unit(_matrix(chosen["features"])) if unit else _matrix(chosen["features"]), axis=0)
     pivot_bc = sc.broadcast(pivots)
@@ -151,9 +135,12 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
     def nearest_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(prepared(batch), pivot_bc.value, "euclidean")
-                at = d.argmin(axis=1)
-                yield batch.assign(pivot=at.astype(np.int32), to_pivot=d[np.arange(len(at)), at])
+                rows = max(1, CHUNK_CELLS // len(pivot_bc.value))
+                for start in range(0, len(batch), rows):
+                    part = batch.iloc[start : start + rows]
+                    d = _distances(prepared(part), pivot_bc.value, "euclidean")
+                    at = d.argmin(axis=1)
+                    yield part.assign(pivot=at.astype(np.int32), to_pivot=d[np.arange(len(at)), at])
 
     ref_id, query_id = dict(references.dtypes)["id"], dict(queries.dtypes)["id"]
     assigned = references.select("id", "features").mapInPandas(
@@ -221,7 +208,10 @@ def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, n
                 groups = np.logical_or.reduceat(chosen, starts, axis=1)
                 yield part[["id", "features"]].assign(bound=found, groups=[np.flatnonzero(g).astype(np.int32) for g in groups])
 
-    search = _BlockSearch(cut_lineage(shelled), block_rows, k, metric, not_self, prepared, _result_schema(queries, references))
+    n_tasks = -(-queries.count() * len(table[0]) // TASK_CELLS)
+    if n_tasks > 1:  # few files of queries may make up many distances to blocks
+        queries = queries.select("id", "features").repartition(n_tasks, "id")
+    search = _BlockSearch(cut_lineage(shelled), block_rows, k, metric, not_self, _result_schema(queries, references))
     at_home = cut_lineage(queries.select("id", "features").mapInPandas(home, f"id {query_id}, features array<double>, pivot int, shell int"))
     order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
     kth = search.run(at_home).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == k)
@@ -246,29 +236,61 @@ def _within_groups(routed: DataFrame, grouped: DataFrame, k: int, metric: str, n
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         right = right.sort_by("id")
-        q, r = _rows(left["features"], metric), _rows(right["features"], metric)
-        q_code, r_code = _id_codes(left["id"], right["id"]) if not_self else (None, None)
-        row, col, value = _nearest_within(q, r, left["bound"].to_numpy(), k, metric, q_code, r_code)
-        return pa.table([left["id"].take(pa.array(row)), right["id"].take(pa.array(col)), pa.array(value)], schema=schema)
+        return _found(left, right["id"], _rows(right["features"], metric), left["bound"].to_numpy(), k, metric, not_self)
 
     return routed.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInArrow(meet, _result_schema(routed, grouped))
 
 
+def _found(queries: pa.Table, ref_ids: pa.Array | pa.ChunkedArray, r: np.ndarray, bound: np.ndarray | None, k: int, metric: str, not_self: bool) -> pa.Table:
+    """(query_id, ref_id, distance) of the k nearest of ``r``, sorted by id, for each row of (id, features)."""
+    parts = []
+    for start in range(0, len(queries), SEARCH_QUERIES):
+        part = queries.slice(start, SEARCH_QUERIES)
+        own = np.full(len(part), np.inf) if bound is None else bound[start : start + SEARCH_QUERIES]
+        q_code, r_code = _id_codes(part["id"], ref_ids) if not_self else (None, None)
+        row, col, value = _nearest(_rows(part["features"], metric), r, own, k, metric, q_code, r_code)
+        columns = [part["id"].take(pa.array(row)), ref_ids.take(pa.array(col)), pa.array(value)]
+        parts.append(pa.table(columns, names=["query_id", "ref_id", "distance"]))
+    return pa.concat_tables(parts)
+
+
 def _rows(features: pa.ChunkedArray, metric: str) -> np.ndarray:
+    if features.null_count:
+        raise ValueError("a row without features has no neighbours")
     flat = features.combine_chunks().flatten().to_numpy(zero_copy_only=False)
     m = flat.reshape(len(features), -1).astype(np.float64, copy=False)
     return _unit(m) if metric == "cosine" else m
 
 
-def _id_codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _id_codes(left: pa.ChunkedArray, right: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers that are equal where ids are; a missing id equals none."""
-    both = pa.chunked_array([*left.chunks, *right.chunks]).combine_chunks().dictionary_encode()
+    both = pa.chunked_array([*left.chunks, *(right.chunks if isinstance(right, pa.ChunkedArray) else [right])]).combine_chunks().dictionary_encode()
     code = both.indices.fill_null(-1).to_numpy(zero_copy_only=False)
     q, r = code[: len(left)].copy(), code[len(left) :]
     q[q < 0] = -2
     return q, r
 
 
+def _nearest(
+    q: np.ndarray, r: np.ndarray, bound: np.ndarray, k: int, metric: str, q_code: np.ndarray | None, r_code: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_nearest_within`` a part of ``r`` after the other: the k-th distance found so far is the bound in the next part."""
+    row, col, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    bound = bound.astype(float)
+    for start in range(0, len(r), SEARCH_ROWS):
+        part = slice(start, start + SEARCH_ROWS)
+        own = _nearest_within(q, r[part], bound, k, metric, q_code, None if r_code is None else r_code[part])
+        row, col, value = np.concatenate([row, own[0]]), np.concatenate([col, own[1] + start]), np.concatenate([value, own[2]])
+        order = np.lexsort((col, value, row))
+        row, col, value = row[order], col[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == k - 1
+        bound[row[last]] = value[last]
+        kept = place < k
+        row, col, value = row[kept], col[kept], value[kept]
+    return row, col, value
+
+
 def _nearest_within(
     q: np.ndarray, r: np.ndarray, bound: np.ndarray, k: int, metric: str, q_code: np.ndarray | None, r_code: np.ndarray | None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,7 +330,7 @@ def _nearest_within(
             kept = near[row, col] <= kth[row, 0]
             row, col = row[kept], col[kept]
         row = row + start
-        value = np.concatenate([np.zeros(0), *[_pairwise(q[row[i : i + 50_000]], r[col[i : i + 50_000]], metric) for i in range(0, len(row), 50_000)]])
+        value = np.concatenate([np.zeros(0), *[_pairwise(q[row[i : i + 10_000]], r[col[i : i + 10_000]], metric) for i in range(0, len(row), 10_000)]])
         kept = value <= bound[row]
         row, col, value = row[kept], col[kept], value[kept]
         order = np.lexsort((col, value, row))
@@ -330,12 +352,12 @@ def _pairwise(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
 class _BlockSearch:
     """The nearest rows of each routed query in each of its blocks."""
 
-    def __init__(self, shelled: DataFrame, block_rows: int, k: int, metric: str, not_self: bool, prepared, schema: str):
+    def __init__(self, shelled: DataFrame, block_rows: int, k: int, metric: str, not_self: bool, schema: str):
         self.shelled, self.block_rows, self.k, self.metric = shelled, block_rows, k, metric
-        self.not_self, self.prepared, self.schema = not_self, prepared, schema
+        self.not_self, self.schema = not_self, schema
 
     def run(self, routed: DataFrame) -> DataFrame:
-        block_rows, k, metric, not_self, prepared, shelled = self.block_rows, self.k, self.metric, self.not_self, self.prepared, self.shelled
+        block_rows, k, metric, not_self, shelled = self.block_rows, self.k, self.metric, self.not_self, self.shelled
         # both sides of a block are cut into slices of at most about block_rows rows, and every slice meets every other
         per_block = routed.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_q")).join(
             shelled.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("_r")), ["pivot", "shell"]
@@ -357,10 +379,11 @@ class _BlockSearch:
         keys = ["pivot", "shell", "_qs", "_rs"]
         q_side, r_side = cut(routed, "_qs", "_qn", "_rs", "_rn"), cut(shelled, "_rs", "_rn", "_qs", "_qn")
 
-        def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or r.empty:
-                return pd.DataFrame({"query_id": q["id"].iloc[:0], "ref_id": r["id"].iloc[:0], "distance": pd.Series(dtype=float)})
-            r = r.sort_values("id")
-            return _closest(q["id"].to_numpy(), prepared(q), r["id"].to_numpy(), prepared(r), k, metric, not_self)
+        def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+            if not q.num_rows or not r.num_rows:
+                types = [q.schema.field("id").type, r.schema.field("id").type, pa.float64()]
+                return pa.schema(list(zip(("query_id", "ref_id", "distance"), types, strict=True))).empty_table()
+            r = r.sort_by("id")
+            return _found(q, r["id"], _rows(r["features"], metric), None, k, metric, not_self)
 
-        return q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInPandas(meet, self.schema)
+        return q_side.groupBy(*keys).cogroup(r_side.groupBy(*keys)).applyInArrow(meet, self.schema)

@@ -229,11 +229,9 @@ def vote(query: DataFrame, reference: DataFrame, reference_labels: DataFrame, wi
          n_components: int = M.MAX_COMPONENTS, k: int = K_NEIGHBOURS) -> DataFrame:
     q, r = M.columns(query, width), M.columns(reference, width)
     _, loadings = M.leading(reference, width, max(1, min(n_components, r.n - 1, width)), r.mean, r.scale)
-    near = knn_join(
-        M.project(query, loadings * q.scale[:, None], q.mean, ["id"]),
-        M.project(reference, loadings * r.scale[:, None], r.mean, ["id"]),
-        k,
-    )
+    # written, as a search reads its sides several times and beside the tasks' workers for the product
+    sides = [M.project(rows, loadings * c.scale[:, None], c.mean, ["id"]) for rows, c in ((query, q), (reference, r))]
+    near = knn_join(*[cut_lineage(side) for side in sides], k)
     labels = reference_labels.select(F.col("ref_cell").alias("ref_id"), "label")
     return majority_label(near.join(labels, "ref_id"), "query_id").withColumnRenamed("query_id", "cell_id")
 
