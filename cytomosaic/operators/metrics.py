@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import lr_pair
+from cytomosaic.session import cut_lineage
 
 METRIC_COLUMNS = ["n_edges", "normalized_freq", "mean_attention", "sender_fraction", "presence"]
 
@@ -29,10 +30,13 @@ def last_label(annotations: DataFrame, key: str = "barcode", label: str = "cell_
 def annotate_endpoints(edges: DataFrame, types: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Add ``from_type`` and ``to_type``; ``types`` holds one row per ``cell_id`` (and per column in ``on``)."""
     on = on or []
-    for end in ("from", "to"):
+    names = edges.columns
+    for end in ("from", "to"):  # the order of columns of both joins
+        names = [*on, f"{end}_cell", *[c for c in names if c not in (*on, f"{end}_cell")], f"{end}_type"]
+    for end in ("to", "from"):  # by senders last: rows then stand as they are wanted when distinct senders are counted
         side = types.select(*on, F.col("cell_id").alias(f"{end}_cell"), F.col("cell_type").alias(f"{end}_type"))
         edges = edges.join(side, [*on, f"{end}_cell"], "left")
-    return edges
+    return edges.select(*names)
 
 
 def drop_untyped(edges: DataFrame) -> DataFrame:
@@ -54,7 +58,8 @@ def _grouped(edges: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _metrics(edges: DataFrame, samples: DataFrame, features: list[str], min_edges: int) -> DataFrame:
-    grouped = _grouped(edges, features)
+    # written, as both the rows and the totals come from it: a row for each sample and feature, against all edges
+    grouped = cut_lineage(_grouped(edges, features))
     # one row per sample on both sides of these lookups: adaptive execution broadcasts them by measured size
     return (
         grouped.dropna(subset=features)
