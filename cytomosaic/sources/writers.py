@@ -85,6 +85,7 @@ def write_matrix_market(expression: DataFrame, cells: DataFrame, genes: DataFram
     """The text form of a matrix, genes as rows: a head, entries in part files, and the two name lists in order."""
     folder = folder.rstrip("/")
     triplets, gene_list, cell_list = indexed_triplets(expression, cells, genes)
+    triplets = cut_lineage(triplets)  # counted for the head, and written
     parts = [F.col(c).cast("string") for c in ("row", "column", "value")]
     sizes = [gene_list.agg(F.count(F.lit(1))).scalar(), cell_list.agg(F.count(F.lit(1))).scalar(), F.count(F.lit(1))]
     size_line = triplets.agg(F.concat_ws(" ", *[n.cast("string") for n in sizes]).alias("value"))

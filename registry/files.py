@@ -12,7 +12,7 @@ from cytomosaic.plans import compare as comparison
 from cytomosaic.plans import convert
 from cytomosaic.plans import merge as merging
 from cytomosaic.plans import segmentation
-from cytomosaic.session import shared_folder
+from cytomosaic.session import cut_lineage, shared_folder
 from cytomosaic.sources import readers as R
 from cytomosaic.sources import writers as K
 from registry.base import Tables, query, rounded
@@ -36,6 +36,8 @@ def read_cells(t: Tables):
 
 #: Vertices in one written file of outlines, about.
 FILE_ROWS = 500_000
+#: Features in one written collection, about.
+FILE_FEATURES = 200_000
 
 
 @query("SELECT cell_id, CASE kind WHEN 'ref' THEN 'nucleus' ELSE 'cell' END AS kind, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries", ("boundaries",))
@@ -61,7 +63,8 @@ def read_transcripts(t: Tables):
 
 @query(LAYERS + " SELECT cell_id, gene, value, layer FROM layered WHERE layer IN ('corrected', 'imputed')", ("expr",))
 def read_expression_layers(t: Tables):
-    path = K.write_table(layered(t), folder(t, "expression"), partition_by=["layer"])
+    # counts are made once, and not in the tasks that sort rows by layer: these then hold what one task reads from files
+    path = K.write_table(layered(t, cut_lineage(t.expr)), folder(t, "expression"), partition_by=["layer"])
     return R.read_expression(t.spark, path, ["corrected", "imputed"])
 
 
@@ -69,15 +72,17 @@ def read_expression_layers(t: Tables):
        UNION ALL SELECT cell_id, gene, value, 'corrected' FROM expr WHERE gene < 'G2'""", ("expr",))
 def replace_layer(t: Tables):
     """A second write of one layer leaves the other layers alone."""
-    path = K.write_layer(layered(t), folder(t, "store"))
-    K.write_layer(t.expr.filter("gene < 'G2'").withColumn("layer", F.lit("corrected")), path)
+    expr = cut_lineage(t.expr)  # as above
+    path = K.write_layer(layered(t, expr), folder(t, "store"))
+    K.write_layer(expr.filter("gene < 'G2'").withColumn("layer", F.lit("corrected")), path)
     return R.read_expression(t.spark, path)
 
 
 @query("SELECT cell_id, gene, value FROM expr", ("expr",))
 def matrix_triplets(t: Tables):
     """Numbered entries and name lists out, names back in through the text form of the matrix."""
-    out = K.write_matrix_market(t.expr, t.expr.select("cell_id"), t.expr.select("gene"), folder(t, "matrix"))
+    expr = cut_lineage(t.expr)  # entries and both lists come from it
+    out = K.write_matrix_market(expr, expr.select("cell_id"), expr.select("gene"), folder(t, "matrix"))
     return R.read_matrix_market(t.spark, out["matrix"], out["genes"], out["cells"])
 
 
@@ -154,8 +159,8 @@ def read_roi_assignment(t: Tables):
 @query("SELECT kind, cell_id, CAST(vertex_ord AS INT) AS vertex_ord, x, y FROM boundaries", ("boundaries",))
 def read_geojson(t: Tables):
     """Outlines of both kinds as feature collections, written by Spark and read back: of the one kind a single collection,
-    of the other one per thousand cells. Ids sit in the properties, or in the feature itself."""
-    ring = X.rings(t.boundaries, ["kind", "cell_id"])
+    or one for each so many features, of the other one per thousand cells. Ids sit in the properties, or in the feature itself."""
+    ring = cut_lineage(X.rings(t.boundaries, ["kind", "cell_id"]))
     number = F.substring("cell_id", 2, 20).cast("long")
     even = number % 2 == 0
     feature = F.struct(
@@ -166,11 +171,15 @@ def read_geojson(t: Tables):
     tiles = ring.filter("kind = 'query'").groupBy(F.floor(number / 1000).alias("g")).agg(F.collect_list(feature).alias("features"))
     by_line, single = folder(t, "polygons"), folder(t, "collection")
     tiles.select(F.to_json(F.struct("features")).alias("value")).write.text(by_line, lineSep="\n")
-    # a collection is head, features and tail; Spark writes them in this order
-    body = ring.filter("kind = 'ref'").select(F.lit(1).alias("at"), F.concat(F.to_json(feature), F.lit(",")).alias("value"))
+    # a collection is head, features and tail; Spark writes them in this order, and a task sorts a bounded number of them
+    listed = ring.filter("kind = 'ref'")
+    n_files = max(1, -(-listed.count() // FILE_FEATURES))
+    of = F.pmod(F.xxhash64("cell_id"), F.lit(n_files)).cast("int").alias("file")
+    body = listed.select(of, F.lit(1).alias("at"), F.concat(F.to_json(feature), F.lit(",")).alias("value"))
     empty = '{"type":"Feature","geometry":null}'
     ends = t.spark.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, empty + "]}")], "at int, value string")
-    body.union(ends).repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(single)
+    ends = ends.select(F.explode(F.sequence(F.lit(0), F.lit(n_files - 1))).alias("file"), "at", "value")
+    body.union(ends).repartitionByRange(n_files, "file").sortWithinPartitions("file", "at").select("value").write.text(single)
     parts = [("query", R.read_geojson_polygons(t.spark, by_line, lines=True)), ("ref", R.read_geojson_polygons(t.spark, single))]
     back = [X.vertices(rings.withColumn("kind", F.lit(kind)), ["kind", "cell_id"]) for kind, rings in parts]
     return back[0].union(back[1])
@@ -276,13 +285,16 @@ SELECT p.*, CAST(row_number() OVER (ORDER BY p.cell_id) - 1 AS BIGINT) AS instan
 FROM placed p LEFT JOIN total t ON t.cell_id = p.cell_id JOIN outline l ON l.cell_id = p.cell_id""", ("cells", "expr", "boundaries"))
 def merge_job(t: Tables):
     """All six samples with both kinds of outlines."""
+    # each table meets the cells once and is written with their samples; a sample's part is then read from there
+    of = t.cells.select("cell_id", "sample").distinct()
+    expr, outlines = (cut_lineage(df.join(of, "cell_id")) for df in (t.expr, t.boundaries))
+    genes = cut_lineage(t.genes)
     parts = []
     for s in SIX:
         cells = t.cells.filter(F.col("sample") == s).select("cell_id", "x", "y")
-        ids = cells.select("cell_id")
+        own = F.col("sample") == s
         parts.append(merging.Dataset(
-            cells, t.expr.join(ids, "cell_id", "left_semi").withColumn("layer", F.lit("raw")), t.genes,
-            t.boundaries.join(ids, "cell_id", "left_semi"),
+            cells, expr.filter(own).drop("sample").withColumn("layer", F.lit("raw")), genes, outlines.filter(own).drop("sample"),
         ))
     merged = merging.merge(parts, SIX)
     totals = merged.expression.groupBy("cell_id").agg(F.sum("value").alias("total"))
@@ -500,7 +512,8 @@ def panel_file(t: Tables):
 @query("SELECT cell_id, gene, value FROM expr", ("expr",))
 def triplet_files(t: Tables):
     """Numbered entries with their lists of names as tables; names come back by their numbers."""
-    out = K.write_triplets(t.expr, t.expr.select("cell_id"), t.expr.select("gene"), folder(t, "triplets"))
+    expr = cut_lineage(t.expr)  # entries and both lists come from it
+    out = K.write_triplets(expr, expr.select("cell_id"), expr.select("gene"), folder(t, "triplets"))
     entries = t.spark.read.schema("row long, column long, value double").csv(out["matrix"], header=True)
     genes = t.spark.read.schema("row long, gene string").csv(out["genes"], header=True)
     cells = t.spark.read.schema("column long, cell_id string").csv(out["cells"], header=True)

@@ -204,12 +204,13 @@ def imputed_values_long(t: Tables):
        ("genes",))
 def imputation_job_genes(t: Tables):
     """The whole imputation job: its gene list, with every reference gene outside the panel appended under its tag."""
-    panel = t.genes.filter("ord < 56").select("gene", "ord", F.lit(False).alias("is_imputed"))
-    raw = t.expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
+    expr, listed = cut_lineage(t.expr), cut_lineage(t.genes)  # made once: the job reads them in every step
+    panel = listed.filter("ord < 56").select("gene", "ord", F.lit(False).alias("is_imputed"))
+    raw = expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
     ids = t.cells.select(F.col("cell_id").alias("ref_cell")).filter(EVEN.replace("cell_id", "ref_cell"))
-    reference = t.expr.filter(EVEN).withColumnRenamed("cell_id", "ref_cell").withColumn("value", F.log1p("value"))
-    wanted = t.genes.filter("ord >= 56").select("gene", "ord")
-    _, genes = I.impute(t.cells.filter(f"NOT {EVEN}"), raw, panel, ids, t.genes.select("gene", "ord"), reference, wanted)
+    reference = expr.filter(EVEN).withColumnRenamed("cell_id", "ref_cell").withColumn("value", F.log1p("value"))
+    wanted = listed.filter("ord >= 56").select("gene", "ord")
+    _, genes = I.impute(t.cells.filter(f"NOT {EVEN}"), raw, panel, ids, listed.select("gene", "ord"), reference, wanted)
     return genes.select("gene", F.col("ord").cast("int").alias("ord"), "is_imputed")
 
 
@@ -391,9 +392,9 @@ fit AS (SELECT cell_id, CASE WHEN wa >= wb THEN la ELSE lb END AS first_type,
                greatest(wa, wb) AS first_weight, least(wa, wb) AS second_weight, residual FROM best)"""
 
 
-def reference(t: Tables):
+def reference(t: Tables, expr=None):
     labels = t.cells.filter(EVEN).filter("cell_type IS NOT NULL").select(F.col("cell_id").alias("ref_cell"), F.col("cell_type").alias("label"))
-    expression = t.expr.filter(EVEN).withColumnRenamed("cell_id", "ref_cell").join(labels.select("ref_cell"), "ref_cell", "left_semi")
+    expression = (t.expr if expr is None else expr).filter(EVEN).withColumnRenamed("cell_id", "ref_cell").join(labels.select("ref_cell"), "ref_cell", "left_semi")
     return expression, labels
 
 
@@ -453,9 +454,9 @@ def correction_job(t: Tables):
 
 
 def corrected(t: Tables):
-    expression = t.expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
-    genes = t.genes.withColumn("is_imputed", F.lit(False))
-    return correction.correct(t.cells.filter(f"NOT {EVEN}"), expression, genes, *reference(t), min_umi=2)
+    expr, genes = cut_lineage(t.expr), cut_lineage(t.genes)  # made once: the job reads them in every step
+    expression = expr.filter(f"NOT {EVEN}").withColumn("layer", F.lit(G.RAW))
+    return correction.correct(t.cells.filter(f"NOT {EVEN}"), expression, genes.withColumn("is_imputed", F.lit(False)), *reference(t, expr), min_umi=2)
 
 
 CLASSES = {"c0": 0.1, "c1": 0.0, "c2": -0.2, "c3": 0.05}

@@ -360,11 +360,12 @@ layered AS (
   UNION ALL SELECT cell_id, gene, value * 0.5, 'corrected' FROM expr WHERE CAST(substr(gene, 2) AS INT) < 56 AND value > 1)"""
 
 
-def layered(t: Tables):
+def layered(t: Tables, expr=None):
+    expr = t.expr if expr is None else expr
     number = F.substring("gene", 2, 9).cast("int")
     layer = F.when(number >= 60, "corr_imputed").when(number >= 56, "imputed").otherwise("raw")
-    corrected = t.expr.filter((number < 56) & (F.col("value") > 1)).select("cell_id", "gene", (F.col("value") * 0.5).alias("value"), F.lit("corrected"))
-    return t.expr.withColumn("layer", layer).union(corrected)
+    corrected = expr.filter((number < 56) & (F.col("value") > 1)).select("cell_id", "gene", (F.col("value") * 0.5).alias("value"), F.lit("corrected"))
+    return expr.withColumn("layer", layer).union(corrected)
 
 
 def assembled(t: Tables, use_corrected: bool, include_imputed: bool):
