@@ -326,7 +326,7 @@ def test_stretches_match_by_match():
 
 
 def test_families_of_edited_passages(make):
-    """Members of large families find a partner wherever comparing all members word by word does."""
+    """Members of large families find every partner that comparing all members word by word finds."""
     rnd = np.random.default_rng(14)
     rows, kept = [], []
     for family, (members, words, rate) in enumerate([(12, 60, 0.1), (60, 60, 0.1), (60, 120, 0.1), (60, 60, 0.05), (150, 80, 0.1)]):
@@ -339,22 +339,35 @@ def test_families_of_edited_passages(make):
     ids = rnd.permutation(len(rows)).tolist()
     linked: dict[int, set[int]] = {}
     for x, (family, same) in enumerate(kept):
-        linked.setdefault(family, set())
         for y in range(x):
             both = np.flatnonzero(same & kept[y][1]) if kept[y][0] == family else []
-            if len(both) and chaining.stretches(np.stack([both, both], 1), 50, 80):
-                linked[family] |= {ids[x], ids[y]}
-    got = {r["doc_id"] for r in chaining.repeated_passages(make(list(zip(ids, rows, strict=True)))).select("doc_id").collect()}
-    assert got <= set().union(*linked.values())
-    for docs in linked.values():
-        assert len(docs & got) >= 0.95 * len(docs)
-
-
-def test_neighbours_of_a_hot_seed_in_parts(spark, monkeypatch):
-    """Every holder but the first of each part meets the one before it, and parts hold about as many places as allowed."""
-    monkeypatch.setattr(chaining, "PART", 10)
-    rows = spark.range(100).selectExpr("id AS node", "7L AS hash", "cast(id % 5 AS int) AS pos", "100L AS places")
-    found = chaining.neighbours(rows, 2).collect()
-    assert all(r["a"] > r["b"] and r["pa"] == r["a"] % 5 and r["pb"] == r["b"] % 5 for r in found)
-    assert len({r["a"] for r in found}) >= 100 - 16
-    assert len(found) <= 200 and len({(r["a"], r["b"]) for r in found}) == len(found)
+            if any(j - i >= 49 and 100 * (m - n + 1) >= 80 * (j - i + 1) for n, i in enumerate(both) for m, j in enumerate(both)):
+                linked.setdefault(ids[x], set()).add(ids[y])
+                linked.setdefault(ids[y], set()).add(ids[x])
+    got = {r["doc_id"]: r for r in chaining.repeated_passages(make(list(zip(ids, rows, strict=True)))).collect()}
+    assert set(got) == set(linked)
+    for doc, partners in linked.items():
+        assert (got[doc]["partner"], got[doc]["n_partners"]) == (min(partners), len(partners))
+
+
+def test_places_in_very_many_documents_are_met(make, monkeypatch):
+    """Two texts share 50 words, 80 % of them, only through phrases of four words that many documents have; slices lose none."""
+    monkeypatch.setattr(chaining, "SLICE", 7)
+    phrases = [words(5000 + i, 4, 10**6) for i in range(10)]
+    rows = [(i, " ".join(f"{p} r{i}x{j}" for j, p in enumerate(phrases[i % 3 :]))) for i in range(40)]
+    got = {r["doc_id"]: r for r in chaining.repeated_passages(make(rows)).collect()}
+    assert got == {}  # 49 words and fewer
+    rows = [(i, " ".join([*(f"{p} r{i}x{j}" for j, p in enumerate(phrases[i % 3 :])), "last"])) for i in range(40)]
+    got = {r["doc_id"]: r for r in chaining.repeated_passages(make(rows)).collect()}
+    whole = set(range(0, 40, 3))
+    assert set(got) == whole and all(r["n_partners"] == len(whole) - 1 for r in got.values())
+
+
+def test_lone_runs_are_compared_word_by_word(make):
+    """One run of ten words, and runs of three: no other seed, and 40 of 50 words agree."""
+    own = words(7100, 50, 10**6).split()
+    edits = range(10, 50, 4)
+    other = [f"z{p}" if p in edits else w for p, w in enumerate(own)]
+    rows = [(1, " ".join([*own, "e1"])), (2, " ".join([*other[:49], own[49], "e2"]))]
+    got = {r["doc_id"]: r["n_partners"] for r in chaining.repeated_passages(make(rows)).collect()}
+    assert got == {1: 1, 2: 1}
