@@ -172,8 +172,8 @@ def rings(boundaries: DataFrame, keys: Sequence[str] = ("cell_id",)) -> DataFram
     boundaries = boundaries.dropna(subset=list(keys))
     vertices = F.array_sort(F.collect_list(F.struct("vertex_ord", "x", "y")))
     out = boundaries.groupBy(*keys).agg(vertices.alias("_v"))
-    ring = F.transform("_v", lambda v: F.struct(v.x.cast("double").alias("x"), v.y.cast("double").alias("y")))
-    return out.filter(F.size("_v") >= 3).select(*keys, ring.alias("ring"))
+    ring = F.arrays_zip(*[F.col(f"_v.{c}").cast("array<double>").alias(c) for c in "xy"])
+    return out.filter(F.size("_v") >= 3).select(*keys, ring.cast("array<struct<x: double, y: double>>").alias("ring"))
 
 
 def vertices(rings_df: DataFrame, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
@@ -181,31 +181,35 @@ def vertices(rings_df: DataFrame, keys: Sequence[str] = ("cell_id",)) -> DataFra
     return rings_df.select(*keys, F.posexplode("ring").alias("vertex_ord", "v")).select(*keys, "vertex_ord", "v.x", "v.y")
 
 
-def split_invalid(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Simple rings, and the self-crossing ones, which have no well-defined overlap.
+def _outlines(rings_df: DataFrame) -> DataFrame:
+    """Rings with their check and segments, written once, since an overlap join reads its sides several times."""
+    return cut_lineage(G.with_outlines(rings_df))
 
-    Rings and their check are written once, since an overlap join reads its sides several times.
-    """
-    checked = cut_lineage(rings_df.withColumn("_crossing", G.self_intersecting("ring")))
-    return checked.filter(~F.col("_crossing")).drop("_crossing"), checked.filter("_crossing").drop("_crossing")
+
+def split_invalid(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Simple rings, and the self-crossing ones, which have no well-defined overlap."""
+    made = _outlines(rings_df)
+    return tuple(made.filter(wanted).select(rings_df.columns) for wanted in (~F.col("crossing"), F.col("crossing")))
 
 
 def repaired(rings_df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cell_id, ring, seg) fit for overlaps, and the self-crossing rings. These count with the points that they wind
+    """(cell_id, ring, seg, box) fit for overlaps, and the self-crossing rings. These count with the points that they wind
     around an odd number of times."""
-    simple, crossing = split_invalid(rings_df)
-    return simple.select("cell_id", "ring", G.segments("ring").alias("seg")).union(G.with_segments(crossing)), crossing
+    made = _outlines(rings_df.select("cell_id", "ring"))
+    return made.filter("box IS NOT NULL").select("cell_id", "ring", "seg", "box"), made.filter("crossing").select("cell_id", "ring")
 
 
 def _with_box(rings_df: DataFrame, prefix: str) -> DataFrame:
-    xs, ys = F.transform("ring", lambda v: v.x), F.transform("ring", lambda v: v.y)
-    segments = F.col("seg") if "seg" in rings_df.columns else G.segments("ring")
-    return rings_df.select(
-        F.col("cell_id").alias(f"{prefix}_id"),
-        segments.alias(f"{prefix}_seg"), _n_slabs(F.size("ring")).alias(f"{prefix}_n"),
-        F.array_min(xs).alias(f"{prefix}_x0"), F.array_max(xs).alias(f"{prefix}_x1"),
-        F.array_min(ys).alias(f"{prefix}_y0"), F.array_max(ys).alias(f"{prefix}_y1"),
+    """Segments, number of slabs and box of each ring. They are written once: the passes that size tiles and count their rows
+    then read the box columns alone. What comes from ``repaired`` is written already."""
+    written = "box" in rings_df.columns
+    xs, ys = F.col("ring.x"), F.col("ring.y")
+    box = {c: F.col(f"box.{c}") if written else f(v) for c, f, v in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))}
+    boxed = rings_df.select(
+        F.col("cell_id").alias(f"{prefix}_id"), (F.col("seg") if written else G.segments("ring")).alias(f"{prefix}_seg"),
+        _n_slabs(F.size("ring")).alias(f"{prefix}_n"), *[v.alias(f"{prefix}_{c}") for c, v in box.items()],
     )
+    return boxed if written else cut_lineage(boxed)
 
 
 def _median_side(boxed: DataFrame, p: str) -> float:
@@ -300,8 +304,7 @@ def overlap_pairs(query: DataFrame, reference: DataFrame, tile: float | None = N
     the one holding the lower left corner of the boxes' intersection, which needs no removal of duplicates. Where one of a
     pair has many segments, they are joined to the pair afterwards, slab by slab.
     """
-    # written once: the passes that size tiles and count their rows then read the box columns alone
-    q_boxed, r_boxed = cut_lineage(_with_box(query, "q")), cut_lineage(_with_box(reference, "r"))
+    q_boxed, r_boxed = _with_box(query, "q"), _with_box(reference, "r")
     if tile is None:
         tile = max(2.0 * _median_side(r_boxed, "r"), 1e-6)
 

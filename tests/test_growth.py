@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytomosaic import fixtures
+from cytomosaic.functions import geometry as GEO
 from cytomosaic.operators import knn
 from cytomosaic.operators import metrics as M
+from cytomosaic.operators import spatial as X
 from registry import files, learn
 from registry.base import Tables
 
@@ -102,3 +104,36 @@ def test_seeds_are_shuffled_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c " + passage), (2, passage + " d e f"), (3, "x y z")], "doc_id long, text string")
     got = {r["doc_id"]: r["partner"] for r in chaining.repeated_passages(docs).collect()}
     assert got == {1: 2, 2: 1} and "shared" not in kept and "met" in kept
+
+
+def test_outlines_are_checked_in_batches(spark, monkeypatch):
+    """Rings of all sizes in one batch: checks and segments are those of the expressions, ring by ring, and are made once."""
+    rng = np.random.default_rng(12)
+    shapes = [rng.uniform(0, 9, (n, 2)).tolist() for n in (3, 4, 4, 5, 8, 40) for _ in range(12)]
+    angles = [np.sort(rng.random(n)) * 2 * np.pi for n in (3, 4, 7, 60) for _ in range(6)]
+    shapes += [np.stack([np.cos(a), np.sin(a)], 1).tolist() for a in angles]
+    shapes += [[(0, 0), (2, 2), (2, 0), (0, 2)], [(0, 0), (4, 0), (4, 4), (0, 4)], [(0, 0), (4, 0), (2, 0)], [(1, 1)] * 4]
+    shapes += [[(0, 0), (None, 1), (3, 3)], [(0, 0), (1, None), (2, 0), (2, 2)], [(0, 0), (2, 2), (2, 0), (0, 2), (None, None)], [(0, 0), (float("nan"), 1), (3, 3), (0, 3)]]
+    shapes.insert(20, [])
+    rows = [(i, [tuple(None if v is None else float(v) for v in p) for p in ring]) for i, ring in enumerate(shapes)]
+    rings = spark.createDataFrame(rows, "cell_id long, ring array<struct<x: double, y: double>>").coalesce(1)
+    want = {r.cell_id: r for r in rings.select("cell_id", "ring", GEO.self_intersecting("ring").alias("crossing"), GEO.segments("ring").alias("seg")).collect()}
+    got = {r.cell_id: r for r in GEO.with_outlines(rings).collect()}
+    assert {i: r.crossing for i, r in got.items()} == {i: r.crossing for i, r in want.items()}
+    assert sum(r.crossing is None for r in got.values()) == 2 and sum(bool(r.crossing) for r in got.values()) > 30
+    assert got[20].box is not None and got[20].box.x0 is None
+    for i, r in got.items():
+        if r.box is None:
+            assert None in sum(shapes[i], ()) and r.seg == []
+        elif r.crossing:
+            alone = GEO.even_odd_segments(np.array(shapes[i]))
+            assert [tuple(s) for s in r.seg] == [tuple(s) for s in alone.tolist()]
+        else:
+            assert repr(r.seg) == repr(want[i].seg)
+    written, plain = [], X.cut_lineage
+    monkeypatch.setattr(X, "cut_lineage", lambda df: written.append(df.columns) or plain(df))
+    whole = rings.filter(F.col("cell_id") < len(shapes) - 4)
+    (query, _), (reference, _) = X.repaired(whole), X.repaired(whole)
+    area = {(r.query_id, r.ref_id): r.area for r in X.overlap_pairs(query, reference).collect()}
+    assert all(area[a, b] == pytest.approx(area[b, a]) for a, b in area)
+    assert sum("seg" in c for c in written) == 2 and not any("q_x0" in c and "_base" not in c for c in written)
