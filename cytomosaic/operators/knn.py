@@ -10,6 +10,9 @@ k nearest. Blocks are put together into groups of many thousand rows, a query go
 block, and there only rows within its bound are looked at closely; the results of groups are merged. Nothing is left out
 either way. In many dimensions without clusters most blocks stay possible, and exact search is then near all pairs: a query
 becomes a row for each group then, not for each block.
+
+Cells with few counts often have equal vectors. Where at least half of the rows of a large table do, each vector is searched
+once on either side, and its neighbours go to all its rows; where fewer do, rows are searched one by one.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from cytomosaic.operators.skew import sliced_sides
+from cytomosaic.operators.indexing import dense_index
+from cytomosaic.operators.skew import sliced_join, sliced_sides
 from cytomosaic.session import cut_lineage
 
 # fixed values
@@ -39,6 +43,8 @@ GROUP_ROWS = 32_768
 CHUNK_CELLS, SEARCH_ROWS, SEARCH_QUERIES, TASK_PAIRS = 1_000_000, 8_192, 4_096, 500_000_000
 #: Distances to blocks of one task.
 TASK_CELLS = 20_000_000
+#: Rows of one vector that get its neighbours in one task, and different vectors of a row at most where each is searched once.
+SLICE_ROWS, MOST_DIFFERENT = 20_000, 0.5
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -83,26 +89,86 @@ def knn_join(
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
     n, width = references.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("features")), F.lit(0))).first()
-    if n * (width * 8 + 64) <= broadcast_bytes:
-        near = _by_broadcast(queries, references, n, k, metric, not_self)
-    else:
-        # the list of blocks goes to every task, so its length is held while blocks grow with the data
-        block_rows = max(block_rows, -(-n // MAX_BLOCKS))
-        # about two pivots per full block: many small blocks would send each query to more places than they rule out
-        n_pivots = n_pivots or min(max(2 * n // block_rows, 8), 2_048)
-        near = _by_blocks(queries, references, k, metric, not_self, block_rows, n_pivots)
+    limits = broadcast_bytes, block_rows, n_pivots
+    if not not_self and n * (width * 8 + 64) > broadcast_bytes:
+        near = _by_vectors(queries, references, n, width, k, metric, *limits)
+        if near is not None:
+            return near
+    return _placed(_search(queries, references, n, width, k, metric, not_self, *limits), k)
+
+
+def _placed(near: DataFrame, k: int) -> DataFrame:
     order = W.Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def _search(
+    queries: DataFrame, references: DataFrame, n: int, width: int, k: int, metric: str, not_self: bool, broadcast_bytes: int,
+    block_rows: int, n_pivots: int | None, different: bool = False,
+) -> DataFrame:
+    """(query_id, ref_id, distance) with the k nearest of each query and maybe more; ``different`` if no reference equals another."""
+    if n * (width * 8 + 64) <= broadcast_bytes:
+        return _by_broadcast(queries, references, n, k, metric, not_self, different)
+    # the list of blocks goes to every task, so its length is held while blocks grow with the data
+    block_rows = max(block_rows, -(-n // MAX_BLOCKS))
+    # about two pivots per full block: many small blocks would send each query to more places than they rule out
+    n_pivots = n_pivots or min(max(2 * n // block_rows, 8), 2_048)
+    return _by_blocks(queries, references, k, metric, not_self, block_rows, n_pivots, different)
+
+
+def _by_vectors(
+    queries: DataFrame, references: DataFrame, n: int, width: int, k: int, metric: str, broadcast_bytes: int, block_rows: int,
+    n_pivots: int | None,
+) -> DataFrame | None:
+    """The k nearest, each different vector of either side searched once; None where too few rows are equal.
+
+    A reference vector stands for its first k ids and is known by a number in the order of the first of them. The k nearest
+    rows are then among the rows of the k nearest vectors, ties by number. Vectors of queries are known by 128 bits. Null ids
+    come last where ties are cut.
+    """
+    keys = ["_h1", "_h2"]
+    hashed = queries.select("id", "features", F.xxhash64("features").alias("_h1"), F.xxhash64(F.lit(1), "features").alias("_h2"))
+    asked = cut_lineage(hashed.select(*keys, "features").distinct().withColumn("_vec", F.monotonically_increasing_id()))
+    ids = F.sort_array(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id")))  # k at most
+    held = cut_lineage(_first_copies(references, k).groupBy("features").agg(ids.alias("ids")))
+    n_different = held.count()
+    if asked.count() + n_different > MOST_DIFFERENT * (queries.count() + n):
+        return None
+    first = held.select("features", "ids", F.size("ids").alias("n"), F.col("ids")[0]["id"].alias("first"))
+    number = F.when(F.col("first").isNull(), F.col("ref_id") + n_different).otherwise(F.col("ref_id"))
+    numbered = cut_lineage(dense_index(first, "first", "ref_id").withColumn("ref_id", number).drop("first"))
+    near = _search(
+        asked.select(F.col("_vec").alias("id"), "features"), numbered.select(F.col("ref_id").alias("id"), "features"),
+        n_different, width, k, metric, False, broadcast_bytes, block_rows, n_pivots, different=True,
+    )
+    # vectors are needed until those strictly nearer hold k rows
+    sized = _placed(near, k).drop("place").join(numbered.select("ref_id", "n"), "ref_id")
+    upto = F.sum("n").over(W.Window.partitionBy("query_id").orderBy("distance"))
+    nearer = upto - F.sum("n").over(W.Window.partitionBy("query_id", "distance"))
+    needed = sized.withColumn("_nearer", nearer).filter(F.col("_nearer") < k).select("query_id", "ref_id", "distance")
+    rows = needed.join(numbered.select("ref_id", "ids"), "ref_id").select("query_id", F.explode("ids").alias("r"), "distance")
+    cut = F.row_number().over(W.Window.partitionBy("query_id").orderBy("distance", "r"))
+    rows = rows.withColumn("_cut", cut).filter(F.col("_cut") <= k).select("query_id", F.col("r.id").alias("ref_id"), "distance")
+    rows = _placed(rows, k)
+    lists = rows.groupBy(F.col("query_id").alias("_vec")).agg(F.collect_list(F.struct("ref_id", "distance", "place")).alias("near"))
+    told = cut_lineage(asked.select("_vec", *keys).join(lists, "_vec").drop("_vec"))
+    met = sliced_join(hashed.select("id", *keys), told, keys, F.col("id"), F.col("_h1"), SLICE_ROWS)
+    out = met.select(F.col("id").alias("query_id"), F.explode("near").alias("r")).select("query_id", "r.ref_id", "r.distance", "r.place")
+    if queries.groupBy("id").count().filter("count > 1").isEmpty():
+        return out
+    return _placed(out.drop("place"), k)  # rows of one id share their places
+
+
 def _first_copies(references: DataFrame, n: int) -> DataFrame:
     """Of equal vectors only the first few ids can be among the nearest."""
     copies = F.row_number().over(W.Window.partitionBy("features").orderBy("id"))
     return references.select("id", "features").withColumn("_copy", copies).filter(F.col("_copy") <= n).drop("_copy")
 
 
-def _by_broadcast(queries: DataFrame, references: DataFrame, n_refs: int, k: int, metric: str, not_self: bool) -> DataFrame:
-    held = references.select("id", "features") if not_self else _first_copies(references, k)
+def _by_broadcast(
+    queries: DataFrame, references: DataFrame, n_refs: int, k: int, metric: str, not_self: bool, different: bool = False
+) -> DataFrame:
+    held = references.select("id", "features") if not_self or different else _first_copies(references, k)
     local = held.toArrow().sort_by("id").combine_chunks()  # size checked by the caller
     shipped = queries.sparkSession.sparkContext.broadcast((local["id"].combine_chunks(), _rows(local["features"], metric) if len(local) else None))
 
@@ -118,12 +184,15 @@ def _by_broadcast(queries: DataFrame, references: DataFrame, n_refs: int, k: int
     return (rows.repartition(n_tasks, "id") if n_tasks > 1 else rows).mapInArrow(run, _result_schema(queries, references))
 
 
-def _by_blocks(queries: DataFrame, references: DataFrame, k: int, metric: str, not_self: bool, block_rows: int, n_pivots: int) -> DataFrame:
+def _by_blocks(
+    queries: DataFrame, references: DataFrame, k: int, metric: str, not_self: bool, block_rows: int, n_pivots: int, different: bool = False
+) -> DataFrame:
     """Pivot blocks. For cosine all rows become unit vectors, where Euclidean order is cosine order."""
     sc = queries.sparkSession.sparkContext
     unit = metric == "cosine"
     wanted = k + 1 if not_self else k
-    references = cut_lineage(_first_copies(references, wanted))  # the limit applies before the shuffle
+    if not different:
+        references = cut_lineage(_first_copies(references, wanted))  # the limit applies before the shuffle
     chosen = references.select("id", "features").orderBy(F.xxhash64("id"), "id").limit(n_pivots).toPandas()
     pivots = np.unique(_unit(_matrix(chosen["features"])) if unit else _matrix(chosen["features"]), axis=0)
     pivot_bc = sc.broadcast(pivots)

@@ -8,6 +8,7 @@ from cytomosaic.operators import deconvolve as D
 from cytomosaic.operators import genes as G
 from cytomosaic.operators import matrix as M
 from cytomosaic.operators import subspace as S
+from cytomosaic.operators import knn
 from cytomosaic.operators.knn import knn_join
 from cytomosaic.plans import correct as correction
 from cytomosaic.plans import impute as I
@@ -391,3 +392,34 @@ def test_nearest_within_bounds(metric):
         assert len(row) == 280
         assert value.reshape(40, 7) == pytest.approx(np.sort(every, axis=1)[:, :7], abs=1e-9)
         assert np.abs(every[row, col] - value).max() < 1e-9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("limit", [0, 4_000])
+def test_equal_vectors_are_searched_once(spark, monkeypatch, metric, limit):
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(0, 4, (30, 5)).astype(float)
+    kinds[0] = 0
+    q, r = kinds[rng.integers(0, 30, 400)], kinds[rng.integers(0, 30, 300)]
+    ids = [i // 2 if i % 40 == 0 else i for i in range(400)]  # some ids repeat
+    qd = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, q, strict=True)], "id long, features array<double>")
+    rd = spark.createDataFrame([(None if i == 7 else i, row.tolist()) for i, row in enumerate(r)], "id long, features array<double>")
+    how = {"broadcast_bytes": limit, "block_rows": 8, "n_pivots": 5}
+    seen, plain = [], knn._search
+
+    def counting(queries, references, *args, **kwargs):
+        seen.append((queries.count(), references.count()))
+        return plain(queries, references, *args, **kwargs)
+
+    monkeypatch.setattr(knn, "_search", counting)
+    got = sorted(map(tuple, knn_join(qd, rd, 9, metric, **how).collect()), key=str)
+    assert len(seen) == 1 and max(seen[0]) <= 30
+    monkeypatch.setattr(knn, "MOST_DIFFERENT", -1.0)  # one by one
+    assert got == sorted(map(tuple, knn_join(qd, rd, 9, metric, **how).collect()), key=str)
+    assert seen[1] == (400, 300)
+    unique = {i for i in ids if ids.count(i) == 1}
+    want = brute(q, r, 9, metric)
+    for i, query in enumerate(ids):
+        if query in unique:
+            mine = sorted((place, d) for owner, _, d, place in got if owner == query)
+            assert [d for _, d in mine] == pytest.approx([d for _, d in want[i]], abs=1e-9)
