@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from cytomosaic.llm.common import binaries, lists, map_batches
 
 SPACE = "▁"
-#: Distinct chunks a task remembers before it starts afresh.
-REMEMBERED_CHUNKS = 200_000
+#: Distinct chunks, and their characters, a task remembers before it starts afresh; bytes of texts encoded at once.
+REMEMBERED_CHUNKS, REMEMBERED_CHARS = 200_000, 4_000_000
+BYTES_AT_ONCE = 4 << 20
 #: Chunks up to this many characters are merged side by side, longer ones one by one.
 SHORT = 24
 NEVER = np.int32(2**31 - 1)
@@ -93,6 +94,7 @@ class Pieces:
         self.chunks = re.compile(".+" if across else f"{alone or '(?!)'}|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+", re.S)
         self.plain = not self.chars.units and not self.trim
         self.known: dict[str, bytes] = {}  # ids and source sizes by turns
+        self.known_chars = 0
         self._pairs = None
         self.surface = [p.replace(SPACE, " ") for p in self.pieces]
         for b, i in enumerate(self.bytes_ids or []):
@@ -116,6 +118,8 @@ class Pieces:
                 first = text[at]
                 width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
                 hit = width, text[at : at + width]
+                if first >= 0x80 and not _valid(hit[1]):  # a byte of no character, as the library takes it
+                    hit = 1, "�".encode()
             steps.append((at, at + hit[0], hit[1]))
             at += hit[0]
         if self.trim:  # leading and trailing spaces go
@@ -196,7 +200,10 @@ class Pieces:
         """The chunks of a text whose normalisation only marks spaces; None for any other text."""
         if not self.plain or SPACE.encode() in text:
             return None
-        chars = text.decode()
+        try:
+            chars = text.decode()
+        except UnicodeDecodeError:
+            return None
         if self.across or "  " in chars or chars[:1] == " ":
             return self.chunks.findall((SPACE if self.dummy_prefix else "") + chars.replace(" ", SPACE))
         chars = ((SPACE if self.dummy_prefix else "") + chars).replace(" ", " " + SPACE)
@@ -207,10 +214,12 @@ class Pieces:
         cut = [self.cut(t or b"") for t in texts]
         every = set().union(*[c for c in cut if c])
         new = every.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED_CHUNKS:
+        chars = sum(map(len, new))
+        if len(self.known) + len(new) > REMEMBERED_CHUNKS or self.known_chars + chars > REMEMBERED_CHARS:
             self.known.clear()
-            new = every
+            new, chars, self.known_chars = every, sum(map(len, every)), 0
         self.learn(new)
+        self.known_chars += chars
         return [self.encode(t, c) for t, c in zip(texts, cut, strict=True)]
 
     def encode(self, text: bytes | None, cut: list[str] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -355,6 +364,14 @@ class Pieces:
         return "".join(out)
 
 
+def _valid(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _lenient(raw: bytes) -> str:
     """UTF-8 with one replacement character for each byte that is part of no character."""
     try:
@@ -380,8 +397,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """The id column with ``ids``, ``starts`` and ``ends`` (arrays of int) for each row, and the decoded text if a name is given.
 
     Spans are source bytes, end exclusive. The space put before the text has an empty span at 0; of a character written
-    as byte pieces the last piece has the span and the others are empty. A null or empty text has no pieces. Rows are
-    independent: repeated rows and null ids stay as they are, other columns are not read.
+    as byte pieces the last piece has the span and the others are empty. A null or empty text has no pieces. A byte that is
+    part of no character counts as U+FFFD. Rows are independent: repeated rows and null ids stay as they are, other columns
+    are not read.
     """
 
     def start() -> Callable[[pa.RecordBatch], dict[str, object]]:
@@ -401,6 +419,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         docs.select(F.col(id_col), F.col(text_col).alias("text")),
         start,
         f"`{id_col}` {kind}, ids array<int>, starts array<int>, ends array<int>" + (f", `{decoded}` string" if decoded else ""),
+        most_bytes=BYTES_AT_ONCE,
     )
 
 

@@ -103,3 +103,34 @@ def test_query(spark, small, library):
         assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), digest(",".join(map(str, ids))))
         assert row["decoded_sha256"] == digest(library.decode(ids))
         assert row["n_bytes"] == len((doc["text"] or "").encode())
+
+
+BROKEN = [b"ab\xff\xfecd", b"\xed\xa0\x80x y", b"abc\xe2\x96", b"\xf4\x90\x80\x80", b"a \xc0\x80 b", b"\xe2\x96\x81\xff the"]
+
+
+def test_bytes_of_no_character_are_taken_as_the_library_takes_them(spark, library, own):
+    for raw, (ids, starts, ends) in zip(BROKEN, own.encode_all(BROKEN), strict=True):
+        assert ids.tolist() == library.encode(raw)
+        assert own.decode(ids) == library.decode(ids.tolist())
+        assert ends[-1] == len(raw) and (starts <= ends).all()
+    rows = spark.createDataFrame([(i, bytearray(raw)) for i, raw in enumerate(BROKEN)], "doc_id long, raw binary")
+    got = pieces.encode(rows.selectExpr("doc_id", "CAST(raw AS STRING) AS text"), MODEL).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == [library.encode(raw) for raw in BROKEN]
+
+
+def test_long_texts_are_encoded_and_remembered_a_bounded_part_at_once(library, monkeypatch):
+    import pyarrow as pa
+
+    from cytomosaic.llm.common import small_batches
+
+    texts = ["word " * n for n in (1, 400, 3, 2, 900, 1)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = list(small_batches(iter([batch]), 256, 2_000))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= 2_000 for p in parts) and len(parts) > 2
+    monkeypatch.setattr(pieces, "REMEMBERED_CHARS", 2_000)
+    fresh = pieces.Pieces(MODEL)
+    for n in range(40):  # without spaces a text is one chunk
+        (ids, _, _), = fresh.encode_all([(chr(0x4E00 + n) * 300).encode()])
+        assert ids.tolist() == library.encode(chr(0x4E00 + n) * 300)
+        assert sum(map(len, fresh.known)) <= 2_000
