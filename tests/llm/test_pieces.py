@@ -105,6 +105,18 @@ def test_query(spark, small, library):
         assert row["n_bytes"] == len((doc["text"] or "").encode())
 
 
+def test_query_on_null_and_empty_texts(spark, make, library, tmp_path):
+    rows = odd_rows()
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["n_bytes"]) for r in queries.op9_sentencepiece_offsets(spark, str(tmp_path)).collect()]
+    want = []
+    for doc_id, text in rows:
+        ids = library.encode(text or "")
+        digests = [hashlib.sha256(s.encode()).hexdigest() for s in (",".join(map(str, ids)), library.decode(ids))]
+        want.append((doc_id, len(ids), *digests, len((text or "").encode())))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 BROKEN = [b"ab\xff\xfecd", b"\xed\xa0\x80x y", b"abc\xe2\x96", b"\xf4\x90\x80\x80", b"a \xc0\x80 b", b"\xe2\x96\x81\xff the"]
 
 
