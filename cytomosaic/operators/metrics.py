@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytomosaic.functions.scalar import lr_pair
@@ -57,14 +57,22 @@ def _grouped(edges: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def _metrics(edges: DataFrame, samples: DataFrame, features: list[str], min_edges: int) -> DataFrame:
-    # written, as both the rows and the totals come from it: a row for each sample and feature, against all edges
-    grouped = cut_lineage(_grouped(edges, features))
-    # one row per sample on both sides of these lookups: adaptive execution broadcasts them by measured size
+def _with_totals(edges: DataFrame, features: list[str], written: bool) -> DataFrame:
+    """Groups and the edges of their sample, made once: a row for each sample and feature, against all edges."""
+    grouped = _grouped(edges, features)
+    if not written:  # a sample's groups stand together, as many as it has features
+        total = F.sum("n_edges").over(Window.partitionBy("sample"))
+        return grouped.filter("sample IS NOT NULL").withColumn("total_edges", total)
+    grouped = cut_lineage(grouped)
+    return grouped.join(totals_per_sample(grouped), "sample")
+
+
+def _metrics(edges: DataFrame, samples: DataFrame, features: list[str], min_edges: int, written: bool = True) -> DataFrame:
+    # one row per sample in these lookups: adaptive execution broadcasts them by measured size
     return (
-        grouped.dropna(subset=features)
+        _with_totals(edges, features, written)
+        .dropna(subset=features)
         .filter(F.col("n_edges") >= min_edges)
-        .join(totals_per_sample(grouped), "sample")
         .join(samples, "sample", "left")
         .select(
             "sample",
@@ -81,7 +89,7 @@ def _metrics(edges: DataFrame, samples: DataFrame, features: list[str], min_edge
 
 def sample_metrics(edges: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per (sample, lr_pair). ``samples`` = (sample, condition, n_cells)."""
-    return _metrics(with_lr_pair(edges), samples, ["lr_pair"], 1)
+    return _metrics(with_lr_pair(edges), samples, ["lr_pair"], 1, written=False)
 
 
 def celltype_metrics(typed_edges: DataFrame, samples: DataFrame, min_edges: int = 10) -> DataFrame:
